@@ -196,7 +196,5 @@ def matches_any(path: Column, globs, dialect: str = "layer") -> Column:
 
 def first_match(path: Column, layers, dialect: str = "layer") -> Column:
     """Name of the first layer (in listed order) with a matching pattern, else NULL."""
-    out = F
-    for layer in layers:
-        out = out.when(matches_any(path, layer.paths, dialect), F.lit(layer.name))
-    return F.lit(None).cast("string") if out is F else out
+    hits = [F.when(matches_any(path, layer.paths, dialect), F.lit(layer.name)) for layer in layers]
+    return F.coalesce(F.lit(None).cast("string"), *hits)

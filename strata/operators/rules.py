@@ -17,7 +17,6 @@ from strata.model import (
     RULE_TYPES,
     SEVERITIES,
     VIOLATION_COLUMNS,
-    VIOLATING_TYPES,
     Config,
     Layer,
     Rule,
@@ -166,42 +165,30 @@ def rule_must(deps: DataFrame, config: Config, projects: DataFrame, compat: bool
     Only distinct (project, source, target) triples of the rules' layers are
     joined. ``compat=True`` never violates.
     """
-    wanted = [(i, r) for i, r in rules_of_type(config, "Must") if r.from_layer and not compat]
+    wanted = [] if compat else [(i, r) for i, r in rules_of_type(config, "Must") if r.from_layer]
     if not wanted:
-        wanted = []
-    options = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule_ord"),
-                F.lit(r.id).alias("rule_id"),
-                F.lit(r.from_layer).alias("source_layer"),
-                F.array(*[F.lit(t) for t in r.to_layers]).alias("targets"),
-                F.lit(r.severity).alias("severity"),
-            )
-            for i, r in (wanted or [(0, Rule("none", from_layer="", to_layers=("",)))])
-        ]
-    )
-    due = projects.select("project_id").distinct().select("project_id", F.explode(options).alias("r"))
-    if not wanted:
-        due = due.limit(0)
-    due = due.select("project_id", "r.rule_ord", "r.rule_id", "r.source_layer", "r.targets", "r.severity")
-    met = [
-        F.struct(F.lit(i).alias("rule_ord"))
+        return projects.where(F.lit(False)).selectExpr(
+            "project_id", "0 as rule_ord", "'' as rule_id", "'' as source_layer", "'' as severity", "'' as message"
+        )
+    options = [
+        F.struct(
+            F.lit(i).alias("rule_ord"),
+            F.lit(r.id).alias("rule_id"),
+            F.lit(r.from_layer).alias("source_layer"),
+            F.lit(r.severity).alias("severity"),
+            F.lit(f"{r.from_layer} must depend on {', '.join(r.to_layers)}").alias("message"),
+        )
         for i, r in wanted
     ]
-    edges = classified(deps, config.layers)
-    seen = edges.select(
-        "project_id",
-        F.explode(
-            F.array_compact(F.array(*[F.when(rule_matches(r), m["rule_ord"]) for (i, r), m in zip(wanted, met)]))
-            if wanted
-            else F.array().cast("array<int>")
-        ).alias("rule_ord"),
-    ).distinct()
-    return due.join(seen, ["project_id", "rule_ord"], "left_anti").withColumn(
-        "message",
-        F.concat(F.col("source_layer"), F.lit(" must depend on "), F.array_join("targets", ", ")),
+    due = (
+        projects.select("project_id")
+        .distinct()
+        .select("project_id", F.explode(F.array(*options)).alias("r"))
+        .select("project_id", "r.*")
     )
+    met = F.array_compact(F.array(*[F.when(rule_matches(r), F.lit(i)) for i, r in wanted]))
+    seen = classified(deps, config.layers).select("project_id", F.explode(met).alias("rule_ord")).distinct()
+    return due.join(seen, ["project_id", "rule_ord"], "left_anti")
 
 
 def rule_can(deps: DataFrame, config: Config) -> DataFrame:
