@@ -123,6 +123,8 @@ def glob_match(path: Column, glob: str, dialect: str = "layer") -> Column:
             return path == glob
     if dialect == "ignore":
         return _ignored(path, glob)
+    if dialect == "watch":
+        return _watch_ignored(path, glob)
     if dialect == "walk_include":
         return _walk_include(path, glob)
     if dialect == "walk_exclude":
@@ -168,6 +170,23 @@ def _ignored(path: Column, glob: str) -> Column:
     return inside & (_segment(base_name(path), tail) | _segment(rest, tail))
 
 
+def _watch_ignored(path: Column, glob: str) -> Column:
+    """Change-event ignore line: ``*.ext``, ``dir/*``, ``dir/``, paths and bare names."""
+    folder = glob.endswith("/")
+    name = glob.removesuffix("/")
+    if "*" in name:
+        if name.startswith("*"):
+            return base_name(path).endswith(name[1:])
+        if name.endswith("/*"):
+            return path.startswith(name[:-1])
+        return path.contains(name.split("*", 1)[0])
+    if folder:
+        return path.contains("/" + name + "/") | path.startswith(name + "/")
+    if "/" in name:
+        return path.startswith(name) | path.endswith(name) | path.contains("/" + name)
+    return base_name(path) == name
+
+
 def _walk_include(path: Column, glob: str) -> Column:
     hit = _segment(path, glob)
     if glob.endswith("/**"):
