@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from strata.functions.globs import matches_any
-from strata.operators.diffs import KEYS, watch_diff
+from strata.operators.diffs import watch_diff
+from strata.operators.ordered import running
 from strata.operators.scoring import severity_columns
+from strata.session import materialise
 
 
 def latest_op() -> Column:
@@ -22,56 +24,56 @@ def latest_op() -> Column:
     return F.max_by("op", F.struct("ts", "op")).alias("op")
 
 
-def debounce_changes(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 minutes") -> DataFrame:
-    """W1 ``debounce_changes``: latest operation per path once a project stays quiet for ``gap``.
+def debounce_feed(state: "StateTable", out: str, gap_seconds: float = 0.5) -> Callable[[DataFrame, int], None]:
+    """W1 ``debounce_changes``: a ``foreachBatch`` body emitting bursts once they are over.
 
-    One quiet timer serves a whole project, so sessions are keyed by project.
-    Inside a session only the newest operation per path is kept: the map-side
-    ``max`` folds repeats, and a session holds paths touched within one burst.
+    One quiet timer serves a whole project, so a burst is keyed by project and
+    can touch any number of paths; holding it in one aggregation buffer would
+    gather a busy project in one task. Open bursts wait in the state table
+    instead and are folded by the distributed ordered scan. A project's last
+    burst is over when any later event time has passed its end plus the gap.
     """
-    sessions = (
-        events.withWatermark("ts", late)
-        .groupBy("project_id", F.session_window("ts", gap).alias("burst"))
-        .agg(F.collect_set(F.struct("path", "ts", "op")).alias("changes"))
-    )
-    ordered = F.array_sort("changes")
-    newest = F.filter(
-        ordered, lambda c, i: F.coalesce(F.get(ordered, i + 1)["path"] != c["path"], F.lit(True))
-    )
-    return sessions.select("project_id", "burst", F.explode(newest).alias("c")).select(
-        "project_id",
-        F.col("burst.start").alias("started"),
-        F.col("burst.end").alias("ended"),
-        F.col("c.path").alias("path"),
-        F.col("c.op").alias("op"),
-    )
 
+    def body(batch: DataFrame, epoch: int) -> None:
+        waiting = state.before(epoch)
+        events = batch.select("project_id", "path", "op", "ts")
+        if waiting is not None:
+            events = waiting.unionByName(events)
+        events = materialise(events)
+        bursts = burst_of(events, gap_seconds)
+        clock = events.agg(F.max("ts").alias("now"))
+        ends = bursts.groupBy("project_id", "burst").agg(F.max("ts").alias("ended"))
+        closed = ends.where(
+            F.unix_micros("ended") + int(gap_seconds * 1_000_000) <= F.unix_micros(clock.select("now").scalar())
+        ).select("project_id", "burst")
+        done = bursts.join(closed, ["project_id", "burst"], "left_semi")
+        changes = done.groupBy("project_id", "burst", "path").agg(latest_op(), F.max("ts").alias("ts"))
+        changes.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        rest = bursts.join(closed, ["project_id", "burst"], "left_anti").select("project_id", "path", "op", "ts")
+        state.write(epoch, rest)
 
-def debounce_batch(events: DataFrame, gap_seconds: float = 0.5) -> DataFrame:
-    """W1's batch twin for any history length.
+    return body
 
-    Bursts come from the ordered scan, so a hot project is spread over many
-    tasks; the newest operation per path is a map-side aggregate.
-    """
-    from strata.operators.ordered import running
 
+def burst_of(events: DataFrame, gap_seconds: float) -> DataFrame:
+    """Number each project's bursts: a new one starts after ``gap_seconds`` of quiet."""
     rows = events.select("project_id", "path", "op", "ts").distinct()
-    stamped = rows.groupBy("project_id", "ts").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(stamped, ["project_id"], ["ts"], position="_i")
+    moments = rows.select("project_id", "ts").distinct()
+    ranked = running(moments, ["project_id"], ["ts"], position="_i")
     earlier = ranked.select("project_id", (F.col("_i") + 1).alias("_i"), F.col("ts").alias("_before"))
-    # a burst lasts while the next event comes strictly before the gap ends
     quiet = F.col("_before").isNull() | (
         F.unix_micros("ts") - F.unix_micros("_before") >= int(gap_seconds * 1_000_000)
     )
-    marked = ranked.join(earlier, ["project_id", "_i"], "left").withColumn("_first", quiet)
-    bursts = running(
-        marked.select("project_id", "ts", "_first"), ["project_id"], ["ts"], sums={"burst": F.col("_first").cast("int")}
-    )
-    return (
-        rows.join(bursts.select("project_id", "ts", "burst"), ["project_id", "ts"])
-        .groupBy("project_id", "burst", "path")
-        .agg(latest_op())
+    marked = ranked.join(earlier, ["project_id", "_i"], "left").select(
+        "project_id", "ts", quiet.cast("int").alias("_first")
     )
+    bursts = running(marked, ["project_id"], ["ts"], sums={"burst": F.col("_first")})
+    return rows.join(bursts.select("project_id", "ts", "burst"), ["project_id", "ts"])
+
+
+def debounce_batch(events: DataFrame, gap_seconds: float = 0.5) -> DataFrame:
+    """W1's batch twin: latest operation per burst and path over a whole history."""
+    return burst_of(events, gap_seconds).groupBy("project_id", "burst", "path").agg(latest_op())
 
 
 def ignore_events(events: DataFrame, patterns: list[str]) -> DataFrame:
@@ -200,18 +202,3 @@ def run_available(
     query = writer.foreachBatch(each).start() if each else writer.format("parquet").option("path", out).start()
     query.awaitTermination()
 
-
-__all__ = [
-    "KEYS",
-    "StateTable",
-    "change_feed",
-    "debounce_batch",
-    "debounce_changes",
-    "ignore_events",
-    "incremental_check",
-    "late_events",
-    "periodic",
-    "run_available",
-    "state_payload",
-    "violation_windows",
-]
