@@ -1,0 +1,14 @@
+"""Queries that run a stream over the event table until it is drained."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import SparkSession
+
+from strata.session import shared_dir
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the cluster's shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

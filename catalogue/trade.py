@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalogue.base import block, query
 from strata.functions.globs import glob_match
-from strata.model import Rule, layers_table, rules_table
+from strata.model import Rule, rules_table
 from strata.operators import graph, guidance, layers, metrics, ordering, rules, scoring, templates
 from strata.plans.check import evaluate_rules
 from strata.sources.adapters import TRADE, deps_from_pages, deps_from_trade, table
@@ -193,10 +193,8 @@ def l2(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT project_id, source_layer, count(*) AS n FROM t_all GROUP BY ALL",
 )
 def l2_table(spark: SparkSession, folder: str) -> DataFrame:
-    base = layers_table(spark, TRADE.layers).drop("project_id")
-    per_project = projects(spark, folder).join(base, how="cross") if False else projects(spark, folder).select(
-        "project_id", F.explode(F.array(*[_layer_struct(i, ly) for i, ly in enumerate(TRADE.layers, 1)])).alias("l")
-    ).select("project_id", "l.*")
+    own = F.array(*[_layer_struct(i, layer) for i, layer in enumerate(TRADE.layers, 1)])
+    per_project = projects(spark, folder).select("project_id", F.explode(own).alias("l")).select("project_id", "l.*")
     return (
         layers.assign_source_layer_by_table(deps_from_trade(spark, folder), per_project)
         .groupBy("project_id", "source_layer")
@@ -291,7 +289,7 @@ _violation_query("r6_rule_pattern_layers", "rule_ord = 4", rules.rule_pattern_la
 SELECT project_id, 6 AS rule_ord, 'domain-needs-account' AS rule_id, 'domain' AS source_layer, 'error' AS severity,
        'domain must depend on application' AS message
 FROM t_projects p WHERE NOT EXISTS (SELECT 1 FROM t_edges e WHERE e.project_id = p.project_id
-     AND source_layer = 'domain' AND resolved_layer = 'application' AND regexp_matches(import_path, '/c1?11$'))
+     AND source_layer = 'domain' AND resolved_layer = 'application' AND regexp_matches(import_path, '/c[1-4]1$'))
 UNION ALL
 SELECT project_id, 7, 'presentation-needs-adapters', 'presentation', 'error',
        'presentation must depend on infrastructure'
@@ -435,13 +433,13 @@ def r15(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "r16_tpl_max_deps",
     """
-SELECT project_id, 'domain has ' || count(*) || ' dependencies to [application infrastructure] (max: 1200)' AS message
+SELECT project_id, 'domain has ' || count(*) || ' dependencies to [application infrastructure] (max: 780)' AS message
 FROM t_all WHERE source_layer = 'domain' AND resolved_layer IN ('application', 'infrastructure')
-GROUP BY project_id HAVING count(*) > 1200
+GROUP BY project_id HAVING count(*) > 780
 """,
 )
 def r16(spark: SparkSession, folder: str) -> DataFrame:
-    params = {"from": "domain", "to": ["application", "infrastructure"], "max": 1200}
+    params = {"from": "domain", "to": ["application", "infrastructure"], "max": 780}
     return templates.tpl_max_deps(all_edges(spark, folder), TRADE.layers, params, projects(spark, folder)).select(
         "project_id", "message"
     )
@@ -577,32 +575,38 @@ def r21(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "r22_lint_rules",
     """
-SELECT project_id, 'to-' || lower(r_name) AS subject, '''to'' references unknown layer ' || lower(r_name) AS finding
-FROM t_projects, region WHERE lower(r_name) NOT IN ('africa', 'asia')
-UNION ALL SELECT project_id, 'to-' || lower(r_name), 'invalid severity' FROM t_projects, region WHERE r_regionkey = 2
-UNION ALL SELECT project_id, 'asia', 'duplicate layer name' FROM t_projects
+SELECT 'g' || s_nationkey AS project_id, 'to-s' || s_suppkey AS subject,
+       chr(39) || 'to' || chr(39) || ' references unknown layer s' || s_suppkey AS finding
+FROM supplier WHERE s_acctbal <= 0
+UNION ALL SELECT 'g' || s_nationkey, 'to-s' || s_suppkey, chr(39) || 'from' || chr(39) || ' references unknown layer core'
+FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM supplier t WHERE t.s_nationkey = s.s_nationkey AND t.s_suppkey % 5 = 0)
+UNION ALL SELECT 'g' || s_nationkey, 'to-s' || s_suppkey, 'invalid severity' FROM supplier WHERE s_suppkey % 7 = 0
+UNION ALL SELECT 'g' || s_nationkey, 'core', 'duplicate layer name' FROM supplier WHERE s_suppkey % 5 = 0
+GROUP BY s_nationkey HAVING count(*) > 1
 """,
 )
 def r22(spark: SparkSession, folder: str) -> DataFrame:
-    # one rule per region, for every project: the regions are targets, three layers exist
-    region = table(spark, folder, "region")
-    name = F.lower("r_name")
-    base = region.select(
+    supplier = table(spark, folder, "supplier")
+    key = F.col("s_suppkey")
+    project = F.concat(F.lit("g"), F.col("s_nationkey").cast("string")).alias("project_id")
+    name = F.concat(F.lit("s"), key.cast("string"))
+    rule_rows = supplier.select(
+        project,
         F.concat(F.lit("to-"), name).alias("id"),
-        F.lit("").alias("from_layer") if False else F.lit("africa").alias("from_layer"),
+        F.lit("core").alias("from_layer"),
         F.array(name).alias("to_layers"),
         F.lit("Cannot").alias("type"),
-        F.when(F.col("r_regionkey") == 2, "fatal").otherwise("error").alias("severity"),
+        F.when(key % 7 == 0, "fatal").otherwise("error").alias("severity"),
         F.lit("").alias("pattern"),
         F.lit("").alias("template"),
         F.array().cast("array<struct<path:string,severity:string,enabled:boolean>>").alias("overrides"),
     )
-    everywhere = projects(spark, folder).withColumn("_k", F.lit(1))
-    rule_rows = everywhere.join(base.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    names = F.array(
-        *[F.struct(F.lit(n).alias("name"), F.array(F.lit(n + "/**")).alias("paths")) for n in ("africa", "asia", "asia")]
+    paths = F.array(F.lit("x/**")).alias("paths")
+    layer_rows = (
+        supplier.where("s_acctbal > 0")
+        .select(project, name.alias("name"), paths)
+        .unionByName(supplier.where(key % 5 == 0).select(project, F.lit("core").alias("name"), paths))
     )
-    layer_rows = everywhere.select("project_id", F.explode(names).alias("l")).select("project_id", "l.*")
     return rules.lint_rules(rule_rows, layer_rows)
 
 

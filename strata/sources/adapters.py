@@ -41,7 +41,7 @@ TRADE = Config(
         Rule("no-hot-customers", pattern="/c[0-9]*7$", severity="info", overrides=(Override("europe/", "warning"),)),
         Rule("presentation-legacy", "presentation", ("domain",), "MustNotCircular", pattern="nation_(0|5)/"),
         Rule("infrastructure-imports-domain", "infrastructure", ("domain",), "Can", "info"),
-        Rule("domain-needs-account", "domain", ("application",), "Must", pattern="/c1?11$"),
+        Rule("domain-needs-account", "domain", ("application",), "Must", pattern="/c[1-4]1$"),
         Rule("presentation-needs-adapters", "presentation", ("infrastructure",), "Must"),
         Rule("layer-circular", "domain", ("application",), "MustNotCircular"),
     ),
