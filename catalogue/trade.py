@@ -289,7 +289,7 @@ _violation_query("r6_rule_pattern_layers", "rule_ord = 4", rules.rule_pattern_la
 SELECT project_id, 6 AS rule_ord, 'domain-needs-account' AS rule_id, 'domain' AS source_layer, 'error' AS severity,
        'domain must depend on application' AS message
 FROM t_projects p WHERE NOT EXISTS (SELECT 1 FROM t_edges e WHERE e.project_id = p.project_id
-     AND source_layer = 'domain' AND resolved_layer = 'application' AND regexp_matches(import_path, '/c[1-4]1$'))
+     AND source_layer = 'domain' AND resolved_layer = 'application' AND regexp_matches(import_path, '/c1[0-9]1$'))
 UNION ALL
 SELECT project_id, 7, 'presentation-needs-adapters', 'presentation', 'error',
        'presentation must depend on infrastructure'

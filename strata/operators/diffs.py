@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 FINGERPRINT = ["rule_id", "source_layer", "target_layer", "import_path"]
 KEYS = ["project_id", *FINGERPRINT]
-ONE = F.lit(1)
 
 
 def fingerprint(violations: DataFrame) -> DataFrame:
@@ -86,7 +85,7 @@ def suppressed_count(violations: DataFrame, baseline: DataFrame) -> DataFrame:
 
     Both sides shrink to distinct fingerprints before they meet.
     """
-    counts = violations.groupBy(*KEYS).agg(F.count(ONE).alias("n"))
+    counts = violations.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
     return (
         counts.join(baseline.select(*KEYS).distinct(), KEYS, "left_semi")
         .groupBy("project_id")
@@ -145,8 +144,8 @@ def pr_annotations(violations: DataFrame) -> DataFrame:
 
 def pr_summary(new: DataFrame, everything: DataFrame, projects: DataFrame) -> DataFrame:
     """H11 totals: pass flag and summary text per project."""
-    n = new.groupBy("project_id").agg(F.count(ONE).alias("n_new"))
-    total = everything.groupBy("project_id").agg(F.count(ONE).alias("n_total"))
+    n = new.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_new"))
+    total = everything.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_total"))
     out = (
         projects.select("project_id")
         .distinct()
@@ -188,7 +187,7 @@ def fix_conflicts(suggestions: DataFrame, tolerance: int = 3, bin_lines: int = 6
     ranges = (
         suggestions.where("not (start_line = 0 and end_line = 0)")
         .groupBy(*keys, "start_line", "end_line")
-        .agg(F.count(ONE).alias("n"), F.min("violation_id").alias("first_id"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("violation_id").alias("first_id"))
     )
     low, high = F.col("start_line") - tolerance, F.col("end_line") + tolerance
     bins = F.sequence(F.floor(low / bin_lines), F.floor(high / bin_lines))
@@ -248,7 +247,7 @@ def code_context(violations: DataFrame, lines: DataFrame, around: int = 3) -> Da
 def change_summary(changes: DataFrame, keys: list[str], changed: DataFrame | None = None) -> DataFrame:
     """H17 ``change_summary``: change counts and flags per pair of runs."""
     out = changes.groupBy(*keys).agg(
-        *[F.count(F.when(F.col("change") == c, ONE)).alias(c) for c in ("added", "resolved", "unchanged")]
+        *[F.count(F.when(F.col("change") == c, F.lit(1))).alias(c) for c in ("added", "resolved", "unchanged")]
     )
     out = out.withColumn("has_changes", (F.col("added") > 0) | (F.col("resolved") > 0))
     if changed is not None:

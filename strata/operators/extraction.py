@@ -207,17 +207,14 @@ def extract_declared_unit(files: DataFrame) -> DataFrame:
 
     The declaration is found inside the file row itself: no line explode.
     """
-    lang = F.col("language")
     rows = F.split("content", "\n")
+
+    def first_unit(pattern: str) -> Column:
+        units = F.transform(rows, lambda t: _group(t, pattern))
+        return F.get(F.filter(units, lambda u: u.isNotNull()), F.lit(0))
+
     options = [
-        F.when(
-            lang == k,
-            F.get(
-                F.filter(F.transform(rows, lambda t, p=p.declares: _group(t, p)), lambda u: u.isNotNull()), F.lit(0)
-            ),
-        )
-        for k, p in lg.PROFILES.items()
-        if p.declares
+        F.when(F.col("language") == k, first_unit(p.declares)) for k, p in lg.PROFILES.items() if p.declares
     ]
     return files.select("project_id", "path", "language", F.coalesce(*options).alias("unit")).where("unit is not null")
 

@@ -15,17 +15,16 @@ from strata.operators.diffs import diff_runs
 from strata.operators.ordered import running, set_digest
 from strata.operators.scoring import debt_of
 
-ONE = F.lit(1)
 
 
 def audits_from_violations(violations: DataFrame) -> DataFrame:
     """One audit per project and run date: totals, debt, config hash."""
     counted = violations.groupBy("project_id", "run_date").agg(
         F.max("ts").alias("ts"),
-        F.count(ONE).alias("violations"),
-        F.count(F.when(F.col("severity") == "error", ONE)).alias("errors"),
-        F.count(F.when(F.col("severity") == "warning", ONE)).alias("warnings"),
-        F.count(F.when(F.col("severity") == "info", ONE)).alias("info"),
+        F.count(F.lit(1)).alias("violations"),
+        F.count(F.when(F.col("severity") == "error", F.lit(1))).alias("errors"),
+        F.count(F.when(F.col("severity") == "warning", F.lit(1))).alias("warnings"),
+        F.count(F.when(F.col("severity") == "info", F.lit(1))).alias("info"),
         F.min("config_hash").alias("config_hash"),
     )
     return counted.withColumn("debt", debt_of(F.col("errors"), F.col("warnings"), F.col("info")))
@@ -132,7 +131,7 @@ def clean_streak(runs: DataFrame, threshold: int = 3, compat: bool = False) -> D
         runs,
         ["project_id"],
         ["ts"],
-        sums={"_n": ONE},
+        sums={"_n": F.lit(1)},
         lasts=None,
     )
     marked = running(

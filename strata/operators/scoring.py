@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from strata.model import CIRCULAR_PENALTY, SEVERITY_WEIGHTS
 
-ONE = F.lit(1)
 
 
 def coupling_matrix(edges: DataFrame) -> DataFrame:
@@ -16,7 +15,7 @@ def coupling_matrix(edges: DataFrame) -> DataFrame:
     return (
         edges.where("source_layer is not null and resolved_layer is not null")
         .groupBy("project_id", F.col("source_layer").alias("from_layer"), F.col("resolved_layer").alias("to_layer"))
-        .agg(F.count(ONE).alias("cnt"))
+        .agg(F.count(F.lit(1)).alias("cnt"))
     )
 
 
@@ -95,14 +94,14 @@ def layer_stats(coupling: DataFrame) -> DataFrame:
 
 
 def _tally(condition: Column) -> Column:
-    return F.count(F.when(condition, ONE))
+    return F.count(F.when(condition, F.lit(1)))
 
 
 def severity_columns() -> list[Column]:
     """Counts by severity; unknown severities count as errors."""
     known = F.col("severity").isin("warning", "info")
     return [
-        F.count(ONE).alias("total"),
+        F.count(F.lit(1)).alias("total"),
         _tally(~known).alias("errors"),
         _tally(F.col("severity") == "warning").alias("warnings"),
         _tally(F.col("severity") == "info").alias("info"),
@@ -116,7 +115,7 @@ def severity_counts(violations: DataFrame, keys: list[str]) -> DataFrame:
 
 def severity_map(violations: DataFrame, keys: list[str]) -> DataFrame:
     """G7 as a map column, severities as they are (an export form)."""
-    counts = violations.groupBy(*keys, "severity").agg(F.count(ONE).alias("n"))
+    counts = violations.groupBy(*keys, "severity").agg(F.count(F.lit(1)).alias("n"))
     pairs = F.array_sort(F.collect_list(F.struct("severity", "n")))
     return counts.groupBy(*keys).agg(F.map_from_entries(pairs).alias("by_severity"))
 
@@ -169,7 +168,7 @@ def violation_breakdown(violations: DataFrame) -> DataFrame:
     return (
         violations.select("project_id", entry.alias("x"))
         .groupBy("project_id", F.col("x.kind").alias("kind"), F.col("x.key").alias("key"))
-        .agg(F.count(ONE).alias("cnt"))
+        .agg(F.count(F.lit(1)).alias("cnt"))
     )
 
 
@@ -209,7 +208,7 @@ def run_metrics(deps: DataFrame) -> DataFrame:
     """G12 ``run_metrics``: files, dependencies and extractors that ran."""
     return deps.groupBy("project_id").agg(
         F.count_distinct("source_file").alias("files"),
-        F.count(ONE).alias("total_deps"),
+        F.count(F.lit(1)).alias("total_deps"),
         F.count_distinct("language").alias("detectors_run"),
     )
 
@@ -222,7 +221,7 @@ def detector_status(applicable: DataFrame, languages: list[str], deps: DataFrame
         .select("project_id", F.explode(F.array(*[F.lit(x) for x in languages])).alias("language"))
     )
     seen = applicable.select("project_id", "language").distinct().withColumn("applicable", F.lit(True))
-    counts = deps.groupBy("project_id", "language").agg(F.count(ONE).alias("dep_count"))
+    counts = deps.groupBy("project_id", "language").agg(F.count(F.lit(1)).alias("dep_count"))
     return (
         grid.join(seen, ["project_id", "language"], "left")
         .join(counts, ["project_id", "language"], "left")
@@ -234,7 +233,7 @@ def detector_status(applicable: DataFrame, languages: list[str], deps: DataFrame
 
 def import_summary(scan: DataFrame) -> DataFrame:
     """G14 ``import_summary``: light-scan counts per layer pair."""
-    return scan.groupBy("project_id", "source_layer", "target_layer").agg(F.count(ONE).alias("cnt"))
+    return scan.groupBy("project_id", "source_layer", "target_layer").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def gate(violations: DataFrame, projects: DataFrame, max_violations: int = 0) -> DataFrame:
@@ -269,7 +268,7 @@ def workspace_report(reports: DataFrame) -> DataFrame:
     """G16 ``workspace_report``: fleet totals over project reports."""
     failed = F.col("status") == "fail"
     return reports.agg(
-        F.count(ONE).alias("total_projects"),
+        F.count(F.lit(1)).alias("total_projects"),
         _tally(failed).alias("failed_projects"),
         F.coalesce(F.sum("total"), F.lit(0)).alias("total_violations"),
         F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"),

@@ -41,7 +41,7 @@ TRADE = Config(
         Rule("no-hot-customers", pattern="/c[0-9]*7$", severity="info", overrides=(Override("europe/", "warning"),)),
         Rule("presentation-legacy", "presentation", ("domain",), "MustNotCircular", pattern="nation_(0|5)/"),
         Rule("infrastructure-imports-domain", "infrastructure", ("domain",), "Can", "info"),
-        Rule("domain-needs-account", "domain", ("application",), "Must", pattern="/c[1-4]1$"),
+        Rule("domain-needs-account", "domain", ("application",), "Must", pattern="/c1[0-9]1$"),
         Rule("presentation-needs-adapters", "presentation", ("infrastructure",), "Must"),
         Rule("layer-circular", "domain", ("application",), "MustNotCircular"),
     ),
@@ -306,6 +306,11 @@ def files_from_documents(spark: SparkSession, folder: str) -> DataFrame:
             out = F.when(i % len(options) == n, option).otherwise(out)
         return out
 
+    def source_text(language: str) -> Column:
+        return F.array_join(
+            F.transform(F.split("text", "\n"), lambda t, i: source_line(t, i, language)), "\n"
+        )
+
     path, content = None, None
     for n, language in enumerate(LANGUAGES):
         where, name, ext, test = PATHS[language]
@@ -317,9 +322,7 @@ def files_from_documents(spark: SparkSession, folder: str) -> DataFrame:
             doc.cast("string"),
             suffix,
         )
-        body = F.array_join(
-            F.transform(F.split("text", "\n"), lambda t, i, x=language: source_line(t, i, x)), "\n"
-        )
+        body = source_text(language)
         path = F.when(kind == n, this) if path is None else path.when(kind == n, this)
         content = F.when(kind == n, body) if content is None else content.when(kind == n, body)
     sources = docs.select(F.col("lang").alias("project_id"), path.alias("path"), content.alias("content"))
