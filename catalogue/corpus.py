@@ -24,6 +24,7 @@ from strata.sources.adapters import (
     table,
 )
 from strata.sources.files import parse_plugin_json, scan_corpus
+from strata.session import materialise
 
 # --- the corpus in SQL -------------------------------------------------------------
 
@@ -569,7 +570,7 @@ def x15(spark: SparkSession, folder: str) -> DataFrame:
 
 def _normalised(spark: SparkSession, folder: str) -> DataFrame:
     rows = files(spark, folder)
-    found = resolution.is_external(extraction.extract_imports(cp.filter_source_files(rows)))
+    found = resolution.is_external(materialise(extraction.extract_imports(cp.filter_source_files(rows))))
     modules = resolution.build_metadata(rows).where("build_file = 'go.mod'").select("project_id", "module_prefix")
     return resolution.normalise_import(resolution.resolve_alias(found.join(modules, "project_id", "left"), ALIASES))
 
@@ -770,13 +771,15 @@ block(
 )
 
 
-def _pr(spark: SparkSession, folder: str) -> DataFrame:
-    return diffs.pr_filter(violations(spark, folder), extraction.parse_diff(diffs_from_documents(spark, folder)))
+def _pr(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All violations (written once) and those on added lines."""
+    everything = materialise(violations(spark, folder))
+    return everything, diffs.pr_filter(everything, extraction.parse_diff(diffs_from_documents(spark, folder)))
 
 
 @query("h10_pr_filter", "SELECT project_id, rule_id, file, line, import_path FROM d_new")
 def h10(spark: SparkSession, folder: str) -> DataFrame:
-    return _pr(spark, folder).select("project_id", "rule_id", "file", "line", "import_path")
+    return _pr(spark, folder)[1].select("project_id", "rule_id", "file", "line", "import_path")
 
 
 @query(
@@ -785,7 +788,7 @@ def h10(spark: SparkSession, folder: str) -> DataFrame:
     "'[' || rule_id || '] ' || source_layer || ' → ' || target_layer AS title FROM d_new",
 )
 def h11(spark: SparkSession, folder: str) -> DataFrame:
-    return diffs.pr_annotations(_pr(spark, folder))
+    return diffs.pr_annotations(_pr(spark, folder)[1])
 
 
 @query(
@@ -799,7 +802,8 @@ FROM (SELECT project_id, (SELECT count(*) FROM d_new n WHERE n.project_id = p.pr
 )
 def h11_summary(spark: SparkSession, folder: str) -> DataFrame:
     known = table(spark, folder, "documents").select(F.col("lang").alias("project_id"))
-    return diffs.pr_summary(_pr(spark, folder), violations(spark, folder), known)
+    everything, new = _pr(spark, folder)
+    return diffs.pr_summary(new, everything, known)
 
 
 # --- file graph and extension points -------------------------------------------------

@@ -1,14 +1,182 @@
-"""Queries that run a stream over the event table until it is drained."""
+"""Queries that run a stream over the driver tables until it is drained."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from catalogue.base import query
+from strata.operators import extraction, resolution, rules
+from strata.operators.corpus import filter_source_files
 from strata.session import shared_dir
+from strata.sources.adapters import (
+    ALIASES,
+    CORPUS,
+    CORPUS_LAYERS,
+    change_columns,
+    file_columns,
+    files_from_documents,
+    table,
+    violation_columns,
+)
+from strata.streaming import watch
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One input table as a file stream."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+@query(
+    "w1_debounce_changes",
+    """
+SELECT project_id, path, op, count(*) AS n FROM e_bursts JOIN (
+  SELECT project_id, burst, ended FROM (SELECT project_id, burst, max(ts) AS ended FROM (
+    SELECT *, CAST(sum(first) OVER (PARTITION BY project_id ORDER BY ts) AS BIGINT) AS burst FROM (
+      SELECT *, CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 3600 SECONDS THEN 1 ELSE 0 END AS first FROM (
+        SELECT project_id, ts, lag(ts) OVER (PARTITION BY project_id ORDER BY ts) AS prev FROM (SELECT DISTINCT project_id, ts FROM e_changes)))) GROUP BY 1, 2)
+  WHERE ended + INTERVAL 3600 SECONDS <= (SELECT max(ts) FROM e_changes)) USING (project_id, burst) GROUP BY 1, 2, 3
+""",
+)
+def w1(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch(spark, "bursts")
+    body = watch.debounce_feed(watch.StateTable(spark, scratch(spark, "pending")), out, 3600)
+    changes = change_columns(stream(spark, folder, "events"))
+    watch.run_available(changes, scratch(spark, "check"), each=body)
+    return spark.read.parquet(out).groupBy("project_id", "path", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "w2_ignore_events",
+    "SELECT project_id, path, op, ts FROM e_changes WHERE NOT starts_with(path, 'src/u1/') AND NOT path LIKE '%7.py' AND NOT contains(path, '/u33/')",
+)
+def w2(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch(spark, "kept")
+    kept = watch.ignore_events(change_columns(stream(spark, folder, "events")), ["src/u1/*", "*7.py", "u33/"])
+    watch.run_available(kept, scratch(spark, "check"), out=out)
+    return spark.read.parquet(out)
+
+
+@query("w3_incremental_check", "SELECT * FROM c_viol")
+def w3(spark: SparkSession, folder: str) -> DataFrame:
+    known = files_from_documents(spark, folder)
+
+    def extract(changed: DataFrame) -> DataFrame:
+        found = extraction.extract_imports(filter_source_files(changed))
+        return resolution.resolve_imports(found, known, CORPUS_LAYERS, ALIASES).select(
+            "project_id", "source_file", "source_line", "import_path", "resolved_layer", "language"
+        )
+
+    out = scratch(spark, "violations")
+    body = watch.incremental_check(
+        watch.StateTable(spark, scratch(spark, "deps")),
+        extract,
+        lambda deps: rules.standard_violations(deps, CORPUS),
+        out,
+    )
+    changed = file_columns(stream(spark, folder, "documents")).withColumns(
+        {"op": F.lit("write"), "ts": F.lit("2024-01-01").cast("timestamp")}
+    )
+    watch.run_available(changed, scratch(spark, "check"), each=body)
+    newest = spark.read.parquet(out).select(F.max("epoch").alias("e")).first()["e"]
+    return spark.read.parquet(f"{out}/epoch={newest}").drop("rule_ord", "original_severity", "overridden")
+
+
+@query(
+    "w4_change_feed",
+    """
+WITH RECURSIVE v AS (SELECT 'p' || (user_id % 7) AS project_id, CAST(ts AS DATE) AS run_date, 'E-' || event_id AS id, event_type, user_id % 4 AS s, k % 4 AS t, k % 20 AS m
+  FROM (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events)),
+a AS (SELECT * FROM v WHERE run_date < DATE '2024-01-30' QUALIFY run_date = max(run_date) OVER (PARTITION BY project_id)),
+b AS (SELECT * FROM v QUALIFY run_date = max(run_date) OVER (PARTITION BY project_id))
+SELECT project_id, id, CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.project_id = b.project_id AND a.event_type = b.event_type AND a.s = b.s AND a.t = b.t AND a.m = b.m) THEN 'unchanged' ELSE 'added' END AS change FROM b
+UNION ALL SELECT project_id, id, 'resolved' FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.project_id = b.project_id AND a.event_type = b.event_type AND a.s = b.s AND a.t = b.t AND a.m = b.m)
+""",
+)
+def w4(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch(spark, "changes")
+    body = watch.change_feed(watch.StateTable(spark, scratch(spark, "state")), out)
+    runs = violation_columns(stream(spark, folder, "events")).withColumn("ts", F.col("run_date").cast("timestamp"))
+    # two runs of the fleet: the second one sees a day more
+    watch.run_available(runs.where("run_date < date'2024-01-30'"), scratch(spark, "check"), each=body)
+    watch.run_available(runs, scratch(spark, "check"), each=lambda batch, epoch: body(batch, epoch + 1000))
+    return spark.read.parquet(out).where("epoch >= 1000").select("project_id", "id", "change")
+
+
+@query("w5_periodic_refresh", "SELECT project_id, id, severity FROM e_viol")
+def w5(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch(spark, "refresh")
+    rows = violation_columns(stream(spark, folder, "events")).select("project_id", "id", "severity")
+    writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "check"))
+    running = watch.periodic(writer, "1 second").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.parquet(out)
+
+
+@query(
+    "w6_state_payload",
+    "SELECT project_id, count(*) AS total, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, "
+    "count(*) FILTER (WHERE severity = 'info') AS info FROM e_viol GROUP BY 1",
+)
+def w6(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch(spark, "payload")
+    payload = watch.state_payload(violation_columns(stream(spark, folder, "events")))
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    watch.run_available(payload, scratch(spark, "check"), each=save, mode="update")
+    rest = ("total", "errors", "warnings", "info")
+    last = spark.read.parquet(out).groupBy("project_id").agg(F.max(F.struct("epoch", *rest)).alias("p"))
+    return last.select("project_id", *[F.col(f"p.{c}").alias(c) for c in rest])
+
+
+@query(
+    "w7_violation_windows",
+    "SELECT project_id, time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, severity, count(*) AS cnt "
+    "FROM e_viol GROUP BY 1, 2, 4 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+)
+def w7(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch(spark, "windows")
+    counts = watch.violation_windows(violation_columns(stream(spark, folder, "events")), "1 day")
+    watch.run_available(counts, scratch(spark, "check"), out=out)
+    return spark.read.parquet(out)
+
+
+@query(
+    "w7_sliding_windows",
+    """
+SELECT project_id, s AS window_start, s + INTERVAL 2 DAYS AS window_end, severity, count(*) AS cnt FROM (
+  SELECT project_id, severity, time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY * unnest([0, 1]) AS s FROM e_viol) GROUP BY 1, 2, 4
+""",
+)
+def w7_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    return watch.violation_windows(violation_columns(table(spark, folder, "events")), "2 days", "1 day")
+
+
+@query(
+    "w8_late_events",
+    "SELECT project_id, time_bucket(INTERVAL 6 HOURS, ts) AS window_start, count(*) AS cnt FROM e_viol GROUP BY 1, 2 "
+    "HAVING time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)",
+)
+def w8(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch(spark, "on-time")
+    on_time = watch.late_events(violation_columns(stream(spark, folder, "events")), "1 day")
+    counts = (
+        on_time.groupBy("project_id", F.window("ts", "6 hours").alias("w"))
+        .agg(F.count(F.lit(1)).alias("cnt"))
+        .select("project_id", F.col("w.start").alias("window_start"), "cnt")
+    )
+    watch.run_available(counts, scratch(spark, "check"), out=out)
+    return spark.read.parquet(out)

@@ -13,6 +13,7 @@ from strata.functions.paths import base_name, clean_path, dir_name, join_path
 from strata.model import Layer
 from strata.operators.extraction import file_stem, generated_header
 from strata.operators.layers import assign_target_layer
+from strata.session import materialise
 
 REST = 1 << 20
 
@@ -267,8 +268,11 @@ def resolve_imports(
 ) -> DataFrame:
     """X13-X17 then L3: raw imports to edges with ``resolved_layer``.
 
-    Languages other than Go and TypeScript keep only resolved edges.
+    Languages other than Go and TypeScript keep only resolved edges. The imports
+    are written once, since resolution reads them twice and they are far smaller
+    than the corpus they were extracted from.
     """
+    imports = materialise(imports)
     modules = (
         build_metadata(files)
         .where("build_file = 'go.mod'")

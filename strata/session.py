@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Plans here are built from many small Columns; recording the call site of each
+# one costs more than planning them. Static, so only a new session can set it.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators assume; returns the session."""
@@ -29,7 +34,7 @@ def build_session(app: str = "strata", master: str | None = None, **settings: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_SETTINGS, **settings}.items():
+    for key, value in {**RUNTIME_SETTINGS, **STATIC_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
 
@@ -55,6 +60,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by a written table in the shared folder.
+
+    Parquet rather than a row checkpoint: later reads are column-pruned and
+    carry size statistics, so joins against the result can be planned on facts.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

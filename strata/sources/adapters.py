@@ -5,7 +5,9 @@ They only select, join on keys and build strings; no row is dropped or sampled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.languages import LANGUAGES
@@ -255,25 +257,48 @@ def deps_from_trade(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _layer(number: Column) -> Column:
-    names = F.array(*[F.lit(n) for n in LAYER_NAMES])
-    return F.element_at(names, (F.floor(number / 10) % 4 + 1).cast("int"))
+def _literal(text: str) -> str:
+    """A SQL string literal."""
+    for raw, safe in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\t", "\\t")):
+        text = text.replace(raw, safe)
+    return f"'{text}'"
+
+
+def _filled(template: str, values: dict[str, str]) -> str:
+    """SQL for a literal template with {x} placeholders."""
+    pieces = re.split("(" + "|".join(r"\{" + k + r"\}" for k in values) + ")", template)
+    return "concat(" + ", ".join(values[p[1:-1]] if p[1:-1] in values and p[0] == "{" else _literal(p) for p in pieces if p) + ")"
+
+
+def _layer_sql(number: str) -> str:
+    names = ", ".join(_literal(n) for n in LAYER_NAMES)
+    return f"element_at(array({names}), cast(floor({number} / 10) % 4 + 1 as int))"
+
 
+def _source_sql() -> str:
+    """Source text of a document: one SQL lambda over its lines, by file language."""
+    values = {"w": "s.w", "T": "cast(s.target as string)", "l": "s.l", "c": "initcap(s.l)", "m": "own"}
+    arms = []
+    for n, language in enumerate(LANGUAGES):
+        options = LINES[language]
+        inner = " ".join(f"WHEN {i} THEN {_filled(t, values)}" for i, t in enumerate(options))
+        arms.append(f"WHEN {n} THEN CASE s.i % {len(options)} {inner} END")
+    words = (
+        "transform(split(text, '\\n'), (t, i) -> named_struct('i', i, "
+        "'w', coalesce(nullif(lower(regexp_extract(t, '[A-Za-z]+', 0)), ''), 'w'), "
+        "'target', greatest(doc_id + 10 * (i % 3 - 1), kind)))"
+    )
+    layered = f"transform({words}, x -> named_struct('i', x.i, 'w', x.w, 'target', x.target, 'l', {_layer_sql('x.target')}))"
+    return f"array_join(transform({layered}, s -> CASE kind {' '.join(arms)} END), '\\n')"
 
-def _fill(template: str, values: dict[str, Column]) -> Column:
-    """A literal template with {x} placeholders as a concat of Columns."""
-    parts, rest = [], template
-    while rest:
-        spots = [(rest.find("{" + k + "}"), k) for k in values if "{" + k + "}" in rest]
-        if not spots:
-            parts.append(F.lit(rest))
-            break
-        at, key = min(spots)
-        if at:
-            parts.append(F.lit(rest[:at]))
-        parts.append(values[key])
-        rest = rest[at + len(key) + 2 :]
-    return F.concat(*parts)
+
+def _path_sql() -> str:
+    arms = []
+    for n, language in enumerate(LANGUAGES):
+        where, name, ext, test = PATHS[language]
+        head = _filled(where + "/" + name, {"m": "own", "k": "initcap(own)"})
+        arms.append(f"WHEN {n} THEN concat({head}, doc_id, if(doc_id % 53 = 5, '{test}', '{ext}'))")
+    return f"concat(if(doc_id % 97 = 3, 'vendor/', ''), CASE kind {' '.join(arms)} END)"
 
 
 def files_from_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -284,66 +309,39 @@ def files_from_documents(spark: SparkSession, folder: str) -> DataFrame:
     Every document also has a generated companion, and every project its build
     files.
     """
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars")
-    doc = F.col("doc_id")
-    kind = doc % 10
-    own = _layer(doc)
-
-    def source_line(text: Column, i: Column, language: str) -> Column:
-        word = F.lower(F.regexp_extract(text, "[A-Za-z]+", 0))
-        target = F.greatest(doc + 10 * (i % 3 - 1), kind)
-        layer = _layer(target)
-        values = {
-            "w": F.when(word == "", F.lit("w")).otherwise(word),
-            "T": target.cast("string"),
-            "l": layer,
-            "c": F.initcap(layer),
-            "m": own,
-        }
-        options = [_fill(t, values) for t in LINES[language]]
-        out = options[-1]
-        for n, option in reversed(list(enumerate(options[:-1]))):
-            out = F.when(i % len(options) == n, option).otherwise(out)
-        return out
-
-    def source_text(language: str) -> Column:
-        return F.array_join(
-            F.transform(F.split("text", "\n"), lambda t, i: source_line(t, i, language)), "\n"
-        )
+    docs = table(spark, folder, "documents")
+    builds = " ".join(
+        f"WHEN {_literal(k)} THEN array("
+        + ", ".join(f"named_struct('path', {_literal(p)}, 'content', {_literal(c)})" for p, c in v)
+        + ")"
+        for k, v in BUILD_FILES.items()
+    )
+    markers = (
+        docs.select("lang")
+        .distinct()
+        .select(F.col("lang").alias("project_id"), F.expr(f"explode(CASE lang {builds} END)").alias("b"))
+        .select("project_id", "b.path", "b.content")
+    )
+    return file_columns(docs).unionByName(markers)
 
-    path, content = None, None
-    for n, language in enumerate(LANGUAGES):
-        where, name, ext, test = PATHS[language]
-        suffix = F.when(doc % 53 == 5, F.lit(test)).otherwise(F.lit(ext))
-        this = F.concat(
-            F.when(doc % 97 == 3, F.lit("vendor/")).otherwise(F.lit("")),
-            _fill(where, {"m": own, "k": F.initcap(own)}),
-            F.lit("/" + name),
-            doc.cast("string"),
-            suffix,
-        )
-        body = source_text(language)
-        path = F.when(kind == n, this) if path is None else path.when(kind == n, this)
-        content = F.when(kind == n, body) if content is None else content.when(kind == n, body)
-    sources = docs.select(F.col("lang").alias("project_id"), path.alias("path"), content.alias("content"))
-    header = F.when(F.col("n_chars") % 2 == 0, F.lit("// Code generated by protoc-gen-go. DO NOT EDIT.\n")).otherwise(
-        F.lit("// by hand\n")
+
+def file_columns(documents: DataFrame) -> DataFrame:
+    """Shape document rows (batch or stream) as source files and their companions."""
+    docs = documents.selectExpr(
+        "doc_id", "text", "lang", "n_chars", "doc_id % 10 AS kind", f"{_layer_sql('doc_id')} AS own"
     )
-    generated = docs.select(
-        F.col("lang").alias("project_id"),
-        F.concat(F.lit("gen/d"), doc.cast("string"), F.lit(".pb.go")).alias("path"),
-        F.concat(header, "text").alias("content"),
+    # both paths come from one scan; content stays a lazy column of the row
+    rows = docs.withColumn(
+        "f",
+        F.expr(
+            f"explode(array(named_struct('path', {_path_sql()}, 'made', false), "
+            "named_struct('path', concat('gen/d', doc_id, '.pb.go'), 'made', true)))"
+        ),
     )
-    builds = F.coalesce(
-        *[
-            F.when(F.col("lang") == k, F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in v]))
-            for k, v in BUILD_FILES.items()
-        ]
+    header = "if(n_chars % 2 = 0, '// Code generated by protoc-gen-go. DO NOT EDIT.\\n', '// by hand\\n')"
+    return rows.selectExpr(
+        "lang AS project_id", "f.path AS path", f"if(f.made, concat({header}, text), {_source_sql()}) AS content"
     )
-    markers = (
-        docs.select("lang").distinct().select(F.col("lang").alias("project_id"), F.explode(builds).alias("b"))
-    ).select("project_id", "b.path", "b.content")
-    return sources.unionByName(generated).unionByName(markers)
 
 
 def diffs_from_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -352,41 +350,17 @@ def diffs_from_documents(spark: SparkSession, folder: str) -> DataFrame:
     Every text line becomes a diff line (added, removed or kept by position)
     and every twentieth line opens a new hunk.
     """
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    lines = F.transform(
-        F.split("text", "\n"),
-        lambda t, i: F.concat(
-            F.when(
-                i % 20 == 0,
-                F.concat(
-                    F.lit("@@ -"),
-                    (i + 1).cast("string"),
-                    F.lit(",5 +"),
-                    (i + 1).cast("string"),
-                    F.lit(",6 @@ part\n"),
-                ),
-            ).otherwise(""),
-            F.when(i % 4 == 3, F.lit("-")).when(i % 4 == 1, F.lit(" ")).otherwise(F.lit("+")),
-            t,
-        ),
+    docs = table(spark, folder, "documents").selectExpr(
+        "doc_id", "text", "lang", f"concat('src/', {_layer_sql('doc_id')}, '/d', doc_id, '.py') AS path"
     )
-    doc = F.col("doc_id")
-    path = F.concat(F.lit("src/"), _layer(doc), F.lit("/d"), doc.cast("string"), F.lit(".py"))
-    return docs.select(
-        F.col("lang").alias("project_id"),
-        doc.alias("pr"),
-        F.concat(
-            F.lit("diff --git a/"),
-            path,
-            F.lit(" b/"),
-            path,
-            F.lit("\nindex 1..2 100644\n--- a/"),
-            path,
-            F.lit("\n+++ b/"),
-            path,
-            F.lit("\n"),
-            F.array_join(lines, "\n"),
-        ).alias("text"),
+    lines = (
+        "transform(split(text, '\\n'), (t, i) -> concat("
+        "if(i % 20 = 0, concat('@@ -', i + 1, ',5 +', i + 1, ',6 @@ part\\n'), ''), "
+        "CASE i % 4 WHEN 3 THEN '-' WHEN 1 THEN ' ' ELSE '+' END, t))"
+    )
+    head = "'diff --git a/', path, ' b/', path, '\\nindex 1..2 100644\\n--- a/', path, '\\n+++ b/', path, '\\n'"
+    return docs.selectExpr(
+        "lang AS project_id", "doc_id AS pr", f"concat({head}, array_join({lines}, '\\n')) AS text"
     )
 
 
@@ -403,6 +377,11 @@ def deps_from_pages(spark: SparkSession, folder: str) -> DataFrame:
 def violations_from_events(spark: SparkSession, folder: str) -> DataFrame:
     """A violation log from events: one row per event, its day is the run."""
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return violation_columns(events)
+
+
+def violation_columns(events: DataFrame) -> DataFrame:
+    """Shape raw event rows (batch or stream) as violations."""
     k = F.get_json_object("props", "$.k").cast("int")
     names = F.array(*[F.lit(n) for n in LAYER_NAMES])
     ts = F.col("ts").cast("timestamp")

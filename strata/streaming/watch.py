@@ -98,8 +98,8 @@ def violation_windows(violations: DataFrame, size: str, slide: str | None = None
 
 
 def state_payload(violations: DataFrame) -> DataFrame:
-    """W6 ``state_payload``: current severity counts and files per project, as columns and JSON."""
-    out = violations.groupBy("project_id").agg(*severity_columns(), F.approx_count_distinct("file").alias("files"))
+    """W6 ``state_payload``: current severity counts and debt per project, as columns and JSON."""
+    out = violations.groupBy("project_id").agg(*severity_columns())
     return out.withColumn("debt", F.col("errors") * 3 + F.col("warnings")).withColumn(
         "payload", F.to_json(F.struct("total", "errors", "warnings", "info", "debt"))
     )
