@@ -327,40 +327,23 @@ def violations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "s1_scan_corpus",
-    "SELECT project_id, path, md5(content) AS digest FROM c_builds UNION ALL "
-    "SELECT lang, 'docs/d' || doc_id || '.txt', md5(text || chr(10)) FROM documents",
+    "SELECT lang AS project_id, 'd' || doc_id AS path, md5(text || chr(10)) AS digest FROM documents",
 )
 def s1(spark: SparkSession, folder: str) -> DataFrame:
-    # the corpus goes out as one text file per document and is then scanned back
+    # the texts go out as one file each and are then scanned back
     from catalogue.streams import scratch
 
     root = scratch(spark, "corpus")
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    builds = files(spark, folder).where(~F.col("path").rlike("/")).select("project_id", "path", "content")
-    rows = docs.select(
-        F.col("lang").alias("project_id"),
-        F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
-        F.concat("text", F.lit("\n")).alias("content"),
-    ).unionByName(builds)
-    write_tree(rows, root)
-    return scan_corpus(spark, root).select("project_id", "path", F.md5("content").alias("digest"))
-
-
-def write_tree(rows: DataFrame, root: str) -> None:
-    """Write (project_id, path, content) rows as files below ``root``, inside the tasks."""
-    from pathlib import Path
-
-    local = root.removeprefix("file:")
-
-    def save(batches):
-        for frame in batches:
-            for project, path, content in zip(frame["project_id"], frame["path"], frame["content"]):
-                target = Path(local) / project / path
-                target.parent.mkdir(parents=True, exist_ok=True)
-                target.write_bytes(content.encode())
-            yield frame[["path"]].head(0)
-
-    rows.mapInPandas(save, "path string").count()
+    docs = table(spark, folder, "documents").select(
+        F.col("lang").alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text"
+    )
+    docs.write.partitionBy("project", "name").text(root)
+    found = scan_corpus(spark, root, "*.txt")
+    return found.select(
+        F.regexp_replace("project_id", "^project=", "").alias("project_id"),
+        F.regexp_extract("path", "^name=([^/]+)/", 1).alias("path"),
+        F.md5("content").alias("digest"),
+    )
 
 
 @query(

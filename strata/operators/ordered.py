@@ -15,13 +15,21 @@ from pyspark.sql import functions as F
 
 from strata.session import materialise
 
-_PID, _POS = "_chunk", "_pos"
+_PID, _POS, _TIE = "_chunk", "_pos", "_tie"
 
 
-def _chunked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    # The chunk number depends on sampled range bounds, so it is pinned by a
-    # checkpoint before anything reads it twice.
-    spread = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+def _chunked(df: DataFrame, keys: list[str], order: list[str], unique: bool) -> DataFrame:
+    """Rows with the number of their range chunk and a position inside it, as a written table.
+
+    The chunk number depends on sampled range bounds, so it is pinned before
+    anything reads it twice. Copies of one row compare equal and would all fall
+    into one range; a row number pinned by a first write tells them apart.
+    """
+    by = [*keys, *order]
+    if not unique:
+        df = materialise(df.withColumn(_TIE, F.monotonically_increasing_id()))
+        by.append(_TIE)
+    spread = df.repartitionByRange(*by).sortWithinPartitions(*by)
     return materialise(
         spread.withColumn(_PID, F.spark_partition_id()).withColumn(_POS, F.monotonically_increasing_id())
     )
@@ -34,13 +42,14 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     position: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Add running sums, last-seen values and a row number per group.
 
     ``sums[name]`` is a running total up to and including the row,
     ``lasts[name]`` the latest non-null value up to and including the row,
     ``position`` the 1-based rank. ``order`` must be a total order (ties must
-    be exact duplicates).
+    be exact copies); ``unique=True`` promises there are no ties at all.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     if position:
@@ -50,7 +59,7 @@ def running(
         staged = staged.withColumn(f"_s_{name}", value.cast("bigint"))
     for name, value in lasts.items():
         staged = staged.withColumn(f"_l_{name}", value)
-    chunks = _chunked(staged, keys, order)
+    chunks = _chunked(staged, keys, order, unique)
 
     totals = chunks.groupBy(*keys, _PID).agg(
         *[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums],
@@ -94,13 +103,13 @@ def set_digest(
 
     A group of up to ``limit`` items gets the digest of its sorted items, each
     followed by ``terminator``. A larger group gets the digest of the digests
-    of 4096 slices (chosen by item hash), so no task ever holds a whole group.
+    of 65536 slices (chosen by item hash), so no task ever holds a whole group.
     Copies travel as counts.
     """
     counted = (
         df.groupBy(*keys, item)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slice", F.substring(F.sha2(F.col(item), 256), 1, 3))
+        .withColumn("_slice", F.substring(F.sha2(F.col(item), 256), 1, 4))
     )
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators.history import daily_upsert
+from strata.operators.history import daily_upsert, latest_snapshot
+from strata.session import materialise
 
 
 class HistoryStore:
@@ -25,12 +26,11 @@ class HistoryStore:
         if self._exists():
             dates = audits.select("run_date").distinct()
             fresh = self.load().join(dates, "run_date", "left_semi").unionByName(audits, allowMissingColumns=True)
-        # the merged rows are pinned first, since the write replaces their source
-        from strata.session import materialise
-
+        # the merged rows are pinned first, since the write replaces their source;
+        # the rebalance packs a date into few files and still splits a hot date
         merged = materialise(daily_upsert(fresh))
         (
-            merged.repartition("run_date")
+            merged.hint("rebalance", "run_date")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("run_date")
@@ -53,6 +53,4 @@ class HistoryStore:
 
     def latest(self) -> DataFrame:
         """Newest audit of each project."""
-        from strata.operators.history import latest_snapshot
-
         return latest_snapshot(self.load())

@@ -59,7 +59,7 @@ def burst_of(events: DataFrame, gap_seconds: float) -> DataFrame:
     """Number each project's bursts: a new one starts after ``gap_seconds`` of quiet."""
     rows = events.select("project_id", "path", "op", "ts").distinct()
     moments = rows.select("project_id", "ts").distinct()
-    ranked = running(moments, ["project_id"], ["ts"], position="_i")
+    ranked = running(moments, ["project_id"], ["ts"], position="_i", unique=True)
     earlier = ranked.select("project_id", (F.col("_i") + 1).alias("_i"), F.col("ts").alias("_before"))
     quiet = F.col("_before").isNull() | (
         F.unix_micros("ts") - F.unix_micros("_before") >= int(gap_seconds * 1_000_000)
@@ -67,7 +67,7 @@ def burst_of(events: DataFrame, gap_seconds: float) -> DataFrame:
     marked = ranked.join(earlier, ["project_id", "_i"], "left").select(
         "project_id", "ts", quiet.cast("int").alias("_first")
     )
-    bursts = running(marked, ["project_id"], ["ts"], sums={"burst": F.col("_first")})
+    bursts = running(marked, ["project_id"], ["ts"], sums={"burst": F.col("_first")}, unique=True)
     return rows.join(bursts.select("project_id", "ts", "burst"), ["project_id", "ts"])
 
 
