@@ -9,7 +9,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strata.functions.globs import first_match
 from strata.functions.languages import LANGUAGES
 from strata.model import Config, Layer, Override, Rule
 
@@ -202,12 +204,29 @@ BUILD_FILES = {
     ),
     "es": (("setup.py", "setup()"), ("Gemfile", "source"), ("settings.gradle.kts", "x")),
 }
+# Tables that carry the work.
+FACTS = ("lineitem", "events", "documents", "pages")
 # ----------------------------------------------------------------------------------
 
+# Schema and scan partitions by table path, looked up once per process.
+_KNOWN: dict[str, tuple[T.StructType, int]] = {}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One input table; columns and filters are pruned by the scan."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One input table; columns and filters are pruned by the scan.
+
+    A scan is only as parallel as its row groups. Where a fact table has fewer
+    of them than the cluster has cores, its rows are spread once; a large table
+    has plenty and is left alone.
+    """
+    path = f"{folder}/{name}.parquet"
+    if path not in _KNOWN:
+        first = spark.read.parquet(path)
+        _KNOWN[path] = (first.schema, first.rdd.getNumPartitions() if name in FACTS else 0)
+    schema, parts = _KNOWN[path]
+    rows = spark.read.schema(schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < parts * 2 <= cores else rows
 
 
 def _places(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,8 +240,9 @@ def _places(spark: SparkSession, folder: str) -> DataFrame:
 def deps_from_trade(spark: SparkSession, folder: str) -> DataFrame:
     """Edges from order lines: supplier "imports" customer, project is the order priority.
 
-    The narrow customer paths join the orders first, so the large line table
-    is shuffled once by order and once by supplier.
+    Suppliers join first, while the line table is narrow (a small supplier side
+    is broadcast on its measured size); customers join the orders on their own,
+    and their layer is found per customer, not per line.
     """
     places = _places(spark, folder)
     suppliers = (
@@ -234,24 +254,23 @@ def deps_from_trade(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "customer")
         .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("c_custkey", F.concat("place", F.lit("/c"), F.col("c_custkey").cast("string")).alias("import_path"))
+        .withColumn("resolved_layer", first_match(F.col("import_path"), TRADE.layers))
     )
     orders = (
         table(spark, folder, "orders")
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .select("o_orderkey", F.col("o_orderpriority").alias("project_id"), "import_path")
+        .select("o_orderkey", F.col("o_orderpriority").alias("project_id"), "import_path", "resolved_layer")
     )
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
-    from strata.functions.globs import first_match
-
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             "project_id",
             "source_file",
             F.col("l_linenumber").alias("source_line"),
             "import_path",
-            first_match(F.col("import_path"), TRADE.layers).alias("resolved_layer"),
+            "resolved_layer",
             F.col("l_returnflag").alias("language"),
         )
     )
