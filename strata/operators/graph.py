@@ -234,7 +234,7 @@ def graph_file_edges(edges: DataFrame, violations: DataFrame) -> DataFrame:
     )
 
 
-def file_cycles(file_edges: DataFrame, every: int = 3, max_rounds: int = 1000) -> DataFrame:
+def file_cycles(file_edges: DataFrame, every: int = 4, max_rounds: int = 1000) -> DataFrame:
     """F9 ``file_cycles``: strongly connected groups of the file graph.
 
     Input (project_id, src, dst); output (project_id, file, component) for
@@ -251,8 +251,8 @@ def file_cycles(file_edges: DataFrame, every: int = 3, max_rounds: int = 1000) -
         file_edges.where("src <> dst").select(project, "src", "dst").where("dst is not null").distinct()
     )
     groups: DataFrame | None = None
+    live = _trim(live, every)
     for _ in range(max_rounds):
-        live = _trim(live, every)
         if live.isEmpty():
             break
         nodes = (
@@ -281,7 +281,7 @@ def file_cycles(file_edges: DataFrame, every: int = 3, max_rounds: int = 1000) -
     return groups.join(sizes, [project, "label"]).select(project, "file", F.col("label").alias("component"))
 
 
-def _trim(live: DataFrame, every: int, passes: int = 2) -> DataFrame:
+def _trim(live: DataFrame, every: int, passes: int = 1) -> DataFrame:
     """Drop edges whose source has no inbound or whose target has no outbound edge.
 
     A bounded head start: what it leaves over, the colouring settles.
@@ -296,26 +296,31 @@ def _trim(live: DataFrame, every: int, passes: int = 2) -> DataFrame:
 
 
 def _spread(edges: DataFrame, labels: DataFrame, every: int) -> DataFrame:
-    """Forward fixpoint of the smallest label."""
-    labels = materialise(labels)
+    """Forward fixpoint of the smallest label.
+
+    ``was`` remembers the label before the last few rounds, so the stop test is
+    a filter on the written table.
+    """
     while True:
-        current = labels
+        current = labels.withColumn("was", F.col("label"))
         for _ in range(every):
             sent = edges.join(
                 current.select("project_id", F.col("file").alias("src"), "label"), ["project_id", "src"]
-            ).select("project_id", F.col("dst").alias("file"), "label")
-            current = current.unionByName(sent).groupBy("project_id", "file").agg(F.min("label").alias("label"))
+            ).select("project_id", F.col("dst").alias("file"), "label", F.lit(None).cast("string").alias("was"))
+            current = (
+                current.unionByName(sent)
+                .groupBy("project_id", "file")
+                .agg(F.min("label").alias("label"), F.max("was").alias("was"))
+            )
         current = materialise(current)
-        moved = current.join(labels, ["project_id", "file", "label"], "left_anti")
-        labels, done = current, moved.isEmpty()
-        if done:
+        labels = current.drop("was")
+        if current.where("label <> was").isEmpty():
             return labels
 
 
 def _reach(edges: DataFrame, seeds: DataFrame, every: int) -> DataFrame:
     """Files reached from the seeds along edges of the same label."""
-    seen = materialise(seeds)
-    size = seen.count()
+    seen, size = seeds, -1
     while True:
         current = seen
         for _ in range(every):
