@@ -715,7 +715,7 @@ block(
 
 @query("h16_code_context", "SELECT * FROM c_context")
 def h16(spark: SparkSession, folder: str) -> DataFrame:
-    context = diffs.code_context(violations(spark, folder), extraction.file_lines(sources(spark, folder)))
+    context = diffs.code_context(violations(spark, folder), sources(spark, folder))
     return context.select("project_id", "file", "line", "line_no", "text", "marker")
 
 

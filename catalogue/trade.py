@@ -10,31 +10,37 @@ from strata.functions.globs import glob_match
 from strata.model import Rule, rules_table
 from strata.operators import graph, guidance, layers, metrics, ordering, rules, scoring, templates
 from strata.plans.check import evaluate_rules
-from strata.sources.adapters import TRADE, deps_from_pages, deps_from_trade, table
+from strata.session import materialise
+from strata.sources.adapters import TRADE, deps_from_pages, deps_from_trade, places, table
 
 
 def projects(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(F.col("o_orderpriority").alias("project_id")).distinct()
 
 
-def edges(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.classified(deps_from_trade(spark, folder), TRADE.layers)
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges as a written table, for queries that read them more than once."""
+    return materialise(deps_from_trade(spark, folder))
 
 
-def all_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return layers.assign_source_layer(deps_from_trade(spark, folder), TRADE.layers)
+def edges(spark: SparkSession, folder: str, deps: DataFrame | None = None) -> DataFrame:
+    return rules.classified(deps if deps is not None else deps_from_trade(spark, folder), TRADE.layers)
 
 
-def violations(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.standard_violations(deps_from_trade(spark, folder), TRADE)
+def all_edges(spark: SparkSession, folder: str, deps: DataFrame | None = None) -> DataFrame:
+    return layers.assign_source_layer(deps if deps is not None else deps_from_trade(spark, folder), TRADE.layers)
 
 
-def coupling(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.coupling_matrix(edges(spark, folder))
+def violations(spark: SparkSession, folder: str, deps: DataFrame | None = None) -> DataFrame:
+    return rules.standard_violations(deps if deps is not None else deps_from_trade(spark, folder), TRADE)
 
 
-def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.pair_count(graph.bidirectional_pairs(coupling(spark, folder)), projects(spark, folder))
+def coupling(spark: SparkSession, folder: str, deps: DataFrame | None = None) -> DataFrame:
+    return scoring.coupling_matrix(edges(spark, folder, deps))
+
+
+def pairs(spark: SparkSession, folder: str, deps: DataFrame | None = None) -> DataFrame:
+    return graph.pair_count(graph.bidirectional_pairs(coupling(spark, folder, deps)), projects(spark, folder))
 
 
 def cycles(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,11 +235,9 @@ def l8(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def deps_paths(spark: SparkSession, folder: str) -> DataFrame:
-    from strata.sources.adapters import _places
-
     return (
         table(spark, folder, "supplier")
-        .join(_places(spark, folder), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(places(spark, folder), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(F.concat("place", F.lit("/s"), F.col("s_suppkey").cast("string")).alias("path"))
     )
 
@@ -513,9 +517,9 @@ USING (project_id))"""
 
 
 def _counts(spark: SparkSession, folder: str, head: str, severity: str) -> DataFrame:
-    deps = deps_from_trade(spark, folder).where(F.col("source_file").startswith(head))
-    bad = violations(spark, folder).where(F.col("severity") == severity)
-    return rules.project_counts(deps, bad, projects(spark, folder))
+    deps = stored(spark, folder)
+    bad = violations(spark, folder, deps).where(F.col("severity") == severity)
+    return rules.project_counts(deps.where(F.col("source_file").startswith(head)), bad, projects(spark, folder))
 
 
 @query(
@@ -875,7 +879,8 @@ def f6(spark: SparkSession, folder: str) -> DataFrame:
     "FROM t_coupling c WHERE from_layer <> to_layer",
 )
 def f7(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.graph_layer_export(edges(spark, folder), violations(spark, folder))
+    deps = stored(spark, folder)
+    return graph.graph_layer_export(edges(spark, folder, deps), violations(spark, folder, deps))
 
 
 @query(
@@ -899,7 +904,8 @@ ON v.project_id = e.project_id AND v.file = e.source_file AND v.target_layer = e
 """,
 )
 def f8_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.graph_file_edges(all_edges(spark, folder), violations(spark, folder))
+    deps = stored(spark, folder)
+    return graph.graph_file_edges(all_edges(spark, folder, deps), violations(spark, folder, deps))
 
 
 # --- scores -------------------------------------------------------------------
@@ -989,7 +995,8 @@ max(pair_count) * 5 AS penalty FROM t_pair_count p LEFT JOIN t_viol v USING (pro
 
 @query("g8_debt_score", _DEBT)
 def g8(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.debt_score(violations(spark, folder), pairs(spark, folder))
+    deps = stored(spark, folder)
+    return scoring.debt_score(violations(spark, folder, deps), pairs(spark, folder, deps))
 
 
 @query(
@@ -1015,7 +1022,8 @@ def g9_totals(spark: SparkSession, folder: str) -> DataFrame:
     f"SELECT project_id, total, CASE WHEN total > 50 THEN 'poor' WHEN total > 20 THEN 'moderate' ELSE 'good' END AS band FROM ({_DEBT})",
 )
 def g10(spark: SparkSession, folder: str) -> DataFrame:
-    debt = scoring.debt_score(violations(spark, folder), pairs(spark, folder))
+    deps = stored(spark, folder)
+    debt = scoring.debt_score(violations(spark, folder, deps), pairs(spark, folder, deps))
     return scoring.debt_band(debt).select("project_id", "total", "band")
 
 

@@ -19,6 +19,7 @@ from strata.functions.languages import (
 )
 from strata.functions.paths import ancestors, base_name, dir_name, extension
 from strata.operators.ordered import set_digest
+from strata.session import materialise
 
 
 def folders(path: Column) -> Column:
@@ -119,12 +120,14 @@ def manifest(files: DataFrame, config_hash: Column) -> DataFrame:
 def dirty_files(files: DataFrame, known: DataFrame, config_hash: Column) -> DataFrame:
     """S6 ``dirty_files``: files whose content or config changed since ``known``.
 
-    Both sides of the anti join carry hashes, not content; (project, path) is
-    unique on the right.
+    The anti join moves hashes only. Its answer, usually a few paths, is
+    written, so the second read of the corpus picks those files by a join whose
+    right side has a known size: small means broadcast, and content stays put.
     """
     keys = ["project_id", "language", "path", "content_hash", "config_hash"]
-    hashed = files.withColumns({"content_hash": F.sha2("content", 256), "config_hash": config_hash})
-    return hashed.join(known.select(*keys).distinct(), keys, "left_anti")
+    changed = manifest(files, config_hash).join(known.select(*keys).distinct(), keys, "left_anti")
+    paths = materialise(changed.select("project_id", "language", "path"))
+    return files.join(paths, ["project_id", "language", "path"], "left_semi")
 
 
 def retained_rows(deps: DataFrame, dirty: DataFrame, files: DataFrame) -> DataFrame:

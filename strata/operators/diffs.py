@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.session import materialise
+
 FINGERPRINT = ["rule_id", "source_layer", "target_layer", "import_path"]
 KEYS = ["project_id", *FINGERPRINT]
 
@@ -170,8 +172,7 @@ def related_violations(violations: DataFrame, target: DataFrame) -> DataFrame:
     subqueries, so the big table is filtered in place, neither joined nor
     shuffled.
     """
-    one = target.limit(1)
-    rule, file = one.select("rule_id").scalar(), one.select("file").scalar()
+    rule, file = target.select("rule_id").scalar(), target.select("file").scalar()
     return violations.where((F.col("rule_id") == rule) | (F.col("file") == file))
 
 
@@ -228,20 +229,38 @@ def config_changed(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def code_context(violations: DataFrame, lines: DataFrame, around: int = 3) -> DataFrame:
+def code_context(violations: DataFrame, files: DataFrame, around: int = 3) -> DataFrame:
     """H16 ``code_context``: source lines around each violation, the line itself marked.
 
-    Each violation names the few line numbers it needs, which makes the range
-    join an equi-join on (project, file, line). Violations on the same line
-    share one context.
+    Violations shrink to one row per file with its line numbers (no more than
+    the file has lines). That table is written, so its size is known when it
+    meets the files, and the few lines are cut out inside the file row: the
+    corpus is neither exploded nor, for a small right side, shuffled.
     """
-    spots = violations.where("file <> '' and line > 0").select("project_id", "file", "line").distinct()
-    wanted = spots.withColumn(
-        "line_no", F.explode(F.sequence(F.greatest(F.col("line") - around, F.lit(1)), F.col("line") + around))
+    spots = materialise(
+        violations.where("file <> '' and line > 0")
+        .groupBy("project_id", F.col("file").alias("path"))
+        .agg(F.collect_set("line").alias("at"))
+    )
+    hit = files.select("project_id", "path", "content").join(spots, ["project_id", "path"])
+
+    def cut(rows: Column) -> Column:
+        def near(line: Column) -> Column:
+            numbers = F.sequence(F.greatest(line - around, F.lit(1)), F.least(line + around, F.size(rows)))
+            return F.transform(
+                numbers, lambda n: F.struct(line.alias("line"), n.alias("line_no"), F.get(rows, n - 1).alias("text"))
+            )
+
+        inside = F.filter("at", lambda line: line <= F.size(rows))
+        return F.flatten(F.transform(inside, near))
+
+    # the split text is bound once, as the only element of an outer array
+    cuts = F.flatten(F.transform(F.array(F.split("content", "\n")), cut))
+    return (
+        hit.select("project_id", F.col("path").alias("file"), F.explode(cuts).alias("c"))
+        .select("project_id", "file", "c.*")
+        .withColumn("marker", F.when(F.col("line_no") == F.col("line"), "→").otherwise(" "))
     )
-    source = lines.select("project_id", F.col("path").alias("file"), "line_no", "text")
-    marked = wanted.join(source, ["project_id", "file", "line_no"])
-    return marked.withColumn("marker", F.when(F.col("line_no") == F.col("line"), "→").otherwise(" "))
 
 
 def change_summary(changes: DataFrame, keys: list[str], changed: DataFrame | None = None) -> DataFrame:

@@ -64,7 +64,7 @@ def layer_cycles(
         F.col("b").alias("tip"),
     )
     rounds = min(max_len, known_bound) if known_bound else max_len
-    found = loops if include_self else loops.limit(0)
+    found = loops if include_self else loops.where(F.lit(False))
     for _ in range(rounds - 1):
         grown = frontier.join(
             hop.select("project_id", F.col("a").alias("tip"), F.col("b").alias("next"), F.col("why").alias("via")),
@@ -276,7 +276,7 @@ def file_cycles(file_edges: DataFrame, every: int = 4, max_rounds: int = 1000) -
             )
         )
     if groups is None:
-        return file_edges.limit(0).select(project, F.col("src").alias("file"), F.col("dst").alias("component"))
+        return file_edges.where(F.lit(False)).select(project, F.col("src").alias("file"), F.col("dst").alias("component"))
     sizes = groups.groupBy(project, "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return groups.join(sizes, [project, "label"]).select(project, "file", F.col("label").alias("component"))
 

@@ -13,6 +13,7 @@ from strata.operators.metrics import expr_rule
 from strata.operators.resolution import resolve_imports
 from strata.operators.rules import classified, standard_violations
 from strata.operators.templates import template_violations
+from strata.session import materialise
 
 
 def build_deps(
@@ -37,11 +38,15 @@ def evaluate_rules(
     metrics: DataFrame | None = None,
     checks: list[tuple[int, str, Column, str, str]] = (),
     max_cycle: int = 8,
+    stored: bool = False,
 ) -> DataFrame:
     """R21 ``evaluate_rules``: standard, expression, template and circular violations.
 
-    ``metrics`` and ``checks`` feed the expression rules (E16).
+    ``metrics`` and ``checks`` feed the expression rules (E16). The edges are
+    read by every rule family, so unless they are ``stored`` already they are
+    written once first.
     """
+    deps = deps if stored else materialise(deps)
     out = standard_violations(deps, config)
     if metrics is not None and checks:
         out = out.unionByName(expr_rule(metrics, list(checks)))
@@ -54,9 +59,10 @@ def evaluate_rules(
 
 
 def audit(deps: DataFrame, config: Config, projects: DataFrame) -> dict[str, DataFrame]:
-    """Full health report of a fleet, as lazy tables sharing one classified edge table."""
+    """Full health report of a fleet; edges and violations are written once and shared."""
+    deps = materialise(deps)
     edges = classified(deps, config.layers)
-    violations = evaluate_rules(deps, config, projects)
+    violations = materialise(evaluate_rules(deps, config, projects, stored=True))
     coupling = scoring.coupling_matrix(edges)
     pairs = graph.pair_count(graph.bidirectional_pairs(coupling), projects)
     debt = scoring.debt_band(scoring.debt_score(violations, pairs))

@@ -229,7 +229,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows.repartition(cores) if 0 < parts * 2 <= cores else rows
 
 
-def _places(spark: SparkSession, folder: str) -> DataFrame:
+def places(spark: SparkSession, folder: str) -> DataFrame:
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     head = F.lower(F.replace("r_name", F.lit(" "), F.lit("_")))
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
@@ -244,15 +244,15 @@ def deps_from_trade(spark: SparkSession, folder: str) -> DataFrame:
     is broadcast on its measured size); customers join the orders on their own,
     and their layer is found per customer, not per line.
     """
-    places = _places(spark, folder)
+    located = places(spark, folder)
     suppliers = (
         table(spark, folder, "supplier")
-        .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(located, F.col("s_nationkey") == F.col("n_nationkey"))
         .select("s_suppkey", F.concat("place", F.lit("/s"), F.col("s_suppkey").cast("string")).alias("source_file"))
     )
     customers = (
         table(spark, folder, "customer")
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(located, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("c_custkey", F.concat("place", F.lit("/c"), F.col("c_custkey").cast("string")).alias("import_path"))
         .withColumn("resolved_layer", first_match(F.col("import_path"), TRADE.layers))
     )

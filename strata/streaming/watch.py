@@ -152,7 +152,7 @@ def change_feed(state: StateTable, out: str) -> Callable[[DataFrame, int], None]
         current = batch.join(last, ["project_id", "ts"], "left_semi")
         previous = state.before(epoch)
         if previous is None:
-            previous = current.limit(0)
+            previous = current.where(F.lit(False))
         touched = previous.join(last.select("project_id"), "project_id", "left_semi")
         kept = previous.join(last.select("project_id"), "project_id", "left_anti")
         changes = watch_diff(touched, current).withColumn("epoch", F.lit(epoch))
