@@ -683,7 +683,7 @@ def g11(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "g13_detector_status",
     """
-SELECT g.project_id, g.language, a.language IS NOT NULL AS applicable, CASE WHEN a.language IS NULL THEN 0 ELSE coalesce(n, 0) END AS dep_count
+SELECT g.project_id, g.language, '' AS error, a.language IS NOT NULL AS applicable, CASE WHEN a.language IS NULL THEN 0 ELSE coalesce(n, 0) END AS dep_count
 FROM (SELECT project_id, unnest(['go', 'typescript', 'python', 'java', 'kotlin', 'rust', 'csharp', 'ruby', 'php', 'swift']) AS language FROM (SELECT DISTINCT lang AS project_id FROM documents)) g
 LEFT JOIN (SELECT DISTINCT project_id, language FROM c_builds JOIN (VALUES ('go', '^go[.]mod$'), ('typescript', '^(tsconfig|package)[.]json$'), ('python', '^(setup.py|pyproject.toml)$'),
  ('java', '^(pom.xml|build.gradle|build.gradle.kts)$'), ('kotlin', '^((build|settings)[.]gradle[.]kts|pom.xml)$'), ('rust', '^Cargo.toml$'), ('csharp', '[.](csproj|sln)$'), ('ruby', '^Gemfile$'),

@@ -204,7 +204,7 @@ def _suggestions(spark: SparkSession, folder: str) -> DataFrame:
     line = F.col("line")
     size = F.when(line % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(","), (line % 5 + 1).cast("string")))
     head = F.concat(F.lit("@@ -1,2 +"), line.cast("string"), size, F.lit(" @@"))
-    rows = log(spark, folder).select("project_id", "file", F.col("id").alias("violation_id"), head.alias("hunk"))
+    rows = log(spark, folder).select("project_id", "file", F.col("id").alias("violation_id"), head.alias("diff"))
     return guidance.parse_hunk_range(rows)
 
 
@@ -248,7 +248,8 @@ def h14(spark: SparkSession, folder: str) -> DataFrame:
     "h17_change_summary",
     "SELECT project_id, count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'resolved') AS resolved, "
     "count(*) FILTER (WHERE change = 'unchanged') AS unchanged, count(*) FILTER (WHERE change <> 'unchanged') > 0 AS has_changes, "
-    "true AS config_changed FROM e_diff GROUP BY 1",
+    "'+' || count(*) FILTER (WHERE change = 'added') || ' violations, -' || count(*) FILTER (WHERE change = 'resolved') || ' resolved, ' || "
+    "count(*) FILTER (WHERE change = 'unchanged') || ' unchanged' AS summary, true AS config_changed FROM e_diff GROUP BY 1",
 )
 def h17(spark: SparkSession, folder: str) -> DataFrame:
     old, new = sides(spark, folder)

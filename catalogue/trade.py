@@ -1094,20 +1094,23 @@ def o2(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "h15_suggest_fix",
     """
-SELECT project_id, rule_id, kind, description, count(*) AS n FROM (
+SELECT project_id, rule_id, kind, description, iface AS interface, diff, count(*) AS n FROM (
   SELECT project_id, rule_id, CASE WHEN rule_id = 'domain-imports-infrastructure' OR (source_layer = 'domain' AND target_layer = 'infrastructure') THEN 'domain'
     WHEN source_layer = 'application' AND target_layer = 'infrastructure' THEN 'application' ELSE 'generic' END AS kind,
     upper(substr(regexp_extract(import_path, '[^/]*$'), 1, 1)) || substr(regexp_extract(import_path, '[^/]*$'), 2) || 'Repository' AS iface,
-    CASE WHEN kind = 'domain' THEN 'Extract interface ' || iface || ' into the domain layer'
-         WHEN kind = 'application' THEN 'Define port ' || iface || ' in the application layer and inject it'
-         ELSE 'Review the dependency from ' || source_layer || ' to ' || target_layer || '. Consider extracting an interface.' END AS description
+    CASE WHEN kind = 'domain' THEN 'Extract an interface from ' || import_path || ' and inject it via constructor'
+         WHEN kind = 'application' THEN 'Move the infrastructure dependency behind a port interface'
+         ELSE 'Review the dependency from ' || source_layer || ' to ' || target_layer || '. Consider extracting an interface.' END AS description,
+    CASE WHEN kind = 'application' THEN '' ELSE '--- a/' || file || chr(10) || '+++ b/' || file || chr(10) || '@@ -' || line || ' +' || line || ' @@' || chr(10) ||
+    CASE WHEN kind = 'domain' THEN '-// TODO: replace direct import with interface' || chr(10) || '+// Define interface in domain layer, inject via constructor'
+         ELSE '-// TODO: fix violation' || chr(10) || '+// Extract interface and inject via constructor' END END AS diff
   FROM t_viol) GROUP BY ALL
 """,
 )
 def h15(spark: SparkSession, folder: str) -> DataFrame:
     return (
         guidance.suggest_fix(violations(spark, folder))
-        .groupBy("project_id", "rule_id", "kind", "description")
+        .groupBy("project_id", "rule_id", "kind", "description", "interface", "diff")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

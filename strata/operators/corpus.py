@@ -49,13 +49,15 @@ def _marker_hit(path: Column, marker: str) -> Column:
 def detect_languages(files: DataFrame) -> DataFrame:
     """S3 ``detect_languages``: languages of a project by marker files at its root.
 
-    Kotlin also counts when a Maven project holds Kotlin sources. One grouped
-    pass over paths; content is never read.
+    Kotlin also counts when a Maven project holds Kotlin sources, Python when a
+    top-level folder holds a module. One grouped pass over paths; content is
+    never read.
     """
     path = F.col("path")
     tests = {
         lang: any_of([_marker_hit(path, m) for m in profile.markers]) for lang, profile in PROFILES.items()
     }
+    tests["python"] = tests["python"] | path.rlike(r"^[^/]+/[^/]*\.py$")
     maven, kotlin = path == "pom.xml", source_filter(path, "kotlin")
     flags = [F.max(test.cast("int")).alias(lang) for lang, test in tests.items()]
     seen = files.groupBy("project_id").agg(

@@ -268,7 +268,11 @@ def change_summary(changes: DataFrame, keys: list[str], changed: DataFrame | Non
     out = changes.groupBy(*keys).agg(
         *[F.count(F.when(F.col("change") == c, F.lit(1))).alias(c) for c in ("added", "resolved", "unchanged")]
     )
-    out = out.withColumn("has_changes", (F.col("added") > 0) | (F.col("resolved") > 0))
+    counts = [F.col(c).cast("string") for c in ("added", "resolved", "unchanged")]
+    summary = F.concat(
+        F.lit("+"), counts[0], F.lit(" violations, -"), counts[1], F.lit(" resolved, "), counts[2], F.lit(" unchanged")
+    )
+    out = out.withColumns({"has_changes": (F.col("added") > 0) | (F.col("resolved") > 0), "summary": summary})
     if changed is not None:
         out = out.join(changed, keys, "left").na.fill(False, ["config_changed"])
     return out

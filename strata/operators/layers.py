@@ -118,15 +118,25 @@ def assign_target_layer(
     typescript = F.when(relative, by_glob).otherwise(
         F.coalesce(F.when(raw.startswith("@") & (F.size(scope) >= 2), by_scope), by_prefix)
     )
+    # relative Ruby and PHP imports may also be named from inside the source folder
+    climbs = raw.startswith("./") | raw.startswith("../")
+    inside = F.when((lang == "php") & norm.startswith("src/"), F.substring(norm, 5, 1 << 20)).when(
+        (lang == "ruby") & norm.startswith("lib/"), F.substring(norm, 5, 1 << 20)
+    )
+    by_inside = F.when(climbs, first_match(inside, layers))
     choice = (
         F.when(F.coalesce(F.col("is_external"), F.lit(False)), F.lit(None))
         .when(lang == "typescript", F.when(F.coalesce(F.col("aliased"), F.lit(False)), by_glob).otherwise(typescript))
         .when(lang == "swift", F.coalesce(by_name, by_glob))
         .when(lang == "csharp", F.coalesce(by_glob, by_suffix))
+        .when(lang.isin("php", "ruby"), F.coalesce(by_glob, by_inside))
         .otherwise(by_glob)
     )
     if target_path:
-        found = F.when(~F.coalesce(F.col("is_external"), F.lit(False)), first_match(F.col(target_path), layers))
+        at = F.col(target_path)
+        below = F.when((lang == "swift") & at.startswith("Sources/"), F.substring(at, 9, 1 << 20))
+        located = F.coalesce(first_match(at, layers), first_match(below, layers))
+        found = F.when(~F.coalesce(F.col("is_external"), F.lit(False)), located)
         choice = F.coalesce(choice, found)
     return imports.withColumn("resolved_layer", choice)
 

@@ -213,8 +213,17 @@ def run_metrics(deps: DataFrame) -> DataFrame:
     )
 
 
-def detector_status(applicable: DataFrame, languages: list[str], deps: DataFrame, projects: DataFrame) -> DataFrame:
-    """G13 ``detector_status``: per project and language, applicable or not and how many edges."""
+def detector_status(
+    applicable: DataFrame,
+    languages: list[str],
+    deps: DataFrame,
+    projects: DataFrame,
+    failures: DataFrame | None = None,
+) -> DataFrame:
+    """G13 ``detector_status``: per project and language, applicable or not, edges and error.
+
+    ``failures`` (project_id, language, error) lists extractors that gave up.
+    """
     grid = (
         projects.select("project_id")
         .distinct()
@@ -222,6 +231,11 @@ def detector_status(applicable: DataFrame, languages: list[str], deps: DataFrame
     )
     seen = applicable.select("project_id", "language").distinct().withColumn("applicable", F.lit(True))
     counts = deps.groupBy("project_id", "language").agg(F.count(F.lit(1)).alias("dep_count"))
+    if failures is None:
+        grid = grid.withColumn("error", F.lit(""))
+    else:
+        errors = failures.groupBy("project_id", "language").agg(F.min("error").alias("error"))
+        grid = grid.join(errors, ["project_id", "language"], "left").na.fill("", ["error"])
     return (
         grid.join(seen, ["project_id", "language"], "left")
         .join(counts, ["project_id", "language"], "left")

@@ -122,19 +122,28 @@ class StateTable:
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         self._fs = self._fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def before(self, epoch: int) -> DataFrame | None:
+    def _versions(self) -> list[int]:
+        """Complete versions, oldest first."""
         if not self._fs.exists(self._fs_path):
-            return None
+            return []
         done = []
         for status in self._fs.listStatus(self._fs_path):
             name = status.getPath().getName()
             marker = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("v") and int(name[1:]) < epoch and self._fs.exists(marker):
+            if name.startswith("v") and self._fs.exists(marker):
                 done.append(int(name[1:]))
-        return self.spark.read.parquet(f"{self.path}/v{max(done)}") if done else None
+        return sorted(done)
+
+    def before(self, epoch: int) -> DataFrame | None:
+        """State as it was before a micro-batch."""
+        done = [v for v in self._versions() if v < epoch]
+        return self.spark.read.parquet(f"{self.path}/v{done[-1]}") if done else None
 
     def write(self, epoch: int, rows: DataFrame) -> DataFrame:
+        """Write a micro-batch's state; only the last batch can be replayed, so older versions go."""
         rows.write.mode("overwrite").parquet(f"{self.path}/v{epoch}")
+        for version in [v for v in self._versions() if v < epoch][:-1]:
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}"), True)
         return self.spark.read.parquet(f"{self.path}/v{epoch}")
 
 

@@ -95,6 +95,17 @@ def test_detect_languages(spark, rows):
     ]
 
 
+def test_python_without_marker(spark, rows):
+    assert rows(corpus.detect_languages(files_of(spark, {"pkg/a.py": ""})), "language") == [("python",)]
+    assert corpus.detect_languages(files_of(spark, {"a/b/c.py": "", "d.py": ""})).count() == 0
+
+
+def test_php_named_from_inside_the_source_folder(spark, rows):
+    tree = {"src/App/a.php": "require_once __DIR__ . '/../Domain/b.php';\n"}
+    out = build_deps(files_of(spark, tree), (Layer("domain", ("Domain/**",)),))
+    assert rows(out, "import_path", "resolved_layer") == [("../Domain/b.php", "domain")]
+
+
 def test_walk_and_ignore(spark, rows):
     tree = {p: "" for p in ("src/a.go", "src/gen/b.go", "src/.hid/c.go", "vendor/src/d.go", "lib/e.go")}
     assert rows(corpus.walk_layers(files_of(spark, tree), ["src/**"], ["**/gen"]), "path") == [("src/a.go",)]

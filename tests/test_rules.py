@@ -246,10 +246,10 @@ def test_golden_project(spark, rows):
 
 
 def test_guidance(spark, rows):
-    base = [("p", r, "domain", "infrastructure", "a/b/'Store'", "m", 7) for r in
+    base = [("p", r, "domain", "infrastructure", "a/b/'Store'", "m", 7, "f") for r in
             ("domain-imports-infrastructure", "domain-x", "my-circular", "other")]
     df = spark.createDataFrame(
-        base, "project_id string, rule_id string, source_layer string, target_layer string, import_path string, message string, line int"
+        base, "project_id string, rule_id string, source_layer string, target_layer string, import_path string, message string, line int, file string"
     )
     known = (Rule("domain-x"), Rule("other", explanation="own words"))
     texts = dict(rows(enrich_explanation(df, known), "rule_id", "message"))
@@ -257,4 +257,5 @@ def test_guidance(spark, rows):
     steps = {r.rule_id: r.steps for r in fix_guidance(df).collect()}
     assert "circular path" in steps["my-circular"][0] and len(steps["other"]) == 3
     fix = suggest_fix(df).where("rule_id = 'other'").first()
-    assert fix.description == "Extract interface StoreRepository into the domain layer" and fix.hunk == "@@ -7 +7 @@"
+    assert fix.description == "Extract an interface from a/b/'Store' and inject it via constructor"
+    assert fix.interface == "StoreRepository" and "@@ -7 +7 @@" in fix.diff

@@ -40,6 +40,7 @@ def test_watch_diff_keeps_duplicates_and_ignores_moves(spark, rows):
     ]
     summary = diffs.change_summary(diffs.watch_diff(old, new), ["project_id"]).first()
     assert (summary.added, summary.resolved, summary.unchanged, summary.has_changes) == (2, 2, 1, True)
+    assert summary.summary == "+2 violations, -2 resolved, 1 unchanged"
 
 
 def test_baseline(spark, rows):
@@ -80,7 +81,7 @@ def test_conflicts_match_brute_force(spark):
 
 
 def test_hunk_ranges(spark, rows):
-    df = spark.createDataFrame([("@@ -1,2 +10,3 @@",), ("@@ -1 +4 @@",), ("junk",)], "hunk string")
+    df = spark.createDataFrame([("@@ -1,2 +10,3 @@",), ("@@ -1 +4 @@",), ("junk",)], "diff string")
     assert rows(guidance.parse_hunk_range(df), "start_line", "end_line") == [(0, 0), (4, 4), (10, 12)]
 
 
