@@ -106,7 +106,9 @@ def assign_target_layer(
     candidate search (``target_path``) is the last resort.
     """
     norm, raw, lang = F.col("norm"), F.col("import_path"), F.col("language")
-    by_glob = first_match(norm, layers)
+    # used by most branches, so it is a column of its own and is computed once
+    imports = imports.withColumn("_by_glob", first_match(norm, layers))
+    by_glob = F.col("_by_glob")
     by_suffix = _first(layers, lambda ly: any_of([norm.rlike(glob_regex(p, "suffix")) for p in ly.paths]))
     by_name = _first(layers, lambda ly: F.lower(raw) == ly.name.lower())
     scope = F.split(raw, "/")
@@ -138,7 +140,9 @@ def assign_target_layer(
         located = F.coalesce(first_match(at, layers), first_match(below, layers))
         found = F.when(~F.coalesce(F.col("is_external"), F.lit(False)), located)
         choice = F.coalesce(choice, found)
-    return imports.withColumn("resolved_layer", choice)
+    # The one-element explode keeps later filters on the answer from being
+    # pushed below it, where the whole decision would be computed twice.
+    return imports.withColumn("resolved_layer", F.explode(F.array(choice))).drop("_by_glob")
 
 
 def _first(layers: tuple[Layer, ...], test) -> Column:
