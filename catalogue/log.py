@@ -249,7 +249,8 @@ def h14(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT project_id, count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'resolved') AS resolved, "
     "count(*) FILTER (WHERE change = 'unchanged') AS unchanged, count(*) FILTER (WHERE change <> 'unchanged') > 0 AS has_changes, "
     "'+' || count(*) FILTER (WHERE change = 'added') || ' violations, -' || count(*) FILTER (WHERE change = 'resolved') || ' resolved, ' || "
-    "count(*) FILTER (WHERE change = 'unchanged') || ' unchanged' AS summary, true AS config_changed FROM e_diff GROUP BY 1",
+    "count(*) FILTER (WHERE change = 'unchanged') || ' unchanged' AS summary, (SELECT arg_max(config_hash, ts) FROM e_old o WHERE o.project_id = d.project_id) IS DISTINCT FROM "
+    "(SELECT arg_max(config_hash, ts) FROM e_new n WHERE n.project_id = d.project_id) AS config_changed FROM e_diff d GROUP BY 1",
 )
 def h17(spark: SparkSession, folder: str) -> DataFrame:
     old, new = sides(spark, folder)
