@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +75,70 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Owner of the tables that one job writes to the shared folder.
+
+    ``table`` writes and rereads, ``drop`` deletes one table as soon as no later
+    plan reads it, ``close`` (or leaving the ``with`` block) deletes the rest.
+    What a lazy result still reads must stay until that result has been written.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self._paths: dict[int, str] = {}
+
+    def path(self, name: str) -> str:
+        """A fresh path below this owner's folder."""
+        return f"{self.root}/{name}-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str = "table") -> DataFrame:
+        path = self.path(name)
+        df.write.parquet(path)
+        read = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(read)] = path
+        return read
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path = self._paths.pop(id(table), None)
+            if path:
+                _delete(self.spark, path)
+
+    def close(self) -> None:
+        self._paths.clear()
+        _delete(self.spark, self.root)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_strata_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # the driver serves this file to executors until the application ends
+    folder = tempfile.mkdtemp(prefix="strata-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "strata-package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for top, _, names in os.walk(os.path.join(root, "strata")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    out.write(full, os.path.relpath(full, root))
+    context.addPyFile(archive)
+    context._strata_shipped = True
+    return spark
