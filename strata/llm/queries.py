@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from strata.llm.base import ORACLES, QUERIES, query, table
 from strata.llm.near_text import near_duplicates
+from strata.llm.packing import pack_documents
+from strata.llm.token_files import read_tokens, write_tokens
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -11,3 +13,13 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op6_minmax_near_dedup")
 def _near_text(spark, folder, scratch):
     return near_duplicates(table(spark, folder, "documents"), scratch)
+
+
+@query("op2_packed_token_files")
+def _token_files(spark, folder, scratch):
+    return read_tokens(write_tokens(table(spark, folder, "documents"), scratch))
+
+
+@query("op5_histogram_packing")
+def _packing(spark, folder, scratch):
+    return pack_documents(table(spark, folder, "documents"), scratch)
