@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from strata.llm import urls
 from strata.llm.base import ORACLES, QUERIES, query, table
+from strata.llm.language import held_out, identify, train
 from strata.llm.near_text import near_duplicates
+from strata.llm.overlap import decontaminated
 from strata.llm.packing import pack_documents
 from strata.llm.token_files import read_tokens, write_tokens
 
@@ -23,3 +28,20 @@ def _token_files(spark, folder, scratch):
 @query("op5_histogram_packing")
 def _packing(spark, folder, scratch):
     return pack_documents(table(spark, folder, "documents"), scratch)
+
+
+@query("op7_winnowing_decontamination")
+def _overlap(spark, folder, scratch):
+    return decontaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), scratch)
+
+
+@query("op8_url_rules", urls.SQL)
+def _urls(spark, folder, scratch):
+    return urls.judge(table(spark, folder, "pages").select("page_id", "url")).drop("url")
+
+
+@query("op10_language_families")
+def _language(spark, folder, scratch):
+    docs = table(spark, folder, "documents")
+    rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text"))
+    return identify(rows, train(docs), drop=("text",))
