@@ -8,6 +8,7 @@ from strata.llm import urls
 from strata.llm.base import ORACLES, QUERIES, query, table
 from strata.llm.language import held_out, identify, train
 from strata.llm.near_text import near_duplicates
+from strata.llm.near_vectors import near_vectors
 from strata.llm.overlap import decontaminated
 from strata.llm.packing import pack_documents
 from strata.llm.token_files import read_tokens, write_tokens
@@ -45,3 +46,8 @@ def _language(spark, folder, scratch):
     docs = table(spark, folder, "documents")
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text"))
     return identify(rows, train(docs), drop=("text",))
+
+
+@query("op1_cross_polytope_near_dedup")
+def _near_vectors(spark, folder, scratch):
+    return near_vectors(table(spark, folder, "embeddings"), scratch)
