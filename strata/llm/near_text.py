@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.blocks import blocks, grouped
 from strata.llm.components import components
 from strata.llm.text import SPACED, blobs, flat, grams, list_array, mix, row_of, slices, word_hashes, words
 from strata.session import Scratch
@@ -17,7 +18,8 @@ from strata.session import Scratch
 WIDTH = 5  # words in a shingle
 PERMUTATIONS = 48  # each gives two signature values, its minimum and its maximum
 BAND = 2  # permutations in a band, so four values
-_SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+CHUNK = 512  # texts of a bucket compared at a time with so many others
+_SIGNATURE = "doc_id long, n_shingles long, set_key binary, bits binary, bands array<long>"
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -48,6 +50,23 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[:n] | np.uint64(1), seeds[n:]
 
 
+def parity(items: np.ndarray) -> bytes:
+    """Bitmap of a set, at least two bits an item: whether an odd number of items fell on each bit.
+
+    Two sets differ in at least as many items as their bitmaps differ in bits, so a
+    bitmap can rule a pair out for certain. Half of a bitmap XOR the other half is
+    the bitmap of half the size.
+    """
+    size = max(64, 1 << int(2 * len(items) - 1).bit_length())
+    odd = np.bincount((items & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _halved(rows: np.ndarray) -> np.ndarray:
+    half = rows.shape[1] // 2
+    return rows[:, :half] ^ rows[:, half:]
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], permutations: int) -> Iterator[pa.RecordBatch]:
     factors, shifts = _permutations(permutations)
     n_bands = permutations // BAND
@@ -67,17 +86,21 @@ def _signatures(batches: Iterator[pa.RecordBatch], permutations: int) -> Iterato
                         keys[:, p // BAND] = mix(keys[:, p // BAND] * np.uint64(31) + extreme.reduceat(turned, at))
                 keys = mix(keys + np.arange(1, n_bands + 1, dtype=np.uint64))
             digests: list[bytes | None] = [None] * (last - first)
+            bits: list[bytes | None] = [None] * (last - first)
             for i in full:
-                digests[i] = hashlib.blake2b(items[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest()
+                own = items[bounds[i] : bounds[i + 1]]
+                digests[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                bits[i] = parity(own)
             counts = np.where(sizes > 0, n_bands, 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(first, last - first),
                     pa.array(sizes, pa.int64()),
                     blobs(digests),
+                    blobs(bits),
                     list_array(keys.ravel().view(np.int64), np.concatenate([[0], np.cumsum(counts)]), pa.int64()),
                 ],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                ["doc_id", "n_shingles", "set_key", "bits", "bands"],
             )
 
 
@@ -108,6 +131,56 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _possible(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block in different components that their bitmaps don't rule out.
+
+    With ``every`` all of them, else for each text the likeliest in each other component.
+    """
+    for table, bounds in grouped(batches, ["bucket", "low", "high"]):
+        data = {n: table.column(n).to_numpy() for n in ("doc_id", "n", "component", "mine", "low", "high")}
+        bits = table.column("bits").to_pylist()
+        found: list[np.ndarray] = []
+        for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
+            own = {k: v[start:stop] for k, v in data.items()}
+            square = own["low"][0] == own["high"][0]
+            level = np.array([len(x) for x in bits[start:stop]])
+            stacks = {}
+            for size in np.unique(level):
+                at = np.flatnonzero(level == size)
+                rows = np.frombuffer(b"".join(bits[start + i] for i in at), np.uint64).reshape(len(at), -1)
+                stacks[size] = (at, rows)
+            for size, (at, rows) in stacks.items():
+                # sizes of a pair differ by a third at most, so bitmaps by a factor of two
+                for other in (size, 2 * size):
+                    if other not in stacks:
+                        continue
+                    yours, theirs = stacks[other]
+                    theirs = theirs if other == size else _halved(theirs)
+                    for i, mine in zip(at, rows, strict=True):
+                        usable = own["component"][yours] != own["component"][i]
+                        usable &= (yours > i) if other == size else True
+                        if not square:
+                            usable &= own["mine"][yours] != own["mine"][i]
+                        total = own["n"][yours] + own["n"][i]
+                        usable &= 100 * np.minimum(own["n"][yours], own["n"][i]) >= percent * np.maximum(own["n"][yours], own["n"][i])
+                        if not usable.any():
+                            continue
+                        pick = np.flatnonzero(usable)
+                        apart = np.bitwise_count(theirs[pick] ^ mine).sum(1, dtype=np.int64)
+                        fine = apart * (100 + percent) <= total[pick] * (100 - percent)
+                        pick, apart = yours[pick[fine]], apart[fine]
+                        if not every and len(pick) > 1:
+                            order = np.lexsort((apart, own["component"][pick]))
+                            pick = pick[order]
+                            kin = own["component"][pick]
+                            pick = pick[np.append(True, kin[1:] != kin[:-1])]
+                        if len(pick):
+                            pairs = np.stack([np.full(len(pick), own["doc_id"][i]), own["doc_id"][pick]])
+                            found.append(np.sort(pairs, axis=0))
+        pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+
+
 def near_duplicates(
     docs: DataFrame, scratch: Scratch, percent: int = 75, permutations: int = PERMUTATIONS
 ) -> DataFrame:
@@ -123,10 +196,12 @@ def near_duplicates(
     with probability J, so 48 hash evaluations make 96 values in 24 bands of four:
     a pair at J = 0.75 shares a band with probability 0.9999, more above it.
 
-    Texts with equal sets are one class and go on as one row. Band buckets first
-    link each class to the bucket's smallest one; then only pairs of a bucket that
-    are still in different components are compared. Every candidate is confirmed
-    on full sets, which travel only for texts that are candidates.
+    Texts with equal sets are one class and go on as one row. Each bucket first links
+    its members to its most central one. Then members of a bucket that are still in
+    different components are compared in blocks by bitmaps, which rule out pairs for
+    certain: first each text with the likeliest of every other component, at last all
+    that remain. Every candidate is confirmed on full sets, which are made only for
+    texts that share a bucket.
 
     Null text, empty text and text without words have an empty set and link with
     nothing. Rows with a null doc_id never link: component_id is null, kept true.
@@ -137,50 +212,52 @@ def near_duplicates(
     signed = scratch.table(texts.mapInArrow(lambda it: _signatures(it, permutations), _SIGNATURE), "signatures")
     able = signed.where("set_key is not null and doc_id is not null")
     classes = scratch.table(
-        able.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("rep")).select("set_key", "rep.*"),
+        able.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bits", "bands")).alias("rep")).select("set_key", "rep.*"),
         "classes",
     )
-    buckets = classes.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    hubs = (
-        buckets.groupBy("bucket")
-        .agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("members"))
-        .where("members > 1")
-        .drop("members")
-    )
-    shared = scratch.table(buckets.join(hubs, "bucket"), "buckets")
-    close = f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)"
+    wide = F.col("n_shingles").alias("n")
+    buckets = classes.select("doc_id", wide, F.explode("bands").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = scratch.table(buckets.join(sizes, "bucket"), "buckets")
+    sets = _full_sets(texts, shared.select("doc_id").distinct(), scratch)
+    # the text with the fullest buckets is the likeliest centre of its bucket
+    central = shared.groupBy("doc_id").agg(F.sum("members").alias("weight"))
+    ranked = scratch.table(shared.join(central, "doc_id").drop("members"), "ranked")
+    hubs = ranked.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "n"), F.struct("weight", "doc_id")).alias("hub"))
     stars = (
-        shared.where("doc_id <> hub.doc_id")
-        .select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-        .where(close)
-        .select("a", "b")
-        .distinct()
-    )
-    stars = scratch.table(stars, "pairs")
-    links = _confirmed(texts, stars, percent, scratch)
-    groups = scratch.table(components(links, scratch), "groups")
-    # what is left: pairs that share a bucket but no component yet
-    placed = scratch.table(
-        shared.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-            "bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")
-        ),
-        "placed",
-    )
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = scratch.table(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "open")
-    left = rest.select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rest.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    more = (
-        left.join(right, "bucket")
-        .where(f"a < b and ca <> cb and {close}")
-        .select("a", "b")
+        ranked.join(hubs, "bucket")
+        .where(f"doc_id <> hub.doc_id and 100 * least(n, hub.n) >= {int(percent)} * greatest(n, hub.n)")
+        .select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b"))
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
     )
-    more = scratch.table(more, "pairs")
-    late = _confirmed(texts, more, percent, scratch)
-    known = groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late.select("a", "b"))
-    final = components(known, scratch)
+    tested = scratch.table(stars, "pairs")
+    links = _confirmed(tested, sets, percent, scratch)
+    groups = components(links, scratch)
+    for every in (False, True):
+        placed = scratch.table(
+            shared.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+                "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")
+            ),
+            "placed",
+        )
+        mixed = (
+            placed.groupBy("bucket")
+            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+            .where("lo < hi")
+        )
+        mixed = scratch.table(mixed.select("bucket", "n"), "mixed")
+        rows = (
+            placed.join(mixed.select("bucket"), "bucket", "left_semi")
+            .join(classes.select("doc_id", wide, "bits"), "doc_id")
+        )
+        dealt = blocks(rows, ["bucket"], "doc_id", mixed, CHUNK)
+        more = dealt.mapInArrow(lambda it, every=every: _possible(it, percent, every), "a long, b long").distinct()
+        more = scratch.table(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = _confirmed(more, sets, percent, scratch)
+        known = groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found)
+        groups = components(scratch.table(known, "known"), scratch)
+        tested = tested.union(more)
+    final = groups
     named = scratch.table(
         classes.select("set_key", "doc_id")
         .join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -188,7 +265,7 @@ def near_duplicates(
         .distinct(),
         "components",
     )
-    scratch.drop(shared, stars, placed, rest, more, links, late, groups, classes)
+    scratch.drop(shared, ranked, sets, links, classes)
     return signed.join(named, "set_key", "left").select(
         "doc_id",
         "n_shingles",
@@ -197,14 +274,19 @@ def near_duplicates(
     )
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full sets pass; sets are made for the texts of pairs only."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    once = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = scratch.table(once.mapInArrow(_packed, "doc_id long, items binary"), "sets")
+def _full_sets(texts: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, items): the sets of the wanted texts.
+
+    The list of ids grows with the table, so it is never broadcast: texts are
+    shuffled once, and their sets, much fewer, are written.
+    """
+    chosen = texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return scratch.table(chosen.mapInArrow(_packed, "doc_id long, items binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full sets pass."""
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b"
     )
-    links = scratch.table(full.mapInArrow(lambda it: _verified(it, percent), "a long, b long"), "links")
-    scratch.drop(sets)
-    return links
+    return scratch.table(full.mapInArrow(lambda it: _verified(it, percent), "a long, b long"), "links")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.blocks import blocks, grouped
 from strata.llm.components import components
 from strata.session import Scratch
 
@@ -140,22 +141,12 @@ def _compared(rows: dict[str, np.ndarray], cosine: float) -> Iterator[tuple[int,
         yield int(ids[i]), int(ids[label[i]]), None
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Blocks follow one another in sorted rows; each is bounded by two chunks."""
-    pending: list[pa.RecordBatch] = []
-
-    def take(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts)
+def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    for table, bounds in grouped(batches, ["label", "size", "bucket", "low", "high"]):
         data = {n: table.column(n).to_numpy() for n in ("vec_id", "copies", "size", "bucket", "low", "high", "mine")}
-        label = np.asarray(table.column("label").to_pylist())
-        mark = np.ones(len(label), bool)
-        mark[1:] = label[1:] != label[:-1]
-        for n in ("size", "bucket", "low", "high"):
-            mark[1:] |= data[n][1:] != data[n][:-1]
-        starts = np.flatnonzero(mark)
         corner, vector = table.column("corners").to_pylist(), table.column("vector").to_pylist()
         out: list[tuple[int, int | None, int | None]] = []
-        for a, b in zip(starts, [*starts[1:], len(label)], strict=True):
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a < 2:
                 continue
             rows = {n: v[a:b] for n, v in data.items()}
@@ -165,27 +156,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Rec
         columns = list(zip(*out, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n"])
 
-    def key(batch: pa.RecordBatch, i: int) -> tuple:
-        return tuple(batch.column(n)[i].as_py() for n in ("label", "size", "bucket", "low", "high"))
-
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        last = key(batch, batch.num_rows - 1)
-        cut = batch.num_rows
-        while cut and key(batch, cut - 1) == last:
-            cut -= 1
-        if cut:
-            yield from take([*pending, batch.slice(0, cut)])
-            pending = [batch.slice(cut)]
-        elif pending and key(pending[-1], pending[-1].num_rows - 1) != last:
-            yield from take(pending)
-            pending = [batch]
-        else:
-            pending.append(batch)
-    if pending:
-        yield from take(pending)
-
 
 def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98) -> DataFrame:
     """Groups of vectors of one label whose cosine is ``cosine`` or more.
@@ -228,21 +198,10 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98) ->
     place = ["label", "size", "bucket"]
     spread = filed.select("label", "size", F.explode("buckets").alias("bucket"))
     full = spread.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    full = scratch.table(full.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n"), "buckets")
-    entries = (
-        filed.withColumn("bucket", F.explode("buckets"))
-        .drop("buckets")
-        .join(full, place)
-        .withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumn("low", F.least("mine", "other"))
-        .withColumn("high", F.greatest("mine", "other"))
-        .drop("other", "chunks")
-    )
-    block = [*place, "low", "high"]
-    found = scratch.table(
-        entries.repartition(*block).sortWithinPartitions(*block).mapInArrow(lambda it: _blocks(it, cosine), _FOUND), "found"
-    )
+    full = scratch.table(full, "buckets")
+    entries = filed.withColumn("bucket", F.explode("buckets")).drop("buckets")
+    dealt = blocks(entries, place, "vec_id", full, CHUNK)
+    found = scratch.table(dealt.mapInArrow(lambda it: _links(it, cosine), _FOUND), "found")
     counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("linked"))
     groups = components(found.where("b is not null").select("a", "b"), scratch)
     named = scratch.table(
