@@ -17,11 +17,11 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_WORDS = 1_000_000  # beyond so many words the memo keeps only those met more than once
+MEMO_WORDS = 1_500_000  # beyond so many words the memo keeps only those met more than once
 _BEFORE_BLANK = re.compile("[ ](?=[\\s᠎]|$)")
 _CUT = re.compile("[ ](?=[^\\s᠎])")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # blanks for Python, signs for the tokenizer
-_SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([-.,;:!?*#$%&|()]*)")  # letters, then perhaps signs: one run or two
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?*#$%&|()]*)")  # letters, then perhaps signs: one run or two
 _PIECE = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
 
@@ -38,18 +38,23 @@ class Encoder:
     def __init__(self, path: str, spaces: bool):
         from tokenizers import Tokenizer
 
+        from tokenizers import pre_tokenizers as pre
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are plain text
         self.spaces = spaces
         self.size = self.tokenizer.get_vocab_size()
-        if spaces:
-            # a byte-level token whose first byte is a blank opens a word
-            self.opens = np.zeros(self.size, bool)
-            self.opens[[i for w, i in self.tokenizer.get_vocab().items() if w.startswith("Ġ")]] = True
-        else:
-            # a token that closes a run of letters or of signs
-            self.closes = np.zeros(self.size, bool)
-            self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        # plain lower-case words need no normalising, and no more splitting than at blanks
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre.Sequence(
+            [pre.Split(" ", "merged_with_next" if spaces else "removed"), pre.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.words.model._resize_cache(0)
+        vocabulary = self.tokenizer.get_vocab().items()
+        # a token with a leading blank opens a word; one with the end mark closes it
+        self.edge = np.zeros(self.size, bool)
+        self.edge[[i for w, i in vocabulary if (w.startswith("Ġ") if spaces else w.endswith("</w>"))]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -69,8 +74,7 @@ class Encoder:
             return
         at = np.array([i for _, i in again], np.int64)
         ends = np.cumsum(counts[at])
-        total = int(ends[-1]) if len(ends) else 0
-        kept = np.arange(total) + np.repeat(starts[at] - (ends - counts[at]), counts[at])
+        kept = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[at] - (ends - counts[at]), counts[at])
         self._remember([word for word, _ in again], ids[kept], ends - counts[at], counts[at])
 
     def _plain(self, text: str) -> list[int]:
@@ -99,34 +103,49 @@ class Encoder:
         self.used += len(ids)
 
     def _learn(self, new: list[str]) -> None:
-        plain, odd, runs = [], [], []
+        """Words of letters in groups, words with signs behind from their parts, others one by one."""
+        stems, both, odd = {}, [], []
         for word in new:
-            if self.spaces:
-                (odd if " " in word or not word else plain).append(word)
-            elif simple := _SIMPLE.fullmatch(word):
-                plain.append(word)
-                runs.append(2 if simple[1] else 1)
+            if simple := _SIMPLE.fullmatch(word):
+                if simple[2]:
+                    both.append((word, simple[1], simple[2] if not self.spaces else " " + simple[2]))
+                if simple[1] not in self.memo:
+                    stems[simple[1]] = None
             else:
                 odd.append(word)
+        plain = list(stems)
         for i in range(0, len(plain), 4096):
             group = plain[i : i + 4096]
-            ids = np.array(self._plain((" " if self.spaces else "") + " ".join(group)), np.uint32)
+            text = " " + " ".join(group) if self.spaces else " ".join(group).lower()
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             if self.spaces:
-                starts = np.flatnonzero(self.opens[ids])
+                starts = np.flatnonzero(self.edge[ids])
                 ends = np.append(starts[1:], len(ids))
             else:
-                last = np.cumsum(runs[i : i + 4096]) - 1
-                ends = np.flatnonzero(self.closes[ids]) + 1
-                ends = ends[last] if len(ends) == last[-1] + 1 else ends[:0]
+                ends = np.flatnonzero(self.edge[ids]) + 1
                 starts = np.append(0, ends[:-1])
             if len(starts) == len(group):
                 self._remember(group, ids, starts, ends - starts)
             else:
                 odd += group
-        for word in odd:
+        odd += [sign for sign in dict.fromkeys(sign for _, _, sign in both) if sign not in self.memo]
+        for word in dict.fromkeys(odd):
             text = word if not self.spaces else word[1:] if word.startswith(" ") else " " + word
             ids = np.array(self._plain(text), np.uint32)
             self._remember([word], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+        if both:
+            parts = np.array([self.memo[x] for _, stem, sign in both for x in (stem, sign)], np.int64)
+            ids, ends = self._joined(parts)
+            ends = ends[1::2]
+            starts = np.append(0, ends[:-1])
+            self._remember([word for word, _, _ in both], ids, starts, ends - starts)
+
+    def _joined(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these memo entries one after another, and the end of each."""
+        counts = self.counts[index]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.starts[index] - (ends - counts), counts)], ends
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's bounds (n + 1)."""
@@ -141,12 +160,9 @@ class Encoder:
             self._learn(list(dict.fromkeys(missed)))
             index[unknown] = list(map(self.memo.__getitem__, missed))
         self.uses[: len(self.memo)] += np.bincount(index, minlength=len(self.memo)).astype(np.int32)
-        counts = self.counts[index]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(self.starts[index] - (ends - counts), counts)
+        ids, ends = self._joined(index)
         words = np.concatenate([[0], np.cumsum([len(own) for own in parts], dtype=np.int64)]).astype(np.int64)
-        return self.ids[at], np.concatenate([[0], ends]).astype(np.int64)[words]
+        return ids, np.concatenate([[0], ends]).astype(np.int64)[words]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

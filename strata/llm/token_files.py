@@ -87,9 +87,10 @@ class TokenWriter:
         self.blocks: list[int] = []
         self.rest = np.zeros(0, np.uint32)
 
-    def _block(self, ids: np.ndarray) -> None:
+    def _blocks(self, ids: np.ndarray) -> None:
         data = pack(ids, self.bits)
-        self.blocks.append(self.at)
+        step = BLOCK // 64 * self.bits * 8  # bytes of a full block
+        self.blocks += range(self.at, self.at + len(data), step)
         self.out.write(data)
         self.at += len(data)
 
@@ -102,13 +103,11 @@ class TokenWriter:
         self.total += len(ids)
         self.rest = np.concatenate([self.rest, ids])
         full = len(self.rest) // BLOCK * BLOCK
-        for i in range(0, full, BLOCK):
-            self._block(self.rest[i : i + BLOCK])
+        self._blocks(self.rest[:full])
         self.rest = self.rest[full:]
 
     def close(self) -> tuple[int, int]:
-        if len(self.rest):
-            self._block(self.rest)
+        self._blocks(self.rest)
         docs = np.concatenate([np.zeros(0, np.int64), *self.docs])
         for column in (docs, np.concatenate([np.zeros(0, np.int64), *self.ends]), np.array(self.blocks, np.int64)):
             self.out.write(column.astype("<i8").tobytes())
