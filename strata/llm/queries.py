@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.llm import urls
+from strata.llm import urls, warc
 from strata.llm.base import ORACLES, QUERIES, query, table
 from strata.llm.language import held_out, identify, train
 from strata.llm.near_text import near_duplicates
 from strata.llm.near_vectors import near_vectors
 from strata.llm.overlap import decontaminated
 from strata.llm.packing import pack_documents
+from strata.llm.pseudo_likelihood import pseudo_likelihood
 from strata.llm.token_files import read_tokens, write_tokens
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -51,3 +52,13 @@ def _language(spark, folder, scratch):
 @query("op1_cross_polytope_near_dedup")
 def _near_vectors(spark, folder, scratch):
     return near_vectors(table(spark, folder, "embeddings"), scratch)
+
+
+@query("op4_merkle_fixity_audit", warc.SQL)
+def _fixity(spark, folder, scratch):
+    return warc.fixity(table(spark, folder, "pages"), scratch).select("page_id", "length", "status")
+
+
+@query("op9_masked_pseudo_likelihood")
+def _pseudo_likelihood(spark, folder, scratch):
+    return pseudo_likelihood(table(spark, folder, "documents"), scratch)
