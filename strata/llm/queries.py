@@ -11,6 +11,7 @@ from strata.llm.near_text import near_duplicates
 from strata.llm.near_vectors import near_vectors
 from strata.llm.overlap import decontaminated
 from strata.llm.packing import pack_documents
+from strata.llm.private_spans import private_spans
 from strata.llm.pseudo_likelihood import pseudo_likelihood
 from strata.llm.token_files import read_tokens, write_tokens
 
@@ -62,3 +63,8 @@ def _fixity(spark, folder, scratch):
 @query("op9_masked_pseudo_likelihood")
 def _pseudo_likelihood(spark, folder, scratch):
     return pseudo_likelihood(table(spark, folder, "documents"), scratch)
+
+
+@query("op3_semi_markov_private_spans")
+def _private(spark, folder, scratch):
+    return private_spans(table(spark, folder, "documents"))
