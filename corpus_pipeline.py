@@ -1,8 +1,95 @@
-"""Language, near-duplicate, decontamination, privacy and packing stages over documents."""
+"""From raw documents to packed training sequences, in five stages.
 
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
+returns a DataFrame; ``run`` writes each result as Parquet and reads it back for the
+next. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.llm.base import ready, table
+from strata.llm.language import UNDECIDED, identify, train
+from strata.llm.near_text import near_duplicates
+from strata.llm.overlap import decontaminated
+from strata.llm.packing import pack_documents
+from strata.llm.private_spans import redact
+from strata.session import Scratch
+
+#: Encoding and language models are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
+_KEY = "_document_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds the document's number; a row without one is known by a hash of its text."""
+    return docs.withColumn(_KEY, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return _keyed(docs).select(F.col(_KEY).alias("doc_id"), "text")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that are in no language: null, empty and letterless texts."""
+    ready(spark)
+    told = identify(docs, train(docs))
+    return told.where(F.col("lang_pred") != UNDECIDED).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest number stays.
+
+    Rows with the same number and text are one document, of which one row stays.
+    """
+    ready(spark)
+    scratch = Scratch(spark)
+    found = scratch.table(near_duplicates(_numbered(docs), scratch), "found")
+    gone = found.where("not kept").select(F.col("doc_id").alias(_KEY)).distinct()
+    again = found.groupBy(F.col("doc_id").alias(_KEY)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_KEY)
+    again = scratch.table(again, "again")
+    left = _keyed(docs).join(gone, _KEY, "left_anti")
+    once = left.join(again, _KEY, "left_semi").dropDuplicates([_KEY, "text"])
+    return left.join(again, _KEY, "left_anti").unionByName(once).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    ready(spark)
+    scratch = Scratch(spark)
+    found = decontaminated(_numbered(docs), table(spark, sf_dir, "benchmark"), scratch)
+    bad = scratch.table(found.where("contaminated").select(F.col("doc_id").alias(_KEY)).distinct(), "contaminated")
+    return _keyed(docs).join(bad, _KEY, "left_anti").select(*docs.columns)
+
+
+def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts by its kind; every document stays."""
+    ready(spark)
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of encoded documents with their places in sequences of 2048 ids."""
+    ready(spark)
+    return pack_documents(docs, Scratch(spark))
+
+
+STAGES = [
+    ("language_id", language),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("pii", privacy),
+    ("best_fit_packing", packing),
+]
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    ready(spark)
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
