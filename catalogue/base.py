@@ -32,6 +32,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def digest_sql(hashes: str) -> str:
+    """SQL twin of ``set_digest`` over a column of hex SHA-256 values."""
+    words = ", ".join(f"sum(CAST('0x' || substr({hashes}, {1 + 4 * i}, 4) AS BIGINT))" for i in range(16))
+    return f"sha256(concat_ws(':', count(*), {words}))"
+
+
 def block(name: str, sql: str) -> None:
     """Define a named sub-query oracles may read."""
     BLOCKS[name] = sql.strip()

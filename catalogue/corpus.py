@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogue.base import block, query
+from catalogue.base import block, digest_sql, query
 from strata.functions import languages as lg
 from strata.operators import corpus as cp
 from strata.operators import diffs, extraction, layers, resolution, rules, scoring
@@ -327,22 +327,30 @@ def violations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "s1_scan_corpus",
-    "SELECT lang AS project_id, 'd' || doc_id AS path, md5(text || chr(10)) AS digest FROM documents",
+    """
+SELECT lang AS project_id, count(*) AS n_lines, sum(length(line)) AS n_chars, sum(CAST('0x' || substr(md5(line), 1, 8) AS BIGINT))::BIGINT AS digest,
+       false AS decode_error
+FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1
+""",
 )
 def s1(spark: SparkSession, folder: str) -> DataFrame:
-    # the texts go out as one file each and are then scanned back
+    # the texts go out as files of each project and are then scanned back
     from catalogue.streams import scratch
 
     root = scratch(spark, "corpus")
-    docs = table(spark, folder, "documents").select(
-        F.col("lang").alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text"
-    )
-    docs.write.partitionBy("project", "name").text(root)
+    docs = table(spark, folder, "documents").select(F.col("lang").alias("project"), "text")
+    docs.write.option("maxRecordsPerFile", 1000).partitionBy("project").text(root)
     found = scan_corpus(spark, root, "*.txt")
-    return found.select(
-        F.regexp_replace("project_id", "^project=", "").alias("project_id"),
-        F.regexp_extract("path", "^name=([^/]+)/", 1).alias("path"),
-        F.md5("content").alias("digest"),
+    lines = F.explode(F.split(F.expr("left(content, length(content) - 1)"), "\n", -1))
+    return (
+        found.select(F.regexp_replace("project_id", "^project=", "").alias("project_id"), "decode_error", lines.alias("line"))
+        .groupBy("project_id")
+        .agg(
+            F.count(F.lit(1)).alias("n_lines"),
+            F.sum(F.length("line")).alias("n_chars"),
+            F.sum(F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("bigint")).alias("digest"),
+            F.bool_or("decode_error").alias("decode_error"),
+        )
     )
 
 
@@ -420,7 +428,7 @@ def s6_retained(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "s7_project_fingerprint",
-    "SELECT project_id, sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT project_id, sha256(content) AS h FROM c_files "
+    f"SELECT project_id, {digest_sql('sha256(h)')} AS fingerprint FROM (SELECT project_id, sha256(content) AS h FROM c_files "
     "WHERE regexp_matches(path, '[.](ts|tsx|js|jsx)$') AND NOT starts_with(path, 'vendor/')) GROUP BY 1",
 )
 def s7(spark: SparkSession, folder: str) -> DataFrame:
@@ -750,7 +758,8 @@ def x22(spark: SparkSession, folder: str) -> DataFrame:
 
 block(
     "d_new",
-    "SELECT v.* FROM c_viol v WHERE EXISTS (SELECT 1 FROM d_lines d WHERE d.project_id = v.project_id AND d.file = v.file AND d.new_line = v.line AND d.old_line = 0)",
+    "SELECT d.pr, v.* FROM c_viol v JOIN (SELECT DISTINCT project_id, pr, file, new_line FROM d_lines WHERE old_line = 0) d "
+    "ON d.project_id = v.project_id AND d.file = v.file AND d.new_line = v.line",
 )
 
 
@@ -760,14 +769,14 @@ def _pr(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return everything, diffs.pr_filter(everything, extraction.parse_diff(diffs_from_documents(spark, folder)))
 
 
-@query("h10_pr_filter", "SELECT project_id, rule_id, file, line, import_path FROM d_new")
+@query("h10_pr_filter", "SELECT project_id, pr, rule_id, file, line, import_path FROM d_new")
 def h10(spark: SparkSession, folder: str) -> DataFrame:
-    return _pr(spark, folder)[1].select("project_id", "rule_id", "file", "line", "import_path")
+    return _pr(spark, folder)[1].select("project_id", "pr", "rule_id", "file", "line", "import_path")
 
 
 @query(
     "h11_pr_annotations",
-    "SELECT project_id, file AS path, line AS start_line, line AS end_line, 'failure' AS annotation_level, message, "
+    "SELECT project_id, pr, file AS path, line AS start_line, line AS end_line, 'failure' AS annotation_level, message, "
     "'[' || rule_id || '] ' || source_layer || ' → ' || target_layer AS title FROM d_new",
 )
 def h11(spark: SparkSession, folder: str) -> DataFrame:
@@ -779,12 +788,13 @@ def h11(spark: SparkSession, folder: str) -> DataFrame:
     """
 SELECT *, n_new = 0 AS passed, CASE WHEN n_new = 0 THEN '✅ No new architecture violations in this PR (' || n_total || ' total violations unchanged).'
   ELSE '❌ ' || n_new || ' new architecture violation(s) found in this PR.' END AS summary
-FROM (SELECT project_id, (SELECT count(*) FROM d_new n WHERE n.project_id = p.project_id) AS n_new,
-      (SELECT count(*) FROM c_viol v WHERE v.project_id = p.project_id) AS n_total FROM (SELECT DISTINCT lang AS project_id FROM documents) p)
+FROM (SELECT p.project_id, p.pr, coalesce(n.n, 0) AS n_new, coalesce(v.n, 0) AS n_total FROM (SELECT DISTINCT lang AS project_id, doc_id AS pr FROM documents) p
+      LEFT JOIN (SELECT project_id, pr, count(*) AS n FROM d_new GROUP BY 1, 2) n USING (project_id, pr)
+      LEFT JOIN (SELECT project_id, count(*) AS n FROM c_viol GROUP BY 1) v USING (project_id))
 """,
 )
 def h11_summary(spark: SparkSession, folder: str) -> DataFrame:
-    known = table(spark, folder, "documents").select(F.col("lang").alias("project_id"))
+    known = table(spark, folder, "documents").select(F.col("lang").alias("project_id"), F.col("doc_id").alias("pr"))
     everything, new = _pr(spark, folder)
     return diffs.pr_summary(new, everything, known)
 

@@ -44,7 +44,7 @@ def pairs(spark: SparkSession, folder: str, deps: DataFrame | None = None) -> Da
 
 
 def cycles(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.layer_cycles(graph.layer_edges(edges(spark, folder)), known_bound=len(TRADE.layers))
+    return graph.layer_cycles(graph.layer_edges(edges(spark, folder)))
 
 
 def _layer_sql(p: str) -> str:
@@ -146,7 +146,17 @@ WHERE NOT w.closed AND (e.target_layer = w.start
       OR (e.target_layer > w.start AND NOT list_contains(w.nodes, e.target_layer)))
 """,
 )
-block("t_cycles", "SELECT project_id, nodes AS cycle, list_append(whys, start) AS path FROM t_walk WHERE closed")
+block("t_every", "SELECT project_id, nodes AS cycle, list_append(whys, start) AS path FROM t_walk WHERE closed")
+# the shortest cycle through each edge, ties by the names from the edge's target on
+block(
+    "t_cycles",
+    """
+SELECT DISTINCT project_id, c.cycle AS cycle, c.path AS path FROM (
+  SELECT project_id, cycle[i] AS a, cycle[i + 1] AS b,
+         arg_min({'cycle': cycle, 'path': path}, (len(cycle), cycle[i + 1 : len(cycle) - 1] || cycle[1 : i])) AS c
+  FROM (SELECT project_id, cycle, path, unnest(range(1, len(cycle))) AS i FROM t_every) GROUP BY 1, 2, 3)
+""",
+)
 
 
 # --- layers -------------------------------------------------------------------
@@ -510,46 +520,51 @@ def r19(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
-_COUNTS = """(SELECT p.project_id, coalesce(d.n, 0) AS n_deps, coalesce(v.n, 0) AS n_violations
-FROM t_projects p LEFT JOIN (SELECT project_id, count(*) AS n FROM t_deps WHERE source_file LIKE '{like}' GROUP BY 1) d
-USING (project_id) LEFT JOIN (SELECT project_id, count(*) AS n FROM t_viol WHERE severity = '{sev}' GROUP BY 1) v
+_COUNTS = """(SELECT d.project_id, d.n AS n_deps, coalesce(v.n, 0) AS n_violations
+FROM (SELECT project_id || ':' || source_file AS project_id, count(*) AS n FROM t_deps GROUP BY 1) d
+LEFT JOIN (SELECT project_id || ':' || file AS project_id, count(*) AS n FROM t_viol GROUP BY 1) v
 USING (project_id))"""
 
 
-def _counts(spark: SparkSession, folder: str, head: str, severity: str) -> DataFrame:
+def _counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All edges and violations, every file judged as a project of its own."""
+
+    def keyed(df: DataFrame, file: str) -> DataFrame:
+        return df.withColumn("project_id", F.concat("project_id", F.lit(":"), file))
+
     deps = stored(spark, folder)
-    bad = violations(spark, folder, deps).where(F.col("severity") == severity)
-    return rules.project_counts(deps.where(F.col("source_file").startswith(head)), bad, projects(spark, folder))
+    own = keyed(deps, "source_file")
+    return rules.project_counts(own, keyed(violations(spark, folder, deps), "file"), own)
 
 
 @query(
     "r20_policy_symmetry",
     "SELECT project_id, 'dependency-symmetry: violations with no deps indicates asymmetry' AS message FROM "
-    + _COUNTS.format(like="moon/%", sev="error")
+    + _COUNTS
     + " WHERE n_violations > 0 AND n_deps = 0",
 )
 def r20a(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.policy_symmetry(_counts(spark, folder, "moon/", "error"))
+    return rules.policy_symmetry(_counts(spark, folder))
 
 
 @query(
     "r20_policy_balance",
     "SELECT project_id, 'layer-balance: deps/layer ratio too high' AS message FROM "
-    + _COUNTS.format(like="europe/%", sev="info")
+    + _COUNTS
     + " WHERE n_deps > 40",
 )
 def r20b(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.policy_balance(_counts(spark, folder, "europe/", "info"), len(TRADE.layers))
+    return rules.policy_balance(_counts(spark, folder), len(TRADE.layers))
 
 
 @query(
     "r20_policy_leak",
     "SELECT project_id, 'no-leak: deps exist without any violations — potential leak' AS message FROM "
-    + _COUNTS.format(like="asia/%", sev="fatal")
+    + _COUNTS
     + " WHERE n_deps > 0 AND n_violations = 0",
 )
 def r20c(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.policy_leak(_counts(spark, folder, "asia/", "fatal"))
+    return rules.policy_leak(_counts(spark, folder))
 
 
 _CIRCULAR_TEXT = (
@@ -833,11 +848,11 @@ def f1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "f2_layer_cycles",
-    "SELECT project_id, array_to_string(cycle, '>') AS cycle, array_to_string(path, ' | ') AS path, false AS truncated FROM t_cycles",
+    "SELECT project_id, array_to_string(cycle, '>') AS cycle, array_to_string(path, ' | ') AS path FROM t_cycles",
 )
 def f2(spark: SparkSession, folder: str) -> DataFrame:
     return cycles(spark, folder).select(
-        "project_id", F.array_join("cycle", ">").alias("cycle"), F.array_join("path", " | ").alias("path"), "truncated"
+        "project_id", F.array_join("cycle", ">").alias("cycle"), F.array_join("path", " | ").alias("path")
     )
 
 
@@ -1047,12 +1062,11 @@ def g15(spark: SparkSession, folder: str) -> DataFrame:
 _REPORT = f"""SELECT p.project_id, '' AS error, count(v.rule_id) AS total,
 count(*) FILTER (WHERE severity NOT IN ('warning', 'info')) AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings,
 count(*) FILTER (WHERE severity = 'info') AS info, CASE WHEN count(v.rule_id) > 0 THEN 'fail' ELSE 'pass' END AS status
-FROM t_projects p LEFT JOIN (SELECT * FROM t_viol WHERE rule_ord IN (4, 8) AND file LIKE '%1') v USING (project_id) GROUP BY 1"""
+FROM t_projects p LEFT JOIN t_viol v USING (project_id) GROUP BY 1"""
 
 
 def _reports(spark: SparkSession, folder: str) -> DataFrame:
-    some = violations(spark, folder).where(F.col("rule_ord").isin(4, 8) & F.col("file").endswith("1"))
-    return scoring.project_report(some, projects(spark, folder))
+    return scoring.project_report(violations(spark, folder), projects(spark, folder))
 
 
 @query("g16_project_report", _REPORT)

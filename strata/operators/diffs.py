@@ -112,29 +112,30 @@ def baseline_stale(projects: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def pr_filter(violations: DataFrame, diff_lines: DataFrame, compat: bool = False) -> DataFrame:
-    """H10 ``pr_filter``: violations on lines a change adds, outside deleted files.
+    """H10 ``pr_filter``: violations on lines a change adds, outside the files it deletes.
 
-    A file counts as deleted when the change leaves it no new-side line;
-    ``compat=True`` counts any file with a removed line.
+    Adds ``pr``: each change is judged by its own lines alone, so a violation on a
+    line that two changes add is returned for both. A file counts as deleted when
+    the change leaves it no new-side line; ``compat=True`` counts any file with a
+    removed line.
     """
-    per_file = diff_lines.groupBy("project_id", "file").agg(
-        F.max((F.col("new_line") > 0).cast("int")).alias("kept"),
-        F.max(((F.col("new_line") == 0) & (F.col("old_line") > 0)).cast("int")).alias("cut"),
+    line = F.col("new_line")
+    per_file = diff_lines.groupBy("project_id", "pr", "file").agg(
+        F.max(line > 0).alias("kept"),
+        F.max((line == 0) & (F.col("old_line") > 0)).alias("cut"),
+        # no longer than the lines the change adds to one file
+        F.collect_set(F.when((F.col("old_line") == 0) & (line > 0), line)).alias("added"),
     )
-    deleted = per_file.where("cut = 1" if compat else "cut = 1 and kept = 0").select("project_id", "file")
-    added = (
-        diff_lines.where("old_line = 0 and new_line > 0")
-        .select("project_id", "file", F.col("new_line").alias("line"))
-        .distinct()
-    )
-    hits = violations.join(added, ["project_id", "file", "line"], "left_semi")
-    return hits.join(deleted, ["project_id", "file"], "left_anti")
+    alive = per_file.where("not cut" if compat else "kept or not cut")
+    added = alive.select("project_id", "pr", "file", F.explode("added").alias("line"))
+    return violations.join(added, ["project_id", "file", "line"]).select(*violations.columns, "pr")
 
 
 def pr_annotations(violations: DataFrame) -> DataFrame:
     """H11 ``pr_annotations``: one annotation per new violation."""
     return violations.select(
         "project_id",
+        *[c for c in violations.columns if c == "pr"],
         F.col("file").alias("path"),
         F.col("line").alias("start_line"),
         F.col("line").alias("end_line"),
@@ -144,14 +145,14 @@ def pr_annotations(violations: DataFrame) -> DataFrame:
     )
 
 
-def pr_summary(new: DataFrame, everything: DataFrame, projects: DataFrame) -> DataFrame:
-    """H11 totals: pass flag and summary text per project."""
-    n = new.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_new"))
+def pr_summary(new: DataFrame, everything: DataFrame, changes: DataFrame) -> DataFrame:
+    """H11 totals: pass flag and summary text per change (project_id, pr)."""
+    n = new.groupBy("project_id", "pr").agg(F.count(F.lit(1)).alias("n_new"))
     total = everything.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_total"))
     out = (
-        projects.select("project_id")
+        changes.select("project_id", "pr")
         .distinct()
-        .join(n, "project_id", "left")
+        .join(n, ["project_id", "pr"], "left")
         .join(total, "project_id", "left")
         .na.fill(0, ["n_new", "n_total"])
         .withColumn("passed", F.col("n_new") == 0)

@@ -289,7 +289,11 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
         "new_start",
         F.posexplode(F.split("hunk", "\n")).alias("pos", "content"),
     ).where("pos > 0")
-    added, removed = F.col("content").startswith("+"), F.col("content").startswith("-")
+    # the counters shuffle two flags, and the text only where the caller keeps it
+    body = body.withColumns(
+        {"is_added": F.col("content").startswith("+"), "is_removed": F.col("content").startswith("-")}
+    )
+    added, removed = F.col("is_added"), F.col("is_removed")
     w = W.partitionBy(*keys, "file_no", "hunk_no").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     old_seen = F.coalesce(F.sum((~added).cast("int")).over(w), F.lit(0))
     new_seen = F.coalesce(F.sum((~removed).cast("int")).over(w), F.lit(0))

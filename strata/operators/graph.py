@@ -7,6 +7,7 @@ file-level graph is fact-sized and uses label propagation with checkpoints.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,55 +38,57 @@ def layer_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def layer_cycles(
-    pairs: DataFrame, max_len: int = 8, include_self: bool = True, known_bound: int | None = None
-) -> DataFrame:
-    """F2 ``layer_cycles``: every elementary cycle of the layer graph, once.
+def layer_cycles(pairs: DataFrame, include_self: bool = True) -> DataFrame:
+    """F2 ``layer_cycles``: for every layer edge on a cycle, the shortest cycle through it.
 
-    Paths grow one edge per round from their smallest node and never revisit a
-    node, so each cycle appears exactly once, already in canonical rotation.
-    Returns (project_id, cycle [closed], path [evidence], truncated); a project
-    whose longest open path reaches ``max_len`` is marked truncated.
+    Of equally short ones the smallest by the names from the edge's target on; each
+    cycle is listed once, from its smallest layer. So every edge that lies on a cycle is
+    on a listed one, whatever its length, and there are at most as many as edges. A
+    project's layer graph is bounded by its configured layers squared and is searched
+    as one group. Returns (project_id, cycle [closed], path [evidence]).
     """
-    step = pairs.select(
-        "project_id",
-        F.col("source_layer").alias("a"),
-        F.col("target_layer").alias("b"),
-        F.concat("source_layer", F.lit(" ("), "file", F.lit(":"), F.col("line").cast("string"), F.lit(")")).alias("why"),
-    )
-    loops = step.where("a = b").select(
-        "project_id", F.array("a", "b").alias("cycle"), F.array("why", "b").alias("path")
-    )
-    hop = step.where("a <> b")
-    frontier = hop.where("a < b").select(
-        "project_id",
-        F.array("a", "b").alias("nodes"),
-        F.array("why").alias("whys"),
-        F.col("b").alias("tip"),
-    )
-    rounds = min(max_len, known_bound) if known_bound else max_len
-    found = loops if include_self else loops.where(F.lit(False))
-    for _ in range(rounds - 1):
-        grown = frontier.join(
-            hop.select("project_id", F.col("a").alias("tip"), F.col("b").alias("next"), F.col("why").alias("via")),
-            ["project_id", "tip"],
+    rows = pairs.select("project_id", "source_layer", "target_layer", "file", "line")
+    schema = "project_id string, cycle array<string>, path array<string>"
+
+    def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        why = {(r.source_layer, r.target_layer): f"{r.source_layer} ({r.file}:{r.line})" for r in frame.itertuples()}
+        cycles = [list(c) for c in sorted(shortest_cycles(set(why), include_self))]
+        return pd.DataFrame(
+            {
+                "project_id": [key[0]] * len(cycles),
+                "cycle": cycles,
+                "path": [[why[e] for e in zip(c, c[1:], strict=False)] + [c[0]] for c in cycles],
+            },
+            dtype=object,
         )
-        closed = grown.where(F.col("next") == F.col("nodes")[0]).select(
-            "project_id",
-            F.concat("nodes", F.array("next")).alias("cycle"),
-            F.concat("whys", F.array("via", "next")).alias("path"),
-        )
-        found = found.unionByName(closed)
-        frontier = grown.where((F.col("next") > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col("next"))).select(
-            "project_id",
-            F.concat("nodes", F.array("next")).alias("nodes"),
-            F.concat("whys", F.array("via")).alias("whys"),
-            F.col("next").alias("tip"),
-        )
-    if known_bound and known_bound <= max_len:
-        return found.withColumn("truncated", F.lit(False))
-    cut = frontier.select("project_id").distinct().withColumn("truncated", F.lit(True))
-    return found.join(cut, "project_id", "left").na.fill(False, ["truncated"])
+
+    return rows.groupBy("project_id").applyInPandas(search, schema)
+
+
+def shortest_cycles(edges: set[tuple[str, str]], include_self: bool = True) -> set[tuple[str, ...]]:
+    """Closed node tuples, smallest node first, of the shortest cycle through each edge."""
+    after: dict[str, list[str]] = {}
+    for a, b in sorted(edges):
+        if a != b:
+            after.setdefault(a, []).append(b)
+    out = {(a, a) for a, b in edges if a == b} if include_self else set()
+    for start in {b for a, b in edges if a != b}:
+        # by rings around the start: the first path to a layer in order of names is its smallest
+        paths, ring = {start: (start,)}, [(start,)]
+        while ring:
+            grown: dict[str, tuple[str, ...]] = {}
+            for path in sorted(ring):
+                for layer in after.get(path[-1], ()):
+                    if layer not in paths and layer not in grown:
+                        grown[layer] = (*path, layer)
+            paths.update(grown)
+            ring = list(grown.values())
+        for a in paths:
+            if a != start and (a, start) in edges:
+                nodes = paths[a]
+                low = nodes.index(min(nodes))
+                out.add((*nodes[low:], *nodes[:low], nodes[low]))
+    return out
 
 
 def canonical_cycle(cycles: DataFrame) -> DataFrame:

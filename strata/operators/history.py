@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.operators.diffs import diff_runs
-from strata.operators.ordered import running, set_digest
+from strata.operators.ordered import set_digest, since_last
 from strata.operators.scoring import debt_of
 
 
@@ -32,7 +32,7 @@ def audits_from_violations(violations: DataFrame) -> DataFrame:
 
 def snapshot_fingerprint(violations: DataFrame, snapshot: str = "run_date") -> DataFrame:
     """H8 ``snapshot_fingerprint``: digest of a snapshot's violation ids."""
-    return set_digest(violations, ["project_id", snapshot], "id", terminator="\0", name="fingerprint")
+    return set_digest(violations, ["project_id", snapshot], "id", name="fingerprint")
 
 
 def snapshot_diff(snapshot: DataFrame, current: DataFrame, order: list[str]) -> DataFrame:
@@ -95,10 +95,17 @@ def debt_trend(audits: DataFrame) -> DataFrame:
     )
 
 
+def _newest(rows: DataFrame, ts: str, rest: list[str]) -> Column:
+    """The whole row with the latest ``ts``; ties go by the other columns, maps by their text."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    order = [F.to_json(F.col(c)) if "map<" in kinds[c] else F.col(c) for c in rest]
+    return F.max_by(F.struct(ts, *rest), F.struct(ts, *[c.alias(f"o{i}") for i, c in enumerate(order)]))
+
+
 def latest_snapshot(snapshots: DataFrame, ts: str = "ts") -> DataFrame:
     """T4 ``latest_snapshot``: newest row per project, by a map-side aggregate."""
     rest = [c for c in snapshots.columns if c not in ("project_id", ts)]
-    newest = snapshots.groupBy("project_id").agg(F.max(F.struct(ts, *rest)).alias("s"))
+    newest = snapshots.groupBy("project_id").agg(_newest(snapshots, ts, rest).alias("s"))
     return newest.select("project_id", *[F.col(f"s.{c}").alias(c) for c in [ts, *rest]])
 
 
@@ -116,7 +123,7 @@ def retention(audits: DataFrame, keep: int = 10) -> DataFrame:
 def daily_upsert(audits: DataFrame, ts: str = "ts") -> DataFrame:
     """T7 ``daily_upsert``: one audit per project and date, the last one wins."""
     rest = [c for c in audits.columns if c not in ("project_id", "run_date", ts)]
-    last = audits.groupBy("project_id", "run_date").agg(F.max(F.struct(ts, *rest)).alias("a"))
+    last = audits.groupBy("project_id", "run_date").agg(_newest(audits, ts, rest).alias("a"))
     return last.select("project_id", "run_date", *[F.col(f"a.{c}").alias(c) for c in [ts, *rest]])
 
 
@@ -124,20 +131,12 @@ def clean_streak(runs: DataFrame, threshold: int = 3, compat: bool = False) -> D
     """T8 ``clean_streak``: consecutive clean runs and the runs that trigger a refresh.
 
     ``runs`` has (project_id, ts, violations). The streak restarts after a dirty
-    run and after each refresh; ``compat=True`` counts every run as clean.
+    run and after each refresh; ``compat=True`` counts every run as clean. A
+    project should have one run at a time; tied runs count in some fixed order.
     """
     dirty = F.lit(False) if compat else F.col("violations") > 0
-    scanned = running(
-        runs,
-        ["project_id"],
-        ["ts"],
-        sums={"_n": F.lit(1)},
-        lasts=None,
-    )
-    marked = running(
-        scanned, ["project_id"], ["ts"], lasts={"_broken": F.when(dirty, F.col("_n"))}
-    )
-    length = F.when(dirty, F.lit(0)).otherwise(F.col("_n") - F.coalesce("_broken", F.lit(0)))
+    marked = since_last(runs, ["project_id"], ["ts"], dirty, "_length")
+    length = F.col("_length")
     refresh = (length > 0) & (F.lit(threshold) > 0) & (length % max(threshold, 1) == 0)
     streak = F.when(F.lit(threshold > 0), length % max(threshold, 1)).otherwise(length)
     return marked.select(

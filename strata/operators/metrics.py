@@ -157,8 +157,20 @@ def expr_has_circular(cycles: DataFrame, projects: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: names an own function may not take
 Builtins = (
-    "count deps layers has_circular files ratio violations threshold all any filter map".split()
+    "count",
+    "deps",
+    "layers",
+    "has_circular",
+    "files",
+    "ratio",
+    "violations",
+    "threshold",
+    "all",
+    "any",
+    "filter",
+    "map",
 )
 
 

@@ -96,51 +96,48 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     return running(df, keys, order, position=name)
 
 
-def set_digest(
-    df: DataFrame, keys: list[str], item: str, terminator: str = "", limit: int = 100_000, name: str = "digest"
-) -> DataFrame:
-    """Order-independent SHA-256 of all ``item`` values of a group.
+def set_digest(df: DataFrame, keys: list[str], item: str, name: str = "digest") -> DataFrame:
+    """Order-independent digest of all ``item`` values of a group, copies counted.
 
-    A group of up to ``limit`` items gets the digest of its sorted items, each
-    followed by ``terminator``. A larger group gets the digest of the digests
-    of 65536 slices (chosen by item hash), so no task ever holds a whole group.
-    Copies travel as counts.
+    Each item's SHA-256 falls into sixteen 16-bit words; the digest is the SHA-256 of
+    the sixteen sums and the number of items. The same formula holds for any size:
+    sums combine before the shuffle and no task ever holds a list of items. Null items
+    count like the empty one.
     """
-    counted = (
-        df.groupBy(*keys, item)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slice", F.substring(F.sha2(F.col(item), 256), 1, 4))
-    )
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-
-    def flat(items: Column) -> Column:
-        ordered = F.array_sort(items)
-        return F.array_join(
-            F.transform(ordered, lambda x: F.repeat(F.concat(x[item], F.lit(terminator)), x["_n"].cast("int"))), ""
-        )
-
-    pair = F.struct(F.col(item), F.col("_n"))
-    sized = counted.join(totals, keys)
-    small = sized.where(F.col("_total") <= limit).groupBy(*keys).agg(
-        F.sha2(flat(F.collect_list(pair)), 256).alias(name)
+    word = [F.conv(F.substring("_h", 1 + 4 * i, 4), 16, 10).cast("bigint") for i in range(16)]
+    sums = [F.sum(w).cast("string").alias(f"_w{i}") for i, w in enumerate(word)]
+    totals = (
+        df.select(*keys, F.sha2(F.coalesce(F.col(item), F.lit("")), 256).alias("_h"))
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).cast("string").alias("_n"), *sums)
     )
+    parts = ["_n", *[f"_w{i}" for i in range(16)]]
+    return totals.select(*keys, F.sha2(F.concat_ws(":", *parts), 256).alias(name))
+
+
+def since_last(
+    df: DataFrame, keys: list[str], order: list[str], marked: Column, name: str
+) -> DataFrame:
+    """Add the number of rows since the last marked row of the group, 0 on a marked one.
 
-    def runs(items: Column) -> Column:
-        # a hot item is written once with its count, never repeated
-        ordered = F.array_sort(items)
-        return F.array_join(
-            F.transform(ordered, lambda x: F.concat(x[item], F.lit(terminator + "*"), x["_n"].cast("string"))), "\n"
-        )
-
-    slices = (
-        sized.where(F.col("_total") > limit)
-        .groupBy(*keys, "_slice")
-        .agg(F.sha2(runs(F.collect_list(pair)), 256).alias("_part"))
+    One ordered scan: ranks and the rank of the last mark are carried across chunks
+    together. Tied rows stand in one order, the same for both; (keys, order) should be
+    unique where that order matters.
+    """
+    chunks = _chunked(df.withColumn("_m", F.coalesce(marked, F.lit(False))), keys, order, unique=True)
+    local = W.partitionBy(*keys, _PID).orderBy(_POS).rowsBetween(W.unboundedPreceding, 0)
+    ranked = chunks.withColumn("_k", F.sum(F.lit(1)).over(local))
+    totals = ranked.groupBy(*keys, _PID).agg(
+        F.max("_k").alias("_t"), F.max(F.when(F.col("_m"), F.col("_k"))).alias("_u")
     )
-    large = slices.groupBy(*keys).agg(
-        F.sha2(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_slice", "_part"))), lambda x: x["_part"]), ""),
-            256,
-        ).alias(name)
+    before = W.partitionBy(*keys).orderBy(_PID).rowsBetween(W.unboundedPreceding, -1)
+    carry = (
+        totals.withColumn("_c", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+        .withColumn("_last", F.max(F.col("_c") + F.col("_u")).over(before))
+        .select(*keys, _PID, "_c", "_last")
     )
-    return small.unionByName(large)
+    mark = F.max(F.when(F.col("_m"), F.col("_k"))).over(local)
+    scanned = ranked.withColumn("_mark", mark).join(carry, [*keys, _PID], "left")
+    rank = F.col("_k") + F.col("_c")
+    last = F.coalesce(F.col("_mark") + F.col("_c"), F.col("_last"), F.lit(0))
+    return scanned.select(*df.columns, (rank - last).alias(name))

@@ -37,7 +37,6 @@ def evaluate_rules(
     projects: DataFrame,
     metrics: DataFrame | None = None,
     checks: list[tuple[int, str, Column, str, str]] = (),
-    max_cycle: int = 8,
     stored: bool = False,
 ) -> DataFrame:
     """R21 ``evaluate_rules``: standard, expression, template and circular violations.
@@ -54,8 +53,7 @@ def evaluate_rules(
     if templated is not None:
         out = out.unionByName(templated)
     pairs = graph.layer_edges(classified(deps, config.layers))
-    cycles = graph.layer_cycles(pairs, max_cycle, known_bound=len(config.layers))
-    return out.unionByName(graph.circular_violations(cycles, config))
+    return out.unionByName(graph.circular_violations(graph.layer_cycles(pairs), config))
 
 
 def audit(deps: DataFrame, config: Config, projects: DataFrame) -> dict[str, DataFrame]:

@@ -29,10 +29,10 @@ STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators assume; returns the session."""
+    """Apply the runtime settings the operators assume and send the package to workers."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
-    return spark
+    return ship(spark)
 
 
 def build_session(app: str = "strata", master: str | None = None, **settings: str) -> SparkSession:

@@ -18,7 +18,8 @@ def scan_corpus(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame
     """S1 ``scan_corpus``: a folder of projects -> (project_id, path, content).
 
     The first folder below ``root`` is the project. Listing is distributed and
-    ``pattern`` prunes files before they are opened.
+    ``pattern`` prunes files before they are opened. Bytes that are no UTF-8 are
+    replaced and the row is flagged in ``decode_error``; no file is lost.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -26,12 +27,15 @@ def scan_corpus(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame
         .option("pathGlobFilter", pattern)
         .load(root)
     )
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    inner = F.substring_index(F.col("path"), "/" + base + "/", -1)
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    inner = F.substring("path", len(full.rstrip("/")) + 2, F.length("path"))
+    text = F.col("content").cast("string")
     return raw.select(
         F.substring_index(inner, "/", 1).alias("project_id"),
         F.regexp_replace(inner, "^[^/]*/", "").alias("path"),
-        F.decode("content", "UTF-8").alias("content"),
+        F.make_valid_utf8(text).alias("content"),
+        (~F.is_valid_utf8(text)).alias("decode_error"),
     )
 
 

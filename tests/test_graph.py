@@ -24,31 +24,62 @@ def brute_cycles(pairs):
     return out
 
 
+def brute_shortest(pairs):
+    """For each edge the shortest elementary cycle through it, ties by the names after the edge."""
+    out = {(a, a) for a, b in pairs if a == b}
+    for a, b in pairs:
+        if a != b:
+            turned = []
+            for cycle in brute_cycles(pairs):
+                ring = list(cycle[:-1])
+                for i, node in enumerate(ring):
+                    if len(ring) > 1 and node == a and ring[(i + 1) % len(ring)] == b:
+                        start = ring[(i + 1) % len(ring) :] + ring[: (i + 1) % len(ring)]
+                        turned.append((len(ring), start, cycle))
+            if turned:
+                out.add(min(turned)[2])
+    return out
+
+
 def test_cycles_match_brute_force(spark):
     rng = random.Random(11)
     for _ in range(5):
         nodes = "abcde"
         pairs = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(rng.randint(3, 14))}
-        found = graph.layer_cycles(graph.layer_edges(edges_of(spark, sorted(pairs))), known_bound=5)
+        found = graph.layer_cycles(graph.layer_edges(edges_of(spark, sorted(pairs))))
         got = [tuple(r.cycle) for r in found.collect()]
-        assert len(got) == len(set(got)) and set(got) == brute_cycles(pairs)
+        assert len(got) == len(set(got)) and set(got) == brute_shortest(pairs)
+    for _ in range(200):
+        pairs = {(rng.choice("abcdef"), rng.choice("abcdef")) for _ in range(rng.randint(1, 16))}
+        assert graph.shortest_cycles(pairs) == brute_shortest(pairs)
 
 
 def test_cycle_evidence_and_flags(spark):
-    found = graph.layer_cycles(graph.layer_edges(edges_of(spark, [("a", "b"), ("b", "a"), ("a", "a")])), known_bound=2)
+    found = graph.layer_cycles(graph.layer_edges(edges_of(spark, [("a", "b"), ("b", "a"), ("a", "a")])))
     paths = {tuple(r.cycle): r.path for r in found.collect()}
     assert paths[("a", "b", "a")] == ["a (a/f:1)", "b (b/f:2)", "a"] and paths[("a", "a")] == ["a (a/f:3)", "a"]
-    no_self = graph.layer_cycles(
-        graph.layer_edges(edges_of(spark, [("a", "a")])), include_self=False, known_bound=2
-    )
+    no_self = graph.layer_cycles(graph.layer_edges(edges_of(spark, [("a", "a")])), include_self=False)
     assert no_self.count() == 0
-    ring = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c"), ("c", "a")]
-    short = graph.layer_cycles(graph.layer_edges(edges_of(spark, ring)), max_len=2)
-    assert {(tuple(r.cycle), r.truncated) for r in short.collect()} == {(("a", "c", "a"), True)}
+
+
+def test_rings_of_any_length_and_dense_graphs(spark):
+    from strata.plans.check import evaluate_rules
+
+    for n in (9, 10, 40):
+        names = [f"l{i:02d}" for i in range(n)]
+        config = Config(tuple(Layer(x, (f"{x}/",)) for x in names))
+        rows_ = [("p", f"{a}/f", 1, f"{b}/g", b, "go") for a, b in zip(names, names[1:] + names[:1])]
+        deps = spark.createDataFrame(
+            rows_, "project_id string, source_file string, source_line int, import_path string, resolved_layer string, language string"
+        )
+        found = evaluate_rules(deps, config, deps.select("project_id").distinct()).collect()
+        assert [r.rule_id for r in found] == ["no-circular-dependencies"] and found[0].import_path.count("→") == n
+    dense = {(f"n{i}", f"n{j}") for i in range(20) for j in range(20) if i != j}
+    assert len(graph.shortest_cycles(dense)) == 190
 
 
 def test_circular_violations(spark, rows):
-    cycles = graph.layer_cycles(graph.layer_edges(edges_of(spark, [("a", "b"), ("b", "a")])), known_bound=2)
+    cycles = graph.layer_cycles(graph.layer_edges(edges_of(spark, [("a", "b"), ("b", "a")])))
     default = graph.circular_violations(cycles, Config((Layer("a", ("a/",)),)))
     assert rows(default, "rule_id", "file", "line", "import_path") == [
         ("no-circular-dependencies", "a/f", 1, "circular: a → b → a")

@@ -59,11 +59,19 @@ def test_baseline(spark, rows):
 def test_pr_filter_modes(spark, rows):
     found = viol(spark, [("r", "i", "edited", 2), ("r", "i", "edited", 5), ("r", "i", "gone", 1), ("r", "i", "new", 1)])
     lines = spark.createDataFrame(
-        [("p", "edited", 0, 2), ("p", "edited", 3, 0), ("p", "edited", 4, 5), ("p", "gone", 1, 0), ("p", "new", 0, 1)],
-        "project_id string, file string, old_line int, new_line int",
+        [
+            ("p", 1, "edited", 0, 2), ("p", 1, "edited", 3, 0), ("p", 1, "edited", 4, 5), ("p", 1, "gone", 1, 0), ("p", 1, "new", 0, 1),
+            ("p", 2, "edited", 1, 0), ("p", 2, "new", 0, 1), ("p", 3, "gone", 0, 1),
+        ],
+        "project_id string, pr int, file string, old_line int, new_line int",
     )
-    assert rows(diffs.pr_filter(found, lines), "file", "line") == [("edited", 2), ("new", 1)]
-    assert rows(diffs.pr_filter(found, lines, compat=True), "file") == [("new",)]
+    judged = diffs.pr_filter(found, lines)
+    # change 2 deletes what change 1 edits, and change 3 adds what change 1 deletes
+    assert rows(judged, "pr", "file", "line") == [(1, "edited", 2), (1, "new", 1), (2, "new", 1), (3, "gone", 1)]
+    assert rows(diffs.pr_filter(found, lines, compat=True), "pr", "file") == [(1, "new"), (2, "new"), (3, "gone")]
+    changes = spark.createDataFrame([("p", 1), ("p", 2), ("p", 4)], "project_id string, pr int")
+    totals = rows(diffs.pr_summary(judged, found, changes), "pr", "n_new", "n_total", "passed")
+    assert totals == [(1, 2, 4, False), (2, 1, 4, False), (4, 0, 4, True)]
 
 
 def test_conflicts_match_brute_force(spark):
@@ -99,14 +107,18 @@ def test_running_matches_plain_window(spark):
 
 
 def test_set_digest(spark):
-    items = ["b", "a", "a", "c"]
-    df = spark.createDataFrame([("p", x) for x in items] + [("q", "z")], "k string, x string")
-    small = dict(set_digest(df, ["k"], "x", "\0").collect())
-    assert small["p"] == hashlib.sha256(b"a\0a\0b\0c\0").hexdigest()
-    big = dict(set_digest(df, ["k"], "x", limit=1).collect())
-    again = dict(set_digest(df.orderBy("x"), ["k"], "x", limit=1).collect())
-    other = dict(set_digest(df.where("x <> 'c'"), ["k"], "x", limit=1).collect())
-    assert big == again and big["p"] != small["p"] and other["p"] != big["p"] and big["q"] == other["q"]
+    """One formula for every size: order is nothing, copies count, removing what was added restores it."""
+    base = [("p", x) for x in "abcaxyz"]
+    digest = lambda rows: dict(set_digest(spark.createDataFrame(rows, "k string, x string"), ["k"], "x").collect())["p"]
+    first = digest(base)
+    assert digest(base[::-1]) == first and digest([*base, ("p", "a")]) != first and digest(base[:-1]) != first
+    many = [("p", f"item{i}") for i in range(3000)]
+    assert digest([*many, ("p", "z")]) != digest(many) == digest(many[::-1])
+    words = [0] * 16
+    for _, x in base:
+        h = hashlib.sha256(x.encode()).hexdigest()
+        words = [w + int(h[4 * i : 4 * i + 4], 16) for i, w in enumerate(words)]
+    assert first == hashlib.sha256(":".join(map(str, [len(base), *words])).encode()).hexdigest()
 
 
 def test_trends(spark):
