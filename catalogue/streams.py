@@ -67,27 +67,37 @@ def w2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("w3_incremental_check", "SELECT * FROM c_viol")
 def w3(spark: SparkSession, folder: str) -> DataFrame:
-    known = files_from_documents(spark, folder)
-
     def extract(changed: DataFrame) -> DataFrame:
-        found = extraction.extract_imports(filter_source_files(changed))
-        return resolution.resolve_imports(found, known, CORPUS_LAYERS, ALIASES).select(
-            "project_id", "source_file", "source_line", "import_path", "resolved_layer", "language"
-        )
+        return extraction.extract_imports(filter_source_files(changed))
+
+    def check(found: DataFrame, present: DataFrame) -> DataFrame:
+        deps = resolution.resolve_imports(found, present, CORPUS_LAYERS, ALIASES)
+        return rules.standard_violations(deps, CORPUS)
 
     out = scratch(spark, "violations")
+    changed = file_columns(stream(spark, folder, "documents")).withColumns(
+        {"op": F.lit("write"), "ts": F.lit("2024-01-01").cast("timestamp")}
+    )
+    known = files_from_documents(spark, folder).select("project_id", "path", "content")
     body = watch.incremental_check(
-        watch.StateTable(spark, scratch(spark, "deps")),
+        watch.ProjectState(spark, scratch(spark, "imports"), extract(known).schema),
+        watch.ProjectState(spark, scratch(spark, "files"), known.schema),
         extract,
-        lambda deps: rules.standard_violations(deps, CORPUS),
+        check,
         out,
+        builds=F.col("path").isin("go.mod", "pom.xml", "build.gradle", "build.gradle.kts"),
     )
-    changed = file_columns(stream(spark, folder, "documents")).withColumns(
+    # build files of the corpus come first, then the documents
+    stems = file_columns(table(spark, folder, "documents")).select("project_id", "path")
+    rest = known.join(stems, ["project_id", "path"], "left_anti").withColumns(
         {"op": F.lit("write"), "ts": F.lit("2024-01-01").cast("timestamp")}
     )
+    body(rest, -1)
     watch.run_available(changed, scratch(spark, "check"), each=body)
-    newest = spark.read.parquet(out).select(F.max("epoch").alias("e")).first()["e"]
-    return spark.read.parquet(f"{out}/epoch={newest}").drop("rule_ord", "original_severity", "overridden")
+    # the newest verdict of every project
+    found = spark.read.parquet(out)
+    newest = found.groupBy("project_id").agg(F.max("epoch").alias("epoch"))
+    return found.join(newest, ["project_id", "epoch"], "left_semi").drop("rule_ord", "original_severity", "overridden", "epoch")
 
 
 @query(
@@ -103,8 +113,8 @@ UNION ALL SELECT project_id, id, 'resolved' FROM a WHERE NOT EXISTS (SELECT 1 FR
 )
 def w4(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark, "changes")
-    body = watch.change_feed(watch.StateTable(spark, scratch(spark, "state")), out)
     runs = violation_columns(stream(spark, folder, "events")).withColumn("ts", F.col("run_date").cast("timestamp"))
+    body = watch.change_feed(watch.ProjectState(spark, scratch(spark, "state"), runs.schema), out)
     # two runs of the fleet: the second one sees a day more
     watch.run_available(runs.where("run_date < date'2024-01-30'"), scratch(spark, "check"), each=body)
     watch.run_available(runs, scratch(spark, "check"), each=lambda batch, epoch: body(batch, epoch + 1000))

@@ -177,13 +177,14 @@ def related_violations(violations: DataFrame, target: DataFrame) -> DataFrame:
     return violations.where((F.col("rule_id") == rule) | (F.col("file") == file))
 
 
-def fix_conflicts(suggestions: DataFrame, tolerance: int = 3, bin_lines: int = 64) -> DataFrame:
+def fix_conflicts(suggestions: DataFrame, tolerance: int = 3, bin_lines: int = 16) -> DataFrame:
     """H13 ``fix_conflicts``: overlapping fixes of one file, as pairs of line ranges.
 
     Suggestions with the same range are one group with a count, and ``n_pairs``
     is the exact number of conflicting suggestion pairs, so a thousand fixes of
     one line cost one row. Ranges meet through an equi-join on (file, line
-    bin); a pair is kept only in the bin where its overlap starts.
+    bin); a pair is kept only in the bin where its overlap starts. ``conflict_members``
+    lists the suggestions behind the ranges.
     """
     keys = ["project_id", "file"]
     ranges = (
@@ -221,6 +222,21 @@ def fix_conflicts(suggestions: DataFrame, tolerance: int = 3, bin_lines: int = 6
     )
 
 
+def conflict_members(suggestions: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """H13 members: the suggestions on each line range that takes part in a conflict.
+
+    Together with the pairs of ranges this names every conflicting pair:
+    (project_id, file, start_line, end_line, violation_id).
+    """
+    keys = ["project_id", "file", "start_line", "end_line"]
+    sides = [
+        conflicts.select("project_id", "file", F.col(f"start_{x}").alias("start_line"), F.col(f"end_{x}").alias("end_line"))
+        for x in ("a", "b")
+    ]
+    hit = sides[0].union(sides[1]).distinct()
+    return suggestions.select(*keys, "violation_id").join(hit, keys, "left_semi")
+
+
 def config_changed(before: DataFrame, after: DataFrame) -> DataFrame:
     """H14 ``config_changed``: does a project's config hash differ between two runs?"""
     a = before.groupBy("project_id").agg(F.max_by("config_hash", "ts").alias("hash_before"))

@@ -24,6 +24,7 @@ from strata.model import (
 )
 from strata.operators.layers import assign_source_layer
 from strata.operators.ordered import numbered
+from strata.session import materialise
 
 FILE, IMPORT = "source_file", "import_path"
 
@@ -274,8 +275,9 @@ def policy_udf(
     """R19 ``policy_udf``: run a user policy given as a DataFrame -> DataFrame function.
 
     The policy returns (project_id, message[, file, severity, rule_id]). A rule
-    disabled everywhere is skipped; disabled or excluded files are dropped; a
-    policy that cannot be planned is reported in the status, not raised.
+    disabled everywhere is skipped; disabled or excluded files are dropped. The
+    policy's rows are written here, so that one that cannot be planned or fails while
+    it runs is reported in the status and never takes the others along.
     """
     if any(o.enabled is False and o.path == "" for o in rule.overrides):
         return None, "disabled"
@@ -293,7 +295,7 @@ def policy_udf(
             "message",
             F.when(F.col("severity") == "", F.lit(rule.severity)).otherwise(F.col("severity")).alias("severity"),
         )
-        return filled, "ok"
+        return materialise(filled), "ok"
     except Exception as error:  # a faulty policy must not stop the others
         return None, f"error: {type(error).__name__}"
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from strata.functions.globs import matches_any
@@ -147,54 +148,141 @@ class StateTable:
         return self.spark.read.parquet(f"{self.path}/v{epoch}")
 
 
-def change_feed(state: StateTable, out: str) -> Callable[[DataFrame, int], None]:
+class ProjectState:
+    """State of many projects in a fixed number of buckets.
+
+    A micro-batch reads and writes only the buckets its projects fall into; the
+    others stay as they are. Each bucket keeps its last two versions, so that a
+    replayed batch, which reads versions below its own number, gives the same result.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, buckets: int = 64) -> None:
+        self.spark, self.path, self.schema, self.buckets = spark, path, schema, buckets
+        self._fs = self._hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _hadoop(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def touched(self, projects: DataFrame) -> list[int]:
+        """Buckets of some projects: no more than there are buckets."""
+        bucket = F.pmod(F.xxhash64("project_id"), F.lit(self.buckets)).cast("int")
+        return sorted(r[0] for r in projects.select(bucket).distinct().collect())
+
+    def _folders(self, bucket: int) -> list[int]:
+        root = self._hadoop(f"{self.path}/bucket-{bucket}")
+        if not self._fs.exists(root):
+            return []
+        return sorted(int(x.getPath().getName()) for x in self._fs.listStatus(root))
+
+    def before(self, epoch: int, buckets: list[int]) -> DataFrame:
+        """Rows of the buckets as they were before a micro-batch."""
+        paths = []
+        for bucket in buckets:
+            done = [v for v in self._folders(bucket) if v < epoch]
+            if done:
+                paths.append(f"{self.path}/bucket-{bucket}/{done[-1]}")
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def write(self, epoch: int, rows: DataFrame, buckets: list[int]) -> DataFrame:
+        """Replace the rows of these buckets; returns what was written."""
+        staged = f"{self.path}/staged-{epoch}"
+        bucket = F.pmod(F.xxhash64("project_id"), F.lit(self.buckets)).cast("int")
+        names = [f.name for f in self.schema]
+        rows.select(*names, bucket.alias("_b")).write.mode("overwrite").partitionBy("_b").parquet(staged)
+        paths = []
+        for b in buckets:
+            place = self._hadoop(f"{self.path}/bucket-{b}/{epoch}")
+            self._fs.mkdirs(place.getParent())
+            self._fs.delete(place, True)
+            source = self._hadoop(f"{staged}/_b={b}")
+            if not self._fs.exists(source):
+                self._fs.mkdirs(place)  # the bucket has become empty
+            elif not self._fs.rename(source, place):
+                raise OSError(f"{source} can't be moved to {place}")
+            paths.append(place.toString())
+            for old in [v for v in self._folders(b) if v < epoch][:-1]:
+                self._fs.delete(self._hadoop(f"{self.path}/bucket-{b}/{old}"), True)
+        self._fs.delete(self._hadoop(staged), True)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+
+def change_feed(state: ProjectState, out: str) -> Callable[[DataFrame, int], None]:
     """W4 ``change_feed``: a ``foreachBatch`` body writing added / resolved / unchanged rows.
 
     A micro-batch holds full check results of some projects, each row with its
-    run ``ts``; only the newest run of a project in the batch counts. The
-    comparison is H3 against the stored state, restricted to the projects in
-    the batch; other projects keep their state.
+    run ``ts``; only the newest run of a project in the batch counts. A row without a
+    rule_id says that a run took place, so a clean run is a run too: what it no longer
+    has is resolved. The comparison is H3 against the stored state of those projects;
+    others are neither read beyond their bucket nor reported.
     """
 
     def body(batch: DataFrame, epoch: int) -> None:
-        last = batch.groupBy("project_id").agg(F.max("ts").alias("ts"))
-        current = batch.join(last, ["project_id", "ts"], "left_semi")
-        previous = state.before(epoch)
-        if previous is None:
-            previous = current.where(F.lit(False))
-        touched = previous.join(last.select("project_id"), "project_id", "left_semi")
-        kept = previous.join(last.select("project_id"), "project_id", "left_anti")
-        changes = watch_diff(touched, current).withColumn("epoch", F.lit(epoch))
+        batch = materialise(batch)
+        last = materialise(batch.groupBy("project_id").agg(F.max("ts").alias("ts")))
+        runs = batch.join(last, ["project_id", "ts"], "left_semi")
+        current = runs.where("rule_id is not null").select(*[f.name for f in state.schema])
+        buckets = state.touched(last)
+        if not buckets:
+            return
+        previous = state.before(epoch, buckets)
+        mine = previous.join(last.select("project_id"), "project_id", "left_semi")
+        changes = watch_diff(mine, current).withColumn("epoch", F.lit(epoch))
         changes.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        state.write(epoch, kept.unionByName(current))
+        kept = previous.join(last.select("project_id"), "project_id", "left_anti")
+        state.write(epoch, kept.unionByName(current), buckets)
 
     return body
 
 
 def incremental_check(
-    state: StateTable, extract: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame], out: str
+    imports: ProjectState,
+    files: ProjectState,
+    extract: Callable[[DataFrame], DataFrame],
+    check: Callable[[DataFrame, DataFrame], DataFrame],
+    out: str,
+    builds: Column | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """W3 ``incremental_check``: a ``foreachBatch`` body over changed files.
 
-    Input rows are (project_id, path, op, ts, content). Only the newest version
-    of each changed file is extracted; edges of other files come from the
-    stored state; the merged edges are checked.
+    Input rows are (project_id, path, op, ts, content). Only the newest version of
+    each changed file is extracted; imports of a project's other files and the list of
+    its files come from the stored states. ``check(imports, files)`` then resolves and
+    judges the projects of the batch alone, so imports of unchanged files see a target
+    that was added or removed. Content is stored only for the files that ``builds`` picks.
     """
 
     def body(batch: DataFrame, epoch: int) -> None:
-        newest = (
+        newest = materialise(
             batch.groupBy("project_id", "path")
             .agg(F.max(F.struct("ts", "op", "content")).alias("f"))
             .select("project_id", "path", F.col("f.op").alias("op"), F.col("f.content").alias("content"))
         )
-        fresh = extract(newest.where("op <> 'remove'").drop("op"))
-        stored = state.before(epoch)
-        merged = fresh
-        if stored is not None:
-            changed = newest.select("project_id", F.col("path").alias("source_file"))
-            merged = stored.join(changed, ["project_id", "source_file"], "left_anti").unionByName(fresh)
-        deps = state.write(epoch, merged)
-        check(deps).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        projects = newest.select("project_id").distinct()
+        buckets = imports.touched(projects)
+        if not buckets:
+            return
+        written = newest.where("op <> 'remove'").drop("op")
+        kept = F.when(builds, F.col("content")) if builds is not None else F.lit(None).cast("string")
+        changed = newest.select("project_id", "path")
+        present = files.before(epoch, buckets).join(changed, ["project_id", "path"], "left_anti")
+        present = files.write(epoch, present.unionByName(written.withColumn("content", kept)), buckets)
+        old = imports.before(epoch, buckets).join(
+            changed.withColumnRenamed("path", "source_file"), ["project_id", "source_file"], "left_anti"
+        )
+        merged = imports.write(epoch, old.unionByName(extract(written).select(*[f.name for f in imports.schema])), buckets)
+        mine = (x.join(projects, "project_id", "left_semi") for x in (merged, present))
+        check(*mine).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return body
+
+
+def refresh(check: Callable[[], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` body that judges everything anew at each tick."""
+
+    def body(batch: DataFrame, epoch: int) -> None:
+        check().write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return body
 

@@ -277,13 +277,31 @@ def test_registry(spark, rows):
     assert registry.status["lua"] == "ok" and registry.status["bad"].startswith("error")
 
 
+def test_failing_parser_is_reported(spark, rows):
+    def parse(text):
+        if "bad" in text:
+            raise ValueError(text)
+        return [text]
+
+    registry = ExtractorRegistry()
+    registry.register(Extractor("loud", lambda files: files, line_extractor(parse)))
+    files = files_of(spark, {"x": "one\nbad\ntwo"})
+    assert rows(registry.run(files), "source_line", "import_path") == [(1, "one"), (3, "two")]
+    assert rows(registry.failures(files), "source_file", "source_line", "error") == [("x", 2, "ValueError")]
+
+
 def test_scan_and_plugin(spark, rows, tmp_path):
     root = tmp_path / "fleet"
     (root / "p1" / "src").mkdir(parents=True)
     (root / "p1" / "src" / "a.go").write_text("é")
     (root / "p2").mkdir()
     (root / "p2" / "b.txt").write_text("x")
-    assert rows(scan_corpus(spark, str(root), "*.go")) == [("p1", "src/a.go", "é")]
+    assert rows(scan_corpus(spark, str(root), "*.go")) == [("p1", "src/a.go", "é", False)]
+    # a folder named like the root, and bytes that are no UTF-8
+    (root / "p1" / "fleet" / "x").mkdir(parents=True)
+    (root / "p1" / "fleet" / "x" / "c.go").write_bytes(b"// caf\xe9\nimport \"x\"")
+    odd = rows(scan_corpus(spark, str(root), "c.go"))
+    assert odd == [("p1", "fleet/x/c.go", "// caf\ufffd\nimport \"x\"", True)]
     answers = tmp_path / "out.json"
     good = {"extract": {"dependencies": [{"source_file": "a", "source_line": 2, "import_path": "x", "resolved_layer": ""}]}}
     answers.write_text(json.dumps(good) + "\n" + json.dumps({"error": {"message": "m"}}) + "\n")

@@ -46,14 +46,29 @@ VIOL = "project_id string, rule_id string, source_layer string, target_layer str
 
 def test_change_feed_over_runs(spark, tmp_path, rows):
     def v(project, imp, day):
-        return (project, "r", "a", "b", imp, "f", T0 + timedelta(days=day))
+        return (project, "r" if imp else None, "a", "b", imp, "f", T0 + timedelta(days=day))
 
-    batches = [[v("p", "x", 0), v("p", "y", 0), v("q", "x", 0)], [v("p", "y", 1), v("p", "z", 1), v("p", "old", 0)]]
-    out = str(tmp_path / "out")
-    body = watch.change_feed(watch.StateTable(spark, str(tmp_path / "state")), out)
+    batches = [
+        [v("p", "x", 0), v("p", "y", 0), v("q", "x", 0)],
+        [v("p", "y", 1), v("p", "z", 1), v("p", "old", 0)],
+        [v("p", None, 2)],  # a clean run
+        [v("p", None, 3)],
+    ]
+    out, place = str(tmp_path / "out"), tmp_path / "state"
+    schema = spark.createDataFrame([], VIOL).schema
+    state = watch.ProjectState(spark, str(place), schema)
+    body = watch.change_feed(state, out)
     feed(spark, tmp_path, batches, VIOL, lambda s, c: watch.run_available(s, c, each=body))
-    got = rows(spark.read.parquet(out).where("epoch = 1"), "project_id", "import_path", "change")
+    found = spark.read.parquet(out)
+    got = rows(found.where("epoch = 1"), "project_id", "import_path", "change")
     assert got == [("p", "x", "resolved"), ("p", "y", "unchanged"), ("p", "z", "added")]
+    assert rows(found.where("epoch = 2"), "project_id", "import_path", "change") == [("p", "y", "resolved"), ("p", "z", "resolved")]
+    assert found.where("epoch = 3").count() == 0
+    # q was touched once and its bucket never rewritten
+    (bucket,) = state.touched(spark.createDataFrame([("q",)], "project_id string"))
+    (other,) = state.touched(spark.createDataFrame([("p",)], "project_id string"))
+    assert bucket != other and state._folders(bucket) == [0] and state._folders(other) == [2, 3]
+    assert rows(state.before(9, [bucket]), "project_id", "import_path") == [("q", "x")]
 
 
 FILE = "project_id string, path string, op string, ts timestamp, content string"
@@ -65,26 +80,38 @@ def test_incremental_check(spark, tmp_path, rows):
 
     def extract(files):
         return files.select(
-            "project_id",
-            F.col("path").alias("source_file"),
-            F.lit(1).alias("source_line"),
-            F.col("content").alias("import_path"),
-            F.substring_index("content", "/", 1).alias("resolved_layer"),
-            F.lit("x").alias("language"),
+            "project_id", F.col("path").alias("source_file"), F.lit(1).alias("source_line"), F.col("content").alias("import_path")
+        )
+
+    def check(imports, files):
+        # an import is resolved while its file is there
+        known = files.select("project_id", F.col("path").alias("import_path"))
+        deps = imports.join(known, ["project_id", "import_path"]).withColumns(
+            {"resolved_layer": F.substring_index("import_path", "/", 1), "language": F.lit("x")}
         )
+        return rules.standard_violations(deps, config)
 
+    day = lambda n: T0 + timedelta(n)
     batches = [
-        [("p", "a/1", "write", T0, "b/x"), ("p", "a/2", "write", T0, "b/y"), ("p", "a/3", "write", T0, "b/z")],
-        [("p", "a/1", "write", T0 + timedelta(1), "a/x"), ("p", "a/2", "remove", T0 + timedelta(1), "")],
+        [("p", "a/1", "write", day(0), "b/x"), ("p", "a/2", "write", day(0), "b/y"), ("p", "b/y", "write", day(0), "-"), ("q", "a/9", "write", day(0), "b/x")],
+        [("p", "b/x", "write", day(1), "-"), ("p", "a/2", "remove", day(1), "")],
+        [("p", "b/x", "remove", day(2), "")],
     ]
     out = str(tmp_path / "out")
+    imports = "project_id string, source_file string, source_line int, import_path string"
     body = watch.incremental_check(
-        watch.StateTable(spark, str(tmp_path / "state")), extract, lambda d: rules.standard_violations(d, config), out
+        watch.ProjectState(spark, str(tmp_path / "imports"), spark.createDataFrame([], imports).schema),
+        watch.ProjectState(spark, str(tmp_path / "files"), spark.createDataFrame([], "project_id string, path string, content string").schema),
+        extract,
+        check,
+        out,
     )
     feed(spark, tmp_path, batches, FILE, lambda s, c: watch.run_available(s, c, each=body))
     result = spark.read.parquet(out)
-    assert rows(result.where("epoch = 0"), "file") == [("a/1",), ("a/2",), ("a/3",)]
-    assert rows(result.where("epoch = 1"), "file") == [("a/3",)]
+    assert rows(result.where("epoch = 0"), "project_id", "file") == [("p", "a/2")]
+    # an unchanged file sees the target that was added, and loses it again
+    assert rows(result.where("epoch = 1"), "project_id", "file") == [("p", "a/1")]
+    assert result.where("epoch = 2").count() == 0
 
 
 def test_late_rows_are_dropped_by_rule(spark, tmp_path, rows):
