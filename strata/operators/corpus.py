@@ -107,9 +107,13 @@ def parse_ignore(text: str) -> list[str]:
 
 def ignore_filter(files: DataFrame, patterns: list[str]) -> DataFrame:
     """S5 ``ignore_filter``: drop files matched by an ignore pattern, or below a matched directory."""
-    path = F.col("path")
+    return files.where(~ignored(F.col("path"), patterns)) if patterns else files
+
+
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """Does an ignore pattern match a path, or a directory above it?"""
     above = F.exists(ancestors(path), lambda d: matches_any(d, patterns, "ignore"))
-    return files.where(~(matches_any(path, patterns, "ignore") | above)) if patterns else files
+    return matches_any(path, patterns, "ignore") | above
 
 
 def manifest(files: DataFrame, config_hash: Column) -> DataFrame:

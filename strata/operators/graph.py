@@ -237,65 +237,138 @@ def graph_file_edges(edges: DataFrame, violations: DataFrame) -> DataFrame:
     )
 
 
-def file_cycles(file_edges: DataFrame, every: int = 4, max_rounds: int = 1000) -> DataFrame:
+def file_cycles(file_edges: DataFrame, every: int = 4) -> DataFrame:
     """F9 ``file_cycles``: strongly connected groups of the file graph.
 
-    Input (project_id, src, dst); output (project_id, file, component) for
-    files in a group of two or more, ``component`` being its smallest file.
+    Input (project_id, src, dst); output (project_id, file, component) for files in a
+    group of two or more, ``component`` being its smallest file.
 
-    Colouring: the smallest reaching file name flows forward until nothing
-    changes; inside each colour, files that reach its root going backward form
-    a group, leave the graph, and the rest repeats. Every round aggregates map-
-    side before its shuffle and joins on (project, file), so a hot file is
-    split by the adaptive join; lineage is cut every few rounds.
+    Files become 64-bit numbers in the order of (project, file) once, so every later
+    join and aggregate is on numbers. Each round first drops edges that cannot lie on a
+    cycle and shortens chains of files with one edge in and one out to a single edge, by
+    doubling steps, so a long chain costs the logarithm of its length; if that changes
+    nothing, the smallest reaching number flows forward (colouring), and inside each
+    colour the files that reach its root going backward form a group and leave. The
+    rounds go on until no edge is left.
     """
-    project = "project_id"
+    with_files = file_edges.where("src <> dst and project_id is not null").select("project_id", "src", "dst")
+    nodes = with_files.select("project_id", F.col("src").alias("file")).union(with_files.select("project_id", "dst")).distinct()
+    # partitions hold ascending ranges and rows are sorted, so the numbers ascend with the names
+    named = materialise(
+        nodes.repartitionByRange("project_id", "file")
+        .sortWithinPartitions("project_id", "file")
+        .withColumn("id", F.monotonically_increasing_id())
+    )
+    tails = named.select("project_id", F.col("file").alias("src"), F.col("id").alias("a"))
+    heads = named.select("project_id", F.col("file").alias("dst"), F.col("id").alias("b"))
     live = materialise(
-        file_edges.where("src <> dst").select(project, "src", "dst").where("dst is not null").distinct()
+        with_files.join(tails, ["project_id", "src"]).join(heads, ["project_id", "dst"]).select("a", "b").distinct()
     )
-    groups: DataFrame | None = None
-    live = _trim(live, every)
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
-        nodes = (
-            live.select(project, F.col("src").alias("file"))
-            .union(live.select(project, F.col("dst").alias("file")))
-            .distinct()
-        )
-        colours = _spread(live, nodes.withColumn("label", F.col("file")), every)
-        same = (
-            live.join(colours.select(project, F.col("file").alias("src"), F.col("label").alias("a")), [project, "src"])
-            .join(colours.select(project, F.col("file").alias("dst"), F.col("label").alias("b")), [project, "dst"])
-            .where("a = b")
-            .select(project, F.col("a").alias("label"), F.col("dst").alias("src"), F.col("src").alias("dst"))
-        )
-        reached = _reach(materialise(same), colours.where("file = label").select(project, "file", "label"), every)
-        groups = reached if groups is None else groups.unionByName(reached)
-        gone = reached.select(project, "file")
-        live = materialise(
-            live.join(gone.withColumnRenamed("file", "src"), [project, "src"], "left_anti").join(
-                gone.withColumnRenamed("file", "dst"), [project, "dst"], "left_anti"
+    groups: list[DataFrame] = []
+    chains: list[DataFrame] = []
+    size = live.count()
+    while size:
+        live = _trim(live, every)
+        live, chain, rings = _shorten(live)
+        chains.append(chain)
+        groups.append(rings)
+        left = live.count()
+        if left == size:
+            found = _colour_groups(live, every)
+            groups.append(found)
+            gone = found.select("id")
+            live = materialise(
+                live.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
             )
-        )
-    if groups is None:
-        return file_edges.where(F.lit(False)).select(project, F.col("src").alias("file"), F.col("dst").alias("component"))
-    sizes = groups.groupBy(project, "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return groups.join(sizes, [project, "label"]).select(project, "file", F.col("label").alias("component"))
+            left = live.count()
+        size = left
+    if not groups:
+        return named.select("project_id", "file", F.col("file").alias("component"))
+    members = groups[0]
+    for more in groups[1:]:
+        members = members.union(more)
+    # files of shortened chains belong where both of their ends do; later chains first
+    for chain in reversed(chains):
+        ends = members.select(F.col("id").alias("front"), F.col("root").alias("r1"))
+        backs = members.select(F.col("id").alias("back"), F.col("root").alias("r2"))
+        inside = chain.join(ends, "front", "left").join(backs, "back", "left")
+        whole = inside.where("front = back or r1 = r2")
+        added = whole.select("id", F.coalesce("r1", "front").alias("root"))
+        closed = whole.where("front = back and r1 is null").select(F.col("front").alias("id"), F.col("front").alias("root"))
+        members = materialise(members.union(added).union(closed.distinct()))
+    smallest = members.groupBy("root").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    files = named.select("id", "project_id", "file")
+    firsts = named.select(F.col("id").alias("first"), F.col("file").alias("component"))
+    return (
+        members.join(smallest, "root").join(files, "id").join(firsts, "first").select("project_id", "file", "component")
+    )
+
+
+def _trim(live: DataFrame, hops: int) -> DataFrame:
+    """Drop edges whose source has no inbound or whose target has no outbound edge, a few hops deep."""
+    for _ in range(hops):
+        sources = live.select(F.col("a").alias("b")).distinct()
+        targets = live.select(F.col("b").alias("a")).distinct()
+        live = live.join(sources, "b", "left_semi").join(targets, "a", "left_semi")
+    return materialise(live)
 
 
-def _trim(live: DataFrame, every: int, passes: int = 1) -> DataFrame:
-    """Drop edges whose source has no inbound or whose target has no outbound edge.
+def _shorten(live: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Replace chains of files with one edge in and one out by single edges.
 
-    A bounded head start: what it leaves over, the colouring settles.
+    Returns the shorter graph, the files taken out (id, front, back: the files before
+    and behind their chain) and rings that consist of such files alone (id, root). A
+    chain that comes back to its own front leaves no edge; its files tell of it.
     """
-    for _ in range(passes):
-        for _ in range(every):
-            sources = live.select("project_id", F.col("src").alias("dst")).distinct()
-            targets = live.select("project_id", F.col("dst").alias("src")).distinct()
-            live = live.join(sources, ["project_id", "dst"], "left_semi").join(targets, ["project_id", "src"], "left_semi")
-        live = materialise(live)
-    return live
+    outs = live.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("to")).where("n = 1")
+    ins = live.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("from")).where("n = 1")
+    plain = materialise(
+        outs.select(F.col("a").alias("id"), "to").join(ins.select(F.col("b").alias("id"), "from"), "id")
+    )
+    step = plain.select("id", F.col("to").alias("back"), F.col("from").alias("front"), F.col("id").alias("low"))
+    total = plain.count()
+    reach = 1
+    while reach < 2 * total:
+        # where an end is itself on a chain, go on to that one's end; rings go round for ever
+        ahead = step.select(F.col("id").alias("back"), F.col("back").alias("next"), F.col("low").alias("low2"))
+        behind = step.select(F.col("id").alias("front"), F.col("front").alias("before"))
+        grown = step.join(ahead, "back", "left").join(behind, "front", "left")
+        new = materialise(
+            grown.select(
+                "id",
+                F.coalesce("next", "back").alias("back"),
+                F.coalesce("before", "front").alias("front"),
+                F.least("low", "low2").alias("low"),
+                F.col("next").isNotNull().alias("open"),
+            )
+        )
+        step, reach = new.drop("open"), 2 * reach
+        if new.where("open").isEmpty():
+            break
+    chain_ids = plain.select("id")
+    # the end of an open chain is never on a chain itself
+    ring = step.join(chain_ids.withColumnRenamed("id", "back"), "back", "left_semi").select("id", F.col("low").alias("root"))
+    chain = step.join(chain_ids.withColumnRenamed("id", "back"), "back", "left_anti").select("id", "front", "back")
+    ring, chain = materialise(ring), materialise(chain)
+    rest = live.join(chain_ids.withColumnRenamed("id", "a"), "a", "left_anti").join(
+        chain_ids.withColumnRenamed("id", "b"), "b", "left_anti"
+    )
+    links = chain.where("front <> back").select(F.col("front").alias("a"), F.col("back").alias("b"))
+    return materialise(rest.union(links).distinct()), chain, ring
+
+
+def _colour_groups(live: DataFrame, every: int) -> DataFrame:
+    """One strongly connected group of each colour: (id, root)."""
+    nodes = live.select(F.col("a").alias("id")).union(live.select("b")).distinct()
+    colours = _spread(live, nodes.withColumn("label", F.col("id")), every)
+    same = (
+        live.join(colours.select(F.col("id").alias("a"), F.col("label").alias("la")), "a")
+        .join(colours.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+        .where("la = lb")
+        .select(F.col("la").alias("label"), F.col("b").alias("a"), F.col("a").alias("b"))
+    )
+    reached = _reach(materialise(same), colours.where("id = label").select("id", "label"), every)
+    return materialise(reached.select("id", F.col("label").alias("root")))
 
 
 def _spread(edges: DataFrame, labels: DataFrame, every: int) -> DataFrame:
@@ -307,13 +380,11 @@ def _spread(edges: DataFrame, labels: DataFrame, every: int) -> DataFrame:
     while True:
         current = labels.withColumn("was", F.col("label"))
         for _ in range(every):
-            sent = edges.join(
-                current.select("project_id", F.col("file").alias("src"), "label"), ["project_id", "src"]
-            ).select("project_id", F.col("dst").alias("file"), "label", F.lit(None).cast("string").alias("was"))
+            sent = edges.join(current.select(F.col("id").alias("a"), "label"), "a").select(
+                F.col("b").alias("id"), "label", F.lit(None).cast("long").alias("was")
+            )
             current = (
-                current.unionByName(sent)
-                .groupBy("project_id", "file")
-                .agg(F.min("label").alias("label"), F.max("was").alias("was"))
+                current.unionByName(sent).groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was"))
             )
         current = materialise(current)
         labels = current.drop("was")
@@ -327,9 +398,9 @@ def _reach(edges: DataFrame, seeds: DataFrame, every: int) -> DataFrame:
     while True:
         current = seen
         for _ in range(every):
-            sent = edges.join(
-                current.select("project_id", F.col("file").alias("src"), "label"), ["project_id", "src", "label"]
-            ).select("project_id", F.col("dst").alias("file"), "label")
+            sent = edges.join(current.select(F.col("id").alias("a"), "label"), ["a", "label"]).select(
+                F.col("b").alias("id"), "label"
+            )
             current = current.unionByName(sent).distinct()
         current = materialise(current)
         grown = current.count()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.model import Config, Layer
 from strata.operators import diffs, graph, scoring
-from strata.operators.corpus import filter_source_files, ignore_filter
+from strata.operators.corpus import filter_source_files, ignore_filter, ignored
 from strata.operators.extraction import extract_imports
 from strata.operators.metrics import expr_rule
 from strata.operators.resolution import resolve_imports
@@ -41,11 +41,19 @@ def evaluate_rules(
 ) -> DataFrame:
     """R21 ``evaluate_rules``: standard, expression, template and circular violations.
 
-    ``metrics`` and ``checks`` feed the expression rules (E16). The edges are
-    read by every rule family, so unless they are ``stored`` already they are
+    ``metrics`` and ``checks`` feed the expression rules (E16); a rule of the config
+    that has a ``check`` but no Column among ``checks`` is an error, so no rule is
+    skipped in silence. Files that ``config.exclude`` matches take no part. The edges
+    are read by every rule family, so unless they are ``stored`` already they are
     written once first.
     """
-    deps = deps if stored else materialise(deps)
+    given = {c[1] for c in checks} if metrics is not None else set()
+    open_checks = sorted(r.id for r in config.rules if r.check and r.id not in given)
+    if open_checks:
+        raise ValueError(f"no metrics and check Column given for the rules {open_checks}")
+    if config.exclude:
+        deps = deps.where(~ignored(F.col("source_file"), list(config.exclude)))
+    deps = deps if stored and not config.exclude else materialise(deps)
     out = standard_violations(deps, config)
     if metrics is not None and checks:
         out = out.unionByName(expr_rule(metrics, list(checks)))

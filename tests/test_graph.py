@@ -124,6 +124,31 @@ def brute_groups(pairs):
     return groups
 
 
+def test_long_chain_of_files(spark, rows):
+    """A chain of 5,000 files that ends in two files importing each other."""
+    name = lambda i: f"f{i:05d}"
+    pairs = [(name(i), name(i + 1)) for i in range(5000)] + [(name(5001), name(5000)), (name(5000), name(5001))]
+    pairs += [(f"r{i}", f"r{(i + 1) % 37}") for i in range(37)]
+    df = spark.createDataFrame([("p", a, b) for a, b in pairs], "project_id string, src string, dst string")
+    got = rows(graph.file_cycles(df), "file", "component")
+    assert got == sorted([(name(5000), name(5000)), (name(5001), name(5000))] + [(f"r{i}", "r0") for i in range(37)])
+
+
+def test_file_cycles_of_shortened_chains(spark, rows):
+    rng = random.Random(3)
+    for _ in range(2):
+        # few nodes with several edges, many on chains between them
+        hubs = [f"h{i}" for i in range(4)]
+        pairs, k = [], 0
+        for _ in range(7):
+            a, b, n = rng.choice(hubs), rng.choice(hubs), rng.randint(0, 3)
+            line = [a, *[f"c{k + i}" for i in range(n)], b]
+            k += n
+            pairs += list(zip(line, line[1:]))
+        df = spark.createDataFrame([("p", a, b) for a, b in pairs], "project_id string, src string, dst string")
+        assert set(rows(graph.file_cycles(df), "file", "component")) == brute_groups([(a, b) for a, b in pairs if a != b])
+
+
 def test_file_cycles_match_brute_force(spark, rows):
     rng = random.Random(5)
     nodes = [f"n{i:02d}" for i in range(14)]

@@ -259,3 +259,16 @@ def test_guidance(spark, rows):
     fix = suggest_fix(df).where("rule_id = 'other'").first()
     assert fix.description == "Extract an interface from a/b/'Store' and inject it via constructor"
     assert fix.interface == "StoreRepository" and "@@ -7 +7 @@" in fix.diff
+
+
+def test_no_check_is_skipped_in_silence(spark):
+    deps = spark.createDataFrame(
+        [("p", "a/x", 1, "b/y", "b", "go"), ("p", "a/gen/x", 1, "b/y", "b", "go")],
+        "project_id string, source_file string, source_line int, import_path string, resolved_layer string, language string",
+    )
+    layers = (Layer("a", ("a/**",)), Layer("b", ("b/**",)))
+    projects = deps.select("project_id").distinct()
+    with pytest.raises(ValueError, match="few"):
+        evaluate_rules(deps, Config(layers, (Rule("few", check="count < 3"),)), projects)
+    some = Config(layers, (Rule("r", "a", ("b",)),), exclude=("gen",))
+    assert [r.file for r in evaluate_rules(deps, some, projects).collect()] == ["a/x"]
