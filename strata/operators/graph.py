@@ -354,7 +354,7 @@ def _shorten(live: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         chain_ids.withColumnRenamed("id", "b"), "b", "left_anti"
     )
     links = chain.where("front <> back").select(F.col("front").alias("a"), F.col("back").alias("b"))
-    return materialise(rest.union(links).distinct()), chain, ring
+    return materialise(rest.select("a", "b").union(links).distinct()), chain, ring
 
 
 def _colour_groups(live: DataFrame, every: int) -> DataFrame:

@@ -136,7 +136,7 @@ def test_long_chain_of_files(spark, rows):
 
 def test_file_cycles_of_shortened_chains(spark, rows):
     rng = random.Random(3)
-    for _ in range(2):
+    for _ in range(3):
         # few nodes with several edges, many on chains between them
         hubs = [f"h{i}" for i in range(4)]
         pairs, k = [], 0
@@ -145,8 +145,14 @@ def test_file_cycles_of_shortened_chains(spark, rows):
             line = [a, *[f"c{k + i}" for i in range(n)], b]
             k += n
             pairs += list(zip(line, line[1:]))
+        # one way out of every hub, which a turned edge would close
+        pairs += [(h, f"out{i}") for i, h in enumerate(hubs)] + [(f"out{i}", f"out{i + 1}") for i in range(3)]
         df = spark.createDataFrame([("p", a, b) for a, b in pairs], "project_id string, src string, dst string")
         assert set(rows(graph.file_cycles(df), "file", "component")) == brute_groups([(a, b) for a, b in pairs if a != b])
+    # a chain out of a pair and into another is on no cycle
+    one_way = [("a", "b"), ("b", "a"), ("b", "c1"), ("c1", "c2"), ("c2", "d"), ("d", "e"), ("e", "d"), ("a", "d"), ("b", "e"), ("d", "f"), ("f", "d")]
+    df = spark.createDataFrame([("p", a, b) for a, b in one_way], "project_id string, src string, dst string")
+    assert set(rows(graph.file_cycles(df), "file", "component")) == brute_groups(one_way)
 
 
 def test_file_cycles_match_brute_force(spark, rows):
