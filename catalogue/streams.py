@@ -124,14 +124,20 @@ def w4(spark: SparkSession, folder: str) -> DataFrame:
 @query("w5_periodic_refresh", "SELECT project_id, id, severity FROM e_viol")
 def w5(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark, "refresh")
-    rows = violation_columns(stream(spark, folder, "events")).select("project_id", "id", "severity")
-    writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "check"))
+    ticks = violation_columns(stream(spark, folder, "events")).select("project_id")
+
+    def check() -> DataFrame:
+        return violation_columns(table(spark, folder, "events")).select("project_id", "id", "severity")
+
+    writer = ticks.writeStream.foreachBatch(watch.refresh(check, out)).option("checkpointLocation", scratch(spark, "check"))
     running = watch.periodic(writer, "1 second").start()
     try:
         running.processAllAvailable()
     finally:
         running.stop()
-    return spark.read.parquet(out)
+    found = spark.read.parquet(out)
+    newest = found.select(F.max("epoch").alias("epoch"))
+    return found.join(newest, "epoch", "left_semi").drop("epoch")
 
 
 @query(
@@ -169,10 +175,14 @@ def w7(spark: SparkSession, folder: str) -> DataFrame:
     """
 SELECT project_id, s AS window_start, s + INTERVAL 2 DAYS AS window_end, severity, count(*) AS cnt FROM (
   SELECT project_id, severity, time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY * unnest([0, 1]) AS s FROM e_viol) GROUP BY 1, 2, 4
+HAVING s + INTERVAL 2 DAYS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
 """,
 )
 def w7_sliding(spark: SparkSession, folder: str) -> DataFrame:
-    return watch.violation_windows(violation_columns(table(spark, folder, "events")), "2 days", "1 day")
+    out = scratch(spark, "sliding")
+    counts = watch.violation_windows(violation_columns(stream(spark, folder, "events")), "2 days", "1 day")
+    watch.run_available(counts, scratch(spark, "check"), out=out)
+    return spark.read.parquet(out)
 
 
 @query(
