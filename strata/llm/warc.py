@@ -17,7 +17,7 @@ from strata.session import Scratch
 
 FAN_OUT = 16  # children of a node
 FILE_BYTES = 1 << 26  # a task rolls to a new file beyond so many bytes
-READ_BYTES = 1 << 22
+READ_BYTES = 1 << 20
 _FILES = "file string, part int, seq int, n_records long, n_bytes long"
 _RECORDS = "file string, seq long, offset long, length long, page_id long, hash binary"
 
@@ -41,6 +41,12 @@ def _leaf(data: bytes) -> bytes:
     return hashlib.sha256(b"\0" + data).digest()
 
 
+def _create(path: str) -> pa.CompressedOutputStream:
+    store, place = filesystem(path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    return pa.CompressedOutputStream(store.open_output_stream(place), "zstd")
+
+
 def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
     """Records in the order of the rows; each task writes files of its own."""
     part, attempt, done, out = TaskContext.get().partitionId(), uuid.uuid4().hex, [], None
@@ -49,10 +55,8 @@ def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBa
         columns = (batch.column(c).to_pylist() for c in ("url", "page_id", "html"))
         for url, page_id, html in zip(*columns, strict=True):
             if out is None:
-                path, n, size = f"{root}/part-{part:06d}-{len(done):04d}-{attempt}.warc", 0, 0
-                store, place = filesystem(path)
-                store.create_dir(place.rpartition("/")[0], recursive=True)
-                out = store.open_output_stream(place)
+                path, n, size = f"{root}/part-{part:06d}-{len(done):04d}-{attempt}.warc.zst", 0, 0
+                out = _create(path)
             data = record(url, page_id, (html or "").encode())
             out.write(data)
             n, size = n + 1, size + len(data)
@@ -70,30 +74,27 @@ def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBa
 
 
 def write_archive(pages: DataFrame, scratch: Scratch, root: str | None = None) -> DataFrame:
-    """Write pages (page_id, url, html) as archive files in ascending order of page_id.
+    """Write pages (page_id, url, html) as compressed archive files, without a shuffle.
 
-    Returns the written list of files: file, part, seq, n_records, n_bytes. Null
-    html is an empty body, null url an empty address; null page_ids come first;
-    repeated rows are all written. No rows, no files.
+    Each task writes its own rows in their order. Returns the written list of files:
+    file, part, seq, n_records, n_bytes (before compression, as all offsets are). Null
+    html is an empty body, null url an empty address; repeated rows and null page_ids
+    are all written. No rows, no files.
     """
     root = root or scratch.path("archive")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    tie = F.xxhash64("url", "html")
-    ordered = rows.repartitionByRange("page_id", tie).sortWithinPartitions("page_id", tie)
-    return scratch.table(ordered.mapInArrow(lambda it: _write(it, root), _FILES), "files")
+    return scratch.table(rows.mapInArrow(lambda it: _write(it, root), _FILES), "files")
 
 
 def _copy(batches: Iterator[pa.RecordBatch], root: str, damage) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         new = []
         for path in batch.column("file").to_pylist():
-            store, place = filesystem(path)
-            target = f"{root}/{place.rpartition('/')[2]}.{uuid.uuid4().hex}"
-            out_store, out_place = filesystem(target)
-            out_store.create_dir(out_place.rpartition("/")[0], recursive=True)
-            with out_store.open_output_stream(out_place) as out:
-                for _, _, _, page_id, data in _records(path):
-                    out.write(damage(page_id, data))
+            target = f"{root}/{uuid.uuid4().hex}-{path.rpartition('/')[2]}"
+            out = _create(target)
+            for _, _, _, page_id, data in _records(path):
+                out.write(damage(page_id, data))
+            out.close()
             new.append(target)
         yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(new, pa.string())], ["file", "replica"])
 
@@ -116,33 +117,31 @@ def _records(path: str) -> Iterator[tuple[int, int, int, int | None, bytes]]:
     """
     store, place = filesystem(path)
     opens = b"\r\n\r\nWARC/1.1\r\n"
-    with store.open_input_stream(place) as file:
-        buffer, offset, seq, ended = b"", 0, 0, False
-        while buffer or not ended:
-            size = None
-            head_end = buffer.find(b"\r\n\r\n", 4)
+    with pa.CompressedInputStream(store.open_input_stream(place), "zstd") as file:
+        # ``at`` is where the next record starts in the buffer
+        buffer, at, offset, seq, ended = b"", 0, 0, 0, False
+        while at < len(buffer) or not ended:
+            left, size = len(buffer) - at, None
+            head_end = buffer.find(b"\r\n\r\n", at + 4)
             if head_end > 0:
-                size = _length(buffer[:head_end], head_end + 4)
-            whole = size is not None and size <= len(buffer) and buffer[size - 4 : size] == b"\r\n\r\n"
-            whole = whole and (buffer.startswith(b"WARC/1.1\r\n", size) or (ended and size == len(buffer)))
-            if not whole:
-                # more bytes, unless a later opening shows where a damaged record ends
-                cut = buffer.find(opens, 1)
-                if size is None or size + 10 <= len(buffer) or ended:
-                    if cut > 0:
-                        size, whole = cut + 4, True
-                    elif ended:
-                        size, whole = len(buffer), True
+                size = _length(buffer[at:head_end], head_end + 4 - at)
+            whole = size is not None and size <= left and buffer[at + size - 4 : at + size] == b"\r\n\r\n"
+            whole = whole and (buffer.startswith(b"WARC/1.1\r\n", at + size) or (ended and size == left))
+            # a damaged record ends where the next one opens; that may need more bytes to see
+            if not whole and left and (size is None or size + 10 <= left or ended):
+                cut = buffer.find(opens, at + 1)
+                if cut > 0:
+                    size, whole = cut + 4 - at, True
+                elif ended:
+                    size, whole = left, True
             if not whole:
                 more = file.read(READ_BYTES)
                 ended = not more
-                buffer += more
+                buffer, at = buffer[at:] + more, 0
                 continue
-            if size == 0:
-                return
-            data, buffer = buffer[:size], buffer[size:]
+            data = buffer[at : at + size]
             yield seq, offset, size, _page(data), data
-            seq, offset = seq + 1, offset + size
+            seq, offset, at = seq + 1, offset + size, at + size
 
 
 def _field(head: bytes, name: bytes) -> bytes | None:
