@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.globs import any_of, matches_any
@@ -55,14 +55,22 @@ def expect_patterns(scope: Column, patterns: tuple[str, ...]) -> Column:
     """Q4 ``expect_patterns``: some message matches some regex; a broken regex is skipped."""
     good = []
     for pattern in patterns:
-        try:
-            re.compile(pattern)
-        except re.error:
-            continue
-        good.append(F.col("message").rlike(pattern))
+        text = engine_pattern(pattern)
+        if text is not None:
+            good.append(F.col("message").rlike(text))
     return _exists(scope & any_of(good))
 
 
+def engine_pattern(pattern: str) -> str | None:
+    """The pattern as Spark's regex engine takes it, or None where that rejects it."""
+    text = pattern.replace("(?P<", "(?<")
+    try:
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(text)
+    except IllegalArgumentException:
+        return None
+    return text
+
+
 def expect_suite(violations: DataFrame, cases: list[Expectation]) -> DataFrame:
     """Q5 ``expect_suite``: evaluate every case in one aggregate pass.
 

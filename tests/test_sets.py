@@ -192,3 +192,10 @@ def test_scores(spark):
     assert workspace_report(project_report(df, broken)).first().failed_projects == 2
     dens = spark.createDataFrame([(3, 1500), (3, 0)], "violations int, lines int")
     assert [r.density for r in violation_density(dens).collect()] == [2.0, 0.0]
+
+
+def test_patterns_are_judged_by_the_engine_that_runs_them(spark):
+    from strata.operators.expectations import engine_pattern
+
+    assert engine_pattern("(?P<layer>a+)b") == "(?<layer>a+)b" and engine_pattern("a[") is None
+    assert engine_pattern("\\p{Lu}x") == "\\p{Lu}x"
