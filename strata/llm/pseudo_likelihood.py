@@ -7,15 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.text import ALNUM, flat, mix, row_of, slices, word_hashes, words
+from strata.llm.text import ALNUM, flat, list_array, mix, row_of, slices, word_hashes, words
 from strata.session import Scratch
 
 CLASSES = 32
 SIZE = CLASSES * CLASSES  # ids: frequent words by rank, then groups of rare ones
 RARE = 64  # groups that all other words are hashed into
+HEAD = 1 << 16  # most frequent words of the groups, whose counts every task holds; the others' counts are joined
 SIDE = 2  # words seen on either side
 EMBED, HIDDEN = 16, 32
 STRIDE = 8  # of each document, every eighth word is predicted in a training round
@@ -60,23 +62,50 @@ class Vocabulary:
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         rare = (SIZE - RARE + (mix(hashes) % np.uint64(RARE))).astype(np.int64)
-        if len(self.hashes) == 0:
-            return rare
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], rare)
+        found, at = _find(self.hashes, hashes)
+        rare[found] = self.ids[at]
+        return rare
 
 
-def _texts(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, last row, ids with SIDE blanks around every text, place of each word, its row)."""
+@dataclass
+class Shares:
+    """Sizes of the groups of rare words, and the counts of their HEAD most frequent words."""
+
+    totals: np.ndarray  # words of each group
+    hashes: np.ndarray  # sorted
+    counts: np.ndarray
+
+
+def _find(among: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the hashes that are in the sorted ``among``, and their places there."""
+    if len(among) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
+    found = np.flatnonzero(among[at] == hashes)
+    return found, at[found]
+
+
+def _hashed(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, hash of each word, its place among SIDE blanks around every text, its row)."""
     body, offsets = flat(column)
     for first, last in slices(offsets, 1 << 18):
         part, local = body[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         starts, ends, bounds = words(part, local, ALNUM)
         owner = row_of(bounds)
-        ids = np.full(len(starts) + SIDE * (last - first + 1), SIZE, np.int64)
-        place = np.arange(len(starts)) + SIDE * (owner + 1)
-        ids[place] = vocabulary.encode(word_hashes(part, starts, ends))
-        yield first, last, ids, place, owner
+        yield first, last, word_hashes(part, starts, ends), np.arange(len(starts)) + SIDE * (owner + 1), owner
+
+
+def _ids(hashes: np.ndarray, place: np.ndarray, rows: int, vocabulary: Vocabulary) -> np.ndarray:
+    """Ids of the words with SIDE blanks around every text."""
+    ids = np.full(len(hashes) + SIDE * (rows + 1), SIZE, np.int64)
+    ids[place] = vocabulary.encode(hashes)
+    return ids
+
+
+def _texts(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, ids with SIDE blanks around every text, place of each word, its row)."""
+    for first, last, hashes, place, owner in _hashed(column):
+        yield first, last, _ids(hashes, place, last - first, vocabulary), place, owner
 
 
 def _context(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -163,15 +192,46 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*merged())
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(hash, n) of every word of all documents."""
+    return docs.select("text").mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def _most(counted: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the ``n`` most frequent words; only those reach the driver."""
+    top = counted.orderBy(F.desc("n"), "hash").limit(n).toArrow()
+    return top.column("hash").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.int64)
+
+
+def vocabulary(docs: DataFrame, counted: DataFrame | None = None) -> Vocabulary:
     """The most frequent words of all documents; only those reach the driver."""
-    counted = docs.select("text").mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "hash").limit(SIZE - RARE).collect()
-    hashes = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
+    hashes, _ = _most(word_counts(docs) if counted is None else counted, SIZE - RARE)
     order = np.argsort(hashes)
     return Vocabulary(hashes[order], order.astype(np.int64))
 
 
+def _sizes(batches: Iterator[pa.RecordBatch], words_: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """This task's part of the size of each group of rare words."""
+    totals = np.zeros(SIZE, np.int64)
+    for batch in batches:
+        np.add.at(totals, words_.encode(batch.column("hash").to_numpy().view(np.uint64)), batch.column("n").to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE), pa.int32()), pa.array(totals[SIZE - RARE :])], ["place", "n"])
+
+
+def shares(counted: DataFrame, words_: Vocabulary) -> Shares:
+    """What every task needs to know of the words in the groups."""
+    sent = counted.sparkSession.sparkContext.broadcast(words_)
+    parts = counted.mapInArrow(lambda it: _sizes(it, sent.value), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    totals = np.zeros(RARE, np.int64)
+    for r in parts.collect():
+        totals[r["place"]] = r["n"]
+    hashes, counts = _most(counted, SIZE - RARE + HEAD)
+    rare = ~np.isin(hashes, words_.hashes)
+    hashes, counts = hashes[rare], counts[rare]
+    order = np.argsort(hashes)
+    return Shares(totals, hashes[order], counts[order])
+
+
 def _trained(batches: Iterator[pa.RecordBatch], words_: Vocabulary, start: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
     """Train on this task's documents from the common start; its weights times its words."""
     weights, power = start.copy(), np.full(N_WEIGHTS, 1e-3, np.float32)
@@ -225,39 +285,84 @@ def train(docs: DataFrame, words_: Vocabulary, rounds: int = ROUNDS) -> np.ndarr
     return weights
 
 
-def _scored(batches: Iterator[pa.RecordBatch], words_: Vocabulary, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+_SCORED = "row long, doc_id long, n_words long, log_likelihood double, tail array<long>"
+
+
+def _scored(
+    batches: Iterator[pa.RecordBatch], words_: Vocabulary, weights: np.ndarray, within: Shares | None
+) -> Iterator[pa.RecordBatch]:
+    """Sums of the texts, and the words whose counts are still to be joined."""
     v = views(weights)
+    row = TaskContext.get().partitionId() << 33
     for batch in batches:
         ids_ = batch.column("doc_id").cast(pa.int64())
-        for first, last, ids, place, owner in _texts(batch.column("text"), words_):
+        for first, last, hashes, place, owner in _hashed(batch.column("text")):
+            ids = _ids(hashes, place, last - first, words_)
+            target = ids[place]
             logs = np.zeros(len(place))
             for i in range(0, len(place), 1 << 14):
-                at = place[i : i + (1 << 14)]
-                logs[i : i + (1 << 14)] = log_probabilities(v, _context(ids, at), ids[at])
+                logs[i : i + (1 << 14)] = log_probabilities(v, _context(ids, place[i : i + (1 << 14)]), target[i : i + (1 << 14)])
+            tail = np.zeros(0, np.int64)
+            if within is not None:
+                tail = np.flatnonzero(target >= SIZE - RARE)
+                logs[tail] -= np.log(within.totals[target[tail] - (SIZE - RARE)] + 1.0)
+                found, at = _find(within.hashes, hashes[tail])
+                logs[tail[found]] += np.log(within.counts[at])
+                tail = np.delete(tail, found)
             n = np.bincount(owner, minlength=last - first)
             total = np.bincount(owner, weights=logs, minlength=last - first)
-            mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
+            bounds = np.searchsorted(owner[tail], np.arange(last - first + 1))
             yield pa.RecordBatch.from_arrays(
-                [ids_.slice(first, last - first), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean],
-                ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"],
+                [
+                    pa.array(np.arange(row + first, row + last)),
+                    ids_.slice(first, last - first),
+                    pa.array(n, pa.int64()),
+                    pa.array(total, pa.float64()),
+                    list_array(hashes[tail].view(np.int64), bounds, pa.int64()),
+                ],
+                ["row", "doc_id", "n_words", "log_likelihood", "tail"],
             )
+        row += batch.num_rows
 
 
-def score(docs: DataFrame, words_: Vocabulary, weights: np.ndarray) -> DataFrame:
+def score(
+    docs: DataFrame,
+    words_: Vocabulary,
+    weights: np.ndarray,
+    counted: DataFrame | None = None,
+    scratch: Scratch | None = None,
+) -> DataFrame:
     """Pseudo-log-likelihood of every document: doc_id, n_words, log_likelihood, mean_log_likelihood.
 
     The sum, over all words of the whole text, of the log-probability of the word
-    given two words on either side. Texts without words, empty and null ones, have
-    a sum of 0 and a null mean. Repeated rows and null doc_ids are kept; other
-    columns are not read. A network trained on no documents scores as a uniform one.
+    given two words on either side. For a word outside the vocabulary that is the
+    probability of its group, from the network, times its share of the group, n / (N + 1)
+    if it occurs n times among the N words of its group in ``counted`` (see
+    ``word_counts``); words that are not in ``counted`` have 1 / (N + 1). Counts of the
+    most frequent words go to every task, the others' are joined; ``scratch`` keeps the
+    sums meanwhile. Without ``counted`` it is the probability of the group alone.
+
+    Texts without words, empty and null ones, have a sum of 0 and a null mean. Repeated
+    rows and null doc_ids are kept; other columns are not read. A network trained on no
+    documents scores as a uniform one.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((words_, weights))
-    return docs.select("doc_id", "text").mapInArrow(
-        lambda it: _scored(it, *sent.value), "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double"
-    )
+    within = None if counted is None else shares(counted, words_)
+    sent = docs.sparkSession.sparkContext.broadcast((words_, weights, within))
+    sums = docs.select("doc_id", "text").mapInArrow(lambda it: _scored(it, *sent.value), _SCORED)
+    if counted is not None:
+        sums = (scratch or Scratch(docs.sparkSession)).table(sums, "sums")  # row numbers must stay
+        # words that occur once or never add the logarithm of 1
+        known = counted.where("n > 1").select("hash", F.log("n").alias("log_n"))
+        tails = sums.select("row", F.explode("tail").alias("hash")).join(known.hint("merge"), "hash")
+        tails = tails.groupBy("row").agg(F.sum("log_n").alias("more"))
+        sums = sums.drop("tail").join(tails, "row", "left")
+        sums = sums.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return sums.select("doc_id", "n_words", "log_likelihood", mean.alias("mean_log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Train on all documents and score each of them."""
-    found = vocabulary(docs)
-    return score(docs, found, train(docs, found))
+    """Train on all documents and score each word of each of them as itself."""
+    counted = scratch.table(word_counts(docs), "counts")
+    found = vocabulary(docs, counted)
+    return score(docs, found, train(docs, found), counted, scratch)

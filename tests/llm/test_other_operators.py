@@ -280,6 +280,46 @@ def test_pseudo_likelihood(spark):
     assert none.count() == 0
 
 
+def test_rare_words_are_scored_as_themselves(spark, monkeypatch):
+    """log P(word) = log P(group) + log(n / (N + 1)), counted by hand; both ways of getting n."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(pseudo_likelihood, "SIZE", 66)  # two frequent words, all others in groups
+    monkeypatch.setattr(pseudo_likelihood, "HEAD", 20)
+
+    def hashes(text):
+        (_, _, found, _, _), = pseudo_likelihood._hashed(pa.array([text]))
+        return found.view(np.int64).tolist()
+
+    rows = [(i, "the of " * 30 + " ".join(f"w{j}" for j in range(400) if i % (1 + j % 7) == 0)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counted = pseudo_likelihood.word_counts(docs).persist()
+    n = {r.hash: r.n for r in counted.collect()}
+    words, weights = pseudo_likelihood.vocabulary(docs, counted), pseudo_likelihood.initial()
+    odd = [(50, "w3"), (50, "w3"), (51, "the"), (52, "neverseen w0 w5"), (None, "w6 w6 w6"), (53, None)]
+    asked = spark.createDataFrame(rows + odd, "doc_id long, text string").repartition(4)
+    plain, full = (
+        sorted(tuple(-1 if x is None else x for x in r) for r in pseudo_likelihood.score(asked, words, weights, *more).collect())
+        for more in ((), (counted, Scratch(spark)))
+    )
+    groups = {h: int(words.encode(np.array([h], np.int64).view(np.uint64))[0]) for _, t in rows + odd if t for h in hashes(t)}
+    totals = {g: sum(n.get(h, 0) for h, own in groups.items() if own == g) for g in set(groups.values())}
+    want = {}
+    for i, text in rows + odd:
+        want[-1 if i is None else i] = sum(
+            np.log(n.get(h, 1) / (totals[groups[h]] + 1)) for h in (hashes(text) if text else []) if groups[h] >= 2
+        )
+    assert [r[:2] for r in plain] == [r[:2] for r in full] and len(full) == len(rows) + len(odd)
+    for a, b in zip(plain, full, strict=True):
+        assert np.isclose(b[2] - a[2], want[a[0]], atol=1e-6)
+        assert b[1] == 0 or np.isclose(b[3], b[2] / b[1])
+    # the query itself does so: two texts that differ in a rare word of one group differ in their sums
+    same = next((a, b) for a in range(400) for b in range(a) if a % 7 == 0 and b % 7 == 6 and groups[hashes(f"w{a}")[0]] == groups[hashes(f"w{b}")[0]] >= 2)
+    docs = docs.union(spark.createDataFrame([(100 + k, f"w{j}") for k, j in enumerate(same)], docs.schema))
+    got = {r.doc_id: r.log_likelihood for r in pseudo_likelihood.pseudo_likelihood(docs, Scratch(spark)).where("doc_id >= 100").collect()}
+    assert abs(got[100] - got[101]) > 0.5
+
+
 def test_gradient_lowers_the_loss():
     rng = np.random.default_rng(0)
     weights, power = pseudo_likelihood.initial(), np.full(pseudo_likelihood.N_WEIGHTS, 1e-3, np.float32)
