@@ -20,8 +20,7 @@ RARE = 64  # groups that all other words are hashed into
 HEAD = 1 << 16  # most frequent words of the groups, whose counts every task holds; the others' counts are joined
 SIDE = 2  # words seen on either side
 EMBED, HIDDEN = 16, 32
-STRIDE = 8  # of each document, every eighth word is predicted in a training round
-ROUNDS = 2
+ROUNDS = 2  # each predicts every second word of a document, so both together every word once
 BATCH = 4096
 _SHAPES = {
     "embed": (SIZE + 1, EMBED),  # the last row stands for what lies outside the text
@@ -112,26 +111,45 @@ def _context(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
     return ids[place[:, None] + np.array([d for d in range(-SIDE, SIDE + 1) if d])]
 
 
-def _normalised(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+_ONES = np.ones((CLASSES, 1), np.float32)
 
 
-def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if cuts[c + 1] > cuts[c]:
-            yield c, order[cuts[c] : cuts[c + 1]]
+def _exponents(logits: np.ndarray) -> np.ndarray:
+    """exp of the logits less the greatest of their row; replaces the logits by these differences."""
+    logits -= logits.max(1, keepdims=True)
+    return np.exp(logits)
+
+
+def _by_class(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order by class, and where each class that occurs lies in it."""
+    order = np.argsort(kind.astype(np.uint8), kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=CLASSES))])
+    return order, [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c + 1] > cuts[c]]
+
+
+def _word_logits(v: dict[str, np.ndarray], hidden: np.ndarray, runs: list[tuple[int, slice]]) -> np.ndarray:
+    """Logits of the words of its own class for each row; rows are in the order of classes."""
+    out = np.empty((len(hidden), CLASSES), np.float32)
+    for c, at in runs:
+        np.matmul(hidden[at], v["to_word"][c], out=out[at])
+        out[at] += v["word_bias"][c]
+    return out
 
 
 def log_probabilities(v: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of every target word given the words on both of its sides."""
+    order, runs = _by_class(target // CLASSES)
+    context, target = context[order], target[order]
     hidden = np.tanh(v["embed"][context].reshape(len(context), -1) @ v["inner"] + v["inner_bias"])
-    kind, word = target // CLASSES, target % CLASSES
-    out = _normalised(hidden @ v["to_class"] + v["class_bias"])[np.arange(len(kind)), kind]
-    for c, at in _by_class(kind):
-        out[at] += _normalised(hidden[at] @ v["to_word"][c] + v["word_bias"][c])[np.arange(len(at)), word[at]]
+    own, at = np.zeros(len(target), np.float32), np.arange(len(target))
+    for logits, right in (
+        (hidden @ v["to_class"] + v["class_bias"], target // CLASSES),
+        (_word_logits(v, hidden, runs), target % CLASSES),
+    ):
+        total = _exponents(logits) @ _ONES
+        own += logits[at, right] - np.log(total[:, 0])
+    out = np.empty_like(own)
+    out[order] = own
     return out
 
 
@@ -139,18 +157,21 @@ def _step(weights: np.ndarray, power: np.ndarray, context: np.ndarray, target: n
     """One step of adaptive gradient descent on a batch."""
     v, gradient = views(weights), np.zeros(N_WEIGHTS, np.float32)
     g, n = views(gradient), len(target)
+    order, runs = _by_class(target // CLASSES)
+    context, target = context[order], target[order]
     inputs = v["embed"][context].reshape(n, -1)
     hidden = np.tanh(inputs @ v["inner"] + v["inner_bias"])
-    kind, word = target // CLASSES, target % CLASSES
-    error = np.exp(_normalised(hidden @ v["to_class"] + v["class_bias"]))
-    error[np.arange(n), kind] -= 1
+    error = _exponents(hidden @ v["to_class"] + v["class_bias"])
+    error /= error @ _ONES
+    error[np.arange(n), target // CLASSES] -= 1
     g["to_class"][:], g["class_bias"][:] = hidden.T @ error, error.sum(0)
     back = error @ v["to_class"].T
-    for c, at in _by_class(kind):
-        error = np.exp(_normalised(hidden[at] @ v["to_word"][c] + v["word_bias"][c]))
-        error[np.arange(len(at)), word[at]] -= 1
-        g["to_word"][c], g["word_bias"][c] = hidden[at].T @ error, error.sum(0)
-        back[at] += error @ v["to_word"][c].T
+    error = _exponents(_word_logits(v, hidden, runs))
+    error /= error @ _ONES
+    error[np.arange(n), target % CLASSES] -= 1
+    for c, at in runs:
+        g["to_word"][c], g["word_bias"][c] = hidden[at].T @ error[at], error[at].sum(0)
+        back[at] += error[at] @ v["to_word"][c].T
     back *= 1 - hidden * hidden
     g["inner"][:], g["inner_bias"][:] = inputs.T @ back, back.sum(0)
     sent = (back @ v["inner"].T).reshape(-1, EMBED)
@@ -232,7 +253,15 @@ def shares(counted: DataFrame, words_: Vocabulary) -> Shares:
     return Shares(totals, hashes[order], counts[order])
 
 
-def _trained(batches: Iterator[pa.RecordBatch], words_: Vocabulary, start: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
+def _targets(owner: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Whether a word is predicted in this round: by its number in its text, so once in all rounds."""
+    first = np.searchsorted(owner, owner)
+    return (np.arange(len(owner)) - first) % rounds == turn
+
+
+def _trained(
+    batches: Iterator[pa.RecordBatch], words_: Vocabulary, start: np.ndarray, turn: int, rounds: int
+) -> Iterator[pa.RecordBatch]:
     """Train on this task's documents from the common start; its weights times its words."""
     weights, power = start.copy(), np.full(N_WEIGHTS, 1e-3, np.float32)
     left: list[tuple[np.ndarray, np.ndarray]] = []
@@ -244,9 +273,9 @@ def _trained(batches: Iterator[pa.RecordBatch], words_: Vocabulary, start: np.nd
 
     for batch in batches:
         for _, _, ids, place, owner in _texts(batch.column("text"), words_):
-            chosen = (place + owner * 5 + turn * (STRIDE // ROUNDS)) % STRIDE == 0
-            target = ids[place[chosen]]
-            left.append((_context(ids, place[chosen]), target))
+            chosen = place[_targets(owner, turn, rounds)]
+            target = ids[chosen]
+            left.append((_context(ids, chosen), target))
             n, waiting = n + len(target), waiting + len(target)
             if waiting >= 4 * BATCH:
                 learn(np.concatenate([c for c, _ in left]), np.concatenate([t for _, t in left]))
@@ -259,7 +288,7 @@ def _trained(batches: Iterator[pa.RecordBatch], words_: Vocabulary, start: np.nd
 
 
 def train(docs: DataFrame, words_: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights trained on all documents at once.
+    """Weights trained on all words of all documents, each the target of one round.
 
     In each round every task trains on its own documents from the same start, and
     the weights are averaged by the number of words they were trained on. The
@@ -271,13 +300,13 @@ def train(docs: DataFrame, words_: Vocabulary, rounds: int = ROUNDS) -> np.ndarr
         sent = spark.sparkContext.broadcast((words_, weights))
         sums = (
             docs.select("text")
-            .mapInArrow(lambda it, sent=sent, turn=turn: _trained(it, *sent.value, turn), "place int, value double")
+            .mapInArrow(lambda it, sent=sent, turn=turn: _trained(it, *sent.value, turn, rounds), "place int, value double")
             .groupBy("place")
             .agg(F.sum("value").alias("value"))
             .collect()
         )
-        if not sums:
-            break
+        if not sums:  # no words, or none in the later rounds
+            continue
         value = np.zeros(N_WEIGHTS + 1)
         value[[r["place"] for r in sums]] = [r["value"] for r in sums]
         weights = (value[:-1] / value[-1]).astype(np.float32)
