@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 LONGEST = 24  # tokens of an entity
-AROUND = 48  # characters of context on either side of a figure or an at-sign
+AROUND = LONGEST + 4  # tokens on either side of a figure or an at-sign: any entity that holds it, and a word before
 SURE = 0.9  # posterior probability from which a span is added
 TABLE = 1 << 13  # hashed features of a label
 # fixed values: the patterns of the base spans
@@ -77,28 +77,55 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- zones and features ---------------------------------------------------
 
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
+# letters and marks of scripts without spaces between words: no part of an address, a border like a space
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"[{_UNSPACED}]+|(?:(?![{_UNSPACED}])[^\W\d_])+|[0-9]+|\s+|.", re.S)
+_FOREIGN = re.compile(f"[{_UNSPACED}]")
+_BORDER = re.compile(f"[\"'<>|;{_UNSPACED}]")  # beside an entity as good as a space
 _TRIGGER = re.compile(r"[0-9]+|@|[\[({][ ]?at[ ]?[\])}]", re.I)
-_BLANK = re.compile(r"\s")
 _HIDDEN = re.compile(r"[\w.%+-]+ ?[\[({] ?at ?[\])}] ?[\w-]+( ?([\[({] ?dot ?[\])}]|\.) ?[\w-]+)+", re.I)
 
 
+def _back(text: str, floor: int, at: int, n: int) -> int:
+    """Where the last ``n`` tokens before ``at`` begin; ``floor`` if there are fewer behind it."""
+    width = 8 * n
+    while True:
+        low = max(floor, at - width)
+        starts = [m.start() for m in _TOKEN.finditer(text, low, at)]
+        if len(starts) > n:  # the first may be the rest of a token
+            return starts[-n]
+        if low == floor:
+            return floor
+        width *= 4
+
+
+def _on(text: str, at: int, n: int) -> int:
+    """Where the next ``n`` tokens from ``at`` end."""
+    for _ in range(n):
+        m = _TOKEN.match(text, at)
+        if not m:
+            break
+        at = m.end()
+    return at
+
+
 def zones(text: str) -> list[tuple[int, int]]:
-    """Stretches around figures and at-signs; all other tokens can be no entity."""
+    """Stretches of AROUND whole tokens on either side of figures and at-signs.
+
+    An entity has at most LONGEST tokens, so each lies in a stretch as a whole, with
+    or without spaces in the text; tokens in no stretch can be in no entity.
+    """
     out: list[tuple[int, int]] = []
+    start = end = -1
     for m in _TRIGGER.finditer(text):
-        if out and m.end() <= out[-1][1]:
-            continue
-        left = max(0, m.start() - AROUND)
-        while left > 0 and left < m.start() and not text[left - 1].isspace():
-            left += 1
-        right = min(len(text), m.end() + AROUND)
-        while right < len(text) and right > m.end() and not text[right].isspace():
-            right -= 1
-        if out and left <= out[-1][1]:
-            out[-1] = (out[-1][0], right)
-        else:
-            out.append((left, right))
+        if end < 0:
+            start = _back(text, 0, m.start(), AROUND)
+        elif _back(text, end, m.start(), 2 * AROUND) > end:
+            out.append((start, _on(text, end, AROUND)))
+            start = _back(text, end, m.start(), AROUND)
+        end = m.end()
+    if end >= 0:
+        out.append((start, _on(text, end, AROUND)))
     return out
 
 
@@ -112,13 +139,15 @@ def _shape(token: str) -> str:
     if "0" <= c <= "9":
         return "9"
     if c.isalpha():
-        return token.lower() if token.lower() in ("at", "dot") else "a"
+        return "w" if _FOREIGN.match(c) else token.lower() if token.lower() in ("at", "dot") else "a"
     return "_" if c.isspace() else c
 
 
 def _side(token: str) -> str:
     if not token:
         return "end"
+    if _BORDER.match(token):
+        return "blank"
     return "word" if token[0].isalnum() else "blank" if token[0].isspace() else token[0]
 
 
@@ -145,7 +174,7 @@ def lattice(text: str) -> Lattice:
     word_before, word = [], ""
     for t in tokens:
         word_before.append(word)
-        word = t.lower() if t[0].isalpha() else word
+        word = t[:LONGEST].lower() if t[0].isalpha() else word
     segments, slots, entity = [], [], []
     for i in range(n):
         segments.append((i, i + 1))

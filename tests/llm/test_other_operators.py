@@ -211,6 +211,48 @@ def test_field_on_unseen_lines():
     assert right / (right + wrong) >= 0.97 and right / (right + missed) >= 0.93
 
 
+def test_hidden_forms_in_unspaced_and_long_text():
+    field = private_spans.trained()
+    hidden, number = "john(at)example(dot)com", "555-123-4567"
+    han, kana, thai = "请把所有的文件都发送到这个地址然后等待我们的回复" * 9, "こちらのアドレスまでおくってください" * 9, "กรุณาส่งเอกสารทั้งหมดไปที่" * 9
+    for wide in (han, kana, thai):
+        for body, kind in ((hidden, 0), (number, 3)):
+            text = wide + body + wide
+            assert private_spans.spans_of(text, field)[1] == [(len(wide), kind, len(wide) + len(body))]
+    # each text lies in its zones as a whole, however near or far the other triggers
+    json = ",".join(f'{{"key{k}":"value","list":["a","b"]}}' for k in "abcdefgh" * 9)
+    for body, kind in ((hidden, 0), (number, 3)):
+        text = f'{json},{{"mail":"{body}"}},{json}'
+        at = text.index(body)
+        assert (at, kind, at + len(body)) in private_spans.spans_of(text, field)[1]
+        assert any(a < at and at + len(body) < b for a, b in private_spans.zones(text))
+    # more than 48 characters beyond the at-sign, with and without spaces
+    spaced = "anna (at) mathematicsandcomputersciencefacultymail (dot) internationaluniversityexample (dot) org"
+    assert private_spans.zones("to " + spaced + " for more") == [(0, len(spaced) + 12)]
+    long = "anna(at)mathematicsandcomputersciencefacultymail(dot)internationaluniversityexample.org"
+    assert private_spans.spans_of("please write to " + long + " for more of it", field)[1] == [(16, 0, 16 + len(long))]
+    # a trigger within another's reach extends the zone
+    text = "7 " + "word " * 9 + "bob (at) " + "verylongname" * 5 + ".example.com and more"
+    (zone,) = private_spans.zones(text)
+    assert zone == (0, len(text))
+
+
+def test_zones_hold_all_entities():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        parts = ["ab", " ", "7", "@", "(at)", "文字", ".", "-", "x" * 60, "\n", "é", "น้ำ"]
+        text = "".join(rng.choices(parts, weights=[9, 9, rng.random(), rng.random(), rng.random(), 3, 3, 3, 2, 1, 2, 2], k=400))
+        cuts = {0, len(text)} | {m.end() for m in private_spans._TOKEN.finditer(text)}
+        found, ends = private_spans.zones(text), sorted(cuts)
+        assert all(a in cuts and b in cuts for a, b in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+        for m in private_spans._TRIGGER.finditer(text):
+            i, j = ends.index(m.start()), ends.index(m.end())
+            low, high = ends[max(0, i - private_spans.LONGEST)], ends[min(len(ends) - 1, j + private_spans.LONGEST)]
+            assert any(a <= low and high <= b for a, b in found)
+
+
 def test_field_probabilities_against_enumeration():
     """The sums of the dynamic programme equal those over all labelled segmentations."""
     rng = np.random.default_rng(0)
