@@ -33,9 +33,15 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that are in no language: null, empty and letterless texts."""
+    """Drop documents that are in no language: null, empty and letterless texts.
+
+    Where no language could be learned, texts with a letter stay.
+    """
     ready(spark)
-    told = identify(docs, train(docs))
+    model = train(docs)
+    if model.families is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = identify(docs, model)
     return told.where(F.col("lang_pred") != UNDECIDED).select(*docs.columns)
 
 

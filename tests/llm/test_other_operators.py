@@ -438,6 +438,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == set(ids["pii"])
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(1, "some words", None), (2, "文字", None), (3, "12 ..", None), (4, "", None), (5, None, None), (None, "é", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language(spark, docs, "").collect()
+    assert {r.text for r in kept} == {"some words", "文字", "é"} and len(kept) == 3
+
+
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
