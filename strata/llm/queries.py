@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.llm import urls, warc
+from strata.llm import fill_middle, urls, warc
 from strata.llm.base import ORACLES, QUERIES, query, table
 from strata.llm.language import held_out, identify, train
 from strata.llm.near_text import near_duplicates
@@ -68,3 +68,13 @@ def _pseudo_likelihood(spark, folder, scratch):
 @query("op3_semi_markov_private_spans")
 def _private(spark, folder, scratch):
     return private_spans(table(spark, folder, "documents"))
+
+
+@query("op13_wavelet_fill_in_middle", fill_middle.SQL)
+def _fill_middle(spark, folder, scratch):
+    made = fill_middle.fill_in_middle(table(spark, folder, "documents"))
+    back = fill_middle.restored(F.col("form"), F.col("output"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
