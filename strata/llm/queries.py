@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.llm import fill_middle, urls, warc
+from strata.llm import chat, fill_middle, urls, warc
 from strata.llm.base import ORACLES, QUERIES, query, table
 from strata.llm.language import held_out, identify, train
 from strata.llm.near_text import near_duplicates
@@ -70,6 +70,14 @@ def _private(spark, folder, scratch):
     return private_spans(table(spark, folder, "documents"))
 
 
+@query("op12_event_sourced_chat", chat.SQL)
+def _chat(spark, folder, scratch):
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_log(chat.as_log(rows), scratch))
+
+
 @query("op13_wavelet_fill_in_middle", fill_middle.SQL)
 def _fill_middle(spark, folder, scratch):
     made = fill_middle.fill_in_middle(table(spark, folder, "documents"))
