@@ -30,16 +30,16 @@ PLAIN, PSM, SPM = "plain", "psm", "spm"
 def classes(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Class of every byte; the first character of a row starts a line."""
     lead = (body & 0xC0) != 0x80
-    spaced = SPACED[body]
+    solid = SPACED[body]
     first = offsets[:-1][np.diff(offsets) > 0]
-    fresh = np.zeros(len(body), bool)
-    fresh[1:] = ~spaced[:-1]
-    fresh[first] = False
+    inside = np.zeros(len(body), bool)
+    inside[1:] = solid[:-1]
+    inside[first] = False
     line = np.zeros(len(body), bool)
     line[1:] = body[:-1] == 0x0A
     line[first] = True
     out = lead.astype(np.uint8)
-    out |= (lead & spaced & ~fresh).astype(np.uint8) << 1
+    out |= (lead & solid & ~inside).astype(np.uint8) << 1
     out |= (lead & line).astype(np.uint8) << 2
     return out
 

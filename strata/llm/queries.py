@@ -14,6 +14,7 @@ from strata.llm.packing import pack_documents
 from strata.llm.private_spans import private_spans
 from strata.llm.pseudo_likelihood import pseudo_likelihood
 from strata.llm.token_files import read_tokens, write_tokens
+from strata.llm.whitening import whiten
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -70,6 +71,11 @@ def _private(spark, folder, scratch):
     return private_spans(table(spark, folder, "documents"))
 
 
+@query("op11_spectrum_sliced_whitening")
+def _whitening(spark, folder, scratch):
+    return whiten(table(spark, folder, "embeddings"), scratch)
+
+
 @query("op12_event_sourced_chat", chat.SQL)
 def _chat(spark, folder, scratch):
     said = "\\### Assistant: </turn> ok"
