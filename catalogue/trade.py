@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogue.base import block, query
 from strata.functions.globs import glob_match
 from strata.model import Rule, rules_table
-from strata.operators import graph, guidance, layers, metrics, ordering, rules, scoring, templates
+from strata.operators import fleet, graph, guidance, layers, metrics, ordering, rules, scoring, templates
 from strata.plans.check import evaluate_rules
 from strata.session import materialise
 from strata.sources.adapters import TRADE, deps_from_pages, deps_from_trade, places, table
@@ -1141,3 +1143,100 @@ SELECT project_id, source_file, source_line, import_path FROM (
 )
 def a3(spark: SparkSession, folder: str) -> DataFrame:
     return deps_from_pages(spark, folder)
+
+
+# --- projects with configurations of their own ----------------------------------
+
+#: what three of the projects set themselves; the others have the shared configuration
+_OWN_LAYERS = (("south", ["africa/**", "america/nation_1*/**"]), ("rest", ["america", "asia/*/s*", "**/c*"]))
+_OWN_RULES = [
+    {"ord": 1, "id": "own-views", "from_layer": "domain", "to_layers": ["presentation", "application"], "type": "cannot", "severity": "warning",
+     "exclude": ["africa/nation_0/**", "africa/nation_5/s*1"],
+     "overrides": [{"path": "africa/nation_5", "severity": "error"}, {"path": "africa/", "severity": "info"}, {"path": "africa/nation_14/", "enabled": False}]},
+    {"ord": 2, "id": "own-threes", "from_layer": "presentation", "to_layers": ["application"], "type": "MustNotCircular", "severity": "error",
+     "pattern": "/c[0-9]*3$", "explanation": "No threes"},
+    {"ord": 3, "id": "own-sevens", "from_layer": "", "to_layers": [], "type": "Cannot", "severity": "info", "pattern": "c7"},
+    {"ord": 4, "id": "own-can", "from_layer": "domain", "to_layers": ["domain"], "type": "Can", "severity": "info"},
+]
+_OWN_EXCLUDES = ["europe/nation_19/", "*9", "asia/**/s*3"]
+
+
+def trade_fleet(spark: SparkSession, folder: str) -> fleet.Fleet:
+    """The shared trade configuration, layers of 1-URGENT, rules of 2-HIGH, and settings of 5-LOW and 3-MEDIUM."""
+    known = projects(spark, folder)
+
+    def of(project: str) -> DataFrame:
+        return known.where(F.col("project_id") == project)
+
+    own = [F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.array(*map(F.lit, p)).alias("paths"), F.lit("").alias("description"), F.array().cast("array<string>").alias("tags")) for i, (n, p) in enumerate(_OWN_LAYERS, 1)]
+    kind = "array<struct<ord:int,id:string,from_layer:string,to_layers:array<string>,type:string,severity:string,explanation:string,pattern:string,exclude:array<string>,overrides:array<struct<path:string,severity:string,enabled:boolean>>,template:string,params:map<string,string>>>"
+    return fleet.Fleet(
+        TRADE,
+        layers=of("1-URGENT").select("project_id", F.inline(F.array(*own))),
+        rules=of("2-HIGH").select("project_id", F.inline(F.from_json(F.lit(json.dumps(_OWN_RULES)), kind))),
+        settings=known.where("project_id in ('3-MEDIUM', '5-LOW')").select(
+            "project_id",
+            F.when(F.col("project_id") == "5-LOW", F.array(*map(F.lit, _OWN_EXCLUDES))).alias("exclude"),
+            F.when(F.col("project_id") == "3-MEDIUM", 100000).alias("max_violations"),
+        ),
+    )
+
+
+block(
+    "t_fleet",
+    f"""
+SELECT {VIOL} FROM t_hits WHERE project_id NOT IN ('1-URGENT', '2-HIGH', '5-LOW')
+UNION ALL SELECT {VIOL} FROM t_hits WHERE project_id = '5-LOW' AND NOT starts_with(source_file, 'europe/nation_19/')
+  AND NOT source_file LIKE '%9' AND NOT (starts_with(source_file, 'asia/') AND regexp_matches(source_file, '/s[^/]*3$'))
+UNION ALL SELECT project_id, 3, 'no-hot-customers', source_file, source_line, sl, tl, import_path,
+  sl || ' cannot depend on ' || tl || ' (import: ' || import_path || ')', CASE WHEN starts_with(source_file, 'europe/') THEN 'warning' ELSE 'info' END,
+  CASE WHEN starts_with(source_file, 'europe/') THEN 'info' ELSE '' END, starts_with(source_file, 'europe/')
+FROM (SELECT *, CASE WHEN starts_with(source_file, 'africa/') OR regexp_matches(source_file, '^america/nation_1[^/]*/') THEN 'south'
+    WHEN starts_with(source_file, 'america') OR regexp_matches(source_file, '^asia/[^/]*/s[^/]*$') THEN 'rest' END AS sl,
+  CASE WHEN starts_with(import_path, 'africa/') OR regexp_matches(import_path, '^america/nation_1[^/]*/') THEN 'south' ELSE 'rest' END AS tl
+  FROM t_deps WHERE project_id = '1-URGENT') WHERE sl IS NOT NULL AND regexp_matches(import_path, '/c[0-9]*7$')
+UNION ALL SELECT project_id, 1, 'own-views', source_file, source_line, source_layer, resolved_layer, import_path,
+  source_layer || ' cannot depend on ' || resolved_layer || ' (import: ' || import_path || ')',
+  CASE WHEN starts_with(source_file, 'africa/nation_5/') THEN 'error' ELSE 'info' END, 'warning', TRUE
+FROM t_edges WHERE project_id = '2-HIGH' AND source_layer = 'domain' AND resolved_layer IN ('presentation', 'application')
+  AND NOT starts_with(source_file, 'africa/nation_0/') AND NOT regexp_matches(source_file, '^africa/nation_5/s[^/]*1$') AND NOT starts_with(source_file, 'africa/nation_14/')
+UNION ALL SELECT project_id, 2, 'own-threes', source_file, source_line, source_layer, resolved_layer, import_path,
+  'No threes: ' || source_layer || ' cannot import ' || resolved_layer, 'error', '', FALSE
+FROM t_edges WHERE project_id = '2-HIGH' AND source_layer = 'presentation' AND resolved_layer = 'application' AND regexp_matches(import_path, '/c[0-9]*3$')
+UNION ALL SELECT project_id, 3, 'own-sevens', source_file, source_line, source_layer, resolved_layer, import_path,
+  source_layer || ' cannot depend on ' || resolved_layer || ' (import: ' || import_path || ')', 'info', '', FALSE
+FROM t_edges WHERE project_id = '2-HIGH' AND regexp_matches(import_path, 'c7')
+""",
+)
+
+
+@query("l9_project_configs", "SELECT * FROM t_fleet")
+def l9_configs(spark: SparkSession, folder: str) -> DataFrame:
+    config = fleet.merge_configs(spark, trade_fleet(spark, folder))
+    edges = fleet.classified_by_project(deps_from_trade(spark, folder), config)
+    return fleet.standard_violations_by_project(edges, config)
+
+
+@query(
+    "r21_evaluate_fleet",
+    "SELECT project_id, rule_id, severity, count(*) AS n, count(*) FILTER (WHERE starts_with(import_path, 'circular: ')) AS cycles FROM ("
+    "SELECT project_id, rule_id, severity, import_path FROM t_fleet UNION ALL "
+    "SELECT project_id, rule_id, severity, import_path FROM t_circ WHERE project_id NOT IN ('1-URGENT', '2-HIGH') UNION ALL "
+    "SELECT project_id, 'own-threes', 'error', 'circular: ' FROM t_cycles WHERE project_id = '2-HIGH' "
+    "AND list_contains(cycle, 'presentation') AND list_contains(cycle, 'application')) GROUP BY 1, 2, 3",
+)
+def r21_fleet(spark: SparkSession, folder: str) -> DataFrame:
+    found = fleet.evaluate_fleet(stored(spark, folder), trade_fleet(spark, folder), projects(spark, folder))
+    return found.groupBy("project_id", "rule_id", "severity").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("import_path").startswith("circular: "), 1)).alias("cycles")
+    )
+
+
+@query(
+    "g15_gate_by_project",
+    "SELECT p.project_id, count(v.project_id) AS counted, CASE WHEN p.project_id = '3-MEDIUM' THEN 100000 ELSE 0 END AS allowed, "
+    "count(v.project_id) <= CASE WHEN p.project_id = '3-MEDIUM' THEN 100000 ELSE 0 END AS passed "
+    "FROM t_projects p LEFT JOIN (SELECT * FROM t_fleet WHERE NOT overridden) v USING (project_id) GROUP BY 1",
+)
+def g15_by_project(spark: SparkSession, folder: str) -> DataFrame:
+    return fleet.gate_by_project(l9_configs(spark, folder), trade_fleet(spark, folder), projects(spark, folder))

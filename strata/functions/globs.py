@@ -104,6 +104,76 @@ def glob_regex(glob: str, dialect: str = "layer") -> str:
     raise ValueError(f"unknown glob dialect {dialect!r}")
 
 
+def compile_glob(glob: str, dialect: str = "layer") -> tuple[str, str, str, str]:
+    """A glob as data: (kind, head, anchor, regex), for patterns that come from tables.
+
+    ``anchor`` is the literal directory every matching path equals or lies below ('' for
+    any), so that patterns are found by an equality join on a path's directories. Kinds:
+    ``subtree`` (the anchor decides alone), ``prefix`` and ``exact`` (compare with
+    ``head``), ``regex``, ``never`` (malformed). Dialects ``layer``, ``exclude`` and
+    ``ignore`` (which also holds for everything below what it names).
+    """
+    if dialect == "ignore":
+        return _compile_ignore(glob)
+    if glob.endswith("/**") and not set("*?[\\") & set(glob[:-3]):
+        return "subtree", glob[:-3], glob[:-3], ""
+    if "*" not in glob:
+        if dialect == "layer":
+            return "prefix", glob, _folder(glob), ""
+        if glob.endswith("/"):
+            return "subtree", glob[:-1], glob[:-1], ""
+        return "exact", glob, glob, ""
+    if dialect == "layer" and "**" not in glob:
+        rx = segment_regex(glob)
+    else:
+        rx = glob_regex(glob, dialect)
+    return ("never", "", "", "") if rx is None else ("regex", "", _anchor(glob), rx)
+
+
+def _folder(path: str) -> str:
+    return path.rpartition("/")[0]
+
+
+def _anchor(glob: str) -> str:
+    """Literal directories before the first wildcard."""
+    first = min(glob.find(c) for c in "*?[\\" if c in glob)
+    if glob.startswith("/**", first - 1):
+        whole = glob[first + 2 : first + 3] in ("", "/")
+        return glob[: first - 1] if whole else _folder(glob[: first - 1])
+    return _folder(glob[:first])
+
+
+def _compile_ignore(glob: str) -> tuple[str, str, str, str]:
+    if glob.endswith("/"):
+        return "subtree", glob[:-1], glob[:-1], ""
+    if glob in ("**", "**/*"):
+        return "prefix", "", "", ""
+    if "**" not in glob:
+        rx = segment_regex(glob)
+        if rx is None:
+            return "never", "", "", ""
+        if "/" in glob:
+            return "regex", "", _anchor(glob) if set("*?[\\") & set(glob) else glob, rx[:-1] + "(/.*)?$"
+        return "regex", "", "", "^(.*/)?" + rx[1:-1] + "(/.*)?$"
+    if glob.startswith("**/"):
+        rx = segment_regex(glob[3:])
+        return ("never", "", "", "") if rx is None else ("regex", "", "", "(^|/)" + rx[1:-1] + "(/.*)?$")
+    if glob.endswith("/**") or glob.endswith("/**/*"):
+        head = re.sub(r"/\*\*(/\*)?$", "", glob)
+        return "subtree", head, head, ""
+    left, _, right = glob.partition("**")
+    head, tail = left.removesuffix("/"), right.removeprefix("/")
+    if not tail:
+        return ("subtree", head, head, "") if head else ("prefix", "", "", "")
+    rx = segment_regex(tail)
+    if rx is None:
+        return "never", "", "", ""
+    inner = rx[1:-1] if "/" in tail else "(.*/)?" + rx[1:-1]
+    body = quote(head) + "/" + inner if head else "/?" + inner
+    alone = head and re.match(rx, head.rpartition("/")[2])
+    return "regex", "", head, f"^({body}{'|' + quote(head) if alone else ''})(/.*)?$"
+
+
 def any_of(conditions: list[Column]) -> Column:
     """OR of conditions; empty means false."""
     return reduce(or_, conditions) if conditions else F.lit(False)

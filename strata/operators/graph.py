@@ -134,6 +134,22 @@ def circular_violations(cycles: DataFrame, config: Config) -> DataFrame:
                 ),
             )
         )
+    return _circular_rows(cycles.withColumn("h", F.explode(F.array_compact(F.array(*hits)))))
+
+
+def circular_violations_by_table(cycles: DataFrame, rules: DataFrame) -> DataFrame:
+    """F4 with a rule table: ``rules`` has project_id, rule_ord, rule_id, from_layer, to_layers, severity.
+
+    Every project has rows of its own there; names are compared as in the literal form.
+    """
+    kept = cycles.join(rules, "project_id")
+    begins = F.col("from_layer").isin("", "*") | F.array_contains("cycle", F.col("from_layer"))
+    ends = (F.size("to_layers") == 0) | F.array_contains("to_layers", "*") | F.arrays_overlap("cycle", "to_layers")
+    return _circular_rows(kept.where(begins & ends).withColumn("h", F.struct("rule_ord", "rule_id", "severity")))
+
+
+def _circular_rows(hits: DataFrame) -> DataFrame:
+    """Cycles with the rule ``h`` they break, as violations."""
     shown = F.array_join("cycle", ARROW)
     evidence = F.element_at("path", 1)
     message = F.concat(
@@ -144,24 +160,20 @@ def circular_violations(cycles: DataFrame, config: Config) -> DataFrame:
             "Break the cycle by extracting shared abstractions or using dependency injection."
         ),
     )
-    return (
-        cycles.withColumn("h", F.explode(F.array_compact(F.array(*hits))))
-        .select(
-            "project_id",
-            "h.rule_ord",
-            "h.rule_id",
-            F.regexp_extract(evidence, r"\((.*):\d+\)$", 1).alias("file"),
-            F.regexp_extract(evidence, r":(\d+)\)$", 1).cast("int").alias("line"),
-            F.element_at("cycle", 1).alias("source_layer"),
-            F.element_at("cycle", -2).alias("target_layer"),
-            F.concat(F.lit("circular: "), shown).alias("import_path"),
-            message.alias("message"),
-            "h.severity",
-            F.lit("").alias("original_severity"),
-            F.lit(False).alias("overridden"),
-        )
-        .select(*VIOLATION_COLUMNS)
-    )
+    return hits.select(
+        "project_id",
+        "h.rule_ord",
+        "h.rule_id",
+        F.regexp_extract(evidence, r"\((.*):\d+\)$", 1).alias("file"),
+        F.regexp_extract(evidence, r":(\d+)\)$", 1).cast("int").alias("line"),
+        F.element_at("cycle", 1).alias("source_layer"),
+        F.element_at("cycle", -2).alias("target_layer"),
+        F.concat(F.lit("circular: "), shown).alias("import_path"),
+        message.alias("message"),
+        "h.severity",
+        F.lit("").alias("original_severity"),
+        F.lit(False).alias("overridden"),
+    ).select(*VIOLATION_COLUMNS)
 
 
 def bidirectional_pairs(coupling: DataFrame, include_self: bool = True) -> DataFrame:

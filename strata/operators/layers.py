@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.functions.globs import any_of, first_match, glob_match, glob_regex
 from strata.functions.paths import ancestors
 from strata.model import Layer
+from strata.operators.pattern_index import first_layers
 
 # --- fixed values -----------------------------------------------------------
 # Directory conventions: layer -> candidate directories, in listed order.
@@ -58,41 +59,13 @@ def assign_source_layer(deps: DataFrame, layers: tuple[Layer, ...]) -> DataFrame
 def assign_source_layer_by_table(deps: DataFrame, layers: DataFrame, path: str = "source_file") -> DataFrame:
     """L2 for fleets whose projects bring their own layer tables.
 
-    Layers fold to one small array per project (a project has a handful), which
-    joins on ``project_id``; the first matching element wins.
+    Distinct paths meet the globs of their project by the literal directories both have;
+    the layers found join back to the edges.
     """
-    dialect_rx = F.transform(
-        "paths",
-        lambda p: F.when(p.contains("**"), _regex_of(p, True))
-        .when(p.contains("*"), _regex_of(p, False))
-        .otherwise(F.concat(F.lit("^"), _quoted(p))),
-    )
-    folded = (
-        layers.select("project_id", F.struct("ord", "name", dialect_rx.alias("rx")).alias("layer"))
-        .groupBy("project_id")
-        .agg(F.array_sort(F.collect_list("layer")).alias("_layers"))
-    )
-    hits = F.filter("_layers", lambda layer: F.exists(layer["rx"], lambda rx: F.regexp_like(F.col(path), rx)))
-    return (
-        deps.join(folded, "project_id", "left").withColumn("source_layer", F.get(hits, F.lit(0))["name"]).drop("_layers")
-    )
-
-
-def _quoted(pattern: Column) -> Column:
-    return F.regexp_replace(pattern, r"([\\.+?()|\[\]{}^$*])", r"\\$1")
-
-
-def _regex_of(pattern: Column, deep: bool) -> Column:
-    body = _quoted(pattern)
-    if deep:
-        body = F.replace(body, F.lit("/\\*\\*"), F.lit("\u0001"))
-        body = F.replace(body, F.lit("\\*\\*"), F.lit("\u0002"))
-    body = F.replace(body, F.lit("\\*"), F.lit("[^/]*"))
-    if deep:
-        body = F.replace(F.replace(body, F.lit("\u0001"), F.lit("(/.*)?")), F.lit("\u0002"), F.lit(".*"))
-    else:
-        body = F.replace(body, F.lit("\\?"), F.lit("[^/]"))
-    return F.concat(F.lit("^"), body, F.lit("$"))
+    keyed = deps.withColumn("config", F.col("project_id"))
+    found = first_layers(keyed.select("config", F.col(path).alias("path")).distinct(), layers.withColumn("config", F.col("project_id")))
+    found = found.select(F.col("config").alias("project_id"), F.col("path").alias(path), F.col("layer").alias("source_layer"))
+    return deps.join(found, ["project_id", path], "left").select(*deps.columns, "source_layer")
 
 
 def assign_target_layer(
