@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,14 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+def arriving(spark: SparkSession, parts: list[DataFrame], drain: Callable[[DataFrame, str], None]) -> None:
+    """Write the parts one after the other below one folder, draining a stream over it after each."""
+    place, state = scratch(spark, "arriving"), scratch(spark, "check")
+    for part in parts:
+        part.write.mode("append").parquet(place)
+        drain(spark.readStream.schema(part.schema).parquet(place), state)
+
+
 @query(
     "w1_debounce_changes",
     """
@@ -48,10 +57,14 @@ SELECT project_id, path, op, count(*) AS n FROM e_bursts JOIN (
 )
 def w1(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark, "bursts")
-    body = watch.debounce_feed(watch.StateTable(spark, scratch(spark, "pending")), out, 3600)
     changes = change_columns(stream(spark, folder, "events"))
-    watch.run_available(changes, scratch(spark, "check"), each=body)
-    return spark.read.parquet(out).groupBy("project_id", "path", "op").agg(F.count(F.lit(1)).alias("n"))
+    watch.run_available(watch.debounce_changes(changes, 3600, buckets=4), scratch(spark, "check"), out=out)
+    bursts = watch.merge_bursts(spark.read.parquet(out), 3600)
+    # a project's last burst is over once the newest event of all is the gap away from all of it
+    last = table(spark, folder, "events").select(F.max(F.col("ts").cast("timestamp")).alias("now"))
+    ends = bursts.groupBy("project_id", "burst").agg(F.max("ts").alias("ended"))
+    over = ends.where(F.unix_micros("ended") + 3_600_000_000 <= F.unix_micros(last.select("now").scalar())).select("project_id", "burst")
+    return bursts.join(over, ["project_id", "burst"], "left_semi").groupBy("project_id", "path", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -75,25 +88,15 @@ def w3(spark: SparkSession, folder: str) -> DataFrame:
         return rules.standard_violations(deps, CORPUS)
 
     out = scratch(spark, "violations")
-    changed = file_columns(stream(spark, folder, "documents")).withColumns(
+    known = files_from_documents(spark, folder).select("project_id", "path", "content").withColumns(
         {"op": F.lit("write"), "ts": F.lit("2024-01-01").cast("timestamp")}
     )
-    known = files_from_documents(spark, folder).select("project_id", "path", "content")
-    body = watch.incremental_check(
-        watch.ProjectState(spark, scratch(spark, "imports"), extract(known).schema),
-        watch.ProjectState(spark, scratch(spark, "files"), known.schema),
-        extract,
-        check,
-        out,
-        builds=F.col("path").isin("go.mod", "pom.xml", "build.gradle", "build.gradle.kts"),
-    )
-    # build files of the corpus come first, then the documents
+    # build files of the corpus come first, then the documents; the second run restarts from the first's checkpoint
     stems = file_columns(table(spark, folder, "documents")).select("project_id", "path")
-    rest = known.join(stems, ["project_id", "path"], "left_anti").withColumns(
-        {"op": F.lit("write"), "ts": F.lit("2024-01-01").cast("timestamp")}
-    )
-    body(rest, -1)
-    watch.run_available(changed, scratch(spark, "check"), each=body)
+    parts = [known.join(stems, ["project_id", "path"], how) for how in ("left_anti", "left_semi")]
+    builds = F.col("path").isin("go.mod", "pom.xml", "build.gradle", "build.gradle.kts")
+    body = watch.incremental_check(extract(known.drop("op", "ts")).schema, check, out)
+    arriving(spark, parts, lambda changed, state: watch.run_available(watch.project_snapshots(changed, extract, builds), state, each=body))
     # the newest verdict of every project
     found = spark.read.parquet(out)
     newest = found.groupBy("project_id").agg(F.max("epoch").alias("epoch"))
@@ -113,12 +116,17 @@ UNION ALL SELECT project_id, id, 'resolved' FROM a WHERE NOT EXISTS (SELECT 1 FR
 )
 def w4(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark, "changes")
-    runs = violation_columns(stream(spark, folder, "events")).withColumn("ts", F.col("run_date").cast("timestamp"))
-    body = watch.change_feed(watch.ProjectState(spark, scratch(spark, "state"), runs.schema), out)
+    runs = violation_columns(table(spark, folder, "events")).withColumn("ts", F.col("run_date").cast("timestamp"))
+
+    def headed(rows: DataFrame) -> DataFrame:
+        return rows.unionByName(rows.select("project_id", "ts").distinct(), allowMissingColumns=True)
+
     # two runs of the fleet: the second one sees a day more
-    watch.run_available(runs.where("run_date < date'2024-01-30'"), scratch(spark, "check"), each=body)
-    watch.run_available(runs, scratch(spark, "check"), each=lambda batch, epoch: body(batch, epoch + 1000))
-    return spark.read.parquet(out).where("epoch >= 1000").select("project_id", "id", "change")
+    parts = [headed(runs.where("run_date < date'2024-01-30'")), headed(runs)]
+    arriving(spark, parts, lambda found, state: watch.run_available(watch.change_feed(found), state, out=out))
+    found = spark.read.parquet(out)
+    newest = found.groupBy("project_id").agg(F.max("run").alias("run"))
+    return found.join(newest, ["project_id", "run"], "left_semi").select("project_id", "id", "change")
 
 
 @query("w5_periodic_refresh", "SELECT project_id, id, severity FROM e_viol")
@@ -126,8 +134,9 @@ def w5(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark, "refresh")
     ticks = violation_columns(stream(spark, folder, "events")).select("project_id")
 
-    def check() -> DataFrame:
-        return violation_columns(table(spark, folder, "events")).select("project_id", "id", "severity")
+    def check(due: DataFrame) -> DataFrame:
+        found = violation_columns(table(spark, folder, "events")).select("project_id", "id", "severity")
+        return found.join(due, "project_id", "left_semi")
 
     writer = ticks.writeStream.foreachBatch(watch.refresh(check, out)).option("checkpointLocation", scratch(spark, "check"))
     running = watch.periodic(writer, "1 second").start()
@@ -136,8 +145,8 @@ def w5(spark: SparkSession, folder: str) -> DataFrame:
     finally:
         running.stop()
     found = spark.read.parquet(out)
-    newest = found.select(F.max("epoch").alias("epoch"))
-    return found.join(newest, "epoch", "left_semi").drop("epoch")
+    newest = found.groupBy("project_id").agg(F.max("epoch").alias("epoch"))
+    return found.join(newest, ["project_id", "epoch"], "left_semi").drop("epoch")
 
 
 @query(
@@ -185,6 +194,18 @@ def w7_sliding(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+@query(
+    "w7_sliding_batch",
+    """
+SELECT project_id, s AS window_start, s + INTERVAL 2 DAYS AS window_end, severity, count(*) AS cnt FROM (
+  SELECT project_id, severity, time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY * unnest([0, 1]) AS s FROM e_viol) GROUP BY 1, 2, 4
+""",
+)
+def w7_sliding_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of all rows, those the stream hasn't closed yet included."""
+    return watch.violation_windows(violation_columns(table(spark, folder, "events")), "2 days", "1 day")
+
+
 @query(
     "w8_late_events",
     "SELECT project_id, time_bucket(INTERVAL 6 HOURS, ts) AS window_start, count(*) AS cnt FROM e_viol GROUP BY 1, 2 "

@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from strata.functions.globs import matches_any
-from strata.operators.diffs import watch_diff
+from strata.operators.diffs import FINGERPRINT
 from strata.operators.ordered import running
 from strata.operators.scoring import severity_columns
 from strata.session import materialise
+from strata.streaming.state import Bursts, Changes, Snapshots
 
 
 def latest_op() -> Column:
@@ -25,35 +26,57 @@ def latest_op() -> Column:
     return F.max_by("op", F.struct("ts", "op")).alias("op")
 
 
-def debounce_feed(state: "StateTable", out: str, gap_seconds: float = 0.5) -> Callable[[DataFrame, int], None]:
-    """W1 ``debounce_changes``: a ``foreachBatch`` body emitting bursts once they are over.
+#: precise to the microsecond, both ways
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
-    One quiet timer serves a whole project, so a burst is keyed by project and
-    can touch any number of paths; holding it in one aggregation buffer would
-    gather a busy project in one task. Open bursts wait in the state table
-    instead and are folded by the distributed ordered scan. A project's last
-    burst is over when any later event time has passed its end plus the gap.
+
+def keyed_state(spark: SparkSession) -> None:
+    """Keyed state lives in RocksDB, so it need not fit in memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _bucket(name: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def debounce_changes(events: DataFrame, gap_seconds: float = 0.5, delay: str = "0 seconds", buckets: int = 1) -> DataFrame:
+    """W1 ``debounce_changes``: the latest operation of every path of a burst, once the burst is over.
+
+    Events wait in the keyed state of their project; an event-time timer at a burst's end
+    plus the gap closes it when the watermark (``delay`` behind the newest event) gets
+    there. Returns (project_id, started, ended, path, op, ts). With ``buckets`` a project's
+    paths are dealt over that many keys, whose bursts ``merge_bursts`` joins.
     """
+    keyed_state(events.sparkSession)
+    gap = int(gap_seconds * 1_000_000)
+    rows = events.withWatermark("ts", delay).select("project_id", _bucket("path", buckets), "path", "op", "ts")
+    closed = rows.groupBy("project_id", "bucket").transformWithStateInPandas(
+        Bursts(gap), "project_id string, started long, ended long, path string, op string, at long", "Append", "EventTime"
+    )
+    return closed.select(
+        "project_id", F.timestamp_micros("started").alias("started"), F.timestamp_micros("ended").alias("ended"), "path", "op", F.timestamp_micros("at").alias("ts")
+    )
 
-    def body(batch: DataFrame, epoch: int) -> None:
-        waiting = state.before(epoch)
-        events = batch.select("project_id", "path", "op", "ts")
-        if waiting is not None:
-            events = waiting.unionByName(events)
-        events = materialise(events)
-        bursts = burst_of(events, gap_seconds)
-        clock = events.agg(F.max("ts").alias("now"))
-        ends = bursts.groupBy("project_id", "burst").agg(F.max("ts").alias("ended"))
-        closed = ends.where(
-            F.unix_micros("ended") + int(gap_seconds * 1_000_000) <= F.unix_micros(clock.select("now").scalar())
-        ).select("project_id", "burst")
-        done = bursts.join(closed, ["project_id", "burst"], "left_semi")
-        changes = done.groupBy("project_id", "burst", "path").agg(latest_op(), F.max("ts").alias("ts"))
-        changes.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        rest = bursts.join(closed, ["project_id", "burst"], "left_anti").select("project_id", "path", "op", "ts")
-        state.write(epoch, rest)
 
-    return body
+def merge_bursts(closed: DataFrame, gap_seconds: float = 0.5) -> DataFrame:
+    """Bursts of a project's buckets joined: those closer than the gap are one.
+
+    Works on bounds, one row per bucket and burst; adds ``burst``, a number per project.
+    """
+    gap = int(gap_seconds * 1_000_000)
+    bounds = closed.select("project_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended")).distinct()
+    # bounds open and close; where none is open, a burst begins
+    opens = bounds.select("project_id", F.col("started").alias("at"), F.lit(1).alias("delta"), F.col("ended").alias("other"))
+    ends = bounds.select("project_id", (F.col("ended") + gap).alias("at"), F.lit(-1).alias("delta"), F.col("started").alias("other"))
+    order = ["at", "delta", "other"]
+    swept = running(opens.unionByName(ends), ["project_id"], order, sums={"open": F.col("delta")}, unique=True)
+    first = ((F.col("delta") == 1) & (F.col("open") == 1)).cast("int")
+    numbered = running(swept, ["project_id"], order, sums={"burst": first}, unique=True).where("delta = 1")
+    numbered = numbered.select(
+        "project_id", F.timestamp_micros("at").alias("started"), F.timestamp_micros("other").alias("ended"), "burst"
+    )
+    joined = closed.join(numbered, ["project_id", "started", "ended"])
+    return joined.groupBy("project_id", "burst", "path").agg(latest_op(), F.max("ts").alias("ts"))
 
 
 def burst_of(events: DataFrame, gap_seconds: float) -> DataFrame:
@@ -111,178 +134,93 @@ def periodic(writer: DataStreamWriter, every: str = "30 seconds") -> DataStreamW
     return writer.trigger(processingTime=every)
 
 
-class StateTable:
-    """Latest state as one Parquet folder per micro-batch.
+def change_feed(runs: DataFrame, buckets: int = 8, hours: float | None = None) -> DataFrame:
+    """W4 ``change_feed``: added / resolved / unchanged rows of every run, against the project's run before.
 
-    A batch reads the newest folder below its own number and writes its own, so
-    a replayed batch reproduces the same result.
+    ``runs`` streams full check results, each row with its run's ``ts``; a run arrives in
+    one micro-batch, and of several runs of a project there only the newest counts. Every
+    run has one row without a rule_id, so a clean run is a run too. Fingerprints are map
+    state by (project, bucket); that row goes to all buckets, the others to their own, so
+    a project's rows are not one task's. A run older than the last one is ignored. With
+    ``hours`` (T9) fingerprints that no run has had for so long are forgotten. Adds
+    ``change`` and ``run``, which counts the runs of a project.
     """
+    keyed_state(runs.sparkSession)
+    header = F.col("rule_id").isNull()
+    fp = F.when(~header, F.to_json(F.struct(*FINGERPRINT), {"ignoreNullFields": "false"}))
+    rows = runs.select("project_id", F.unix_micros("ts").alias("at"), fp.alias("fp"), F.to_json(F.struct(*runs.columns), _JSON).alias("payload"))
+    own = F.array(F.pmod(F.xxhash64("fp"), F.lit(buckets)).cast("int"))
+    every = F.array(*[F.lit(i) for i in range(buckets)])
+    rows = rows.withColumn("bucket", F.explode(F.when(F.col("fp").isNull(), every).otherwise(own)))
+    changes = rows.groupBy("project_id", "bucket").transformWithStateInPandas(
+        Changes(hours), "change string, run int, payload string", "Append", "None" if hours is None else "ProcessingTime"
+    )
+    return changes.select(F.from_json("payload", runs.schema, _JSON).alias("r"), "change", "run").select("r.*", "change", "run")
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        self._fs = self._fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        """Complete versions, oldest first."""
-        if not self._fs.exists(self._fs_path):
-            return []
-        done = []
-        for status in self._fs.listStatus(self._fs_path):
-            name = status.getPath().getName()
-            marker = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("v") and self._fs.exists(marker):
-                done.append(int(name[1:]))
-        return sorted(done)
-
-    def before(self, epoch: int) -> DataFrame | None:
-        """State as it was before a micro-batch."""
-        done = [v for v in self._versions() if v < epoch]
-        return self.spark.read.parquet(f"{self.path}/v{done[-1]}") if done else None
-
-    def write(self, epoch: int, rows: DataFrame) -> DataFrame:
-        """Write a micro-batch's state; only the last batch can be replayed, so older versions go."""
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{epoch}")
-        for version in [v for v in self._versions() if v < epoch][:-1]:
-            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}"), True)
-        return self.spark.read.parquet(f"{self.path}/v{epoch}")
-
-
-class ProjectState:
-    """State of many projects in a fixed number of buckets.
-
-    A micro-batch reads and writes only the buckets its projects fall into; the
-    others stay as they are. Each bucket keeps its last two versions, so that a
-    replayed batch, which reads versions below its own number, gives the same result.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, buckets: int = 64) -> None:
-        self.spark, self.path, self.schema, self.buckets = spark, path, schema, buckets
-        self._fs = self._hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _hadoop(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def touched(self, projects: DataFrame) -> list[int]:
-        """Buckets of some projects: no more than there are buckets."""
-        bucket = F.pmod(F.xxhash64("project_id"), F.lit(self.buckets)).cast("int")
-        return sorted(r[0] for r in projects.select(bucket).distinct().collect())
-
-    def _folders(self, bucket: int) -> list[int]:
-        root = self._hadoop(f"{self.path}/bucket-{bucket}")
-        if not self._fs.exists(root):
-            return []
-        return sorted(int(x.getPath().getName()) for x in self._fs.listStatus(root))
-
-    def before(self, epoch: int, buckets: list[int]) -> DataFrame:
-        """Rows of the buckets as they were before a micro-batch."""
-        paths = []
-        for bucket in buckets:
-            done = [v for v in self._folders(bucket) if v < epoch]
-            if done:
-                paths.append(f"{self.path}/bucket-{bucket}/{done[-1]}")
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def write(self, epoch: int, rows: DataFrame, buckets: list[int]) -> DataFrame:
-        """Replace the rows of these buckets; returns what was written."""
-        staged = f"{self.path}/staged-{epoch}"
-        bucket = F.pmod(F.xxhash64("project_id"), F.lit(self.buckets)).cast("int")
-        names = [f.name for f in self.schema]
-        rows.select(*names, bucket.alias("_b")).write.mode("overwrite").partitionBy("_b").parquet(staged)
-        paths = []
-        for b in buckets:
-            place = self._hadoop(f"{self.path}/bucket-{b}/{epoch}")
-            self._fs.mkdirs(place.getParent())
-            self._fs.delete(place, True)
-            source = self._hadoop(f"{staged}/_b={b}")
-            if not self._fs.exists(source):
-                self._fs.mkdirs(place)  # the bucket has become empty
-            elif not self._fs.rename(source, place):
-                raise OSError(f"{source} can't be moved to {place}")
-            paths.append(place.toString())
-            for old in [v for v in self._folders(b) if v < epoch][:-1]:
-                self._fs.delete(self._hadoop(f"{self.path}/bucket-{b}/{old}"), True)
-        self._fs.delete(self._hadoop(staged), True)
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-
-def change_feed(state: ProjectState, out: str) -> Callable[[DataFrame, int], None]:
-    """W4 ``change_feed``: a ``foreachBatch`` body writing added / resolved / unchanged rows.
-
-    A micro-batch holds full check results of some projects, each row with its
-    run ``ts``; only the newest run of a project in the batch counts. A row without a
-    rule_id says that a run took place, so a clean run is a run too: what it no longer
-    has is resolved. The comparison is H3 against the stored state of those projects;
-    others are neither read beyond their bucket nor reported.
-    """
+_VERSION = "\u0001"
 
-    def body(batch: DataFrame, epoch: int) -> None:
-        batch = materialise(batch)
-        last = materialise(batch.groupBy("project_id").agg(F.max("ts").alias("ts")))
-        runs = batch.join(last, ["project_id", "ts"], "left_semi")
-        current = runs.where("rule_id is not null").select(*[f.name for f in state.schema])
-        buckets = state.touched(last)
-        if not buckets:
-            return
-        previous = state.before(epoch, buckets)
-        mine = previous.join(last.select("project_id"), "project_id", "left_semi")
-        changes = watch_diff(mine, current).withColumn("epoch", F.lit(epoch))
-        changes.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        kept = previous.join(last.select("project_id"), "project_id", "left_anti")
-        state.write(epoch, kept.unionByName(current), buckets)
 
-    return body
+def project_snapshots(
+    changes: DataFrame, extract: Callable[[DataFrame], DataFrame], builds: Column | None = None, buckets: int = 8
+) -> DataFrame:
+    """W3's state: files and imports of every project that a micro-batch touches, as they are after it.
+
+    Input rows are (project_id, path, op, ts, content). ``extract`` runs on changed files
+    only, before the state, and must be narrow. Files (with the content of those that
+    ``builds`` picks) and imports are map state by (project, bucket of the path); a change
+    wakes all buckets of its project. Returns (project_id, kind, path, payload): kind
+    ``file`` with its content, or ``import`` with the import row as JSON. Of several
+    versions of a file the newest counts, also across micro-batches.
+    """
+    keyed_state(changes.sparkSession)
+    version = F.concat_ws(":", F.lpad(F.unix_micros("ts").cast("string"), 20, "0"), "op", F.hex(F.xxhash64("content")))
+    named = changes.withColumn("version", version)
+    kept = F.when(builds, F.col("content")) if builds is not None else F.lit(None).cast("string")
+    files = named.select("project_id", F.lit("file").alias("kind"), "path", "version", (F.col("op") == "remove").alias("gone"), kept.alias("payload"))
+    # extraction hands the project on, and with it the version
+    tagged = named.where("op <> 'remove'").withColumn("project_id", F.concat("project_id", F.lit(_VERSION), "version"))
+    found = extract(tagged.drop("version", "op", "ts"))
+    project = F.substring_index("project_id", _VERSION, 1)
+    imports = found.withColumns({"version": F.substring_index("project_id", _VERSION, -1), "project_id": project})
+    payload = F.to_json(F.struct(*found.columns), _JSON)
+    imports = imports.select("project_id", F.lit("import").alias("kind"), F.col("source_file").alias("path"), "version", F.lit(False).alias("gone"), payload.alias("payload"))
+    rows = files.unionByName(imports).withColumn("bucket", _bucket("path", buckets))
+    others = F.filter(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: b != F.col("bucket"))
+    touches = files.withColumn("bucket", _bucket("path", buckets)).select(
+        "project_id", F.lit("touch").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("path", "version")],
+        F.lit(False).alias("gone"), F.lit(None).cast("string").alias("payload"), F.explode(others).alias("bucket"),
+    )
+    return rows.unionByName(touches).groupBy("project_id", "bucket").transformWithStateInPandas(
+        Snapshots(), "project_id string, kind string, path string, payload string", "Append", "None"
+    )
 
 
 def incremental_check(
-    imports: ProjectState,
-    files: ProjectState,
-    extract: Callable[[DataFrame], DataFrame],
-    check: Callable[[DataFrame, DataFrame], DataFrame],
-    out: str,
-    builds: Column | None = None,
+    imports: T.StructType, check: Callable[[DataFrame, DataFrame], DataFrame], out: str
 ) -> Callable[[DataFrame, int], None]:
-    """W3 ``incremental_check``: a ``foreachBatch`` body over changed files.
+    """W3 ``incremental_check``: a ``foreachBatch`` body over ``project_snapshots``.
 
-    Input rows are (project_id, path, op, ts, content). Only the newest version of
-    each changed file is extracted; imports of a project's other files and the list of
-    its files come from the stored states. ``check(imports, files)`` then resolves and
-    judges the projects of the batch alone, so imports of unchanged files see a target
-    that was added or removed. Content is stored only for the files that ``builds`` picks.
+    ``check(imports, files)`` resolves and judges the projects of the batch alone, so
+    imports of unchanged files see a target that was added or removed.
     """
 
     def body(batch: DataFrame, epoch: int) -> None:
-        newest = materialise(
-            batch.groupBy("project_id", "path")
-            .agg(F.max(F.struct("ts", "op", "content")).alias("f"))
-            .select("project_id", "path", F.col("f.op").alias("op"), F.col("f.content").alias("content"))
-        )
-        projects = newest.select("project_id").distinct()
-        buckets = imports.touched(projects)
-        if not buckets:
-            return
-        written = newest.where("op <> 'remove'").drop("op")
-        kept = F.when(builds, F.col("content")) if builds is not None else F.lit(None).cast("string")
-        changed = newest.select("project_id", "path")
-        present = files.before(epoch, buckets).join(changed, ["project_id", "path"], "left_anti")
-        present = files.write(epoch, present.unionByName(written.withColumn("content", kept)), buckets)
-        old = imports.before(epoch, buckets).join(
-            changed.withColumnRenamed("path", "source_file"), ["project_id", "source_file"], "left_anti"
-        )
-        merged = imports.write(epoch, old.unionByName(extract(written).select(*[f.name for f in imports.schema])), buckets)
-        mine = (x.join(projects, "project_id", "left_semi") for x in (merged, present))
-        check(*mine).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        batch = materialise(batch)
+        found = batch.where("kind = 'import'").select(F.from_json("payload", imports, _JSON).alias("r")).select("r.*")
+        found = found.withColumn("project_id", F.substring_index("project_id", _VERSION, 1))
+        present = batch.where("kind = 'file'").select("project_id", "path", F.col("payload").alias("content"))
+        check(found, present).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return body
 
 
-def refresh(check: Callable[[], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` body that judges everything anew at each tick."""
+def refresh(check: Callable[[DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` body that judges anew the projects of a tick, given their ids."""
 
     def body(batch: DataFrame, epoch: int) -> None:
-        check().write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        projects = materialise(batch.select("project_id").distinct())
+        check(projects).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return body
 
