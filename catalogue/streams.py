@@ -60,11 +60,10 @@ def w1(spark: SparkSession, folder: str) -> DataFrame:
     changes = change_columns(stream(spark, folder, "events"))
     watch.run_available(watch.debounce_changes(changes, 3600, buckets=4), scratch(spark, "check"), out=out)
     bursts = watch.merge_bursts(spark.read.parquet(out), 3600)
-    # a project's last burst is over once the newest event of all is the gap away from all of it
-    last = table(spark, folder, "events").select(F.max(F.col("ts").cast("timestamp")).alias("now"))
-    ends = bursts.groupBy("project_id", "burst").agg(F.max("ts").alias("ended"))
-    over = ends.where(F.unix_micros("ended") + 3_600_000_000 <= F.unix_micros(last.select("now").scalar())).select("project_id", "burst")
-    return bursts.join(over, ["project_id", "burst"], "left_semi").groupBy("project_id", "path", "op").agg(F.count(F.lit(1)).alias("n"))
+    # without a delay the watermark is the newest event of all
+    now = table(spark, folder, "events").select(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("now"))
+    over = bursts.where(F.unix_micros("until") + 3_600_000_000 <= now.select("now").scalar())
+    return over.groupBy("project_id", "path", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -16,17 +16,18 @@ def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]
     for row in rows:
         held.append(row)
         if len(held) == CHUNK:
-            yield pd.DataFrame(held, columns=columns)
+            yield pd.DataFrame(held, columns=columns, dtype=object)
             held = []
     if held:
-        yield pd.DataFrame(held, columns=columns)
+        yield pd.DataFrame(held, columns=columns, dtype=object)
 
 
 class Bursts(StatefulProcessor):
     """Events of a key until their burst is over; times in microseconds.
 
     State maps (time, path) to the operation. A timer stands at the end of every burst
-    that a micro-batch leaves, plus the gap; when it fires, bursts over by then go out.
+    that a micro-batch brings, plus the gap; when it fires, bursts over by then go out.
+    The bounds of what a micro-batch brings go out at once, as rows without a path.
     """
 
     COLUMNS = ["project_id", "started", "ended", "path", "op", "at"]
@@ -48,11 +49,14 @@ class Bursts(StatefulProcessor):
             if old is None or old[0] < op:
                 self.waiting.updateValue(place, (op,))
         times = sorted({at for at, _ in newest})
+        started, bounds = times[0] if times else None, []
         for at, after in zip(times, [*times[1:], None], strict=True):
             if after is None or after - at >= self.gap:
-                # a millisecond later than the end, which is cut to milliseconds here
+                # the gap's end, rounded up to the milliseconds of timers
                 self.handle.registerTimer(max(-(-(at + self.gap) // 1000), timerValues.getCurrentWatermarkInMs() + 1))
-        return iter(())
+                bounds.append((key[0], started, at, None, None, None))
+                started = after
+        return _frames(iter(bounds), self.COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000

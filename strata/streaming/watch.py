@@ -44,8 +44,9 @@ def debounce_changes(events: DataFrame, gap_seconds: float = 0.5, delay: str = "
 
     Events wait in the keyed state of their project; an event-time timer at a burst's end
     plus the gap closes it when the watermark (``delay`` behind the newest event) gets
-    there. Returns (project_id, started, ended, path, op, ts). With ``buckets`` a project's
-    paths are dealt over that many keys, whose bursts ``merge_bursts`` joins.
+    there. Returns (project_id, started, ended, path, op, ts). With several ``buckets`` a
+    project's paths are dealt over that many keys, whose bursts ``merge_bursts`` joins; then
+    there are also rows without a path, the bounds of what each key has received so far.
     """
     keyed_state(events.sparkSession)
     gap = int(gap_seconds * 1_000_000)
@@ -53,6 +54,7 @@ def debounce_changes(events: DataFrame, gap_seconds: float = 0.5, delay: str = "
     closed = rows.groupBy("project_id", "bucket").transformWithStateInPandas(
         Bursts(gap), "project_id string, started long, ended long, path string, op string, at long", "Append", "EventTime"
     )
+    closed = closed if buckets > 1 else closed.where("path is not null")
     return closed.select(
         "project_id", F.timestamp_micros("started").alias("started"), F.timestamp_micros("ended").alias("ended"), "path", "op", F.timestamp_micros("at").alias("ts")
     )
@@ -61,7 +63,9 @@ def debounce_changes(events: DataFrame, gap_seconds: float = 0.5, delay: str = "
 def merge_bursts(closed: DataFrame, gap_seconds: float = 0.5) -> DataFrame:
     """Bursts of a project's buckets joined: those closer than the gap are one.
 
-    Works on bounds, one row per bucket and burst; adds ``burst``, a number per project.
+    Works on bounds, one row per bucket and burst. Returns (project_id, burst, until,
+    path, op, ts): ``burst`` counts a project's bursts, and one is over when the watermark
+    is the gap beyond ``until``, its last event received.
     """
     gap = int(gap_seconds * 1_000_000)
     bounds = closed.select("project_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended")).distinct()
@@ -75,8 +79,11 @@ def merge_bursts(closed: DataFrame, gap_seconds: float = 0.5) -> DataFrame:
     numbered = numbered.select(
         "project_id", F.timestamp_micros("at").alias("started"), F.timestamp_micros("other").alias("ended"), "burst"
     )
-    joined = closed.join(numbered, ["project_id", "started", "ended"])
-    return joined.groupBy("project_id", "burst", "path").agg(latest_op(), F.max("ts").alias("ts"))
+    numbered = materialise(numbered)
+    untils = numbered.groupBy("project_id", "burst").agg(F.max("ended").alias("until"))
+    joined = closed.where("path is not null").join(numbered, ["project_id", "started", "ended"])
+    latest = joined.groupBy("project_id", "burst", "path").agg(latest_op(), F.max("ts").alias("ts"))
+    return latest.join(untils, ["project_id", "burst"]).select("project_id", "burst", "until", "path", "op", "ts")
 
 
 def burst_of(events: DataFrame, gap_seconds: float) -> DataFrame:
