@@ -766,7 +766,7 @@ block(
 def _pr(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """All violations (written once) and those on added lines."""
     everything = materialise(violations(spark, folder))
-    return everything, diffs.pr_filter(everything, extraction.parse_diff(diffs_from_documents(spark, folder)))
+    return everything, diffs.pr_filter(everything, extraction.diff_files(diffs_from_documents(spark, folder)))
 
 
 @query("h10_pr_filter", "SELECT project_id, pr, rule_id, file, line, import_path FROM d_new")

@@ -111,24 +111,26 @@ def baseline_stale(projects: DataFrame, baseline: DataFrame) -> DataFrame:
     )
 
 
-def pr_filter(violations: DataFrame, diff_lines: DataFrame, compat: bool = False) -> DataFrame:
+def pr_filter(violations: DataFrame, changed: DataFrame, compat: bool = False) -> DataFrame:
     """H10 ``pr_filter``: violations on lines a change adds, outside the files it deletes.
 
+    ``changed`` has the files of ``extraction.diff_files`` or the lines of ``parse_diff``.
     Adds ``pr``: each change is judged by its own lines alone, so a violation on a
     line that two changes add is returned for both. A file counts as deleted when
     the change leaves it no new-side line; ``compat=True`` counts any file with a
     removed line.
     """
-    line = F.col("new_line")
-    per_file = diff_lines.groupBy("project_id", "pr", "file").agg(
-        F.max(line > 0).alias("kept"),
-        F.max((line == 0) & (F.col("old_line") > 0)).alias("cut"),
-        # no longer than the lines the change adds to one file
-        F.collect_set(F.when((F.col("old_line") == 0) & (line > 0), line)).alias("added"),
-    )
-    alive = per_file.where("not cut" if compat else "kept or not cut")
-    added = alive.select("project_id", "pr", "file", F.explode("added").alias("line"))
-    return violations.join(added, ["project_id", "file", "line"]).select(*violations.columns, "pr")
+    if "added" not in changed.columns:
+        line = F.col("new_line")
+        changed = changed.groupBy("project_id", "pr", "file").agg(
+            F.max(line > 0).alias("kept"),
+            F.max((line == 0) & (F.col("old_line") > 0)).alias("cut"),
+            F.collect_set(F.when((F.col("old_line") == 0) & (line > 0), line)).alias("added"),
+        )
+    alive = changed.where("size(added) > 0").where("not cut" if compat else "kept or not cut")
+    # a change meets each violation of its files once
+    near = violations.join(alive.select("project_id", "file", "pr", "added"), ["project_id", "file"])
+    return near.where(F.array_contains("added", F.col("line"))).select(*violations.columns, "pr")
 
 
 def pr_annotations(violations: DataFrame) -> DataFrame:

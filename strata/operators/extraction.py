@@ -9,7 +9,6 @@ lines, so no window or shuffle is needed.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.functions import languages as lg
@@ -254,58 +253,104 @@ def generated_header(files: DataFrame, patterns: tuple[str, ...] = ()) -> DataFr
     return files.where(any_of([first.contains(p) for p in (patterns or lg.GENERATED_HEADERS)]))
 
 
-def parse_diff(diffs: DataFrame) -> DataFrame:
-    """X21 ``parse_diff``: unified diff text -> (file, old_line, new_line, content).
+#: lines of a hunk counted one after the other; their blocks are counted likewise
+_BLOCK = 64
+_HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+
+
+def _hunks(diffs: DataFrame) -> DataFrame:
+    """(project_id, pr, file, lines, seen): a row per hunk, all found inside the diff's row.
 
-    Input (project_id, pr, text). A text splits into file sections and hunks
-    inside its row; only the line counters need order, and their window spans
-    one hunk.
+    ``seen`` holds for every line the old and new line number at which it stands, as
+    old * 2**32 + new.
     """
     keys = ["project_id", "pr"]
-    sections = diffs.select(*keys, F.posexplode(F.split("text", r"\n(?=diff --git )")).alias("file_no", "section"))
+    sections = diffs.select(*keys, F.explode(F.split("text", r"\n(?=diff --git )")).alias("section"))
     head = F.substring_index(F.col("section"), "\n", 1)
-    named = sections.withColumn(
-        "file",
-        F.when(
-            head.startswith("diff --git "), F.regexp_replace(F.substring_index(head, " ", -1), "^b/", "")
-        ).otherwise(""),
-    )
-    hunks = named.select(
-        *keys, "file_no", "file", F.posexplode(F.split("section", r"\n(?=@@)")).alias("hunk_no", "hunk")
+    name = F.when(
+        head.startswith("diff --git "), F.regexp_replace(F.substring_index(head, " ", -1), "^b/", "")
+    ).otherwise("")
+    hunks = sections.select(*keys, name.alias("file"), F.explode(F.split("section", r"\n(?=@@)")).alias("hunk"))
+    start = F.shiftleft(F.regexp_extract("hunk", _HUNK, 1).cast("long"), 32) + F.regexp_extract("hunk", _HUNK, 2).cast("long")
+    parts = hunks.where(F.col("hunk").rlike(_HUNK)).select(
+        *keys, "file", start.alias("start"), F.slice(F.split("hunk", "\n"), F.lit(2), F.lit(1 << 30)).alias("lines")
     )
-    rx = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
-    started = hunks.where(F.col("hunk").rlike(rx)).withColumns(
-        {
-            "old_start": F.regexp_extract("hunk", rx, 1).cast("int"),
-            "new_start": F.regexp_extract("hunk", rx, 2).cast("int"),
-        }
+    return parts.select(*keys, "file", "lines", _counted(F.col("lines"), F.col("start")).alias("seen"))
+
+
+def _counted(lines: Column, start: Column) -> Column:
+    """Counters before every line: running sums by blocks, then by lines of a block.
+
+    Arrays grow by one element a step, so blocks keep the work close to linear in long
+    hunks. A one-element ``transform`` binds what is used more than once.
+    """
+    old = F.lit(1 << 32)
+    step = F.transform(
+        lines, lambda t: F.when(t.startswith("+"), F.lit(1).cast("long")).when(t.startswith("-"), old).otherwise(old + 1)
     )
-    body = started.select(
-        *keys,
-        "file_no",
-        "file",
-        "hunk_no",
-        "old_start",
-        "new_start",
-        F.posexplode(F.split("hunk", "\n")).alias("pos", "content"),
-    ).where("pos > 0")
-    # the counters shuffle two flags, and the text only where the caller keeps it
-    body = body.withColumns(
-        {"is_added": F.col("content").startswith("+"), "is_removed": F.col("content").startswith("-")}
+    block = F.expr(f"sequence(0, int((size(lines) - 1) / {_BLOCK}))")
+
+    def bind(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def sums(steps: Column, first: Column) -> Column:
+        return F.aggregate(steps, F.array(first), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+
+    def by_blocks(steps: Column) -> Column:
+        cut = F.transform(block, lambda i: F.slice(steps, i * _BLOCK + 1, F.lit(_BLOCK)))
+        return bind(cut, lambda b: bind(
+            sums(F.transform(b, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda t, v: t + v)), start),
+            lambda first: F.flatten(F.transform(b, lambda x, i: F.slice(sums(x, F.get(first, i)), F.lit(1), F.size(x)))),
+        ))
+
+    return F.when(F.size(lines) > 0, bind(step, by_blocks))
+
+
+def parse_diff(diffs: DataFrame) -> DataFrame:
+    """X21 ``parse_diff``: unified diff text -> (file, old_line, new_line, content).
+
+    Input (project_id, pr, text). Sections, hunks and line counters are found inside the
+    row: nothing is shuffled or sorted.
+    """
+    lines = _hunks(diffs).select(
+        "project_id", "pr", "file", F.inline(F.arrays_zip(F.col("seen").alias("seen"), F.col("lines").alias("content")))
     )
-    added, removed = F.col("is_added"), F.col("is_removed")
-    w = W.partitionBy(*keys, "file_no", "hunk_no").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    old_seen = F.coalesce(F.sum((~added).cast("int")).over(w), F.lit(0))
-    new_seen = F.coalesce(F.sum((~removed).cast("int")).over(w), F.lit(0))
-    return body.select(
-        *keys,
+    added, removed = F.col("content").startswith("+"), F.col("content").startswith("-")
+    return lines.select(
+        "project_id",
+        "pr",
         "file",
-        F.when(added, 0).otherwise(F.col("old_start") + old_seen).cast("int").alias("old_line"),
-        F.when(removed, 0).otherwise(F.col("new_start") + new_seen).cast("int").alias("new_line"),
+        F.when(added, 0).otherwise(F.shiftright("seen", 32).cast("int")).alias("old_line"),
+        F.when(removed, 0).otherwise(F.col("seen").bitwiseAND((1 << 32) - 1).cast("int")).alias("new_line"),
         "content",
     )
 
 
+def diff_files(diffs: DataFrame) -> DataFrame:
+    """X21 by file: (project_id, pr, file, kept, cut, added), one row per file of a change.
+
+    ``kept``: a line stands on the new side; ``cut``: a line is removed; ``added``: the
+    new numbers of added lines. Lines become numbers inside their row before the shuffle.
+    """
+    zipped = F.arrays_zip(F.col("seen").alias("seen"), F.col("lines").alias("content"))
+    kinds = _hunks(diffs).select("project_id", "pr", "file", zipped.alias("z"))
+    number = F.transform(
+        F.filter("z", lambda x: x["content"].startswith("+")), lambda x: x["seen"].bitwiseAND((1 << 32) - 1).cast("int")
+    )
+    return (
+        kinds.select(
+            "project_id",
+            "pr",
+            "file",
+            F.exists("z", lambda x: ~x["content"].startswith("-") & (x["seen"].bitwiseAND((1 << 32) - 1) > 0)).alias("kept"),
+            F.exists("z", lambda x: x["content"].startswith("-") & (F.shiftright(x["seen"], 32) > 0)).alias("cut"),
+            F.filter(number, lambda n: n > 0).alias("added"),
+        )
+        .groupBy("project_id", "pr", "file")
+        .agg(F.max("kept").alias("kept"), F.max("cut").alias("cut"), F.array_distinct(F.flatten(F.collect_list("added"))).alias("added"))
+    )
+
+
 def diff_stats(diffs: DataFrame) -> DataFrame:
     """X22 ``diff_stats``: files, insertions and deletions per change.
 

@@ -167,17 +167,21 @@ def resolve_candidates(imports: DataFrame, files: DataFrame) -> DataFrame:
     """X17 ``resolve_candidates``: first candidate file that exists, as ``target_path``.
 
     Popular imports collapse to one row per (project, language, import) before
-    anything is shuffled by candidate; the answer joins back on that key.
+    anything is shuffled by candidate; the answer joins back on that key. Imports that
+    have no candidate (external ones have no normalised form) take no part in a shuffle.
     """
     key = ["project_id", "language", "norm"]
-    distinct = imports.where("norm is not null").select(*key).distinct()
+    searched = [name for name, profile in lg.PROFILES.items() if profile.candidates]
+    asks = F.col("norm").isNotNull() & F.coalesce(F.col("language").isin(*searched), F.lit(False))
+    distinct = imports.where(asks).select(*key).distinct()
     asked = distinct.select(*key, F.posexplode(candidate_paths(F.col("language"), F.col("norm"))).alias("pos", "candidate"))
     found = (
         asked.join(file_index(files), ["project_id", "candidate"])
         .groupBy(*key)
         .agg(F.min_by("target_path", "pos").alias("target_path"))
     )
-    return imports.join(found, key, "left")
+    located = imports.where(asks).join(found, key, "left").select(*imports.columns, "target_path")
+    return located.unionByName(imports.where(~asks).withColumn("target_path", F.lit(None).cast("string")))
 
 
 @dataclass(frozen=True)
