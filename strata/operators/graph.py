@@ -2,16 +2,18 @@
 
 Layer graphs are tiny per project (a config has a handful of layers), so they
 are aggregated out of the edge table first and only then searched. The
-file-level graph is fact-sized and uses label propagation with checkpoints.
+file-level graph is fact-sized and is contracted in blocks, round by round.
 """
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.model import VIOLATION_COLUMNS, Config
+from strata.operators.local_graph import contracted, grouped_files
 from strata.operators.rules import circular_rules
 from strata.session import materialise
 
@@ -249,124 +251,129 @@ def graph_file_edges(edges: DataFrame, violations: DataFrame) -> DataFrame:
     )
 
 
-def file_cycles(file_edges: DataFrame, every: int = 4) -> DataFrame:
+def file_cycles(file_edges: DataFrame, block_files: int = 50_000, every: int = 4) -> DataFrame:
     """F9 ``file_cycles``: strongly connected groups of the file graph.
 
     Input (project_id, src, dst); output (project_id, file, component) for files in a
     group of two or more, ``component`` being its smallest file.
 
-    Files become 64-bit numbers in the order of (project, file) once, so every later
-    join and aggregate is on numbers. Each round first drops edges that cannot lie on a
-    cycle and shortens chains of files with one edge in and one out to a single edge, by
-    doubling steps, so a long chain costs the logarithm of its length; if that changes
-    nothing, the smallest reaching number flows forward (colouring), and inside each
-    colour the files that reach its root going backward form a group and leave. The
-    rounds go on until no edge is left.
+    The graph is contracted in rounds. Files become numbers in the order of (project,
+    file) and fall into blocks of ``block_files`` neighbours in that order. Inside its
+    block a file is worked on by one task: groups become one file, files that no cycle can
+    pass are dropped, and files with few edges are bridged, so a deep part shrinks to what
+    its border needs, however long it is. What remains is a smaller graph with fewer
+    blocks. A round that shrinks little orders files by their surroundings instead of
+    their names, and one that still does not finds a group of each colour across blocks.
+
+    Then the rounds are undone, last first: files of a block whose group is known count as
+    one, and what forms a group with them or among itself inside the block joins it.
     """
     with_files = file_edges.where("src <> dst and project_id is not null").select("project_id", "src", "dst")
     nodes = with_files.select("project_id", F.col("src").alias("file")).union(with_files.select("project_id", "dst")).distinct()
-    # partitions hold ascending ranges and rows are sorted, so the numbers ascend with the names
-    named = materialise(
-        nodes.repartitionByRange("project_id", "file")
-        .sortWithinPartitions("project_id", "file")
-        .withColumn("id", F.monotonically_increasing_id())
-    )
+    named = _placed(nodes, ["project_id", "file"]).withColumnRenamed("pos", "id")
     tails = named.select("project_id", F.col("file").alias("src"), F.col("id").alias("a"))
     heads = named.select("project_id", F.col("file").alias("dst"), F.col("id").alias("b"))
     live = materialise(
         with_files.join(tails, ["project_id", "src"]).join(heads, ["project_id", "dst"]).select("a", "b").distinct()
     )
-    groups: list[DataFrame] = []
-    chains: list[DataFrame] = []
-    size = live.count()
+    rounds: list[tuple[DataFrame | None, DataFrame]] = []
+    size, near = live.count(), False
     while size:
-        live = _trim(live, every)
-        live, chain, rings = _shorten(live)
-        chains.append(chain)
-        groups.append(rings)
+        inside, done, live = _contract(live, block_files, near, every)
+        rounds.append((inside, done))
         left = live.count()
-        if left == size:
-            found = _colour_groups(live, every)
-            groups.append(found)
-            gone = found.select("id")
-            live = materialise(
-                live.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
-            )
-            left = live.count()
+        if left > 0.7 * size:
+            if near:
+                found = _colour_groups(live, every)
+                rounds.append((None, found))
+                gone = found.select("id")
+                live = materialise(
+                    live.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
+                )
+                left = live.count()
+            near = not near
         size = left
-    if not groups:
-        return named.select("project_id", "file", F.col("file").alias("component"))
-    members = groups[0]
-    for more in groups[1:]:
-        members = members.union(more)
-    # files of shortened chains belong where both of their ends do; later chains first
-    for chain in reversed(chains):
-        ends = members.select(F.col("id").alias("front"), F.col("root").alias("r1"))
-        backs = members.select(F.col("id").alias("back"), F.col("root").alias("r2"))
-        inside = chain.join(ends, "front", "left").join(backs, "back", "left")
-        whole = inside.where("front = back or r1 = r2")
-        added = whole.select("id", F.coalesce("r1", "front").alias("root"))
-        closed = whole.where("front = back and r1 is null").select(F.col("front").alias("id"), F.col("front").alias("root"))
-        members = materialise(members.union(added).union(closed.distinct()))
-    smallest = members.groupBy("root").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = named.sparkSession.createDataFrame([], "id long, root long")
+    for inside, done in reversed(rounds):
+        known = materialise(known.union(done) if inside is None else _undone(inside, done, known))
+    smallest = known.groupBy("root").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     files = named.select("id", "project_id", "file")
     firsts = named.select(F.col("id").alias("first"), F.col("file").alias("component"))
-    return (
-        members.join(smallest, "root").join(files, "id").join(firsts, "first").select("project_id", "file", "component")
+    return known.join(smallest, "root").join(files, "id").join(firsts, "first").select("project_id", "file", "component")
+
+
+def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Distinct rows with their place in this order, from 0 and without gaps."""
+    ranged = materialise(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     )
+    part = F.shiftright("_m", 33).alias("_part")
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    # one row a partition
+    before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = ranged.withColumn("_part", part).join(offsets, "_part")
+    return placed.withColumn("pos", F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_part", "_before")
 
 
-def _trim(live: DataFrame, hops: int) -> DataFrame:
-    """Drop edges whose source has no inbound or whose target has no outbound edge, a few hops deep."""
+def _contract(live: DataFrame, block_files: int, near: bool, hops: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: edges inside blocks, what became of their files (id, root: null if dropped), the smaller graph."""
+    nodes = live.select(F.col("a").alias("id")).union(live.select("b")).distinct()
+    if near:
+        nodes = _surroundings(live, nodes, hops)
+    places = _placed(nodes, ["label", "id"] if near else ["id"])
+    blocks = materialise(places.select("id", F.floor(F.col("pos") / block_files).alias("block")))
+    ends = live.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("block_a")), "a").join(
+        blocks.select(F.col("id").alias("b"), F.col("block").alias("block_b")), "b"
+    )
+    ends = materialise(ends.select("a", "b", "block_a", "block_b"))
+    inside = ends.where("block_a = block_b").select(F.col("block_a").alias("block"), "a", "b")
+    across = ends.where("block_a <> block_b")
+    none = F.lit(None).cast("long")
+    borders = across.select(F.col("block_a").alias("block"), "a", none.alias("b")).distinct().union(
+        across.select(F.col("block_b").alias("block"), none.alias("a"), "b").distinct()
+    )
+    done = materialise(_by_block(inside.union(borders), contracted))
+    changed = done.where("b is null").select(F.col("a").alias("id"), "root")
+    fates = [changed.select(F.col("id").alias(c), F.col("root").alias(f"to_{c}"), F.lit(True).alias(f"hit_{c}")) for c in ("a", "b")]
+    moved = across.select("a", "b").join(fates[0], "a", "left").join(fates[1], "b", "left")
+    moved = moved.where("(hit_a is null or to_a is not null) and (hit_b is null or to_b is not null)")
+    moved = moved.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+    rest = done.where("b is not null").select("a", "b").union(moved).where("a <> b").distinct()
+    return inside, changed, materialise(rest)
+
+
+def _surroundings(live: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:
+    """Files with the smallest hash within a few steps either way: neighbours mostly share it."""
+    both = live.select("a", "b").union(live.select("b", "a"))
+    current = nodes.withColumn("label", F.xxhash64("id"))
     for _ in range(hops):
-        sources = live.select(F.col("a").alias("b")).distinct()
-        targets = live.select(F.col("b").alias("a")).distinct()
-        live = live.join(sources, "b", "left_semi").join(targets, "a", "left_semi")
-    return materialise(live)
+        sent = both.join(current.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), "label")
+        current = current.union(sent).groupBy("id").agg(F.min("label").alias("label"))
+    return current
 
 
-def _shorten(live: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Replace chains of files with one edge in and one out by single edges.
+def _by_block(rows: DataFrame, work) -> DataFrame:
+    """Rows (block, a, b) of whole blocks through ``work(a, b)``, which returns rows (a, b, root)."""
 
-    Returns the shorter graph, the files taken out (id, front, back: the files before
-    and behind their chain) and rings that consist of such files alone (id, root). A
-    chain that comes back to its own front leaves no edge; its files tell of it.
-    """
-    outs = live.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("to")).where("n = 1")
-    ins = live.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("from")).where("n = 1")
-    plain = materialise(
-        outs.select(F.col("a").alias("id"), "to").join(ins.select(F.col("b").alias("id"), "from"), "id")
-    )
-    step = plain.select("id", F.col("to").alias("back"), F.col("from").alias("front"), F.col("id").alias("low"))
-    total = plain.count()
-    reach = 1
-    while reach < 2 * total:
-        # where an end is itself on a chain, go on to that one's end; rings go round for ever
-        ahead = step.select(F.col("id").alias("back"), F.col("back").alias("next"), F.col("low").alias("low2"))
-        behind = step.select(F.col("id").alias("front"), F.col("front").alias("before"))
-        grown = step.join(ahead, "back", "left").join(behind, "front", "left")
-        new = materialise(
-            grown.select(
-                "id",
-                F.coalesce("next", "back").alias("back"),
-                F.coalesce("before", "front").alias("front"),
-                F.least("low", "low2").alias("low"),
-                F.col("next").isNotNull().alias("open"),
-            )
-        )
-        step, reach = new.drop("open"), 2 * reach
-        if new.where("open").isEmpty():
-            break
-    chain_ids = plain.select("id")
-    # the end of an open chain is never on a chain itself
-    ring = step.join(chain_ids.withColumnRenamed("id", "back"), "back", "left_semi").select("id", F.col("low").alias("root"))
-    chain = step.join(chain_ids.withColumnRenamed("id", "back"), "back", "left_anti").select("id", "front", "back")
-    ring, chain = materialise(ring), materialise(chain)
-    rest = live.join(chain_ids.withColumnRenamed("id", "a"), "a", "left_anti").join(
-        chain_ids.withColumnRenamed("id", "b"), "b", "left_anti"
-    )
-    links = chain.where("front <> back").select(F.col("front").alias("a"), F.col("back").alias("b"))
-    return materialise(rest.select("a", "b").union(links).distinct()), chain, ring
+    def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(work(table["a"], table["b"]), columns=["a", "b", "root"], dtype=object).astype("Int64")
+
+    return rows.groupBy("block").applyInPandas(run, "a long, b long, root long")
+
+
+def _undone(inside: DataFrame, done: DataFrame, known: DataFrame) -> DataFrame:
+    """Groups of a round's files (id, root), from the groups of what it left."""
+    # a file that became another one is in that one's group; others are in their own
+    became = done.where("root is not null").select("id", F.col("root").alias("rep"))
+    theirs = known.select(F.col("id").alias("rep"), F.col("root"))
+    known = known.union(became.join(theirs, "rep").select("id", "root"))
+    ends = inside.select("block", F.col("a").alias("id")).union(inside.select("block", "b")).distinct()
+    # a known group goes to the blocks of its files as an edge both ways with a file of its own, below zero
+    told = ends.join(known, "id").select("block", "id", (-1 - F.col("root")).alias("g"))
+    rows = inside.select("block", "a", "b").union(told.select("block", "id", "g")).union(told.select("block", "g", "id"))
+    found = _by_block(rows, grouped_files).select(F.col("a").alias("id"), "root").where("id >= 0")
+    return found.union(known.join(found.select("id"), "id", "left_anti")).distinct()
 
 
 def _colour_groups(live: DataFrame, every: int) -> DataFrame:

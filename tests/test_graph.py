@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 from strata.model import Config, Layer, Rule
 from strata.operators import graph, metrics, scoring
@@ -164,6 +165,53 @@ def test_file_cycles_match_brute_force(spark, rows):
     assert got == brute_groups([p for p in pairs if p[0] != p[1]])
 
 
+def test_file_cycles_over_many_blocks(spark, rows):
+    """Blocks of a few files, so that groups, dropped and bridged files cross them."""
+    rng = random.Random(11)
+    for n, m, size in ((40, 70, 4), (60, 66, 7), (30, 120, 5)):
+        nodes = [f"n{i:02d}" for i in range(n)]
+        pairs = sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range(m)})
+        df = spark.createDataFrame([("p", a, b) for a, b in pairs], "project_id string, src string, dst string")
+        got = set(rows(graph.file_cycles(df, block_files=size), "file", "component"))
+        assert got == brute_groups([p for p in pairs if p[0] != p[1]])
+
+
+def test_ladder_of_files(spark, rows):
+    """5,000 files, each with the next two, and one file that closes a part of it."""
+    name = lambda i: f"f{i:05d}"
+    pairs = [(name(i), name(i + k)) for i in range(5000) for k in (1, 2)] + [(name(3000), name(1000))]
+    df = spark.createDataFrame([("p", a, b) for a, b in pairs], "project_id string, src string, dst string")
+    want = [(name(i), name(1000)) for i in range(1000, 3001)]
+    for block_files in (50_000, 700):
+        start = time.perf_counter()
+        assert rows(graph.file_cycles(df, block_files=block_files), "file", "component") == want
+        assert time.perf_counter() - start < 60
+
+
+def test_files_in_no_order(spark, rows):
+    """A ladder whose names say nothing about its order, in small blocks."""
+    order = list(range(1200))
+    random.Random(2).shuffle(order)
+    name = lambda i: f"f{order[i]:05d}"
+    pairs = [(name(i), name(i + k)) for i in range(1197) for k in (1, 2)] + [(name(900), name(300))]
+    df = spark.createDataFrame([("p", a, b) for a, b in pairs], "project_id string, src string, dst string")
+    members = [name(i) for i in range(300, 901)]
+    assert rows(graph.file_cycles(df, block_files=100), "file", "component") == sorted((m, min(members)) for m in members)
+
+
+def test_local_groups():
+    from strata.operators.local_graph import groups
+
+    rng = random.Random(1)
+    for _ in range(200):
+        edges = {i: [] for i in range(12)}
+        for _ in range(rng.randrange(30)):
+            edges[rng.randrange(12)].append(rng.randrange(12))
+        want = brute_groups([(a, b) for a in edges for b in edges[a]])
+        got = groups(edges)
+        assert {(m, r) for m, r in got.items() if sum(v == r for v in got.values()) > 1} == {(m, r) for m, r in want}
+
+
 def test_metrics(spark):
     edges = edges_of(spark, [("a", "b"), ("a", "b"), ("b", "c")])
     projects = spark.createDataFrame([("p",), ("empty",)], "project_id string")
