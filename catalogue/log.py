@@ -447,6 +447,32 @@ def s10(spark: SparkSession, folder: str) -> DataFrame:
     return exports.json_rows(log(spark, folder))
 
 
+def uri(path: str) -> str:
+    """A folder as the URI that tasks open."""
+    return path if "://" in path else "file://" + path.removeprefix("file:")
+
+
+@query(
+    "s10_export_documents",
+    "SELECT project_id, id, rule_id, severity, file, line, import_path AS import, message, overridden, "
+    "count(*) OVER (PARTITION BY project_id) AS total, count(*) FILTER (WHERE severity = 'error') OVER (PARTITION BY project_id) AS errors FROM e_viol",
+)
+def s10_documents(spark: SparkSession, folder: str) -> DataFrame:
+    from catalogue.streams import scratch
+
+    root, work, rows = uri(scratch(spark, "documents")), uri(scratch(spark, "parts")), log(spark, folder)
+    written = exports.json_documents(rows, rows.select("project_id"), root, work)
+    # read back: every file is one document
+    fields = "id string, rule_id string, severity string, file string, line int, `import` string, message string, overridden boolean"
+    schema = f"violations array<struct<{fields.replace(' string', ':string').replace(' int', ':int').replace(' boolean', ':boolean')}>>, summary struct<total:long,errors:long>"
+    found = spark.read.schema(schema).option("multiLine", "true").json(root).withColumn("name", F.regexp_extract(F.input_file_name(), "([^/]+)[.]json$", 1))
+    name = F.regexp_extract("file", "([^/]+)[.]json$", 1)
+    named = found.join(written.select("project_id", name.alias("name")), "name")
+    return named.select("project_id", "summary.total", "summary.errors", F.inline("violations")).withColumn(
+        "overridden", F.coalesce("overridden", F.lit(False))
+    )
+
+
 @query(
     "s10_export_json_summary",
     """
@@ -576,6 +602,24 @@ def w7_batch(spark: SparkSession, folder: str) -> DataFrame:
     return watch.violation_windows(log(spark, folder), "1 day")
 
 
+@query(
+    "s9_delete_old",
+    "SELECT project_id, run_date, violations, (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY project_id ORDER BY run_date DESC) AS n FROM e_audits) WHERE n > 10) AS deleted "
+    "FROM e_audits QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY run_date DESC) <= 10",
+)
+def s9_delete(spark: SparkSession, folder: str) -> DataFrame:
+    from catalogue.streams import scratch
+    from strata.sources.history_store import HistoryStore
+
+    store = HistoryStore(spark, scratch(spark, "history"))
+    rows = audits(spark, folder)
+    store.save(rows.withColumn("violations", F.lit(-1).cast("bigint")))
+    store.save(rows)
+    store.compact()
+    deleted = store.delete_old(10)
+    return store.load().select("project_id", "run_date", "violations", F.lit(deleted).cast("long").alias("deleted"))
+
+
 @query(
     "s9_history_store",
     "SELECT project_id, run_date, violations, debt FROM e_audits",

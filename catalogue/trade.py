@@ -421,14 +421,16 @@ _STEPS = {
     "SELECT rule_id, source_layer, target_layer, CASE rule_id "
     + " ".join(f"WHEN {_text(k)} THEN {_text(' | '.join(guidance.GUIDANCE[v]))}" for k, v in _STEPS.items())
     + " END AS steps, CASE source_layer || '-' || target_layer "
-    + " ".join(
-        f"WHEN {_text(k)} THEN {_text(v)}" for k, v in guidance.PAIR_CONTEXT.items() if k not in ("circular", "default")
-    )
-    + f" ELSE {_text(guidance.PAIR_CONTEXT['default'])} END AS context, count(*) AS n FROM t_viol GROUP BY ALL",
+    + " ".join(f"WHEN {_text(k)} THEN {_text(v)}" for k, v in guidance.PAIR_CONTEXT.items() if k != "circular")
+    + f" ELSE {_text(guidance.OTHER_PAIR)} END AS context, CASE source_layer || '-' || target_layer "
+    + " ".join(f"WHEN {_text(k)} THEN {_text(' | '.join(v))}" for k, v in guidance.PAIR_STEPS.items() if k != "circular")
+    + " ELSE '' END AS pair_steps, count(*) AS n FROM t_viol GROUP BY ALL",
 )
 def r14(spark: SparkSession, folder: str) -> DataFrame:
-    rich = guidance.fix_guidance(violations(spark, folder)).withColumn("steps", F.array_join("steps", " | "))
-    return rich.groupBy("rule_id", "source_layer", "target_layer", "steps", "context").agg(F.count(F.lit(1)).alias("n"))
+    rich = guidance.fix_guidance(violations(spark, folder))
+    rich = rich.withColumns({"steps": F.array_join("steps", " | "), "pair_steps": F.array_join("pair_steps", " | ")})
+    keys = ["rule_id", "source_layer", "target_layer", "steps", "context", "pair_steps"]
+    return rich.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

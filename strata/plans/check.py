@@ -44,16 +44,15 @@ def evaluate_rules(
     ``metrics`` and ``checks`` feed the expression rules (E16); a rule of the config
     that has a ``check`` but no Column among ``checks`` is an error, so no rule is
     skipped in silence. Files that ``config.exclude`` matches take no part. The edges
-    are read by every rule family, so unless they are ``stored`` already they are
-    written once first.
+    are read by every rule family, so they are written once first, unless they are
+    ``stored``: a written table without excluded files.
     """
     given = {c[1] for c in checks} if metrics is not None else set()
     open_checks = sorted(r.id for r in config.rules if r.check and r.id not in given)
     if open_checks:
         raise ValueError(f"no metrics and check Column given for the rules {open_checks}")
-    if config.exclude:
-        deps = deps.where(~ignored(F.col("source_file"), list(config.exclude)))
-    deps = deps if stored and not config.exclude else materialise(deps)
+    if not stored:
+        deps = materialise(included(deps, config))
     out = standard_violations(deps, config)
     if metrics is not None and checks:
         out = out.unionByName(expr_rule(metrics, list(checks)))
@@ -64,11 +63,26 @@ def evaluate_rules(
     return out.unionByName(graph.circular_violations(graph.layer_cycles(pairs), config))
 
 
-def audit(deps: DataFrame, config: Config, projects: DataFrame) -> dict[str, DataFrame]:
-    """Full health report of a fleet; edges and violations are written once and shared."""
-    deps = materialise(deps)
+def included(deps: DataFrame, config: Config) -> DataFrame:
+    """Edges of the files that ``config.exclude`` leaves."""
+    return deps.where(~ignored(F.col("source_file"), list(config.exclude))) if config.exclude else deps
+
+
+def audit(
+    deps: DataFrame,
+    config: Config,
+    projects: DataFrame,
+    metrics: DataFrame | None = None,
+    checks: list[tuple[int, str, Column, str, str]] = (),
+) -> dict[str, DataFrame]:
+    """Full health report of a fleet; edges and violations are written once and shared.
+
+    Excluded files take no part in any of it. ``metrics`` and ``checks`` feed the config's
+    expression rules, as in ``evaluate_rules``.
+    """
+    deps = materialise(included(deps, config))
     edges = classified(deps, config.layers)
-    violations = materialise(evaluate_rules(deps, config, projects, stored=True))
+    violations = materialise(evaluate_rules(deps, config, projects, metrics, checks, stored=True))
     coupling = scoring.coupling_matrix(edges)
     pairs = graph.pair_count(graph.bidirectional_pairs(coupling), projects)
     debt = scoring.debt_band(scoring.debt_score(violations, pairs))

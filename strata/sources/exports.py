@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.scoring import severity_columns
+from strata.session import materialise
 
 # --- fixed values -----------------------------------------------------------
 SCHEMA_VERSION = "1.0"
@@ -19,12 +27,8 @@ def report_severity() -> Column:
     return F.when(F.col("severity").isin("warning", "info"), F.col("severity")).otherwise("error")
 
 
-def json_rows(violations: DataFrame) -> DataFrame:
-    """S10 ``export_json``: one JSON object per violation.
-
-    A document with all violations inside would gather a project in one task;
-    JSON lines carry the same objects in any number of part files.
-    """
+def _json_object() -> Column:
+    """A violation as JSON."""
     fields = F.struct(
         "id",
         "rule_id",
@@ -37,7 +41,92 @@ def json_rows(violations: DataFrame) -> DataFrame:
         "message",
         F.when(F.col("overridden"), F.lit(True)).alias("overridden"),
     )
-    return violations.select("project_id", F.to_json(fields).alias("payload"))
+    return F.to_json(fields)
+
+
+def json_rows(violations: DataFrame) -> DataFrame:
+    """S10 ``export_json`` as lines: one JSON object per violation, in any number of part files."""
+    return violations.select("project_id", _json_object().alias("payload"))
+
+
+#: bytes copied at once when parts become one document
+_COPY = 1 << 20
+
+
+def _write_parts(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """Payloads of sorted rows into one file per project; a row (project_id, part, path) for each."""
+    store, place = pyarrow.fs.FileSystem.from_uri(root)
+    part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+    done: list[tuple[str, int, str]] = []
+    project, out = None, None
+    for batch in batches:
+        for owner, payload in zip(batch.column("project_id").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            if out is None or owner != project:
+                if out is not None:
+                    out.close()
+                name = f"part-{part:06d}-{len(done):06d}-{attempt}"
+                out, project = store.open_output_stream(f"{place}/{name}"), owner
+                done.append((owner, part, f"{place}/{name}"))
+            else:
+                out.write(b",\n")
+            out.write(payload.encode())
+    if out is not None:
+        out.close()
+    columns = list(zip(*done, strict=True)) or [[], [], []]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], ["project_id", "part", "path"]
+    )
+
+
+def _join_parts(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """Head, parts and tail of each project copied into its document, a piece at a time."""
+    store, place = pyarrow.fs.FileSystem.from_uri(root)
+    for batch in batches:
+        files, sizes = [], []
+        rows = [batch.column(c).to_pylist() for c in ("project_id", "head", "tail", "parts")]
+        for project, head, tail, parts in zip(*rows, strict=True):
+            final = f"{place}/{quote(project, safe='')}.json"
+            draft = f"{final}.{uuid.uuid4().hex}"
+            with store.open_output_stream(draft) as out:
+                out.write(head.encode())
+                for i, path in enumerate(parts or []):
+                    out.write(b",\n" if i else b"\n")
+                    with store.open_input_stream(path) as source:
+                        while piece := source.read(_COPY):
+                            out.write(piece)
+                out.write(tail.encode())
+                sizes.append(out.tell())
+            store.move(draft, final)  # a second attempt replaces the same document
+            files.append(final)
+        yield pa.RecordBatch.from_arrays([batch.column("project_id"), pa.array(files, pa.string()), pa.array(sizes, pa.int64())], ["project_id", "file", "bytes"])
+
+
+def json_documents(violations: DataFrame, projects: DataFrame, root: str, work: str) -> DataFrame:
+    """S10 ``export_json``: one JSON document per project below ``root``: (project_id, file, bytes).
+
+    ``root`` and ``work`` are URIs of folders that every executor reaches; parts are written
+    below ``work`` and are the caller's to delete. Violations are dealt by ranges of
+    (project, file, line, id), so a project of any size is written by many tasks, each a
+    part in order; the parts, as many as there were tasks at most, are then copied into the
+    document without being held. A project without violations has an empty list.
+    """
+    for folder in (root, work):
+        store, place = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(place, recursive=True)
+    order = ["project_id", "file", "line", "id"]
+    ranged = violations.select(*order, _json_object().alias("payload")).where("project_id is not null").repartitionByRange(*order)
+    lines = ranged.sortWithinPartitions(*order).select("project_id", "payload")
+    parts = materialise(lines.mapInArrow(lambda b: _write_parts(b, work), "project_id string, part int, path string"))
+    listed = parts.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("part", "path"))).getField("path").alias("parts"))
+    overridden = F.count(F.when(F.col("overridden"), 1)).alias("overridden_count")
+    counts = violations.groupBy("project_id").agg(*severity_columns(), overridden)
+    body = F.struct("total", "errors", "warnings", "info", "overridden_count")
+    each = projects.select("project_id").where("project_id is not null").distinct().join(counts, "project_id", "left").na.fill(0)
+    head = F.lit(f'{{"schema_version":"{SCHEMA_VERSION}","violations":[')
+    whole = each.join(listed, "project_id", "left").select(
+        "project_id", head.alias("head"), F.concat(F.lit('],"summary":'), F.to_json(body), F.lit("}\n")).alias("tail"), "parts"
+    )
+    return materialise(whole.mapInArrow(lambda b: _join_parts(b, root), "project_id string, file string, bytes long"))
 
 
 def json_summary(violations: DataFrame, coupling: DataFrame | None = None) -> DataFrame:
