@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalogue.base import block, query
 from strata.functions.globs import glob_match
 from strata.model import Rule, rules_table
-from strata.operators import fleet, graph, guidance, layers, metrics, ordering, rules, scoring, templates
+from strata.operators import fleet, graph, guidance, layers, linting, metrics, ordering, rules, scoring, templates
 from strata.plans.check import evaluate_rules
 from strata.session import materialise
 from strata.sources.adapters import TRADE, deps_from_pages, deps_from_trade, places, table
@@ -1242,3 +1242,77 @@ def r21_fleet(spark: SparkSession, folder: str) -> DataFrame:
 )
 def g15_by_project(spark: SparkSession, folder: str) -> DataFrame:
     return fleet.gate_by_project(l9_configs(spark, folder), trade_fleet(spark, folder), projects(spark, folder))
+
+
+block(
+    "t_lint",
+    """
+SELECT 'n' || s_nationkey AS project_id, s_suppkey AS k, 'r' || s_suppkey AS id, s_suppkey % 12 AS kind FROM supplier
+""",
+)
+
+
+@query(
+    "r22_lint_config",
+    """
+SELECT project_id, id AS subject, unnest(CASE kind
+  WHEN 0 THEN ['invalid pattern ' || chr(39) || 'a(' || k || chr(39)]
+  WHEN 1 THEN ['unknown template ' || chr(39) || 'min-deps' || chr(39)]
+  WHEN 2 THEN ['missing required param ' || chr(39) || 'max' || chr(39) || ' for template ' || chr(39) || 'max-deps' || chr(39), 'template param ' || chr(39) || 'to' || chr(39) || ' references unknown layer gone']
+  WHEN 3 THEN ['param ' || chr(39) || 'min' || chr(39) || ' for template ' || chr(39) || 'layer-balance' || chr(39) || ': expected int']
+  WHEN 4 THEN ['param ' || chr(39) || 'forbidden' || chr(39) || ' for template ' || chr(39) || 'no-leak' || chr(39) || ': expected []string', 'template param ' || chr(39) || 'forbidden' || chr(39) || ' references unknown layer core;']
+  WHEN 5 THEN [chr(39) || 'check' || chr(39) || ' expression rules cannot have ' || chr(39) || 'from' || chr(39) || ' field', chr(39) || 'check' || chr(39) || ' expression rules cannot have ' || chr(39) || 'to' || chr(39) || ' field']
+  WHEN 6 THEN ['invalid severity']
+  WHEN 7 THEN ['invalid rule type']
+  ELSE [] END) AS finding FROM t_lint
+UNION ALL SELECT project_id, 'f' || k, unnest(CASE kind WHEN 9 THEN ['invalid identifier'] ELSE [] END) FROM (SELECT project_id, k || '-' AS k, kind FROM t_lint)
+UNION ALL SELECT project_id, 'g' || k, 'circular reference: g' || k || ' -> h' || k || ' -> g' || k FROM t_lint WHERE kind = 10
+UNION ALL SELECT project_id, 'python', 'plugin name conflicts with a built-in detector' FROM t_lint WHERE kind = 11
+UNION ALL SELECT project_id, 'python', 'invalid timeout ' || chr(39) || k || 'sec' || chr(39) FROM t_lint WHERE kind = 11
+UNION ALL SELECT project_id, 'python', 'duplicate plugin name' FROM t_lint WHERE kind = 11 GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT project_id, 'max_violations', 'max_violations cannot be negative (got ' || -k || ')' FROM t_lint WHERE kind = 8 AND k > 0
+UNION ALL SELECT project_id, 'mapping ' || k, 'language is required' FROM t_lint WHERE kind = 8
+UNION ALL SELECT project_id, 'mapping ' || k, 'match strategy must be ' || chr(39) || 'stem' || chr(39) || ' or ' || chr(39) || 'glob' || chr(39) FROM t_lint WHERE kind = 8
+""",
+)
+def r22_config(spark: SparkSession, folder: str) -> DataFrame:
+    supplier, key = table(spark, folder, "supplier"), F.col("s_suppkey")
+    kind, text = key % 12, key.cast("string")
+    rows = supplier.select(
+        F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("project_id"), kind.alias("kind"), text.alias("k"), key.alias("n")
+    )
+    k, text = F.col("kind"), F.col("k")
+    lone = (k < 6) & (k != 5)
+    own = rows.select(
+        "project_id",
+        F.concat(F.lit("r"), text).alias("id"),
+        F.when(lone, "").otherwise("core").alias("from_layer"),
+        F.when(lone, F.array().cast("array<string>")).otherwise(F.array(F.lit("edge"))).alias("to_layers"),
+        F.when(k == 7, "Cant").otherwise("Cannot").alias("type"),
+        F.when(k == 6, "fatal").otherwise("error").alias("severity"),
+        F.when(k == 0, F.concat(F.lit("a("), text)).when(k > 6, "^a+$").otherwise("").alias("pattern"),
+        F.when(k == 1, "min-deps").when(k == 2, "max-deps").when(k == 3, "layer-balance").when(k == 4, "no-leak").otherwise("").alias("template"),
+        F.array().cast("array<struct<path:string,severity:string,enabled:boolean>>").alias("overrides"),
+        F.when(k == 2, F.create_map(F.lit("from"), F.lit("core"), F.lit("to"), F.lit('["edge", "gone"]')))
+        .when(k == 3, F.create_map(F.lit("min"), F.lit("few"), F.lit("max"), F.lit("10")))
+        .when(k == 4, F.create_map(F.lit("layer"), F.lit("core"), F.lit("forbidden"), F.lit("core;")))
+        .alias("params"),
+        F.when(k == 5, "count() > 3").otherwise("").alias("check"),
+    )
+    names = F.explode(F.array(F.lit("core"), F.lit("edge"))).alias("name")
+    layer_rows = rows.select("project_id").distinct().select("project_id", names).withColumn("paths", F.array(F.concat("name", F.lit("/**"))))
+    settings = rows.where(k == 8).select(
+        "project_id", (-F.col("n")).cast("int").alias("max_violations"), F.create_map(F.lit("error"), F.lit("info")).alias("severity_map")
+    )
+
+    def call(name: str, to: str, suffix: str = ""):
+        return F.struct(F.concat(F.lit(name), text, F.lit(suffix)).alias("name"), F.array(F.concat(F.lit(to), text), F.lit("count")).alias("calls"))
+
+    functions = rows.select("project_id", F.inline(F.when(k == 9, F.array(call("f", "x", "-"))).when(k == 10, F.array(call("g", "h"), call("h", "g"))).otherwise(F.array(call("ok", "none")))))
+    plugins = rows.where(k == 11).select(
+        "project_id", F.lit("python").alias("name"), F.lit("run").alias("command"), F.array(F.lit("x")).alias("languages"), F.concat(text, F.lit("sec")).alias("timeout")
+    )
+    mappings = rows.where(k == 8).select(
+        "project_id", F.col("n").alias("ord"), F.lit("*.a").alias("source_glob"), F.lit("*.b").alias("generated_glob"), F.lit("").alias("language"), F.lit("name").alias("strategy")
+    )
+    return linting.lint_config(own, layer_rows, settings, functions, plugins, mappings)

@@ -7,6 +7,7 @@ fact-sized thing is a DataFrame with a leading ``project_id``.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -145,7 +146,7 @@ def rules_table(spark: SparkSession, rules: tuple[Rule, ...], project_id: str |
             list(r.exclude),
             [(o.path, o.severity, o.enabled) for o in r.overrides],
             r.template,
-            {k: str(v) for k, v in r.params.items()},
+            {k: v if isinstance(v, str) else json.dumps(v) for k, v in r.params.items()},
         )
         for i, r in enumerate(rules, 1)
     ]

@@ -103,7 +103,7 @@ def test_audit_with_an_expression_rule_and_an_exclude(spark, rows):
     with pytest.raises(ValueError):
         audit(deps, config, projects)
     metrics = spark.createDataFrame([("p", 1)], "project_id string, n int")
-    report = audit(deps, config, projects, metrics, [(2, "few", F.col("n") > 5, "error", "too few")])
+    report = audit(deps, config, projects, metrics, [(2, "few", F.col("n") <= 5, "error", "too few")])
     assert rows(report["violations"], "rule_id", "file") == [("few", ""), ("r", "a/x")]
     # the excluded files are nowhere: one edge, no pair both ways
     assert rows(report["coupling"], "from_layer", "to_layer", "cnt") == [("a", "b", 1)]
