@@ -15,6 +15,8 @@ from strata.llm.text import flat, mix, slices
 
 SIZE = 4096  # hashed features
 PER_LANGUAGE = 400  # training rows of a language, about; twice that at most on the whole
+#: most values of lang that are learned, and rows of them all
+LANGUAGES, ROWS = 64, 6_400
 UNDECIDED = "und"
 # fixed values: language codes by family; a code that is absent is a family of its own
 FAMILIES = {
@@ -185,23 +187,20 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Fit on a bounded sample of the rows with text and lang that aren't held out.
 
-    Of each language about ``per_language`` rows, those with the smallest hash of
-    doc_id and text; never more than twice that for all languages together.
+    Learned are the ``LANGUAGES`` values of lang with the most such rows (of equally many
+    the first by name). Of each about ``per_language`` rows, those with the smallest hash
+    of doc_id and text, and of all together about ``ROWS``, never more than twice that.
+    The sample is filtered where it is scanned; texts are not moved.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    n_languages = counts.count()
-    if not n_languages:
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
         return LanguageModel.fit(np.zeros((0, SIZE), np.float32), [])
+    each = max(1, min(per_language, ROWS // len(counts)))
+    n = F.try_element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], r["n"])]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    picked = (
-        usable.select("lang", "text", draw.alias("draw"))
-        .join(counts, "lang")
-        .where(F.col("draw") * F.col("n") < F.lit(float(per_language * (1 << 40))))
-        .select("lang", "text")
-        .limit(2 * per_language * n_languages)
-    )
-    got = picked.mapInArrow(_vectors, "lang string, vector binary").collect()
+    picked = usable.where(draw * n < F.lit(float(each * (1 << 40)))).select("lang", "text")
+    got = picked.mapInArrow(_vectors, "lang string, vector binary").limit(2 * each * len(counts)).collect()
     rows = np.frombuffer(b"".join(bytes(r["vector"]) for r in got), np.float32).reshape(-1, SIZE)
     return LanguageModel.fit(rows, [r["lang"] for r in got])
 

@@ -160,6 +160,18 @@ def test_language_held_out_accuracy(spark):
     assert {r.lang_pred for r in language.identify(docs.limit(5), single).collect()} == {"de"}
 
 
+def test_many_languages_are_learned_up_to_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    monkeypatch.setattr(language, "ROWS", 60)
+    docs = spark.createDataFrame(
+        [(i, f"{'abcde'[i % 5] * 4} text {i}", f"l{i % 5}") for i in range(300)] + [(1000 + i, f"xyz more {i}", "l4") for i in range(30)], "doc_id long, text string, lang string"
+    )
+    model = language.train(docs)
+    assert len(model.families.names) == 3
+    seen = {r.lang_pred for r in language.identify(docs, model).collect()}
+    assert seen <= set(model.languages[k].names[0] for k in model.families.names) and "l4" in seen
+
+
 def test_language_does_not_depend_on_neighbours(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.train(docs)
