@@ -16,47 +16,58 @@ from strata.llm.near_text import near_duplicates
 from strata.llm.overlap import decontaminated
 from strata.llm.packing import pack_documents
 from strata.llm.private_spans import redact
-from strata.session import Scratch
+from strata.session import Scratch, closing
 
 #: Encoding and language models are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 _KEY = "_document_key"
+#: A language is not taken for one when another is more likely beyond three to one.
+LEAST_SCORE = 0.25
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds the document's number; a row without one is known by a hash of its text."""
-    return docs.withColumn(_KEY, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds the document's number; a row without one, or whose number another text has too, is known by a hash of both."""
+    own = F.xxhash64("doc_id", "text")
+    texts = F.xxhash64("text")
+    shared = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(texts).alias("a"), F.max(texts).alias("b")).where("a <> b")
+    shared = scratch.table(shared.select("doc_id", F.lit(True).alias("_shared")), "shared")
+    alone = F.col("doc_id").isNotNull() & F.col("_shared").isNull()
+    key = F.when(alone, F.col("doc_id").cast("long")).otherwise(own)
+    return docs.join(shared, "doc_id", "left").select(*docs.columns, key.alias(_KEY))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return _keyed(docs).select(F.col(_KEY).alias("doc_id"), "text")
+def _numbered(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col(_KEY).alias("doc_id"), "text")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that are in no language: null, empty and letterless texts.
+    """Drop documents that operator 10 finds in no language.
 
-    Where no language could be learned, texts with a letter stay.
+    Those are null, empty and letterless texts, and texts whose language has a score
+    below ``LEAST_SCORE``. Where no language could be learned, texts with a letter stay.
     """
     ready(spark)
     model = train(docs)
     if model.families is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     told = identify(docs, model)
-    return told.where(F.col("lang_pred") != UNDECIDED).select(*docs.columns)
+    return told.where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest number stays.
 
-    Rows with the same number and text are one document, of which one row stays.
+    Rows with the same number and text are one document, of which one row stays. Rows
+    with the same number and other texts are documents of their own, and come by a hash.
     """
     ready(spark)
     scratch = Scratch(spark)
-    found = scratch.table(near_duplicates(_numbered(docs), scratch), "found")
+    keyed = _keyed(docs, scratch)
+    found = scratch.table(near_duplicates(_numbered(keyed), scratch), "found")
     gone = found.where("not kept").select(F.col("doc_id").alias(_KEY)).distinct()
     again = found.groupBy(F.col("doc_id").alias(_KEY)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_KEY)
     again = scratch.table(again, "again")
-    left = _keyed(docs).join(gone, _KEY, "left_anti")
+    left = keyed.join(gone, _KEY, "left_anti")
     once = left.join(again, _KEY, "left_semi").dropDuplicates([_KEY, "text"])
     return left.join(again, _KEY, "left_anti").unionByName(once).select(*docs.columns)
 
@@ -65,9 +76,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drop documents that hold a window of a benchmark item."""
     ready(spark)
     scratch = Scratch(spark)
-    found = decontaminated(_numbered(docs), table(spark, sf_dir, "benchmark"), scratch)
+    keyed = _keyed(docs, scratch)
+    found = decontaminated(_numbered(keyed), table(spark, sf_dir, "benchmark"), scratch)
     bad = scratch.table(found.where("contaminated").select(F.col("doc_id").alias(_KEY)).distinct(), "contaminated")
-    return _keyed(docs).join(bad, _KEY, "left_anti").select(*docs.columns)
+    return keyed.join(bad, _KEY, "left_anti").select(*docs.columns)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,10 +104,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; what a stage leaves goes once the next one is written."""
     ready(spark)
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        with closing():
+            made = scratch.table(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,18 +79,45 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OPEN: list[Scratch] = []
+
+
+def _close_open() -> None:
+    for scratch in list(_OPEN):
+        try:
+            scratch.close()
+        except Exception:  # noqa: BLE001 - the session may be gone, and with it the way to the folder
+            _OPEN.clear()
+            return
+
+
+@contextmanager
+def closing() -> Iterator[None]:
+    """Close, on leaving, the owners that were made inside."""
+    before = list(_OPEN)
+    try:
+        yield
+    finally:
+        for scratch in [x for x in _OPEN if x not in before]:
+            scratch.close()
+
+
 class Scratch:
     """Owner of the tables that one job writes to the shared folder.
 
     ``table`` writes and rereads, ``drop`` deletes one table as soon as no later
     plan reads it, ``close`` (or leaving the ``with`` block) deletes the rest.
-    What a lazy result still reads must stay until that result has been written.
+    What a lazy result still reads must stay until that result has been written; an
+    owner that nobody closes is closed when the program ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
+        if not _OPEN:
+            atexit.register(_close_open)
+        _OPEN.append(self)
 
     def path(self, name: str) -> str:
         """A fresh path below this owner's folder."""
@@ -109,6 +138,8 @@ class Scratch:
 
     def close(self) -> None:
         self._paths.clear()
+        if self in _OPEN:
+            _OPEN.remove(self)
         _delete(self.spark, self.root)
 
     def __enter__(self) -> Scratch:
