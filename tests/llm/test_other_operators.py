@@ -458,7 +458,7 @@ def test_language_stage_without_labels(spark):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -472,3 +472,35 @@ def test_oracles(spark, name):
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in got.select(*columns).collect())
+
+
+def test_pipeline_keys_and_empty_tables(spark, tmp_path):
+    """A text that shares another's number is a document of its own; empty tables pass through."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    same, other = "one two three four five six seven eight nine ten", "quite another text with words of its own kind here today"
+    rows = [(1, same, "en", "s", 1), (2, same, "en", "s", 1), (2, other, "en", "s", 1), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert {(r.doc_id, r.text) for r in kept} - {(3, None)} in ({(1, same), (2, other)}, {(2, same), (2, other)})
+    spark.createDataFrame([("b", same)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in left} == {(2, other), (3, None)}
+    for name, table in (("a", docs), ("b", docs.where("false"))):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+        packed = corpus_pipeline.run(spark, folder).collect()
+        assert (len(packed) > 0) == (name == "a")
+
+
+def test_scratch_tables_go_with_their_stage(spark):
+    from strata import session
+
+    before = list(session._OPEN)
+    with session.closing():
+        scratch = Scratch(spark)
+        held = scratch.table(spark.range(3))
+        assert held.count() == 3
+    assert session._OPEN == before
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch.root)
+    assert not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
