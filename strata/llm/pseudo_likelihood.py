@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,53 +15,91 @@ from pyspark.sql import functions as F
 from strata.llm.text import ALNUM, flat, list_array, mix, row_of, slices, word_hashes, words
 from strata.session import Scratch
 
-CLASSES = 32
-SIZE = CLASSES * CLASSES  # ids: frequent words by rank, then groups of rare ones
-RARE = 64  # groups that all other words are hashed into
+WORDS = 640  # ids for a corpus of a million words; they grow with the root of its size
+LARGEST = 1 << 16  # ids at most: weights must fit a task
+GROUPED = 4  # one id in so many is a group of rarer words with one ending
+ENDING = 3  # bytes of an ending
 HEAD = 1 << 16  # most frequent words of the groups, whose counts every task holds; the others' counts are joined
 SIDE = 2  # words seen on either side
 EMBED, HIDDEN = 16, 32
 ROUNDS = 2  # each predicts every second word of a document, so both together every word once
-BATCH = 4096
-_SHAPES = {
-    "embed": (SIZE + 1, EMBED),  # the last row stands for what lies outside the text
-    "inner": (2 * SIDE * EMBED, HIDDEN),
-    "inner_bias": (HIDDEN,),
-    "to_class": (HIDDEN, CLASSES),
-    "class_bias": (CLASSES,),
-    "to_word": (CLASSES, HIDDEN, CLASSES),
-    "word_bias": (CLASSES, CLASSES),
-}
-N_WEIGHTS = sum(int(np.prod(s)) for s in _SHAPES.values())
-
-
-def views(weights: np.ndarray) -> dict[str, np.ndarray]:
+BATCH = 1024
+MILLION = 1_000_000
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of the network: ids are ``side`` classes of ``side`` words, the last ``groups`` ids groups of rarer words."""
+
+    side: int
+    groups: int
+
+    @classmethod
+    def of(cls, n_words: int) -> Shape:
+        """For a corpus of so many words."""
+        side = math.ceil(math.sqrt(min(LARGEST, max(64, WORDS * math.sqrt(n_words / MILLION)))))
+        return cls(side, side * side // GROUPED)
+
+    @property
+    def size(self) -> int:
+        return self.side * self.side
+
+    @property
+    def frequent(self) -> int:
+        return self.size - self.groups
+
+    def arrays(self) -> dict[str, tuple[int, ...]]:
+        n = self.side
+        return {
+            "embed": (self.size + 1, EMBED),  # the last row stands for what lies outside the text
+            "inner": (2 * SIDE * EMBED, HIDDEN),
+            "inner_bias": (HIDDEN,),
+            "to_class": (HIDDEN, n),
+            "class_bias": (n,),
+            "to_word": (n, HIDDEN, n),
+            "word_bias": (n, n),
+        }
+
+    @property
+    def n_weights(self) -> int:
+        return sum(math.prod(s) for s in self.arrays().values())
+
+
+def views(weights: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     """The network's arrays as parts of one flat array."""
     out, at = {}, 0
-    for name, shape in _SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = weights[at : at + n].reshape(shape)
+    for name, sizes in shape.arrays().items():
+        n = math.prod(sizes)
+        out[name] = weights[at : at + n].reshape(sizes)
         at += n
     return out
 
 
-def initial() -> np.ndarray:
-    weights = np.zeros(N_WEIGHTS, np.float32)
-    v, rng = views(weights), np.random.default_rng(11)
-    v["embed"][:] = rng.normal(0, 0.1, _SHAPES["embed"])
-    v["inner"][:] = rng.normal(0, 0.3, _SHAPES["inner"])
+def initial(shape: Shape, counts: np.ndarray | None = None) -> np.ndarray:
+    """Weights that predict every id by its count alone, whatever stands beside it."""
+    weights = np.zeros(shape.n_weights, np.float32)
+    v, rng = views(weights, shape), np.random.default_rng(11)
+    v["embed"][:] = rng.normal(0, 0.1, v["embed"].shape)
+    v["inner"][:] = rng.normal(0, 0.3, v["inner"].shape)
+    if counts is not None:
+        table = counts.reshape(shape.side, shape.side) + 0.5
+        v["class_bias"][:] = np.log(table.sum(1) / table.sum())
+        v["word_bias"][:] = np.log(table / table.sum(1, keepdims=True))
     return weights
 
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes of the frequent words with their ids."""
+    """Sorted hashes of the frequent words with their ids and counts; sizes of the groups."""
 
+    shape: Shape
     hashes: np.ndarray
     ids: np.ndarray
+    counts: np.ndarray  # of every id
+    total: int  # words of the corpus
 
-    def encode(self, hashes: np.ndarray) -> np.ndarray:
-        rare = (SIZE - RARE + (mix(hashes) % np.uint64(RARE))).astype(np.int64)
+    def encode(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        rare = (self.shape.frequent + mix(endings) % np.uint64(self.shape.groups)).astype(np.int64)
         found, at = _find(self.hashes, hashes)
         rare[found] = self.ids[at]
         return rare
@@ -68,9 +107,8 @@ class Vocabulary:
 
 @dataclass
 class Shares:
-    """Sizes of the groups of rare words, and the counts of their HEAD most frequent words."""
+    """Counts of the HEAD most frequent words of the groups."""
 
-    totals: np.ndarray  # words of each group
     hashes: np.ndarray  # sorted
     counts: np.ndarray
 
@@ -84,52 +122,63 @@ def _find(among: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found, at[found]
 
 
-def _hashed(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, last row, hash of each word, its place among SIDE blanks around every text, its row)."""
+@dataclass
+class _Words:
+    """Words of rows ``first`` to ``last``: hash of each, of its ending, its place among SIDE blanks around every text, its row."""
+
+    first: int
+    last: int
+    hashes: np.ndarray
+    endings: np.ndarray
+    place: np.ndarray
+    owner: np.ndarray
+
+    def ids(self, words_: Vocabulary) -> np.ndarray:
+        """Ids of the words with SIDE blanks around every text."""
+        ids = np.full(len(self.hashes) + SIDE * (self.last - self.first + 1), words_.shape.size, np.int64)
+        ids[self.place] = words_.encode(self.hashes, self.endings)
+        return ids
+
+
+def _hashed(column: pa.Array) -> Iterator[_Words]:
     body, offsets = flat(column)
     for first, last in slices(offsets, 1 << 18):
         part, local = body[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         starts, ends, bounds = words(part, local, ALNUM)
         owner = row_of(bounds)
-        yield first, last, word_hashes(part, starts, ends), np.arange(len(starts)) + SIDE * (owner + 1), owner
-
+        place = np.arange(len(starts)) + SIDE * (owner + 1)
+        yield _Words(first, last, word_hashes(part, starts, ends), _endings(part, starts, ends), place, owner)
 
-def _ids(hashes: np.ndarray, place: np.ndarray, rows: int, vocabulary: Vocabulary) -> np.ndarray:
-    """Ids of the words with SIDE blanks around every text."""
-    ids = np.full(len(hashes) + SIDE * (rows + 1), SIZE, np.int64)
-    ids[place] = vocabulary.encode(hashes)
-    return ids
 
-
-def _texts(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, last row, ids with SIDE blanks around every text, place of each word, its row)."""
-    for first, last, hashes, place, owner in _hashed(column):
-        yield first, last, _ids(hashes, place, last - first, vocabulary), place, owner
+def _endings(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """31 bits of the hash of each word's last bytes: rarer words with one ending mostly share a language and a form."""
+    return word_hashes(body, np.maximum(starts, ends - ENDING), ends) >> np.uint64(33)
 
 
 def _context(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
     return ids[place[:, None] + np.array([d for d in range(-SIDE, SIDE + 1) if d])]
 
 
-_ONES = np.ones((CLASSES, 1), np.float32)
-
-
 def _exponents(logits: np.ndarray) -> np.ndarray:
     """exp of the logits less the greatest of their row; replaces the logits by these differences."""
     logits -= logits.max(1, keepdims=True)
     return np.exp(logits)
 
 
-def _by_class(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+def _sums(rows: np.ndarray) -> np.ndarray:
+    return rows @ np.ones((rows.shape[1], 1), np.float32)
+
+
+def _by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """An order by class, and where each class that occurs lies in it."""
-    order = np.argsort(kind.astype(np.uint8), kind="stable")
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=CLASSES))])
-    return order, [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c + 1] > cuts[c]]
+    order = np.argsort(kind.astype(np.uint16), kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=classes))])
+    return order, [(c, slice(cuts[c], cuts[c + 1])) for c in range(classes) if cuts[c + 1] > cuts[c]]
 
 
 def _word_logits(v: dict[str, np.ndarray], hidden: np.ndarray, runs: list[tuple[int, slice]]) -> np.ndarray:
     """Logits of the words of its own class for each row; rows are in the order of classes."""
-    out = np.empty((len(hidden), CLASSES), np.float32)
+    out = np.empty((len(hidden), v["word_bias"].shape[1]), np.float32)
     for c, at in runs:
         np.matmul(hidden[at], v["to_word"][c], out=out[at])
         out[at] += v["word_bias"][c]
@@ -138,70 +187,103 @@ def _word_logits(v: dict[str, np.ndarray], hidden: np.ndarray, runs: list[tuple[
 
 def log_probabilities(v: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of every target word given the words on both of its sides."""
-    order, runs = _by_class(target // CLASSES)
+    side = len(v["class_bias"])
+    order, runs = _by_class(target // side, side)
     context, target = context[order], target[order]
     hidden = np.tanh(v["embed"][context].reshape(len(context), -1) @ v["inner"] + v["inner_bias"])
     own, at = np.zeros(len(target), np.float32), np.arange(len(target))
     for logits, right in (
-        (hidden @ v["to_class"] + v["class_bias"], target // CLASSES),
-        (_word_logits(v, hidden, runs), target % CLASSES),
+        (hidden @ v["to_class"] + v["class_bias"], target // side),
+        (_word_logits(v, hidden, runs), target % side),
     ):
-        total = _exponents(logits) @ _ONES
+        total = _sums(_exponents(logits))
         own += logits[at, right] - np.log(total[:, 0])
     out = np.empty_like(own)
     out[order] = own
     return out
 
 
-def _step(weights: np.ndarray, power: np.ndarray, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One step of adaptive gradient descent on a batch."""
-    v, gradient = views(weights), np.zeros(N_WEIGHTS, np.float32)
-    g, n = views(gradient), len(target)
-    order, runs = _by_class(target // CLASSES)
-    context, target = context[order], target[order]
-    inputs = v["embed"][context].reshape(n, -1)
-    hidden = np.tanh(inputs @ v["inner"] + v["inner_bias"])
-    error = _exponents(hidden @ v["to_class"] + v["class_bias"])
-    error /= error @ _ONES
-    error[np.arange(n), target // CLASSES] -= 1
-    g["to_class"][:], g["class_bias"][:] = hidden.T @ error, error.sum(0)
-    back = error @ v["to_class"].T
-    error = _exponents(_word_logits(v, hidden, runs))
-    error /= error @ _ONES
-    error[np.arange(n), target % CLASSES] -= 1
-    for c, at in runs:
-        g["to_word"][c], g["word_bias"][c] = hidden[at].T @ error[at], error[at].sum(0)
-        back[at] += error[at] @ v["to_word"][c].T
-    back *= 1 - hidden * hidden
-    g["inner"][:], g["inner_bias"][:] = inputs.T @ back, back.sum(0)
-    sent = (back @ v["inner"].T).reshape(-1, EMBED)
-    seen = context.ravel()
-    for d in range(EMBED):
-        g["embed"][:, d] = np.bincount(seen, weights=sent[:, d], minlength=SIZE + 1)
-    gradient /= n
-    power += gradient * gradient
-    weights -= rate * gradient / (np.sqrt(power) + 1e-6)
+class _Learner:
+    """Adaptive gradient descent from given weights, a batch at a time."""
+
+    def __init__(self, shape: Shape, weights: np.ndarray):
+        self.shape, self.weights = shape, weights.copy()
+        self.power = np.full(shape.n_weights, 1e-6, np.float32)
+        self.n = 0
+        self._left: list[tuple[np.ndarray, np.ndarray]] = []
+        self._waiting = 0
+
+    def add(self, context: np.ndarray, target: np.ndarray) -> None:
+        self._left.append((context, target))
+        self._waiting += len(target)
+        if self._waiting >= 16 * BATCH:
+            self._learn(BATCH)
+
+    def close(self) -> np.ndarray:
+        self._learn(1)
+        return self.weights
+
+    def _learn(self, least: int) -> None:
+        """Steps of whole batches, so that how words arrive doesn't matter; the rest waits."""
+        if not self._waiting:
+            return
+        context, target = np.concatenate([c for c, _ in self._left]), np.concatenate([t for _, t in self._left])
+        done = 0
+        while len(target) - done >= least:
+            self._step(context[done : done + BATCH], target[done : done + BATCH], 0.1)
+            done = min(done + BATCH, len(target))
+        self._left, self._waiting, self.n = [(context[done:], target[done:])], len(target) - done, self.n + done
+
+    def _step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
+        side = self.shape.side
+        v, gradient = views(self.weights, self.shape), np.zeros(self.shape.n_weights, np.float32)
+        g, n = views(gradient, self.shape), len(target)
+        order, runs = _by_class(target // side, side)
+        context, target = context[order], target[order]
+        inputs = v["embed"][context].reshape(n, -1)
+        hidden = np.tanh(inputs @ v["inner"] + v["inner_bias"])
+        error = _exponents(hidden @ v["to_class"] + v["class_bias"])
+        error /= _sums(error)
+        error[np.arange(n), target // side] -= 1
+        g["to_class"][:], g["class_bias"][:] = hidden.T @ error, error.sum(0)
+        back = error @ v["to_class"].T
+        error = _exponents(_word_logits(v, hidden, runs))
+        error /= _sums(error)
+        error[np.arange(n), target % side] -= 1
+        for c, at in runs:
+            g["to_word"][c], g["word_bias"][c] = hidden[at].T @ error[at], error[at].sum(0)
+            back[at] += error[at] @ v["to_word"][c].T
+        back *= 1 - hidden * hidden
+        g["inner"][:], g["inner_bias"][:] = inputs.T @ back, back.sum(0)
+        sent = (back @ v["inner"].T).reshape(-1, EMBED)
+        seen = context.ravel()
+        for d in range(EMBED):
+            g["embed"][:, d] = np.bincount(seen, weights=sent[:, d], minlength=self.shape.size + 1)
+        gradient /= n
+        self.power += gradient * gradient
+        self.weights -= rate * gradient / (np.sqrt(self.power) + 1e-6)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of word hashes, summed within the task before they leave it."""
+    """Counts of word hashes with their endings, summed within the task before they leave it."""
     held, size = [], 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        hashes, counts = np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held])
-        own, at = np.unique(hashes, return_inverse=True)
-        return own, np.bincount(at, weights=counts, minlength=len(own)).astype(np.int64)
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashes, endings, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        own, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        return own, endings[first], np.bincount(at, weights=counts, minlength=len(own)).astype(np.int64)
 
-    def rows(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["hash", "n"])
+    def rows(hashes: np.ndarray, endings: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(hashes.view(np.int64)), pa.array(endings.astype(np.int32)), pa.array(counts)]
+        return pa.RecordBatch.from_arrays(columns, ["hash", "ending", "n"])
 
     for batch in batches:
         body, offsets = flat(batch.column("text"))
         for first, last in slices(offsets):
             part, local = body[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
             starts, ends, _ = words(part, local, ALNUM)
-            hashes, counts = np.unique(word_hashes(part, starts, ends), return_counts=True)
-            held.append((hashes, counts))
+            hashes, at, counts = np.unique(word_hashes(part, starts, ends), return_index=True, return_counts=True)
+            held.append((hashes, _endings(part, starts[at], ends[at]), counts))
             size += len(hashes)
             if size > 2_000_000:
                 held = [merged()]
@@ -214,43 +296,62 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(hash, n) of every word of all documents."""
-    return docs.select("text").mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    """(hash, ending, n) of every word of all documents."""
+    parts = docs.select("text").mapInArrow(_counts, "hash long, ending int, n long")
+    return parts.groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
-def _most(counted: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the ``n`` most frequent words; only those reach the driver."""
-    top = counted.orderBy(F.desc("n"), "hash").limit(n).toArrow()
-    return top.column("hash").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.int64)
+def _least(counted: DataFrame, n: int) -> int:
+    """A count that at most ``n`` words reach, from a histogram of a few hundred bins."""
+    bins = counted.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
+    left, least = n, 1 << 62
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["least"]
+    return least
 
 
-def vocabulary(docs: DataFrame, counted: DataFrame | None = None) -> Vocabulary:
-    """The most frequent words of all documents; only those reach the driver."""
-    hashes, _ = _most(word_counts(docs) if counted is None else counted, SIZE - RARE)
-    order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order.astype(np.int64))
+def _most(counted: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent words, at most ``n``; only those reach the driver."""
+    top = counted.where(F.col("n") >= _least(counted, n)).select("hash", "n").toArrow()
+    hashes, counts = top.column("hash").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.int64)
+    order = np.lexsort((hashes, -counts))
+    return hashes[order], counts[order]
 
 
 def _sizes(batches: Iterator[pa.RecordBatch], words_: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """This task's part of the size of each group of rare words."""
-    totals = np.zeros(SIZE, np.int64)
+    """This task's part of the count of every id."""
+    totals = np.zeros(words_.shape.size, np.int64)
     for batch in batches:
-        np.add.at(totals, words_.encode(batch.column("hash").to_numpy().view(np.uint64)), batch.column("n").to_numpy())
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE), pa.int32()), pa.array(totals[SIZE - RARE :])], ["place", "n"])
+        endings = batch.column("ending").to_numpy().astype(np.uint64)
+        np.add.at(totals, words_.encode(batch.column("hash").to_numpy().view(np.uint64), endings), batch.column("n").to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(totals)), pa.int32()), pa.array(totals)], ["place", "n"])
+
+
+def vocabulary(docs: DataFrame, counted: DataFrame | None = None) -> Vocabulary:
+    """The most frequent words of all documents, as many as the corpus is large for, and groups of the others."""
+    counted = word_counts(docs) if counted is None else counted
+    total = int(counted.agg(F.sum("n")).first()[0] or 0)
+    shape = Shape.of(total)
+    hashes, _ = _most(counted, shape.frequent)
+    order = np.argsort(hashes)
+    found = Vocabulary(shape, hashes[order], order.astype(np.int64), np.zeros(shape.size, np.int64), total)
+    sent = counted.sparkSession.sparkContext.broadcast(found)
+    parts = counted.mapInArrow(lambda it: _sizes(it, sent.value), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    sizes = parts.toArrow()
+    found.counts[sizes.column("place").to_numpy()] = sizes.column("n").to_numpy()
+    return found
 
 
 def shares(counted: DataFrame, words_: Vocabulary) -> Shares:
     """What every task needs to know of the words in the groups."""
-    sent = counted.sparkSession.sparkContext.broadcast(words_)
-    parts = counted.mapInArrow(lambda it: _sizes(it, sent.value), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    totals = np.zeros(RARE, np.int64)
-    for r in parts.collect():
-        totals[r["place"]] = r["n"]
-    hashes, counts = _most(counted, SIZE - RARE + HEAD)
+    hashes, counts = _most(counted, words_.shape.frequent + HEAD)
     rare = ~np.isin(hashes, words_.hashes)
     hashes, counts = hashes[rare], counts[rare]
     order = np.argsort(hashes)
-    return Shares(totals, hashes[order], counts[order])
+    return Shares(hashes[order], counts[order])
 
 
 def _targets(owner: np.ndarray, turn: int, rounds: int) -> np.ndarray:
@@ -262,53 +363,62 @@ def _targets(owner: np.ndarray, turn: int, rounds: int) -> np.ndarray:
 def _trained(
     batches: Iterator[pa.RecordBatch], words_: Vocabulary, start: np.ndarray, turn: int, rounds: int
 ) -> Iterator[pa.RecordBatch]:
-    """Train on this task's documents from the common start; its weights times its words."""
-    weights, power = start.copy(), np.full(N_WEIGHTS, 1e-3, np.float32)
-    left: list[tuple[np.ndarray, np.ndarray]] = []
-    n, waiting = 0, 0
+    """Train on each shard's documents, which stand together and in order, from the common start."""
+    shard, learner = None, None
 
-    def learn(context: np.ndarray, target: np.ndarray) -> None:
-        for i in range(0, len(target), BATCH):
-            _step(weights, power, context[i : i + BATCH], target[i : i + BATCH], 0.05)
+    def result() -> Iterator[pa.RecordBatch]:
+        if learner is not None:
+            weights = learner.close().astype(np.float64)
+            if learner.n:
+                value = np.append(weights * learner.n, float(learner.n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value)), pa.int32()), pa.array(value)], ["place", "value"])
 
     for batch in batches:
-        for _, _, ids, place, owner in _texts(batch.column("text"), words_):
-            chosen = place[_targets(owner, turn, rounds)]
-            target = ids[chosen]
-            left.append((_context(ids, chosen), target))
-            n, waiting = n + len(target), waiting + len(target)
-            if waiting >= 4 * BATCH:
-                learn(np.concatenate([c for c, _ in left]), np.concatenate([t for _, t in left]))
-                left, waiting = [], 0
-    if waiting:
-        learn(np.concatenate([c for c, _ in left]), np.concatenate([t for _, t in left]))
-    if n:
-        value = np.append(weights.astype(np.float64) * n, float(n))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_WEIGHTS + 1), pa.int32()), pa.array(value)], ["place", "value"])
+        owners = np.asarray(batch.column("shard"))
+        cuts = [0, *(np.flatnonzero(np.diff(owners)) + 1).tolist(), len(owners)]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if begin == end:
+                continue
+            if learner is None or owners[begin] != shard:
+                yield from result()
+                shard, learner = owners[begin], _Learner(words_.shape, start)
+            for part in _hashed(batch.column("text").slice(begin, end - begin)):
+                ids = part.ids(words_)
+                chosen = part.place[_targets(part.owner, turn, rounds)]
+                learner.add(_context(ids, chosen), ids[chosen])
+    yield from result()
 
 
 def train(docs: DataFrame, words_: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights trained on all words of all documents, each the target of one round.
 
-    In each round every task trains on its own documents from the same start, and
-    the weights are averaged by the number of words they were trained on. The
-    averages, one row for each weight, are all that reaches the driver.
+    Training starts from the words' frequencies. Documents are dealt to shards by a hash of
+    doc_id and text and stand there in the order of that hash, so what is learned depends
+    neither on partitions nor on the order of the table. In each round every shard trains
+    from the same start, and the weights are averaged by the number of words they were
+    trained on. There are twice as many shards as the root of the millions of words, so
+    shards, too, grow with the corpus. The averages are all that reaches the driver.
     """
     spark = docs.sparkSession
-    weights = initial()
+    weights = initial(words_.shape, words_.counts)
+    shards = math.ceil(2 * math.sqrt(words_.total / MILLION))
+    if not shards:
+        return weights
+    draw = F.xxhash64("doc_id", "text")
+    dealt = docs.select("text", draw.alias("draw"), F.pmod(draw, F.lit(shards)).cast("int").alias("shard"))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "draw").drop("draw")
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((words_, weights))
         sums = (
-            docs.select("text")
-            .mapInArrow(lambda it, sent=sent, turn=turn: _trained(it, *sent.value, turn, rounds), "place int, value double")
+            dealt.mapInArrow(lambda it, sent=sent, turn=turn: _trained(it, *sent.value, turn, rounds), "place int, value double")
             .groupBy("place")
             .agg(F.sum("value").alias("value"))
-            .collect()
+            .toArrow()
         )
-        if not sums:  # no words, or none in the later rounds
+        if not sums.num_rows:  # no words, or none in the later rounds
             continue
-        value = np.zeros(N_WEIGHTS + 1)
-        value[[r["place"] for r in sums]] = [r["value"] for r in sums]
+        value = np.zeros(words_.shape.n_weights + 1)
+        value[sums.column("place").to_numpy()] = sums.column("value").to_numpy()
         weights = (value[:-1] / value[-1]).astype(np.float32)
         sent.unpersist()
     return weights
@@ -321,21 +431,22 @@ def _scored(
     batches: Iterator[pa.RecordBatch], words_: Vocabulary, weights: np.ndarray, within: Shares | None
 ) -> Iterator[pa.RecordBatch]:
     """Sums of the texts, and the words whose counts are still to be joined."""
-    v = views(weights)
+    v, shape = views(weights, words_.shape), words_.shape
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         ids_ = batch.column("doc_id").cast(pa.int64())
-        for first, last, hashes, place, owner in _hashed(batch.column("text")):
-            ids = _ids(hashes, place, last - first, words_)
+        for part in _hashed(batch.column("text")):
+            first, last, place, owner = part.first, part.last, part.place, part.owner
+            ids = part.ids(words_)
             target = ids[place]
             logs = np.zeros(len(place))
             for i in range(0, len(place), 1 << 14):
                 logs[i : i + (1 << 14)] = log_probabilities(v, _context(ids, place[i : i + (1 << 14)]), target[i : i + (1 << 14)])
             tail = np.zeros(0, np.int64)
             if within is not None:
-                tail = np.flatnonzero(target >= SIZE - RARE)
-                logs[tail] -= np.log(within.totals[target[tail] - (SIZE - RARE)] + 1.0)
-                found, at = _find(within.hashes, hashes[tail])
+                tail = np.flatnonzero(target >= shape.frequent)
+                logs[tail] -= np.log(words_.counts[target[tail]] + 1.0)
+                found, at = _find(within.hashes, part.hashes[tail])
                 logs[tail[found]] += np.log(within.counts[at])
                 tail = np.delete(tail, found)
             n = np.bincount(owner, minlength=last - first)
@@ -347,7 +458,7 @@ def _scored(
                     ids_.slice(first, last - first),
                     pa.array(n, pa.int64()),
                     pa.array(total, pa.float64()),
-                    list_array(hashes[tail].view(np.int64), bounds, pa.int64()),
+                    list_array(part.hashes[tail].view(np.int64), bounds, pa.int64()),
                 ],
                 ["row", "doc_id", "n_words", "log_likelihood", "tail"],
             )
@@ -373,7 +484,7 @@ def score(
 
     Texts without words, empty and null ones, have a sum of 0 and a null mean. Repeated
     rows and null doc_ids are kept; other columns are not read. A network trained on no
-    documents scores as a uniform one.
+    documents scores by the counts it was given.
     """
     within = None if counted is None else shares(counted, words_)
     sent = docs.sparkSession.sparkContext.broadcast((words_, weights, within))
