@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strata.llm.text import ALNUM, flat, list_array, mix, row_of, slices, word_hashes, words
 from strata.session import Scratch
 
-WORDS = 640  # ids for a corpus of a million words; they grow with the root of its size
+WORDS = 420  # ids for a corpus of a million words; they grow with the root of its size
 LARGEST = 1 << 16  # ids at most: weights must fit a task
 GROUPED = 4  # one id in so many is a group of rarer words with one ending
 ENDING = 3  # bytes of an ending
@@ -23,7 +23,6 @@ HEAD = 1 << 16  # most frequent words of the groups, whose counts every task hol
 SIDE = 2  # words seen on either side
 EMBED, HIDDEN = 16, 32
 ROUNDS = 2  # each predicts every second word of a document, so both together every word once
-BATCH = 1024
 MILLION = 1_000_000
 
 
@@ -44,6 +43,11 @@ class Shape:
     def size(self) -> int:
         return self.side * self.side
 
+    @property
+    def batch(self) -> int:
+        """Words of a step: a larger network costs more a step, and comes with more words."""
+        return max(512, self.size)
+
     @property
     def frequent(self) -> int:
         return self.size - self.groups
@@ -216,8 +220,8 @@ class _Learner:
     def add(self, context: np.ndarray, target: np.ndarray) -> None:
         self._left.append((context, target))
         self._waiting += len(target)
-        if self._waiting >= 16 * BATCH:
-            self._learn(BATCH)
+        if self._waiting >= 4 * self.shape.batch:
+            self._learn(self.shape.batch)
 
     def close(self) -> np.ndarray:
         self._learn(1)
@@ -228,10 +232,10 @@ class _Learner:
         if not self._waiting:
             return
         context, target = np.concatenate([c for c, _ in self._left]), np.concatenate([t for _, t in self._left])
-        done = 0
+        done, size = 0, self.shape.batch
         while len(target) - done >= least:
-            self._step(context[done : done + BATCH], target[done : done + BATCH], 0.1)
-            done = min(done + BATCH, len(target))
+            self._step(context[done : done + size], target[done : done + size], 0.1)
+            done = min(done + size, len(target))
         self._left, self._waiting, self.n = [(context[done:], target[done:])], len(target) - done, self.n + done
 
     def _step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
