@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strata.llm.text import ALNUM, flat, list_array, mix, row_of, slices, word_hashes, words
 from strata.session import Scratch
 
-WORDS = 420  # ids for a corpus of a million words; they grow with the root of its size
+WORDS = 350  # ids for a corpus of a million words; they grow with the root of its size
 LARGEST = 1 << 16  # ids at most: weights must fit a task
 GROUPED = 4  # one id in so many is a group of rarer words with one ending
 ENDING = 3  # bytes of an ending
@@ -151,12 +151,13 @@ def _hashed(column: pa.Array) -> Iterator[_Words]:
         starts, ends, bounds = words(part, local, ALNUM)
         owner = row_of(bounds)
         place = np.arange(len(starts)) + SIDE * (owner + 1)
-        yield _Words(first, last, word_hashes(part, starts, ends), _endings(part, starts, ends), place, owner)
+        yield _Words(first, last, *_both(part, starts, ends), place, owner)
 
 
-def _endings(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """31 bits of the hash of each word's last bytes: rarer words with one ending mostly share a language and a form."""
-    return word_hashes(body, np.maximum(starts, ends - ENDING), ends) >> np.uint64(33)
+def _both(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and 31 bits of the hash of its last bytes: rarer words with one ending mostly share a language and a form."""
+    found = word_hashes(body, np.concatenate([starts, np.maximum(starts, ends - ENDING)]), np.concatenate([ends, ends]))
+    return found[: len(starts)], found[len(starts) :] >> np.uint64(33)
 
 
 def _context(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -286,8 +287,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last in slices(offsets):
             part, local = body[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
             starts, ends, _ = words(part, local, ALNUM)
-            hashes, at, counts = np.unique(word_hashes(part, starts, ends), return_index=True, return_counts=True)
-            held.append((hashes, _endings(part, starts[at], ends[at]), counts))
+            own, endings = _both(part, starts, ends)
+            hashes, at, counts = np.unique(own, return_index=True, return_counts=True)
+            held.append((hashes, endings[at], counts))
             size += len(hashes)
             if size > 2_000_000:
                 held = [merged()]
@@ -360,7 +362,8 @@ def shares(counted: DataFrame, words_: Vocabulary) -> Shares:
 
 def _targets(owner: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     """Whether a word is predicted in this round: by its number in its text, so once in all rounds."""
-    first = np.searchsorted(owner, owner)
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    first = np.repeat(starts, np.diff(starts, append=len(owner)))
     return (np.arange(len(owner)) - first) % rounds == turn
 
 
