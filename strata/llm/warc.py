@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.token_files import filesystem
@@ -17,9 +18,11 @@ from strata.session import Scratch
 
 FAN_OUT = 16  # children of a node
 FILE_BYTES = 1 << 26  # a task rolls to a new file beyond so many bytes
-READ_BYTES = 1 << 20
+READ_BYTES = 1 << 16
+WINDOW_BYTES = 1 << 27  # a frame that asks for more memory than that can't be read
+_MAGIC = b"\x28\xb5\x2f\xfd"  # opens a frame; no UTF-8 text holds it
 _FILES = "file string, part int, seq int, n_records long, n_bytes long"
-_RECORDS = "file string, seq long, offset long, length long, page_id long, hash binary"
+_LEAVES = "file string, seq long, offset long, length long, page_id long, hash binary, place long, stored long, readable boolean"
 
 
 def record(url: str | None, page_id: int | None, body: bytes) -> bytes:
@@ -41,15 +44,20 @@ def _leaf(data: bytes) -> bytes:
     return hashlib.sha256(b"\0" + data).digest()
 
 
-def _create(path: str) -> pa.CompressedOutputStream:
+def _create(path: str) -> pa.NativeFile:
     store, place = filesystem(path)
     store.create_dir(place.rpartition("/")[0], recursive=True)
-    return pa.CompressedOutputStream(store.open_output_stream(place), "zstd")
+    return store.open_output_stream(place, compression=None)
+
+
+def _packer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(write_checksum=True, write_content_size=True)
 
 
 def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
     """Records in the order of the rows; each task writes files of its own."""
     part, attempt, done, out = TaskContext.get().partitionId(), uuid.uuid4().hex, [], None
+    packer = _packer()
     path, n, size = "", 0, 0
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("url", "page_id", "html"))
@@ -58,7 +66,7 @@ def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBa
                 path, n, size = f"{root}/part-{part:06d}-{len(done):04d}-{attempt}.warc.zst", 0, 0
                 out = _create(path)
             data = record(url, page_id, (html or "").encode())
-            out.write(data)
+            out.write(packer.compress(data))
             n, size = n + 1, size + len(data)
             if size >= FILE_BYTES:
                 out.close()
@@ -76,7 +84,8 @@ def _write(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBa
 def write_archive(pages: DataFrame, scratch: Scratch, root: str | None = None) -> DataFrame:
     """Write pages (page_id, url, html) as compressed archive files, without a shuffle.
 
-    Each task writes its own rows in their order. Returns the written list of files:
+    Each task writes its own rows in their order, every record as a compressed frame of its
+    own with a checksum, so that damage stays within the records that it hits. Returns the written list of files:
     file, part, seq, n_records, n_bytes (before compression, as all offsets are). Null
     html is an empty body, null url an empty address; repeated rows and null page_ids
     are all written. No rows, no files.
@@ -87,13 +96,17 @@ def write_archive(pages: DataFrame, scratch: Scratch, root: str | None = None) -
 
 
 def _copy(batches: Iterator[pa.RecordBatch], root: str, damage) -> Iterator[pa.RecordBatch]:
+    packer = _packer()
     for batch in batches:
         new = []
         for path in batch.column("file").to_pylist():
             target = f"{root}/{uuid.uuid4().hex}-{path.rpartition('/')[2]}"
             out = _create(target)
-            for _, _, _, page_id, data in _records(path):
-                out.write(damage(page_id, data))
+            for _, _, data, raw in frames(path):
+                changed = raw if data is None else damage(_page(data), data)
+                if data is not None and changed:
+                    changed = packer.compress(changed)
+                out.write(changed)
             out.close()
             new.append(target)
         yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(new, pa.string())], ["file", "replica"])
@@ -102,46 +115,68 @@ def _copy(batches: Iterator[pa.RecordBatch], root: str, damage) -> Iterator[pa.R
 def replicate(files: DataFrame, scratch: Scratch, damage, root: str | None = None) -> DataFrame:
     """Copy every file; ``damage(page_id, bytes)`` returns the bytes that the copy gets.
 
-    Returns (file, replica). For drills: a plain copy gives the bytes back unchanged.
+    Returns (file, replica). For drills: a plain copy gives the bytes back unchanged, and
+    no bytes leave the record out. Ranges that can't be read are copied as they are.
     """
     root = root or scratch.path("replica")
     listed = files.select("file").repartition(max(1, files.count()))
     return scratch.table(listed.mapInArrow(lambda it: _copy(it, root, damage), "file string, replica string"), "replicas")
 
 
-def _records(path: str) -> Iterator[tuple[int, int, int, int | None, bytes]]:
-    """(seq, offset, length, page_id, bytes) of a file's records.
+def frames(path: str) -> Iterator[tuple[int, int, bytes | None, bytes]]:
+    """(place, stored, record, raw) of a file, in order: where a frame lies and what it holds.
 
-    A record that can't be read ends at the next line that opens one, so damage to
-    a length or a header stays within the records that it hits.
+    Frames that are damaged or cut, and whatever lies between frames, make one range up to
+    the next frame that can be read; its record is None and raw are its bytes (else empty).
+    A missing or empty file has none. A task holds one frame, or one unreadable range.
     """
-    store, place = filesystem(path)
-    opens = b"\r\n\r\nWARC/1.1\r\n"
-    with pa.CompressedInputStream(store.open_input_stream(place), "zstd") as file:
-        # ``at`` is where the next record starts in the buffer
-        buffer, at, offset, seq, ended = b"", 0, 0, 0, False
-        while at < len(buffer) or not ended:
-            left, size = len(buffer) - at, None
-            head_end = buffer.find(b"\r\n\r\n", at + 4)
-            if head_end > 0:
-                size = _length(buffer[at:head_end], head_end + 4 - at)
-            whole = size is not None and size <= left and buffer[at + size - 4 : at + size] == b"\r\n\r\n"
-            whole = whole and (buffer.startswith(b"WARC/1.1\r\n", at + size) or (ended and size == left))
-            # a damaged record ends where the next one opens; that may need more bytes to see
-            if not whole and left and (size is None or size + 10 <= left or ended):
-                cut = buffer.find(opens, at + 1)
-                if cut > 0:
-                    size, whole = cut + 4 - at, True
-                elif ended:
-                    size, whole = left, True
-            if not whole:
-                more = file.read(READ_BYTES)
-                ended = not more
-                buffer, at = buffer[at:] + more, 0
+    store, name = filesystem(path)
+    try:
+        file = store.open_input_stream(name, compression=None)
+    except FileNotFoundError:
+        return
+    with file:
+        raw, at, lost, since = file.read(READ_BYTES), 0, [], 0
+        while raw:
+            reader = zstandard.ZstdDecompressor(max_window_size=WINDOW_BYTES).decompressobj()
+            pieces, out, whole = [raw], [], False
+            try:
+                out.append(reader.decompress(raw))
+                while not reader.eof and (more := file.read(READ_BYTES)):
+                    pieces.append(more)
+                    out.append(reader.decompress(more))
+                whole = reader.eof
+            except zstandard.ZstdError:
+                pass
+            if whole:
+                if lost:
+                    yield since, at - since, None, b"".join(lost)
+                    lost, since = [], at
+                rest = reader.unused_data
+                stored = sum(map(len, pieces)) - len(rest)
+                yield at, stored, b"".join(out), b""
+                raw, at = rest or file.read(READ_BYTES), at + stored
+                since = at
                 continue
-            data = buffer[at : at + size]
-            yield seq, offset, size, _page(data), data
-            seq, offset, at = seq + 1, offset + size, at + size
+            raw = b"".join(pieces)
+            found = raw.find(_MAGIC, 1)
+            while found < 0:
+                # the last bytes may be the first of a frame's mark
+                keep = min(len(raw) - 1, len(_MAGIC) - 1)
+                more = file.read(READ_BYTES)
+                if not more:
+                    found = len(raw)
+                    break
+                lost.append(raw[: len(raw) - keep])
+                at += len(raw) - keep
+                raw = raw[len(raw) - keep :] + more
+                found = raw.find(_MAGIC)
+            lost.append(raw[:found])
+            raw, at = raw[found:], at + found
+            if not raw:
+                raw = file.read(READ_BYTES)
+        if lost:
+            yield since, at - since, None, b"".join(lost)
 
 
 def _field(head: bytes, name: bytes) -> bytes | None:
@@ -149,9 +184,12 @@ def _field(head: bytes, name: bytes) -> bytes | None:
     return None if at < 0 else head[at + len(name) + 4 :].partition(b"\r\n")[0]
 
 
-def _length(head: bytes, body: int) -> int | None:
-    value = _field(head, b"Content-Length")
-    return body + int(value) + 4 if value and value.isdigit() and len(value) < 16 else None
+def _size(raw: bytes) -> int:
+    """Length of the record of a frame that can't be read, as its head states it, else 0."""
+    try:
+        return max(0, zstandard.frame_content_size(raw))
+    except zstandard.ZstdError:
+        return 0
 
 
 def _page(data: bytes) -> int | None:
@@ -163,8 +201,12 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, path in zip(batch.column("file").to_pylist(), batch.column("path").to_pylist(), strict=True):
             rows: list[tuple] = []
-            for seq, offset, length, page_id, data in _records(path):
-                rows.append((name, seq, offset, length, page_id, _leaf(data)))
+            offset = 0
+            for seq, (place, stored, data, raw) in enumerate(frames(path)):
+                length = _size(raw) if data is None else len(data)
+                what = (None, hashlib.sha256(b"\1" + raw).digest()) if data is None else (_page(data), _leaf(data))
+                rows.append((name, seq, offset, length, *what, place, stored, data is not None))
+                offset += length
                 if len(rows) == 10_000:
                     yield _rows(rows)
                     rows = []
@@ -172,16 +214,23 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    columns = list(zip(*rows, strict=True)) or [[]] * 6
-    names = ["file", "seq", "offset", "length", "page_id", "hash"]
+    whole = pa.int64()
+    kinds = (pa.string(), whole, whole, whole, whole, pa.binary(), whole, whole, pa.bool_())
+    names = ["file", "seq", "offset", "length", "page_id", "hash", "place", "stored", "readable"]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def leaves(files: DataFrame, scratch: Scratch) -> DataFrame:
-    """Hash of every record of the listed files (file, path): the leaves of their trees."""
+    """Hash of every record of the listed files (file, path): the leaves of their trees.
+
+    offset and length count bytes before compression, place and stored those in the file.
+    A range that can't be read is a leaf too: not ``readable``, hashed as it lies there,
+    without a page_id and as long as its frame's head says. Missing and empty files have
+    no leaves.
+    """
     listed = files.select("file", "path").repartition(max(1, files.count()))
-    return scratch.table(listed.mapInArrow(_hashed, _RECORDS), "leaves")
+    return scratch.table(listed.mapInArrow(_hashed, _LEAVES), "leaves")
 
 
 def tree(records: DataFrame, scratch: Scratch, fan_out: int = FAN_OUT) -> list[DataFrame]:
@@ -221,15 +270,57 @@ def tree(records: DataFrame, scratch: Scratch, fan_out: int = FAN_OUT) -> list[D
     return levels
 
 
+def _complete(records: DataFrame) -> DataFrame:
+    """Leaves without stored ranges lie as they are, and all were read."""
+    has = records.columns
+    return records.select(
+        "file", "seq", "offset", "length", "page_id", "hash",
+        (F.col("place") if "place" in has else F.col("offset")).alias("place"),
+        (F.col("stored") if "stored" in has else F.col("length")).alias("stored"),
+        (F.col("readable") if "readable" in has else F.lit(True)).alias("readable"),
+    )
+
+
+def _counterparts(mine: DataFrame, other: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(file, seq, their_seq): rows of equal ``key`` and file, the first with the first and so on."""
+
+    def ranked(rows: DataFrame, name: str) -> DataFrame:
+        place = Window.partitionBy("file", key).orderBy("seq")  # a file is of bounded size
+        return rows.select("file", key, F.row_number().over(place).alias("nth"), F.col("seq").alias(name))
+
+    a, b = ranked(mine, "seq"), ranked(other, "their_seq").withColumnRenamed("file", "f").withColumnRenamed(key, "k").withColumnRenamed("nth", "n")
+    same = (F.col("file") == F.col("f")) & F.col(key).eqNullSafe(F.col("k")) & (F.col("nth") == F.col("n"))
+    return scratch.table(a.join(b, same).select("file", "seq", "their_seq"), "counterparts")
+
+
+def _touching(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(file, seq) of ``rows`` whose stored range overlaps one of ``ranges`` of the same file.
+
+    One pass over a file by place: the furthest end of the ranges that open before a row ends.
+    """
+    stop = F.col("place") + F.col("stored")
+    opened = ranges.select("file", F.lit(None).cast("long").alias("seq"), F.col("place").alias("at"), F.lit(1).alias("turn"), stop.alias("reach"), F.lit(None).cast("long").alias("start"))
+    closed = rows.select("file", "seq", stop.alias("at"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("reach"), F.col("place").alias("start"))
+    so_far = Window.partitionBy("file").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    met = opened.unionByName(closed).withColumn("far", F.max("reach").over(so_far))
+    return met.where("seq is not null and far > start").select("file", "seq")
+
+
 def audit(ours: DataFrame, theirs: DataFrame, scratch: Scratch, fan_out: int = FAN_OUT) -> DataFrame:
-    """Records (file, seq) on which two replicas of the same files differ.
+    """Records on which two replicas of the same files differ.
 
     Roots are compared first; below, only children of nodes that differ are read,
-    so a clean file costs one comparison. Returns file, seq, offset, length and
-    page_id of our copy (null where only theirs has a record), their_offset,
-    their_length and status: changed, missing (from theirs) or extra. Where records
-    were lost or gained, those that got another number count as changed.
+    so a clean file costs one comparison. Where records were lost or gained, those that
+    only got another number are found again by their hash and aren't listed.
+
+    Returns file, seq, offset, length and page_id of our copy (null where only theirs has
+    the record), their_offset, their_length and status: changed (the other copy has
+    another record of this page, or else of this number), missing (from theirs), extra
+    (only in theirs) or unreadable: a range of our copy that can't be read, a record of ours
+    that lies where theirs can't be read, or a range of theirs where we have nothing amiss.
+    A range that is damaged alike in both copies is equal, and not listed.
     """
+    ours, theirs = _complete(ours), _complete(theirs)
     left, right = tree(ours, scratch, fan_out), tree(theirs, scratch, fan_out)
     top = max(len(left), len(right))
     suspects = None
@@ -246,16 +337,31 @@ def audit(ours: DataFrame, theirs: DataFrame, scratch: Scratch, fan_out: int = F
         # a shorter tree has its root below ours: then all of the level is looked at
         suspects = scratch.table(both.where("not (h1 <=> h2)").select("file", "node"), "suspects")
     found = suspects.withColumnRenamed("node", "seq")
-    mine = ours.select("file", "seq", "offset", "length", "page_id", F.lit(True).alias("here"))
-    other = theirs.select(
-        "file", "seq", F.col("offset").alias("their_offset"), F.col("length").alias("their_length"), F.lit(True).alias("there")
-    )
-    status = F.when(F.col("there").isNull(), "missing").when(F.col("here").isNull(), "extra").otherwise("changed")
-    return (
-        found.join(mine, ["file", "seq"], "left")
-        .join(other, ["file", "seq"], "left")
-        .select("file", "seq", "offset", "length", "page_id", "their_offset", "their_length", status.alias("status"))
+    mine = scratch.table(ours.join(found, ["file", "seq"], "left_semi"), "ours")
+    other = scratch.table(theirs.join(found, ["file", "seq"], "left_semi"), "theirs")
+    changed = None
+    for key in ("hash", "page_id", "number"):
+        able = [x.where("readable" if key != "hash" else "true").withColumn("number", F.col("seq")) for x in (mine, other)]
+        pairs = _counterparts(*able, key, scratch)
+        if key != "hash":
+            changed = pairs if changed is None else changed.unionByName(pairs)
+        mine = mine.join(pairs, ["file", "seq"], "left_anti")
+        other = other.join(pairs.select("file", F.col("their_seq").alias("seq")), ["file", "seq"], "left_anti")
+    mine, other = scratch.table(mine, "only_ours"), scratch.table(other, "only_theirs")
+    broken = other.where("not readable")
+    hidden = _touching(mine, broken).withColumn("hidden", F.lit(True))
+    status = F.when(~F.col("readable") | F.col("hidden"), "unreadable").otherwise("missing")
+    ours_only = mine.join(hidden, ["file", "seq"], "left").select("file", "seq", F.lit(None).cast("long").alias("their_seq"), status.alias("status"))
+    seen = _touching(broken, mine).withColumn("seen", F.lit(True))
+    status = F.when(F.col("readable"), "extra").otherwise("unreadable")
+    theirs_only = other.join(seen, ["file", "seq"], "left").where("seen is null").select(
+        "file", F.lit(None).cast("long").alias("seq"), F.col("seq").alias("their_seq"), status.alias("status")
     )
+    rows = changed.withColumn("status", F.lit("changed")).unionByName(ours_only).unionByName(theirs_only)
+    return rows.join(ours.select("file", "seq", "offset", "length", "page_id"), ["file", "seq"], "left").join(
+        theirs.select("file", F.col("seq").alias("their_seq"), F.col("offset").alias("their_offset"), F.col("length").alias("their_length")),
+        ["file", "their_seq"], "left",
+    ).select("file", "seq", "offset", "length", "page_id", "their_offset", "their_length", "status")
 
 
 def rot(page_id: int | None, data: bytes) -> bytes:
@@ -269,17 +375,20 @@ def rot(page_id: int | None, data: bytes) -> bytes:
 def fixity(pages: DataFrame, scratch: Scratch, damage=rot) -> DataFrame:
     """Archive all pages, copy the archive with damage, audit the copy: one row per record.
 
-    page_id, file, seq, offset, length, status (intact, changed, missing, extra).
+    page_id, file, seq, offset, length, status (intact, changed, missing, extra, unreadable).
+    Rows that only the copy has come with a null seq.
     """
     files = write_archive(pages, scratch)
     replicas = replicate(files, scratch, damage)
     ours = leaves(files.select("file", F.col("file").alias("path")), scratch)
     theirs = leaves(replicas.select("file", F.col("replica").alias("path")), scratch)
     wrong = scratch.table(audit(ours, theirs, scratch), "audit")
-    kept = ours.join(wrong.where("status <> 'extra'").select("file", "seq", "status"), ["file", "seq"], "left").select(
-        "page_id", "file", "seq", "offset", "length", F.coalesce("status", F.lit("intact")).alias("status")
+    told = wrong.where("seq is not null").select("file", "seq", "status")
+    kept = ours.join(told, ["file", "seq"], "left").select(
+        "page_id", "file", "seq", "offset", "length",
+        F.coalesce("status", F.when(F.col("readable"), "intact").otherwise("unreadable")).alias("status"),
     )
-    extra = wrong.where("status = 'extra'").select("page_id", "file", "seq", "offset", "length", "status")
+    extra = wrong.where("seq is null").select("page_id", "file", "seq", F.col("their_offset").alias("offset"), F.col("their_length").alias("length"), "status")
     return kept.unionByName(extra)
 
 

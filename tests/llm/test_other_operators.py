@@ -126,6 +126,86 @@ def test_archive_round_trip_and_audit(spark):
     assert warc.fixity(df.where("false"), Scratch(spark)).count() == 0
 
 
+def test_damaged_archive_files(spark, tmp_path):
+    """Flipped, cut, empty, missing and prolonged files give rows, and records keep their own status."""
+    ready(spark)
+    rng = np.random.default_rng(4)
+    rows = [(i, f"http://x/{i}", bytes(rng.integers(97, 123, 50 + i).astype(np.uint8)).decode()) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    files = warc.write_archive(df, Scratch(spark))
+    path = files.first().file
+    name = path.removeprefix("file:")
+    whole = open(name, "rb").read()
+    at = [f[0] for f in warc.frames(path)] + [len(whole)]
+    assert len(at) == 201
+
+    def flip(where):
+        return whole[:where] + bytes([whole[where] ^ 4]) + whole[where + 1 :]
+
+    def of(status, *pages):
+        return {p: status for p in pages}
+
+    middle = (at[50] + at[51]) // 2
+    cases = {
+        "same": (whole, {}),
+        "byte40": (flip(40), of("unreadable", 0)),
+        "mark": (flip(at[7]), of("unreadable", 7)),
+        "middle": (flip(middle), of("unreadable", 50)),
+        "two": (whole[: at[3] + 20] + bytes(at[5] - at[3] - 40) + whole[at[5] - 20 :], of("unreadable", 3, 4)),
+        "cut": (whole[:middle], of("unreadable", 50) | of("missing", *range(51, 200))),
+        "lost": (whole[: at[9]] + whole[at[10] :], of("missing", 9)),
+        "empty": (b"", of("missing", *range(200))),
+        "none": (None, of("missing", *range(200))),
+    }
+    kinds = "file string, path string"
+    listed, theirs = [], []
+    for case, (data, _) in cases.items():
+        listed.append((case, path))
+        theirs.append((case, str(tmp_path / case)))
+        if data is not None:
+            (tmp_path / case).write_bytes(data)
+    scratch = Scratch(spark)
+    ours = warc.leaves(spark.createDataFrame(listed, kinds), scratch)
+    copies = warc.leaves(spark.createDataFrame(theirs, kinds), scratch)
+    got = {case: {} for case in cases}
+    for r in warc.audit(ours, copies, scratch).collect():
+        assert r.page_id not in got[r.file]
+        got[r.file][r.page_id] = r.status
+    assert got == {case: want for case, (_, want) in cases.items()}
+    back = {case: {} for case in cases}  # the other way round: what only the good copy has is extra
+    for r in warc.audit(copies, ours, scratch).collect():
+        back[r.file].setdefault(r.status, []).append(r.their_offset if r.page_id is None and r.seq is None else r.seq)
+    assert back["same"] == {} and len(back["empty"]["extra"]) == 200 and len(back["lost"]["extra"]) == 1
+    assert set(back["middle"]) == {"unreadable", "extra"} and len(back["cut"]["extra"]) == 150
+    assert not any("changed" in b for b in back.values())
+
+
+def test_frames_of_long_and_foreign_files(tmp_path):
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(write_checksum=True)
+    long = bytes(np.random.default_rng(1).integers(0, 256, 3_000_000).astype(np.uint8))
+    parts = [packer.compress(x) for x in (b"a", long, b"", b"c" * 10)]
+    path = str(tmp_path / "f")
+
+    def read(data):
+        with open(path, "wb") as out:
+            out.write(data)
+        return [(place, stored, x) for place, stored, x, _ in warc.frames(path)]
+
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).tolist()
+    good = [(a, b - a, x) for a, b, x in zip(at, at[1:], (b"a", long, b"", b"c" * 10), strict=False)]
+    assert read(b"".join(parts)) == good
+    hurt = bytearray(b"".join(parts))
+    hurt[at[1] + 2_000_000] ^= 1
+    assert read(bytes(hurt)) == [good[0], (*good[1][:2], None), *good[2:]]
+    junk = b"no archive at all" * 10_000
+    assert read(junk) == [(0, len(junk), None)]
+    assert read(junk + parts[0]) == [(0, len(junk), None), (len(junk), len(parts[0]), b"a")]
+    assert read(parts[0] + b"x") == [good[0], (len(parts[0]), 1, None)]
+    assert read(b"") == [] and list(warc.frames(str(tmp_path / "gone"))) == []
+
+
 def test_only_differing_branches_are_read(spark):
     import pyarrow as pa
 
