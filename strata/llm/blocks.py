@@ -29,6 +29,28 @@ def blocks(entries: DataFrame, place: list[str], item: str, sizes: DataFrame, ch
     return dealt.repartition(*block).sortWithinPartitions(*block)
 
 
+def apart(entries: DataFrame, place: list[str], item: str, chunk: int) -> DataFrame:
+    """Like ``blocks``, but rows without ``stray`` needn't meet each other.
+
+    ``entries`` carry how many ``strays`` and ``others`` their bucket has. Strays fill the
+    first chunks and go to all blocks of theirs, the others meet only the strays' chunks:
+    a row that is no stray is copied as often as there are chunks of strays.
+    """
+    mine = F.pmod(F.xxhash64(item), F.when(F.col("stray"), F.col("_first")).otherwise(F.greatest(F.col("_rest"), F.lit(1))))
+    dealt = (
+        entries.withColumn("_first", F.ceil(F.col("strays") / chunk).cast("int"))
+        .withColumn("_rest", F.ceil(F.col("others") / chunk).cast("int"))
+        .withColumn("mine", (mine + F.when(F.col("stray"), 0).otherwise(F.col("_first"))).cast("int"))
+        .withColumn("_stop", F.col("_first") + F.when(F.col("stray"), F.col("_rest")).otherwise(0) - 1)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_stop"))))
+        .withColumn("low", F.least("mine", "_other"))
+        .withColumn("high", F.greatest("mine", "_other"))
+        .drop("_first", "_rest", "_stop", "_other", "stray", "strays", "others")
+    )
+    block = [*place, "low", "high"]
+    return dealt.repartition(*block).sortWithinPartitions(*block)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups of rows that are sorted by ``keys``: a table and the bounds of its groups."""
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.blocks import blocks, grouped
+from strata.llm.blocks import apart, grouped
 from strata.llm.components import components
 from strata.llm.text import SPACED, blobs, flat, grams, list_array, mix, row_of, slices, word_hashes, words
 from strata.session import Scratch
@@ -18,6 +18,7 @@ from strata.session import Scratch
 WIDTH = 5  # words in a shingle
 PERMUTATIONS = 48  # each gives two signature values, its minimum and its maximum
 BAND = 2  # permutations in a band, so four values
+SMALL = 16  # sets of so many shingles or fewer also meet by pairs of shingles, which loses no link
 CHUNK = 512  # texts of a bucket compared at a time with so many others
 _SIGNATURE = "doc_id long, n_shingles long, set_key binary, bits binary, bands array<long>"
 
@@ -67,7 +68,24 @@ def _halved(rows: np.ndarray) -> np.ndarray:
     return rows[:, :half] ^ rows[:, half:]
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], permutations: int) -> Iterator[pa.RecordBatch]:
+def small_keys(items: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of which two sets share one for certain if they are similar enough and the smaller has SMALL items or fewer.
+
+    A set of n items shares at least k = ceil(n * percent / 100) with any such partner,
+    and k >= 2 from two items on. The two smallest shared items are then among the
+    n - k + 2 smallest of either set, so all pairs of those are the keys. Larger sets than
+    SMALL * 100 / percent have no such partner and no keys. ``items`` are sorted.
+    """
+    n = len(items)
+    if n < 2 or n * percent > SMALL * 100:
+        return items[:0]
+    head = items[: n - -(-n * percent // 100) + 2]
+    first, second = np.triu_indices(len(head), 1)
+    with np.errstate(over="ignore"):
+        return mix(mix(head[first] + np.uint64(1)) * np.uint64(31) + head[second])
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], permutations: int, percent: int) -> Iterator[pa.RecordBatch]:
     factors, shifts = _permutations(permutations)
     n_bands = permutations // BAND
     for batch in batches:
@@ -87,18 +105,20 @@ def _signatures(batches: Iterator[pa.RecordBatch], permutations: int) -> Iterato
                 keys = mix(keys + np.arange(1, n_bands + 1, dtype=np.uint64))
             digests: list[bytes | None] = [None] * (last - first)
             bits: list[bytes | None] = [None] * (last - first)
-            for i in full:
+            bands, counts = [keys[:0].ravel()], np.zeros(last - first, np.int64)
+            for i, banded in zip(full, keys, strict=True):
                 own = items[bounds[i] : bounds[i + 1]]
+                bands += [banded, small_keys(own, percent)]
+                counts[i] = len(bands[-2]) + len(bands[-1])
                 digests[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 bits[i] = parity(own)
-            counts = np.where(sizes > 0, n_bands, 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(first, last - first),
                     pa.array(sizes, pa.int64()),
                     blobs(digests),
                     blobs(bits),
-                    list_array(keys.ravel().view(np.int64), np.concatenate([[0], np.cumsum(counts)]), pa.int64()),
+                    list_array(np.concatenate(bands).view(np.int64), np.concatenate([[0], np.cumsum(counts)]), pa.int64()),
                 ],
                 ["doc_id", "n_shingles", "set_key", "bits", "bands"],
             )
@@ -194,13 +214,16 @@ def near_duplicates(
     of five words, or the whole sequence where there are fewer. Every permutation
     gives its minimum *and* its maximum over the set, both equal between two texts
     with probability J, so 48 hash evaluations make 96 values in 24 bands of four:
-    a pair at J = 0.75 shares a band with probability 0.9999, more above it.
+    a pair at J = 0.75 shares a band with probability 0.9999, more above it. In small
+    sets minimum and maximum depend on each other and bands miss more; so sets of up to
+    SMALL shingles meet their partners also by ``small_keys``, which miss none.
+    ``percent`` lies above 50 (else ValueError): bands and bitmaps aren't made for less.
 
     Texts with equal sets are one class and go on as one row. Each bucket first links
     its members to its most central one. Then members of a bucket that are still in
     different components are compared in blocks by bitmaps, which rule out pairs for
     certain: first each text with the likeliest of every other component, at last all
-    that remain. Every candidate is confirmed on full sets, which are made only for
+    that remain. Members of the largest component of a bucket meet only the others. Every candidate is confirmed on full sets, which are made only for
     texts that share a bucket.
 
     Null text, empty text and text without words have an empty set and link with
@@ -208,8 +231,10 @@ def near_duplicates(
     Rows with the same doc_id count as one document, which has the links of all
     of them; repeated rows are all returned. Other columns of ``docs`` are not read.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.table(texts.mapInArrow(lambda it: _signatures(it, permutations), _SIGNATURE), "signatures")
+    signed = scratch.table(texts.mapInArrow(lambda it: _signatures(it, permutations, percent), _SIGNATURE), "signatures")
     able = signed.where("set_key is not null and doc_id is not null")
     classes = scratch.table(
         able.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bits", "bands")).alias("rep")).select("set_key", "rep.*"),
@@ -246,11 +271,22 @@ def near_duplicates(
             .where("lo < hi")
         )
         mixed = scratch.table(mixed.select("bucket", "n"), "mixed")
+        kin = (
+            placed.join(mixed.where(F.col("n") > CHUNK), "bucket", "left_semi")
+            .groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("kin"))
+            .groupBy("bucket").agg(F.max(F.struct("kin", "component")).alias("most"))
+        )
+        kinds = mixed.join(kin, "bucket", "left").select(
+            "bucket", F.col("most.component").alias("main"), F.coalesce("most.kin", F.lit(0)).alias("others"),
+            (F.col("n") - F.coalesce("most.kin", F.lit(0))).alias("strays"),
+        )
         rows = (
-            placed.join(mixed.select("bucket"), "bucket", "left_semi")
+            placed.join(kinds, "bucket")
+            .withColumn("stray", ~F.col("component").eqNullSafe(F.col("main")))
             .join(classes.select("doc_id", wide, "bits"), "doc_id")
+            .drop("main")
         )
-        dealt = blocks(rows, ["bucket"], "doc_id", mixed, CHUNK)
+        dealt = apart(rows, ["bucket"], "doc_id", CHUNK)
         more = dealt.mapInArrow(lambda it, every=every: _possible(it, percent, every), "a long, b long").distinct()
         more = scratch.table(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = _confirmed(more, sets, percent, scratch)

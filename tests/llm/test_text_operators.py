@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, near_text, overlap, packing, token_files
+from strata.llm import blocks, bpe, near_text, overlap, packing, token_files
 from strata.llm.base import ready
 from strata.session import Scratch
 
@@ -87,6 +87,56 @@ def test_near_text_chain_of_many(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == near_brute(rows)
 
 
+def test_small_sets_lose_no_link():
+    """Every pair that is similar enough shares a key where the smaller set is small."""
+    rng = np.random.default_rng(8)
+    for percent in (51, 60, 75, 90, 100):
+        for _ in range(3000):
+            n = int(rng.integers(2, near_text.SMALL + 1))
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            swap, more = int(rng.integers(0, 3)), int(rng.integers(0, 6))
+            kept = rng.permutation(a)[swap:]
+            b = np.unique(np.concatenate([kept, rng.integers(0, 2**63, more).astype(np.uint64)]))
+            both = len(set(a.tolist()) & set(b.tolist()))
+            if min(len(a), len(b)) < 2 or 100 * both < percent * (len(a) + len(b) - both):
+                continue
+            x, y = near_text.small_keys(a, percent), near_text.small_keys(b, percent)
+            assert set(x.tolist()) & set(y.tolist())
+    assert len(near_text.small_keys(np.arange(22, dtype=np.uint64), 75)) == 0
+    assert len(near_text.small_keys(np.arange(1, dtype=np.uint64), 75)) == 0
+
+
+def test_near_text_of_short_texts(spark):
+    ready(spark)
+    rng = np.random.default_rng(5)
+    rows = []
+    for family in range(150):  # texts of 7 to 20 words, cut or prolonged by one
+        own = [f"f{family}_{i}" for i in range(int(rng.integers(7, 21)))]
+        for k, t in enumerate((own, own[:-1], own[1:], [*own, "z"], [*own[:-1], "y"])):
+            rows.append((family * 10 + k, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_text.near_duplicates(df, Scratch(spark))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == near_brute(rows)
+    with pytest.raises(ValueError):
+        near_text.near_duplicates(df, Scratch(spark), percent=50)
+
+
+@pytest.mark.parametrize("main", [0, 1, 40])
+def test_strays_meet_all_and_others_only_strays(spark, main):
+    rows = [("b", i, i >= main, 50 - main, main) for i in range(50)]
+    df = spark.createDataFrame(rows, "bucket string, doc_id long, stray boolean, strays long, others long")
+    met = {}
+    for r in blocks.apart(df, ["bucket"], "doc_id", 8).collect():
+        met.setdefault((r.low, r.high), []).append((r.doc_id, r.mine))
+    pairs = []
+    for (low, high), members in met.items():
+        for i, (d, m) in enumerate(members):
+            pairs += [tuple(sorted((d, e))) for e, k in members[:i] if low == high or m != k]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {(a, b) for a in range(50) for b in range(a + 1, 50) if b >= main}
+    assert not any(b < main for _, b in pairs)
+
+
 def test_parity_bitmap_never_exceeds_the_difference():
     rng = np.random.default_rng(2)
     for n in (1, 5, 40, 400):
