@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 LONGEST = 24  # tokens of an entity
+WINDOW = 4096  # tokens whose segments are held at a time in longer stretches
 AROUND = LONGEST + 4  # tokens on either side of a figure or an at-sign: any entity that holds it, and a word before
 SURE = 0.9  # posterior probability from which a span is added
 TABLE = 1 << 13  # hashed features of a label
@@ -163,7 +166,13 @@ class Lattice:
     ending: list[np.ndarray]  # numbers of the segments that stop at each token
 
 
-def lattice(text: str) -> Lattice:
+def lattice(
+    text: str, word: str = "", begins: tuple[int, int] | None = None, stops: tuple[int, int] | None = None
+) -> Lattice:
+    """All candidates of a stretch, or those that begin and stop at tokens of these ranges (ends included).
+
+    ``word`` is the last word before the text.
+    """
     tokens, starts = [], []
     for m in _TOKEN.finditer(text):
         tokens.append(m.group())
@@ -171,15 +180,18 @@ def lattice(text: str) -> Lattice:
     starts.append(len(text))
     shapes = [_shape(t) for t in tokens]
     n = len(tokens)
-    word_before, word = [], ""
+    word_before = []
     for t in tokens:
         word_before.append(word)
         word = t[:LONGEST].lower() if t[0].isalpha() else word
     segments, slots, entity = [], [], []
-    for i in range(n):
-        segments.append((i, i + 1))
-        slots.append(_features(text, tokens, starts, shapes, word_before, i, i + 1))
-        entity.append(False)
+    first, last_begin = begins or (0, n - 1)
+    soonest, latest = stops or (1, n)
+    for i in range(first, last_begin + 1):
+        if soonest <= i + 1 <= latest:
+            segments.append((i, i + 1))
+            slots.append(_features(text, tokens, starts, shapes, word_before, i, i + 1))
+            entity.append(False)
         if shapes[i] == "_" or not (shapes[i] in ("9", "a", "+", "(")):
             continue
         useful = False
@@ -188,7 +200,7 @@ def lattice(text: str) -> Lattice:
             if "\n" in tokens[j - 1]:
                 break
             useful = useful or last in ("9", "@", "at")
-            if useful and last in ("9", "a"):
+            if useful and last in ("9", "a") and soonest <= j <= latest:
                 if j == i + 1:
                     entity[-1] = True
                 else:
@@ -439,10 +451,111 @@ def trained(n: int = 700, rounds: int = 4, seed: int = 5) -> Field:
     return field
 
 
+class Swept:
+    """The field over a long stretch, WINDOW tokens at a time.
+
+    Any segment is at most LONGEST tokens long, so a window needs no more than so many
+    tokens beyond itself. Sums and the best path before and behind each token are kept in
+    arrays, about 200 bytes a token; segments and their features are made for one window at
+    a time, once forwards and, where the path holds entities, once backwards.
+    """
+
+    def __init__(self, text: str, field: Field):
+        self.text, self.field = text, field
+        self.starts, self.word = array("q"), array("q", [-1])  # the last word before each token
+        for k, m in enumerate(_TOKEN.finditer(text)):
+            self.starts.append(m.start())
+            self.word.append(k if text[m.start()].isalpha() else self.word[-1])
+        self.n = len(self.starts)
+        self.starts.append(len(text))
+
+    def _grid(self, low: int, high: int, begins: tuple[int, int], stops: tuple[int, int]) -> tuple[int, Lattice]:
+        """The number of the grid's first token, and a grid over the tokens low to high and one on either side."""
+        base = max(0, low - 1)
+        w = self.word[base]
+        word = self.text[self.starts[w] : self.starts[w + 1]][:LONGEST].lower() if w >= 0 else ""
+        part = self.text[self.starts[base] : self.starts[min(self.n, high + 1)]]
+        return base, lattice(part, word, (begins[0] - base, begins[1] - base), (stops[0] - base, stops[1] - base))
+
+    def path(self) -> list[tuple[int, int, int, float]]:
+        """(first token, end, label, score) of the best segmentation's entities; keeps the sums of the way there."""
+        n, labels = self.n, len(LABELS)
+        self.reach = np.full((n + 1, labels), -np.inf)
+        top = np.full((n + 1, labels), -np.inf)
+        came = np.zeros((n + 1, labels), np.int64)
+        kind = np.zeros((n + 1, labels), np.int8)
+        worth = np.zeros((n + 1, labels))
+        upto = np.full(labels, -np.inf)
+        upto[0] = top[0, 0] = 0.0
+        self.reach[0] = _sum(upto[:, None] + self.field.after, 0)
+        for low in range(0, n, WINDOW):
+            high, back = min(n, low + WINDOW), max(0, low + 1 - LONGEST)
+            base, grid = self._grid(back, high, (back, high - 1), (low + 1, high))
+            scores = self.field.scores(grid)
+            begin = np.array([i for i, _ in grid.segments], np.int64) + base
+            for j in range(low + 1, high + 1):
+                own = grid.ending[j - base]
+                at = begin[own]
+                upto = _sum(self.reach[at] + scores[own], 0)
+                self.reach[j] = _sum(upto[:, None] + self.field.after, 0)
+                come = top[at][:, :, None] + self.field.after[None]
+                label = come.argmax(1)
+                value = come.max(1) + scores[own]
+                pick = value.argmax(0)
+                each = np.arange(labels)
+                top[j], came[j], kind[j], worth[j] = value[pick, each], at[pick], label[pick, each], scores[own[pick], each]
+        self.total = _sum(upto, 0)
+        out, j, y = [], n, int(top[n].argmax())
+        while j > 0:
+            if y:
+                out.append((int(came[j, y]), j, y, float(worth[j, y])))
+            j, y = int(came[j, y]), int(kind[j, y])
+        return out[::-1]
+
+    def behind(self) -> np.ndarray:
+        """Log-sums from each token on to the end."""
+        n = self.n
+        out = np.full((n + 1, len(LABELS)), -np.inf)
+        out[n] = 0.0
+        for low in range((n - 1) // WINDOW * WINDOW, -1, -WINDOW):
+            high = min(n, low + WINDOW)
+            far = min(n, high - 1 + LONGEST)
+            base, grid = self._grid(low, far, (low, high - 1), (low + 1, far))
+            scores = self.field.scores(grid)
+            stop = np.array([j for _, j in grid.segments], np.int64) + base
+            begin = np.array([i for i, _ in grid.segments], np.int64) + base
+            cuts = np.searchsorted(begin, np.arange(low, high + 1))
+            for i in range(high - 1, low - 1, -1):
+                own = slice(cuts[i - low], cuts[i - low + 1])
+                out[i] = _sum(self.field.after + _sum(scores[own] + out[stop[own]], 0)[None, :], 1)
+        return out
+
+
+def _swept_spans(text: str, left: int, right: int, field: Field) -> list[Span]:
+    swept = Swept(text[left:right], field)
+    path = swept.path()
+    if not path:
+        return []
+    behind = swept.behind()
+    return [
+        (left + swept.starts[i], y - 1, left + swept.starts[j])
+        for i, j, y, score in path
+        if np.exp(swept.reach[i, y] + score + behind[j, y] - swept.total) >= SURE
+    ]
+
+
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """Spans of the field that are sure enough and touch no base span."""
     out: list[Span] = []
+    held = sorted((a, z) for a, _, z in base)
+    opens, ends = [a for a, _ in held], np.maximum.accumulate(np.array([z for _, z in held] or [0], np.int64))
     for left, right in zones(text):
+        if right - left > WINDOW:
+            for a, k, b in _swept_spans(text, left, right, field):
+                before = bisect_left(opens, b)
+                if not before or ends[before - 1] <= a:
+                    out.append((a, k, b))
+            continue
         grid = lattice(text[left:right])
         scores = field.scores(grid)
         path = [(s, y) for s, y in field.best(grid, scores) if y]
@@ -506,7 +619,8 @@ def private_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
     the order email, ip, card, phone. Base spans follow fixed patterns and always stay.
     The field scores whole candidate segments of up to 24 tokens around figures and
     at-signs and decides on boundaries and kinds together; it adds what it is sure of
-    and no base span touches, such as hidden addresses and national phone numbers.
+    and no base span touches, such as hidden addresses and national phone numbers. Long
+    stretches of figures are swept in windows (``Swept``), with the same result.
     ``n_*`` count all spans; ``base_sha256`` is over the base ones.
 
     Null and empty texts have no spans. Repeated rows are kept; null doc_ids too;

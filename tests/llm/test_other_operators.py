@@ -108,6 +108,46 @@ def test_address_rules(spark):
     assert "Python" not in text and "Arrow" not in text and "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_long_stretches_are_swept_with_the_same_spans(monkeypatch):
+    field = private_spans.trained()
+    bits = ["jo (at) site (dot) com", "(030) 123-4567", "555-123-9876", "4111 1111 1111 1111 10.0.0.1", "1 22 333", "§ 12 (3)", "a@", "x\n", "wörd", "日本語12"]
+    for seed in range(3):
+        text = " ".join(bits[i] for i in np.random.default_rng(seed).integers(0, len(bits), 120))
+        zone = private_spans.zones(text)
+        assert len(zone) == 1
+        left, right = zone[0]
+        grid = private_spans.lattice(text[left:right])
+        scores = field.scores(grid)
+        sure, _ = field.posterior(grid, scores)
+        path = [(s, y) for s, y in field.best(grid, scores) if y]
+        want = [(grid.segments[s], y, sure[s, y]) for s, y in path]
+        assert want
+        for width in (1, 7, 50, 4096):
+            monkeypatch.setattr(private_spans, "WINDOW", width)
+            swept = private_spans.Swept(text[left:right], field)
+            got, behind = swept.path(), swept.behind()
+            assert [((i, j), y) for i, j, y, _ in got] == [w[:2] for w in want]
+            odds = [np.exp(swept.reach[i, y] + x + behind[j, y] - swept.total) for i, j, y, x in got]
+            assert np.allclose(odds, [w[2] for w in want], atol=1e-9)
+        monkeypatch.setattr(private_spans, "WINDOW", 64)
+        short = private_spans.spans_of(text, field)
+        monkeypatch.setattr(private_spans, "WINDOW", 10**9)
+        assert short == private_spans.spans_of(text, field)
+
+
+def test_long_table_of_figures_needs_little_memory():
+    import tracemalloc
+
+    field = private_spans.trained()
+    text = " ".join(f"{i * 7919 % 90 + 10}" for i in range(6_000))
+    private_spans.spans_of(text[:9000], field)
+    tracemalloc.start()
+    private_spans.spans_of(text, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+
+
 def test_archive_round_trip_and_audit(spark):
     rows = [(i, f"http://x/{i}", "<p>" + "z" * (i * 37 % 301)) for i in range(300)]
     rows += [(None, None, None), (7, "http://x/7", "again"), (301, "http://x/\r\n301", "WARC/1.1\r\n\r\n\r\nWARC/1.1\r\n")]
