@@ -17,7 +17,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_WORDS = 1_500_000  # beyond so many words the memo keeps only those met more than once
+MEMO_WORDS = 750_000  # beyond so many words the memo keeps only those met more than once
 _BEFORE_BLANK = re.compile("[ ](?=[\\s᠎]|$)")
 _CUT = re.compile("[ ](?=[^\\s᠎])")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # blanks for Python, signs for the tokenizer
