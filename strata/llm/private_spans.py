@@ -597,7 +597,7 @@ def _found(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Recor
         counts, hashes, lists = [], [], []
         for text in batch.column("text").to_pylist():
             base, spans = spans_of(text or "", field)
-            counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
+            counts.append([sum(k == i for _, k, _ in base) for i in range(4)])
             hashes.append(hashlib.sha256(written(base).encode()).hexdigest())
             lists.append(written(spans))
         counts = np.array(counts, np.int64).reshape(-1, 4)
@@ -621,7 +621,7 @@ def private_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
     at-signs and decides on boundaries and kinds together; it adds what it is sure of
     and no base span touches, such as hidden addresses and national phone numbers. Long
     stretches of figures are swept in windows (``Swept``), with the same result.
-    ``n_*`` count all spans; ``base_sha256`` is over the base ones.
+    ``n_*`` count the base spans and ``base_sha256`` is over them; ``spans`` lists all.
 
     Null and empty texts have no spans. Repeated rows are kept; null doc_ids too;
     other columns aren't read.

@@ -334,6 +334,16 @@ def test_private_spans(spark):
     assert private_spans.private_spans(df.where("false")).count() == 0
 
 
+def test_private_counts_are_of_base_spans(spark):
+    texts = ["write to anna.b (at) mail.example (dot) com today", "call (988) 555-2485 or x@y.zz now", "at 10.0.0.1 and +1 988 555 2485"]
+    got = private_spans.private_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    counts = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got}
+    assert counts == {0: (0, 0, 0, 0), 1: (1, 0, 0, 0), 2: (0, 1, 0, 1)}
+    # what the field adds is listed all the same
+    spans = {r.doc_id: r.spans for r in got}
+    assert spans[0].startswith("email:9:") and "phone:5:19" in spans[1].split(",")
+
+
 def test_field_on_unseen_lines():
     field, right, wrong, missed = private_spans.trained(), 0, 0, 0
     for line, marks in private_spans._examples(150, 77):
