@@ -58,7 +58,7 @@ SELECT project_id, path, op, count(*) AS n FROM e_bursts JOIN (
 def w1(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch(spark, "bursts")
     changes = change_columns(stream(spark, folder, "events"))
-    watch.run_available(watch.debounce_changes(changes, 3600, buckets=4), scratch(spark, "check"), out=out)
+    watch.run_available(watch.debounce_changes(changes, 3600, buckets=16), scratch(spark, "check"), out=out)
     bursts = watch.merge_bursts(spark.read.parquet(out), 3600)
     # without a delay the watermark is the newest event of all
     now = table(spark, folder, "events").select(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("now"))

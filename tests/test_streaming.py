@@ -1,12 +1,14 @@
 """Streams agree with their batch twins, also over several micro-batches."""
 
+import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from strata.model import Config, Layer, Rule
 from strata.operators import rules
-from strata.streaming import watch
+from strata.streaming import state, watch
 
 CHANGE = "project_id string, path string, op string, ts timestamp"
 T0 = datetime(2024, 1, 1)
@@ -140,3 +142,90 @@ def test_late_rows_are_dropped_by_rule(spark, tmp_path, rows):
     feed(spark, tmp_path, batches, schema, make)
     got = rows(spark.read.parquet(out), "window_start", "severity", "cnt")
     assert got == [(T0, "error", 1), (T0 + timedelta(days=3), "error", 1)]
+
+
+class Kept:
+    """A key's state, timers and clock, which counts the calls to them."""
+
+    def __init__(self):
+        self.calls, self.timers, self.rows, self.one, self.now = 0, set(), {}, None, 0
+
+    def _call(self, value=None):
+        self.calls += 1
+        return value
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return self
+
+    def registerTimer(self, at):
+        self._call(self.timers.add(at))
+
+    def updateValue(self, key, value):
+        self._call(self.rows.update({key: value}))
+
+    def getValue(self, key):
+        return self._call(self.rows.get(key))
+
+    def removeKey(self, key):
+        self._call(self.rows.pop(key))
+
+    def containsKey(self, key):
+        return self._call(key in self.rows)
+
+    def iterator(self):
+        return self._call(iter(list(self.rows.items())))
+
+    def keys(self):
+        return self._call(iter(list(self.rows)))
+
+    def exists(self):
+        return self._call(self.one is not None)
+
+    def get(self):
+        return self._call(self.one)
+
+    def update(self, value):
+        self.one = self._call(value)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def told(frames):
+    return [r for f in frames for r in f.itertuples(index=False, name=None)]
+
+
+def test_bursts_call_the_state_once_a_frame():
+    rng, second = random.Random(3), 1_000_000
+    for spread, most in ((5000, 0.02), (10**5, None)):
+        kept, made = Kept(), state.Bursts(30 * second)
+        made.init(kept)
+        events, found = [], []
+        for batch in range(4):
+            low = batch * spread * second
+            new = [(rng.randrange(low, low + spread * second), f"f{rng.randrange(50)}", rng.choice("abc")) for _ in range(3000)]
+            new = [(at, path, op) for at, path, op in new if at // 1000 > kept.now]
+            events += new
+            frame = pd.DataFrame(new, columns=["at", "path", "op"])
+            frame["ts"] = pd.to_datetime(frame["at"], unit="us")
+            list(made.handleInputRows(("p",), iter([frame[:1000], frame[1000:]]), kept))
+            kept.now = (low + spread * second // 2) // 1000
+            for due in sorted(t for t in kept.timers if t <= kept.now):
+                kept.timers.discard(due)
+                found += told(made.handleExpiredTimer(("p",), kept, None))
+        kept.now = 10 * spread * 1000
+        found += told(made.handleExpiredTimer(("p",), kept, None))
+        assert not kept.rows
+        bursts, want = [], []
+        for event in sorted(events):
+            if not bursts or event[0] - bursts[-1][-1][0] >= made.gap:
+                bursts.append([])
+            bursts[-1].append(event)
+        for burst in bursts:
+            last = {path: (at, op) for at, path, op in burst}
+            want += [("p", burst[0][0], burst[-1][0], path, op, at) for path, (at, op) in last.items()]
+        assert sorted(found) == sorted(want)
+        assert most is None or kept.calls <= most * len(events)
