@@ -1215,7 +1215,7 @@ FROM t_edges WHERE project_id = '2-HIGH' AND regexp_matches(import_path, 'c7')
 @query("l9_project_configs", "SELECT * FROM t_fleet")
 def l9_configs(spark: SparkSession, folder: str) -> DataFrame:
     config = fleet.merge_configs(spark, trade_fleet(spark, folder))
-    edges = fleet.classified_by_project(deps_from_trade(spark, folder), config)
+    edges = fleet.classified_by_project(stored(spark, folder), config)
     return fleet.standard_violations_by_project(edges, config)
 
 

@@ -72,7 +72,9 @@ def merge_configs(spark: SparkSession, fleet: Fleet) -> Merged:
         names = [c.split()[0] for c in schema.split(", ")]
         inherits = both.join(own.select("project_id").distinct(), "project_id", "left_anti")
         given = F.from_json(F.lit(json.dumps(shared)), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")
-        return own.join(keys, "project_id").select("config", *names).unionByName(inherits.select("config", F.inline(given)))
+        rows = own.join(keys, "project_id").select("config", *names).unionByName(inherits.select("config", F.inline(given)))
+        # written, so that its size is known where it meets the edges
+        return materialise(rows)
 
     shared = fleet.shared
     shared_layers = [{"ord": i, "name": y.name, "paths": list(y.paths)} for i, y in enumerate(shared.layers, 1)]
@@ -147,41 +149,58 @@ def _keyed(table: DataFrame, config: Merged) -> DataFrame:
 def classified_by_project(deps: DataFrame, config: Merged, target: str | None = IMPORT) -> DataFrame:
     """L2, L3 and excludes by each project's configuration; edges without a layer on either side go.
 
-    Patterns run on distinct files and imports only. ``target`` is the column whose globs
-    give the imported layer; None keeps ``resolved_layer`` as it is.
+    Patterns run on distinct files and imports only, those of rules too (``by_pattern`` and
+    ``if_layer`` hold their numbers), so the edges meet each side once. ``target`` is the
+    column whose globs give the imported layer; None keeps ``resolved_layer`` as it is.
+    ``deps`` is read three times: a written table spares its plan.
     """
     edges = _keyed(deps, config)
     facts = _file_facts(edges.select("config", F.col(FILE).alias("path")).distinct(), config)
     facts = facts.where("source_layer is not null and not dropped").drop("dropped").withColumnRenamed("path", FILE)
+    texts = _import_texts(edges.select("config", IMPORT).distinct(), config)
     if target is not None:
         layers = first_layers(edges.select("config", F.col(target).alias("path")).distinct(), config.layers)
         layers = layers.select("config", F.col("path").alias(target), F.col("layer").alias("resolved_layer"))
-        edges = edges.drop("resolved_layer").join(layers, ["config", target])
+        edges = edges.drop("resolved_layer")
+        if target == IMPORT:
+            edges = edges.join(layers.join(texts, ["config", IMPORT], "left"), ["config", IMPORT])
+        else:
+            edges = edges.join(layers, ["config", target])
+    if target != IMPORT:
+        edges = edges.join(texts, ["config", IMPORT], "left")
     return edges.where("resolved_layer is not null").join(facts, ["config", FILE])
 
 
+def _violating(config: Merged) -> DataFrame:
+    return config.rules.where(F.lower(_text("type")).isin(*_VIOLATING) & (_text("template") == ""))
+
+
+def _import_texts(imports: DataFrame, config: Merged) -> DataFrame:
+    """Per (config, import) that a rule's pattern matches: numbers of the rules without and with layers."""
+    layered = _text("from_layer") != ""
+    texts = _violating(config).where(_text("pattern") != "").select("config", "ord", "pattern", layered.alias("and_layer"))
+    return imports.join(texts, "config").where(F.regexp_like(IMPORT, F.col("pattern"))).groupBy("config", IMPORT).agg(
+        F.collect_set(F.when(~F.col("and_layer"), F.col("ord"))).alias("by_pattern"),
+        F.collect_set(F.when(F.col("and_layer"), F.col("ord"))).alias("if_layer"),
+    )
+
+
 def _broken(edges: DataFrame, config: Merged) -> DataFrame:
     """Edges with the number of each violating rule they fall under, off rules aside."""
-    rules = config.rules.where(F.lower(_text("type")).isin(*_VIOLATING) & (_text("template") == ""))
+    rules = _violating(config)
     layered, pattern = _text("from_layer") != "", _text("pattern") != ""
     ends = rules.where(layered).select("config", F.col("from_layer").alias("source_layer"), F.explode("to_layers").alias("resolved_layer"), "ord", pattern.alias("and_pattern"))
     ends = ends.groupBy("config", "source_layer", "resolved_layer").agg(
         F.collect_set(F.when(~F.col("and_pattern"), F.col("ord"))).alias("by_layer"),
         F.collect_set(F.when(F.col("and_pattern"), F.col("ord"))).alias("if_pattern"),
     )
-    texts = rules.where(pattern).select("config", "ord", "pattern", layered.alias("and_layer"))
-    found = edges.select("config", IMPORT).distinct().join(texts, "config").where(F.regexp_like(IMPORT, F.col("pattern")))
-    found = found.groupBy("config", IMPORT).agg(
-        F.collect_set(F.when(~F.col("and_layer"), F.col("ord"))).alias("by_pattern"),
-        F.collect_set(F.when(F.col("and_layer"), F.col("ord"))).alias("if_layer"),
-    )
     none = F.array().cast("array<int>")
     ords = F.concat(
         F.coalesce("by_layer", none),
         F.coalesce("by_pattern", none),
         F.array_intersect(F.coalesce("if_pattern", none), F.coalesce("if_layer", none)),
     )
-    joined = edges.join(ends, ["config", "source_layer", "resolved_layer"], "left").join(found, ["config", IMPORT], "left")
+    joined = edges.join(ends, ["config", "source_layer", "resolved_layer"], "left")
     return joined.withColumn("rule_ord", F.explode(F.array_except(ords, "off")))
 
 

@@ -11,6 +11,7 @@ from strata.operators import fleet, graph, rules
 from strata.operators.corpus import ignored
 from strata.operators.layers import assign_source_layer_by_table
 from strata.operators.pattern_index import compiled, matching
+from strata.session import materialise
 
 GLOBS = [
     "a", "a/", "a/b", "a/b/", "a/**", "a/b/**", "**", "**/*", "**/b", "**/b/**", "a/*", "a/*/c", "a/*.go", "*.go", "a?/b", "[ab]/c", "a/[!x]c", "a/**/c", "a/**c", "a/***",
@@ -120,3 +121,16 @@ def test_patterns_meet_distinct_paths_only(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     confirm = plan.index("RLIKE") if "RLIKE" in plan else plan.lower().index("regexp")
     assert "Aggregate [" in plan[confirm:]  # the plan reads upwards: paths are made distinct first
+
+
+def test_edges_meet_each_side_once(spark):
+    """Import patterns come with the layer, so judging classified edges takes no second run over them."""
+    own = fleet.Fleet(Config((Layer("a", ("a/**",)), Layer("b", ("b/**",))), (Rule("r", "a", ("b",)), Rule("p", pattern="x$"))))
+    rows = [("p", f"a/{i % 7}", i, f"b/{i % 5}{'x' if i % 2 else ''}", "go") for i in range(40)]
+    deps = materialise(spark.createDataFrame(rows, "project_id string, source_file string, source_line int, import_path string, language string"))
+    merged = fleet.merge_configs(spark, own)
+    edges = fleet.classified_by_project(deps, merged)
+    found = fleet.standard_violations_by_project(edges, merged)
+    assert found.count() == 60
+    joins = [x._jdf.queryExecution().optimizedPlan().toString().count("Join ") for x in (edges, found)]
+    assert joins[1] - joins[0] == 2  # rules by layer pair and rules by number; the edges aren't made a second time
