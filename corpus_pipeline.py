@@ -64,12 +64,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     keyed = _keyed(docs, scratch)
     found = scratch.table(near_duplicates(_numbered(keyed), scratch), "found")
-    gone = found.where("not kept").select(F.col("doc_id").alias(_KEY)).distinct()
-    again = found.groupBy(F.col("doc_id").alias(_KEY)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_KEY)
-    again = scratch.table(again, "again")
-    left = keyed.join(gone, _KEY, "left_anti")
-    once = left.join(again, _KEY, "left_semi").dropDuplicates([_KEY, "text"])
-    return left.join(again, _KEY, "left_anti").unionByName(once).select(*docs.columns)
+    # written, so that their size is known where they meet the texts, which are shuffled once at most
+    marks = found.groupBy(F.col("doc_id").alias(_KEY)).agg(F.max(~F.col("kept")).alias("gone"), F.count(F.lit(1)).alias("n"))
+    marks = scratch.table(marks.where("gone or n > 1").select(_KEY, "gone"), "marks")
+    again = scratch.table(marks.where("not gone").select(_KEY), "again")
+    once = keyed.join(again, _KEY, "left_semi").dropDuplicates([_KEY, "text"])
+    return keyed.join(marks.select(_KEY), _KEY, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -670,6 +670,16 @@ def test_pipeline_keys_and_empty_tables(spark, tmp_path):
         assert (len(packed) > 0) == (name == "a")
 
 
+def test_near_dedup_meets_the_texts_with_written_tables(spark):
+    """The numbers to drop are a table of their own, and texts are read for at most one join with it."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, f"{i} two three four five six seven eight", "en", "s", 1) for i in range(20)], schema)
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and plan.count("n_shingles") == 0
+    assert left.count() == 20
+
+
 def test_scratch_tables_go_with_their_stage(spark):
     from strata import session
 
