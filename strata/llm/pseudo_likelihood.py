@@ -21,9 +21,12 @@ GROUPED = 4  # one id in so many is a group of rarer words with one ending
 ENDING = 3  # bytes of an ending
 HEAD = 1 << 16  # most frequent words of the groups, whose counts every task holds; the others' counts are joined
 SIDE = 2  # words seen on either side
+SMALL = 60  # single precision holds exp of such logits and their sums
+BLOCK = 1 << 17  # logits at a time in scoring, to stay in the processor's cache
 EMBED, HIDDEN = 16, 32
 ROUNDS = 2  # each predicts every second word of a document, so both together every word once
 MILLION = 1_000_000
+_ID = np.dtype("<u2")
 
 
 @dataclass(frozen=True)
@@ -58,10 +61,8 @@ class Shape:
             "embed": (self.size + 1, EMBED),  # the last row stands for what lies outside the text
             "inner": (2 * SIDE * EMBED, HIDDEN),
             "inner_bias": (HIDDEN,),
-            "to_class": (HIDDEN, n),
-            "class_bias": (n,),
-            "to_word": (n, HIDDEN, n),
-            "word_bias": (n, n),
+            "class": (HIDDEN + 1, n),  # the last rows of these two are biases
+            "word": (n, HIDDEN + 1, n),
         }
 
     @property
@@ -76,6 +77,8 @@ def views(weights: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
         n = math.prod(sizes)
         out[name] = weights[at : at + n].reshape(sizes)
         at += n
+    out["to_class"], out["class_bias"] = out["class"][:-1], out["class"][-1]
+    out["to_word"], out["word_bias"] = out["word"][:, :-1], out["word"][:, -1]
     return out
 
 
@@ -121,8 +124,19 @@ def _find(among: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Numbers of the hashes that are in the sorted ``among``, and their places there."""
     if len(among) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
-    found = np.flatnonzero(among[at] == hashes)
+    # hashes are spread evenly, so few share their first bits
+    bits = min(len(among).bit_length() + 2, 24)
+    own, first = ((x >> np.uint64(64 - bits)).astype(np.int64) for x in (hashes, among))
+    sizes = np.bincount(first, minlength=1 << bits)
+    at = (np.cumsum(sizes) - 1)[own]
+    hit = among[at] == hashes
+    left = np.flatnonzero(~hit & (sizes > 1)[own])
+    for back in range(1, int(sizes.max())):
+        left = left[sizes[own[left]] > back]
+        at[left] -= 1
+        hit[left] = among[at[left]] == hashes[left]
+        left = left[~hit[left]]
+    found = np.flatnonzero(hit)
     return found, at[found]
 
 
@@ -154,6 +168,34 @@ def _hashed(column: pa.Array) -> Iterator[_Words]:
         yield _Words(first, last, *_both(part, starts, ends), place, owner)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], words_: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Ids of every text's words, two bytes each; shard and draw stay."""
+    for batch in batches:
+        for part in _hashed(batch.column("text")):
+            n = part.last - part.first
+            ids = words_.encode(part.hashes, part.endings).astype(_ID)
+            ends = np.searchsorted(part.owner, np.arange(n + 1)).astype(np.int32) * _ID.itemsize
+            column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            kept = [batch.column(c).slice(part.first, n) for c in ("shard", "draw")]
+            yield pa.RecordBatch.from_arrays([*kept, column], ["shard", "draw", "ids"])
+
+
+def _training_ids(batch: pa.RecordBatch, words_: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids with SIDE blanks around every text, places and rows of the words; of texts or of the ids they were encoded to."""
+    if "ids" not in batch.schema.names:
+        for part in _hashed(batch.column("text")):
+            yield part.ids(words_), part.place, part.owner
+        return
+    body, offsets = flat(batch.column("ids"))
+    for first, last in slices(offsets, 1 << 17):
+        own = body[offsets[first] : offsets[last]].view(_ID)
+        owner = row_of((offsets[first : last + 1] - offsets[first]) // _ID.itemsize)
+        place = np.arange(len(own)) + SIDE * (owner + 1)
+        ids = np.full(len(own) + SIDE * (last - first + 1), words_.shape.size, np.int64)
+        ids[place] = own
+        yield ids, place, owner
+
+
 def _both(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and 31 bits of the hash of its last bytes: rarer words with one ending mostly share a language and a form."""
     found = word_hashes(body, np.concatenate([starts, np.maximum(starts, ends - ENDING)]), np.concatenate([ends, ends]))
@@ -164,10 +206,17 @@ def _context(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
     return ids[place[:, None] + np.array([d for d in range(-SIDE, SIDE + 1) if d])]
 
 
+def _shifted(logits: np.ndarray) -> np.ndarray:
+    """The logits, in place less the greatest of their row unless all of them are small."""
+    if logits.size and not -SMALL < logits.min() <= logits.max() < SMALL:
+        logits -= logits.max(1, keepdims=True)
+    return logits
+
+
 def _exponents(logits: np.ndarray) -> np.ndarray:
-    """exp of the logits less the greatest of their row; replaces the logits by these differences."""
-    logits -= logits.max(1, keepdims=True)
-    return np.exp(logits)
+    """exp of the logits, in their place, up to a factor of each row."""
+    _shifted(logits)
+    return np.exp(logits, out=logits)
 
 
 def _sums(rows: np.ndarray) -> np.ndarray:
@@ -183,28 +232,39 @@ def _by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[in
 
 def _word_logits(v: dict[str, np.ndarray], hidden: np.ndarray, runs: list[tuple[int, slice]]) -> np.ndarray:
     """Logits of the words of its own class for each row; rows are in the order of classes."""
-    out = np.empty((len(hidden), v["word_bias"].shape[1]), np.float32)
+    out = np.empty((len(hidden), v["word"].shape[2]), np.float32)
     for c, at in runs:
-        np.matmul(hidden[at], v["to_word"][c], out=out[at])
-        out[at] += v["word_bias"][c]
+        np.matmul(hidden[at], v["word"][c], out=out[at])
     return out
 
 
+def _hidden(v: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs of the inner layer and its outputs, with a last column of ones for the biases."""
+    inputs = v["embed"].take(context, 0).reshape(len(context), -1)
+    inner = inputs @ v["inner"]
+    inner += v["inner_bias"]
+    hidden = np.ones((len(context), HIDDEN + 1), np.float32)
+    np.tanh(inner, out=hidden[:, :-1])
+    return inputs, hidden
+
+
 def log_probabilities(v: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of every target word given the words on both of its sides."""
-    side = len(v["class_bias"])
-    order, runs = _by_class(target // side, side)
-    context, target = context[order], target[order]
-    hidden = np.tanh(v["embed"][context].reshape(len(context), -1) @ v["inner"] + v["inner_bias"])
-    own, at = np.zeros(len(target), np.float32), np.arange(len(target))
-    for logits, right in (
-        (hidden @ v["to_class"] + v["class_bias"], target // side),
-        (_word_logits(v, hidden, runs), target % side),
-    ):
-        total = _sums(_exponents(logits))
-        own += logits[at, right] - np.log(total[:, 0])
-    out = np.empty_like(own)
-    out[order] = own
+    side = v["class"].shape[1]
+    order = np.argsort((target // side).astype(np.uint16), kind="stable")
+    out = np.empty(len(target), np.float32)
+    rows = max(1, BLOCK // side)
+    for i in range(0, len(order), rows):
+        at = order[i : i + rows]
+        kind, word = np.divmod(target[at], side)
+        cuts = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(at)]
+        runs = [(kind[a], slice(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        hidden = _hidden(v, context[at])[1]
+        own, each = np.zeros(len(at), np.float32), np.arange(len(at))
+        for logits, right in ((hidden @ v["class"], kind), (_word_logits(v, hidden, runs), word)):
+            own += _shifted(logits)[each, right]
+            own -= np.log(_sums(np.exp(logits, out=logits))[:, 0])
+        out[at] = own
     return out
 
 
@@ -245,25 +305,29 @@ class _Learner:
         g, n = views(gradient, self.shape), len(target)
         order, runs = _by_class(target // side, side)
         context, target = context[order], target[order]
-        inputs = v["embed"][context].reshape(n, -1)
-        hidden = np.tanh(inputs @ v["inner"] + v["inner_bias"])
-        error = _exponents(hidden @ v["to_class"] + v["class_bias"])
+        kind, word = np.divmod(target, side)
+        inputs, hidden = _hidden(v, context)
+        each = np.arange(n)
+        error = _exponents(hidden @ v["class"])
         error /= _sums(error)
-        error[np.arange(n), target // side] -= 1
-        g["to_class"][:], g["class_bias"][:] = hidden.T @ error, error.sum(0)
+        error[each, kind] -= 1
+        np.matmul(hidden.T, error, out=g["class"])
         back = error @ v["to_class"].T
         error = _exponents(_word_logits(v, hidden, runs))
         error /= _sums(error)
-        error[np.arange(n), target % side] -= 1
+        error[each, word] -= 1
         for c, at in runs:
-            g["to_word"][c], g["word_bias"][c] = hidden[at].T @ error[at], error[at].sum(0)
+            np.matmul(hidden[at].T, error[at], out=g["word"][c])
             back[at] += error[at] @ v["to_word"][c].T
+        hidden = hidden[:, :-1]
         back *= 1 - hidden * hidden
-        g["inner"][:], g["inner_bias"][:] = inputs.T @ back, back.sum(0)
-        sent = (back @ v["inner"].T).reshape(-1, EMBED)
-        seen = context.ravel()
+        np.matmul(inputs.T, back, out=g["inner"])
+        g["inner_bias"][:] = back.sum(0)
+        # by place and part of the embedding, so that each part's numbers lie side by side
+        sent = (v["inner"] @ back.T).reshape(-1, EMBED, n)
+        seen = np.ascontiguousarray(context.T).ravel()
         for d in range(EMBED):
-            g["embed"][:, d] = np.bincount(seen, weights=sent[:, d], minlength=self.shape.size + 1)
+            g["embed"][:, d] = np.bincount(seen, weights=sent[:, d].ravel(), minlength=self.shape.size + 1)
         gradient /= n
         self.power += gradient * gradient
         self.weights -= rate * gradient / (np.sqrt(self.power) + 1e-6)
@@ -273,10 +337,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of word hashes with their endings, summed within the task before they leave it."""
     held, size = [], 0
 
+    def distinct(hashes: np.ndarray, endings: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        return hashes[first], endings[order[first]], np.add.reduceat(counts[order], first)
+
     def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        hashes, endings, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-        own, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-        return own, endings[first], np.bincount(at, weights=counts, minlength=len(own)).astype(np.int64)
+        return distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def rows(hashes: np.ndarray, endings: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         columns = [pa.array(hashes.view(np.int64)), pa.array(endings.astype(np.int32)), pa.array(counts)]
@@ -288,9 +356,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, local = body[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
             starts, ends, _ = words(part, local, ALNUM)
             own, endings = _both(part, starts, ends)
-            hashes, at, counts = np.unique(own, return_index=True, return_counts=True)
-            held.append((hashes, endings[at], counts))
-            size += len(hashes)
+            if len(own):
+                held.append(distinct(own, endings, np.ones(len(own), np.int64)))
+                size += len(held[-1][0])
             if size > 2_000_000:
                 held = [merged()]
                 size = len(held[0][0])
@@ -389,14 +457,13 @@ def _trained(
             if learner is None or owners[begin] != shard:
                 yield from result()
                 shard, learner = owners[begin], _Learner(words_.shape, start)
-            for part in _hashed(batch.column("text").slice(begin, end - begin)):
-                ids = part.ids(words_)
-                chosen = part.place[_targets(part.owner, turn, rounds)]
+            for ids, place, owner in _training_ids(batch.slice(begin, end - begin), words_):
+                chosen = place[_targets(owner, turn, rounds)]
                 learner.add(_context(ids, chosen), ids[chosen])
     yield from result()
 
 
-def train(docs: DataFrame, words_: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+def train(docs: DataFrame, words_: Vocabulary, rounds: int = ROUNDS, scratch: Scratch | None = None) -> np.ndarray:
     """Weights trained on all words of all documents, each the target of one round.
 
     Training starts from the words' frequencies. Documents are dealt to shards by a hash of
@@ -405,6 +472,7 @@ def train(docs: DataFrame, words_: Vocabulary, rounds: int = ROUNDS) -> np.ndarr
     from the same start, and the weights are averaged by the number of words they were
     trained on. There are twice as many shards as the root of the millions of words, so
     shards, too, grow with the corpus. The averages are all that reaches the driver.
+    Texts become ids once; ``scratch`` keeps these meanwhile.
     """
     spark = docs.sparkSession
     weights = initial(words_.shape, words_.counts)
@@ -413,7 +481,11 @@ def train(docs: DataFrame, words_: Vocabulary, rounds: int = ROUNDS) -> np.ndarr
         return weights
     draw = F.xxhash64("doc_id", "text")
     dealt = docs.select("text", draw.alias("draw"), F.pmod(draw, F.lit(shards)).cast("int").alias("shard"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "draw").drop("draw")
+    known = spark.sparkContext.broadcast(words_)
+    scratch = scratch or Scratch(spark)
+    encoded = scratch.table(dealt.mapInArrow(lambda it: _encoded(it, known.value), "shard int, draw long, ids binary"), "ids")
+    known.unpersist()
+    dealt = encoded.repartition(shards, "shard").sortWithinPartitions("shard", "draw").drop("draw")
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((words_, weights))
         sums = (
@@ -428,6 +500,7 @@ def train(docs: DataFrame, words_: Vocabulary, rounds: int = ROUNDS) -> np.ndarr
         value[sums.column("place").to_numpy()] = sums.column("value").to_numpy()
         weights = (value[:-1] / value[-1]).astype(np.float32)
         sent.unpersist()
+    scratch.drop(encoded)
     return weights
 
 
@@ -447,8 +520,8 @@ def _scored(
             ids = part.ids(words_)
             target = ids[place]
             logs = np.zeros(len(place))
-            for i in range(0, len(place), 1 << 14):
-                logs[i : i + (1 << 14)] = log_probabilities(v, _context(ids, place[i : i + (1 << 14)]), target[i : i + (1 << 14)])
+            for i in range(0, len(place), 1 << 16):
+                logs[i : i + (1 << 16)] = log_probabilities(v, _context(ids, place[i : i + (1 << 16)]), target[i : i + (1 << 16)])
             tail = np.zeros(0, np.int64)
             if within is not None:
                 tail = np.flatnonzero(target >= shape.frequent)
@@ -512,4 +585,4 @@ def pseudo_likelihood(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Train on all documents and score each word of each of them as itself."""
     counted = scratch.table(word_counts(docs), "counts")
     found = vocabulary(docs, counted)
-    return score(docs, found, train(docs, found), counted, scratch)
+    return score(docs, found, train(docs, found, scratch=scratch), counted, scratch)

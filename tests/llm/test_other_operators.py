@@ -555,6 +555,26 @@ def test_training_does_not_depend_on_partitions(spark):
     assert np.allclose(*sums, rtol=1e-4)
 
 
+def test_training_on_encoded_texts(monkeypatch):
+    """Ids written once give the training the same words as the texts do."""
+    import pyarrow as pa
+
+    texts = ["one", "a b", None, "", "x y z", "...", " ".join(f"w{i}" for i in range(3000))] * 3
+    shard, draw = pa.array([0] * 10 + [1] * 11, pa.int32()), pa.array(range(21), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), shard, draw], ["text", "shard", "draw"])
+    shape = pseudo_likelihood.Shape(256, 60000)
+    words = pseudo_likelihood.Vocabulary(shape, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(shape.size, np.int64), 0)
+    encoded = list(pseudo_likelihood._encoded(iter([batch.slice(0, 3), batch.slice(3)]), words))
+    assert [x for b in encoded for x in b.column("draw").to_pylist()] == list(range(21))
+    seen = []
+    monkeypatch.setattr(pseudo_likelihood._Learner, "add", lambda self, context, target: seen[-1].append(np.column_stack([context, target])))
+    for batches in ([batch], encoded):
+        seen.append([])
+        list(pseudo_likelihood._trained(iter(batches), words, np.zeros(shape.n_weights, np.float32), 1, pseudo_likelihood.ROUNDS))
+    plain, coded = (np.concatenate(x) for x in seen)
+    assert np.array_equal(plain, coded) and plain.max() > 1 << 15
+
+
 def test_held_out_text_beats_word_frequencies(spark):
     """On sf0.1, by 0.3 nats a word at least."""
     docs = Scratch(spark).table(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").repartition(32))
@@ -587,6 +607,37 @@ def test_gradient_lowers_the_loss():
     assert losses[-1] < 0.6 * losses[0]
 
 
+def test_scoring_in_blocks_and_with_large_logits(monkeypatch):
+    """Blocks of any size and logits beyond single precision's exp give a plain softmax's results."""
+    rng = np.random.default_rng(5)
+    shape = pseudo_likelihood.Shape(9, 20)
+    context, target = rng.integers(0, shape.size + 1, (700, 4)), rng.integers(0, shape.size, 700)
+    for scale in (1, 200):
+        v = pseudo_likelihood.views(rng.normal(0, 1, shape.n_weights).astype(np.float32) * scale, shape)
+        hidden = np.tanh(v["embed"][context].reshape(700, -1) @ v["inner"] + v["inner_bias"]).astype(float)
+        want = np.zeros(700)
+        for logits, right in (
+            (hidden @ v["to_class"] + v["class_bias"], target // 9),
+            (np.einsum("nh,nhw->nw", hidden, v["to_word"][target // 9]) + v["word_bias"][target // 9], target % 9),
+        ):
+            logits = logits - logits.max(1, keepdims=True)
+            want += logits[np.arange(700), right] - np.log(np.exp(logits).sum(1))
+        for block in (1, 900, pseudo_likelihood.BLOCK):
+            monkeypatch.setattr(pseudo_likelihood, "BLOCK", block)
+            got = pseudo_likelihood.log_probabilities(v, context, target)
+            assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-3, atol=1e-3)
+            monkeypatch.undo()
+
+
+def test_words_that_share_their_first_bits_are_found():
+    few = np.array([0, 1, 2, 5, 1 << 63, (1 << 64) - 1], np.uint64)
+    for among in (few[:0], few, np.arange(3, 3000, 7, dtype=np.uint64), np.arange(1, 2000, dtype=np.uint64) << np.uint64(53)):
+        asked = np.concatenate([among[::2], few, among + np.uint64(3)])
+        found, at = pseudo_likelihood._find(among, asked)
+        assert found.tolist() == np.flatnonzero(np.isin(asked, among)).tolist()
+        assert np.array_equal(among[at], asked[found])
+
+
 PIPE = "doc_id long, text string, lang string, source string, n_chars long, extra string, bucket int"
 
 
