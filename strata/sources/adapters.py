@@ -222,16 +222,14 @@ def places(spark: SparkSession, folder: str) -> DataFrame:
 def deps_from_trade(spark: SparkSession, folder: str) -> DataFrame:
     """Edges from order lines: supplier "imports" customer, project is the order priority.
 
-    Suppliers join first, while the line table is narrow (a small supplier side
-    is broadcast on its measured size); customers join the orders on their own,
-    and their layer is found per customer, not per line.
+    Suppliers join first, while the line table is narrow, as two numbers (a small
+    supplier side is broadcast on its file's size); their paths are put together
+    behind the last join. Customers join the orders on their own, and their layer is
+    found per customer, not per line.
     """
     located = places(spark, folder)
-    suppliers = (
-        table(spark, folder, "supplier")
-        .join(located, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.concat("place", F.lit("/s"), F.col("s_suppkey").cast("string")).alias("source_file"))
-    )
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("_nation"))
+    sources = located.select(F.col("n_nationkey").alias("_nation"), F.col("place").alias("_place"))
     customers = (
         table(spark, folder, "customer")
         .join(located, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -247,9 +245,10 @@ def deps_from_trade(spark: SparkSession, folder: str) -> DataFrame:
     return (
         lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(sources, "_nation")
         .select(
             "project_id",
-            "source_file",
+            F.concat("_place", F.lit("/s"), F.col("s_suppkey").cast("string")).alias("source_file"),
             F.col("l_linenumber").alias("source_line"),
             "import_path",
             "resolved_layer",

@@ -38,6 +38,14 @@ def test_rules_do_not_shuffle(spark):
     assert "Exchange" not in text and "Join" not in text
 
 
+def test_order_lines_shuffle_once_and_without_paths(spark):
+    """Suppliers meet the lines as two numbers, on their file's size; paths are put together behind the last join."""
+    from strata.sources.adapters import deps_from_trade
+
+    text = plan(deps_from_trade(spark, SF))
+    assert "hashpartitioning(l_suppkey" not in text and "hashpartitioning(s_suppkey" not in text
+
+
 def test_contract_shape():
     names, sqls = contract.queries(), contract.oracle_sql()
     assert set(sqls) <= set(names) and len(names) > 150
