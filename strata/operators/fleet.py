@@ -263,7 +263,8 @@ def evaluate_fleet(deps: DataFrame, fleet: Fleet, projects: DataFrame, target: s
     evaluated by ``plans.check.evaluate_rules``.
     """
     config = merge_configs(deps.sparkSession, fleet)
-    edges = materialise(classified_by_project(deps, config, target))
+    # no rule asks for the language, so it need not travel
+    edges = materialise(classified_by_project(deps.drop("language"), config, target))
     cycles = graph.layer_cycles(graph.layer_edges(edges))
     circular = graph.circular_violations_by_table(cycles, _circular_rules_of(projects, config))
     return standard_violations_by_project(edges, config).unionByName(circular)

@@ -134,3 +134,16 @@ def test_edges_meet_each_side_once(spark):
     assert found.count() == 60
     joins = [x._jdf.queryExecution().optimizedPlan().toString().count("Join ") for x in (edges, found)]
     assert joins[1] - joins[0] == 2  # rules by layer pair and rules by number; the edges aren't made a second time
+
+
+def test_evaluation_does_not_move_the_language(spark, monkeypatch):
+    deps = spark.createDataFrame(
+        [("p", "a/x", 1, "b/y", "", "R")],
+        "project_id string, source_file string, source_line int, import_path string, resolved_layer string, language string",
+    )
+    config = Config((Layer("one", ("a/**",)), Layer("two", ("b/**",))), (Rule("r", "one", ("two",)),))
+    written = []
+    monkeypatch.setattr(fleet, "materialise", lambda df: written.append(df.columns) or materialise(df))
+    found = fleet.evaluate_fleet(deps, fleet.Fleet(config), deps.select("project_id")).collect()
+    assert [(r.rule_id, r.file) for r in found] == [("r", "a/x")]
+    assert any("source_layer" in c for c in written) and not any("language" in c for c in written)
