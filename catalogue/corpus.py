@@ -561,9 +561,9 @@ def x15(spark: SparkSession, folder: str) -> DataFrame:
 
 def _normalised(spark: SparkSession, folder: str) -> DataFrame:
     rows = files(spark, folder)
-    found = resolution.is_external(materialise(extraction.extract_imports(cp.filter_source_files(rows))))
-    modules = resolution.build_metadata(rows).where("build_file = 'go.mod'").select("project_id", "module_prefix")
-    return resolution.normalise_import(resolution.resolve_alias(found.join(modules, "project_id", "left"), ALIASES))
+    found = resolution.is_external(extraction.extract_imports(cp.filter_source_files(rows)))
+    modules = materialise(resolution.build_metadata(rows).where("build_file = 'go.mod'").select("project_id", "module_prefix"))
+    return materialise(resolution.normalise_import(resolution.resolve_alias(found.join(modules, "project_id", "left"), ALIASES)))
 
 
 @query("x16_normalise_import", "SELECT project_id, source_file, source_line, import_path, language, norm FROM c_norm")

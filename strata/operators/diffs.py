@@ -148,9 +148,13 @@ def pr_annotations(violations: DataFrame) -> DataFrame:
 
 
 def pr_summary(new: DataFrame, everything: DataFrame, changes: DataFrame) -> DataFrame:
-    """H11 totals: pass flag and summary text per change (project_id, pr)."""
+    """H11 totals: pass flag and summary text per change (project_id, pr).
+
+    The totals, a row a project, are written: planned on their size, the join need not
+    gather a project's changes in one task.
+    """
     n = new.groupBy("project_id", "pr").agg(F.count(F.lit(1)).alias("n_new"))
-    total = everything.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_total"))
+    total = materialise(everything.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_total")))
     out = (
         changes.select("project_id", "pr")
         .distinct()

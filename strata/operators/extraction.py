@@ -44,10 +44,16 @@ def _code(text: Column, marker: str) -> Column:
     return trimmed(F.substring_index(trimmed(text), marker, 1))
 
 
-def file_lines(files: DataFrame) -> DataFrame:
-    """X0 ``file_lines``: 1-based numbered lines."""
+def file_lines(files: DataFrame, of: Column | None = None) -> DataFrame:
+    """X0 ``file_lines``: 1-based numbered lines; with ``of``, those of the files it picks.
+
+    ``of`` may read the content. As a filter it would be pushed to where the content is
+    made, which would then be made twice.
+    """
     keep = [c for c in files.columns if c != "content"]
-    return files.select(*keep, F.posexplode(F.split("content", "\n")).alias("_pos", "text")).select(
+    rows = F.split("content", "\n")
+    rows = rows if of is None else F.when(of, rows)
+    return files.select(*keep, F.posexplode(rows).alias("_pos", "text")).select(
         *keep, (F.col("_pos") + 1).alias("line_no"), "text"
     )
 
@@ -170,23 +176,31 @@ HINTS = {
 # --------------------------------------------------------------------------------
 
 
+def _may_import(language: str) -> Column:
+    """Can a file of the language hold an import at all?"""
+    content = F.col("content")
+    held = any_of([content.contains(h) for h in HINTS[language]])
+    # a Go import is single or in a group, both of which say so
+    return held & content.contains("import") if language == "go" else held
+
+
 def extract_imports(files: DataFrame, languages: tuple[str, ...] = lg.LANGUAGES) -> DataFrame:
     """All languages in one pass: (project_id, source_file, source_line, import_path, language).
 
-    ``files`` carries ``language`` (S4). A cheap substring test drops most
-    lines before any regex runs.
+    ``files`` carries ``language`` (S4). A cheap substring test drops most files before
+    they are split, and most lines before any regex runs.
     """
     lang, text, line_no = F.col("language"), F.col("text"), F.col("line_no")
     wanted = files.where(lang.isin(*languages))
     if "go" in languages:
-        is_go = lang == "go"
+        is_go = (lang == "go") & _may_import("go")
         wanted = wanted.withColumns(
             {
                 "_blocks": F.when(is_go, go_blocks(F.col("content"), lg.GO_OPEN, lg.GO_CLOSE)),
                 "_decl": F.when(is_go, go_first_decl(F.col("content"))),
             }
         )
-    lines = file_lines(wanted)
+    lines = file_lines(wanted, any_of([(lang == k) & _may_import(k) for k in languages]))
     lines = lines.where(any_of([(lang == k) & any_of([text.contains(h) for h in HINTS[k]]) for k in languages]))
     branches = [F.when(lang == k, fn(text)) for k, fn in EXTRACTORS.items() if k in languages]
     if "go" in languages:
@@ -258,24 +272,38 @@ _BLOCK = 64
 _HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
-def _hunks(diffs: DataFrame) -> DataFrame:
-    """(project_id, pr, file, lines, seen): a row per hunk, all found inside the diff's row.
+def _hunk_lines(diffs: DataFrame, marks: bool = False) -> DataFrame:
+    """(project_id, pr, file, old_start, new_start, lines): a row per hunk, all found inside the diff's row.
 
-    ``seen`` holds for every line the old and new line number at which it stands, as
-    old * 2**32 + new.
+    With ``marks`` lines may come as their first character alone.
     """
     keys = ["project_id", "pr"]
     sections = diffs.select(*keys, F.explode(F.split("text", r"\n(?=diff --git )")).alias("section"))
-    head = F.substring_index(F.col("section"), "\n", 1)
+    head = F.substring_index("section", "\n", 1)
     name = F.when(
         head.startswith("diff --git "), F.regexp_replace(F.substring_index(head, " ", -1), "^b/", "")
     ).otherwise("")
-    hunks = sections.select(*keys, name.alias("file"), F.explode(F.split("section", r"\n(?=@@)")).alias("hunk"))
-    start = F.shiftleft(F.regexp_extract("hunk", _HUNK, 1).cast("long"), 32) + F.regexp_extract("hunk", _HUNK, 2).cast("long")
-    parts = hunks.where(F.col("hunk").rlike(_HUNK)).select(
-        *keys, "file", start.alias("start"), F.slice(F.split("hunk", "\n"), F.lit(2), F.lit(1 << 30)).alias("lines")
+    # the first character tells a line's side; heads of hunks begin with @
+    section = F.regexp_replace("section", r"\n([^@\n])[^\n]*", "\n$1") if marks else F.col("section")
+    hunks = sections.select(*keys, name.alias("file"), F.explode(F.split(section, r"\n(?=@@)")).alias("hunk"))
+    # patterns meet the hunk's first line alone
+    top = F.substring_index("hunk", "\n", 1)
+    return hunks.where(top.rlike(_HUNK)).select(
+        *keys,
+        "file",
+        *[F.regexp_extract(top, _HUNK, i).cast("long").alias(f"{side}_start") for i, side in ((1, "old"), (2, "new"))],
+        F.slice(F.split("hunk", "\n"), F.lit(2), F.lit(1 << 30)).alias("lines"),
     )
-    return parts.select(*keys, "file", "lines", _counted(F.col("lines"), F.col("start")).alias("seen"))
+
+
+def _hunks(diffs: DataFrame) -> DataFrame:
+    """(project_id, pr, file, lines, seen): a row per hunk.
+
+    ``seen`` holds for every line the old and new line number at which it stands, as
+    old * 2**32 + new.
+    """
+    start = F.shiftleft("old_start", 32) + F.col("new_start")
+    return _hunk_lines(diffs).select("project_id", "pr", "file", "lines", _counted(F.col("lines"), start).alias("seen"))
 
 
 def _counted(lines: Column, start: Column) -> Column:
@@ -330,20 +358,24 @@ def diff_files(diffs: DataFrame) -> DataFrame:
     """X21 by file: (project_id, pr, file, kept, cut, added), one row per file of a change.
 
     ``kept``: a line stands on the new side; ``cut``: a line is removed; ``added``: the
-    new numbers of added lines. Lines become numbers inside their row before the shuffle.
+    new numbers of added lines. Lines become numbers inside their row before the shuffle:
+    a side's lines are numbered by their place among them, so nothing is summed up.
     """
-    zipped = F.arrays_zip(F.col("seen").alias("seen"), F.col("lines").alias("content"))
-    kinds = _hunks(diffs).select("project_id", "pr", "file", zipped.alias("z"))
-    number = F.transform(
-        F.filter("z", lambda x: x["content"].startswith("+")), lambda x: x["seen"].bitwiseAND((1 << 32) - 1).cast("int")
-    )
+    added, removed = (lambda t: t.startswith("+")), (lambda t: t.startswith("-"))
+    new_side = F.filter("lines", lambda t: ~removed(t))
+    number = F.transform(new_side, lambda t, i: F.when(added(t), (F.col("new_start") + i).cast("int")))
+    # only a side that starts at 0 has a line numbered 0
+    gone = F.transform(F.filter("lines", lambda t: ~added(t)), lambda t, i: removed(t) & (F.col("old_start") + i > 0))
+    kept = F.when(F.col("new_start") > 0, F.exists("lines", lambda t: ~removed(t))).otherwise(F.size(new_side) > 1)
+    cut = F.when(F.col("old_start") > 0, F.exists("lines", removed)).otherwise(F.exists(gone, lambda x: x))
     return (
-        kinds.select(
+        _hunk_lines(diffs, marks=True)
+        .select(
             "project_id",
             "pr",
             "file",
-            F.exists("z", lambda x: ~x["content"].startswith("-") & (x["seen"].bitwiseAND((1 << 32) - 1) > 0)).alias("kept"),
-            F.exists("z", lambda x: x["content"].startswith("-") & (F.shiftright(x["seen"], 32) > 0)).alias("cut"),
+            kept.alias("kept"),
+            cut.alias("cut"),
             F.filter(number, lambda n: n > 0).alias("added"),
         )
         .groupBy("project_id", "pr", "file")

@@ -168,12 +168,15 @@ def resolve_candidates(imports: DataFrame, files: DataFrame) -> DataFrame:
 
     Popular imports collapse to one row per (project, language, import) before
     anything is shuffled by candidate; the answer joins back on that key. Imports that
-    have no candidate (external ones have no normalised form) take no part in a shuffle.
+    have no candidate (external ones have no normalised form) take no part in a shuffle, nor
+    do files whose names end like no candidate.
     """
     key = ["project_id", "language", "norm"]
     searched = [name for name, profile in lg.PROFILES.items() if profile.candidates]
     asks = F.col("norm").isNotNull() & F.coalesce(F.col("language").isin(*searched), F.lit(False))
     distinct = imports.where(asks).select(*key).distinct()
+    endings = sorted({"." + c.rpartition(".")[2] for name in searched for c in lg.PROFILES[name].candidates})
+    files = files.where(any_of([F.col("path").endswith(e) for e in endings]))
     asked = distinct.select(*key, F.posexplode(candidate_paths(F.col("language"), F.col("norm"))).alias("pos", "candidate"))
     found = (
         asked.join(file_index(files), ["project_id", "candidate"])
@@ -272,18 +275,18 @@ def resolve_imports(
 ) -> DataFrame:
     """X13-X17 then L3: raw imports to edges with ``resolved_layer``.
 
-    Languages other than Go and TypeScript keep only resolved edges. The imports
-    are written once, since resolution reads them twice and they are far smaller
-    than the corpus they were extracted from.
+    Languages other than Go and TypeScript keep only resolved edges. The imports are
+    written once, normalised, since resolution reads them several times and they are far
+    smaller than the corpus they were extracted from. So are the module prefixes, a row a
+    project: planned on their size, the join need not gather a project's imports in one task.
     """
-    imports = materialise(imports)
-    modules = (
+    modules = materialise(
         build_metadata(files)
         .where("build_file = 'go.mod'")
         .groupBy("project_id")
         .agg(F.min("module_prefix").alias("module_prefix"))
     )
     staged = resolve_alias(is_external(imports).join(modules, "project_id", "left"), aliases or {})
-    located = resolve_candidates(normalise_import(staged), files)
+    located = resolve_candidates(materialise(normalise_import(staged)), files)
     edges = assign_target_layer(located, layers)
     return edges.where(F.col("language").isin("go", "typescript") | F.col("resolved_layer").isNotNull())

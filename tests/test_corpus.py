@@ -1,6 +1,7 @@
 """Extraction, resolution, corpus filters, diffs, sources, sinks, registries."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,6 +237,43 @@ def test_parse_diff(spark):
     assert stats == {1: (2, 2, 2), 2: (0, 0, 0)}
 
 
+def test_diff_files_match_their_lines(spark):
+    """A side's line numbers are places among its lines, also where a side starts at 0 or a hunk is empty."""
+    rng = random.Random(4)
+    marks = ["+a", "-b", " c", "", "+", "-", "+@@", "-\r", "\\\\ No newline"]
+    data = []
+    for pr in range(40):
+        text = []
+        for f in range(rng.randint(1, 3)):
+            text.append(f"diff --git a/f{f} b/f{f}")
+            for _ in range(rng.randint(0, 3)):
+                text.append(f"@@ -{rng.randint(0, 2)} +{rng.randint(0, 2)},3 @@ part")
+                text += [rng.choice(marks) for _ in range(rng.randint(0, 6))]
+        data.append(("p", pr, "\n".join(text)))
+    df = spark.createDataFrame(data, "project_id string, pr int, text string")
+    want = {}
+    for r in extraction.parse_diff(df).collect():
+        kept, cut, added = want.setdefault((r.pr, r.file), [False, False, set()])
+        cut = cut or (r.content.startswith("-") and r.old_line > 0)
+        added |= {r.new_line} if r.content.startswith("+") and r.new_line > 0 else set()
+        want[(r.pr, r.file)] = [kept or r.new_line > 0, cut, added]
+    got = {(r.pr, r.file): [r.kept, r.cut, set(r.added)] for r in extraction.diff_files(df).collect()}
+    empty = [k for k in got if k not in want]
+    assert {k: v for k, v in got.items() if k in want} == want
+    assert all(got[k] == [False, False, set()] for k in empty)
+
+
+def test_files_without_a_hint_are_not_split(spark, rows):
+    tree = {
+        "a.go": 'package a\nimport "x/y"\nfunc f() {}', "b.go": 'package b\nvar s = "no"', "c.go": "import none",
+        "d.go": 'import (\n\t"g/h"\n)', "e.py": "x = 1", "f.rb": "require 'lib/a'",
+    }
+    found = extraction.extract_imports(corpus.filter_source_files(files_of(spark, tree)))
+    assert rows(found, "source_file", "import_path") == [("a.go", "x/y"), ("d.go", "g/h"), ("f.rb", "lib/a")]
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode(split(" not in text and "posexplode(CASE WHEN" in text
+
+
 def test_declared_units_and_scan(spark, rows):
     tree = {"A.java": "\npackage a.b;\npackage c;\n", "a.cs": "namespace N.M\n{", "a.rs": "pub mod x1;\n"}
     units = extraction.extract_declared_unit(corpus.filter_source_files(files_of(spark, tree)))

@@ -46,6 +46,25 @@ def test_order_lines_shuffle_once_and_without_paths(spark):
     assert "hashpartitioning(l_suppkey" not in text and "hashpartitioning(s_suppkey" not in text
 
 
+def test_a_project_is_not_one_task(spark):
+    """Rows a project (module prefixes, totals) are joined on their known size, not by gathering the project."""
+    import re
+
+    from strata.operators import diffs, resolution
+    from strata.sources.adapters import ALIASES, CORPUS_LAYERS
+
+    files = spark.createDataFrame([("p", "go.mod", "module m")], "project_id string, path string, content string")
+    imports = spark.createDataFrame(
+        [("p", "a/x.go", 1, "m/b", "go")], "project_id string, source_file string, source_line int, import_path string, language string"
+    )
+    changes = spark.createDataFrame([("p", 1)], "project_id string, pr int")
+    for df in (
+        resolution.resolve_imports(imports, files, CORPUS_LAYERS, ALIASES),
+        diffs.pr_summary(changes, imports, changes),
+    ):
+        assert not re.search(r"hashpartitioning\(project_id#\d+, \d+\)", plan(df))
+
+
 def test_contract_shape():
     names, sqls = contract.queries(), contract.oracle_sql()
     assert set(sqls) <= set(names) and len(names) > 150
