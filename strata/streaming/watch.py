@@ -141,12 +141,23 @@ def periodic(writer: DataStreamWriter, every: str = "30 seconds") -> DataStreamW
     return writer.trigger(processingTime=every)
 
 
+def newest_runs(rows: DataFrame) -> DataFrame:
+    """Rows of every project's newest run (by ``ts``) in a log of runs: what W4 is to be given of it.
+
+    A batch. The newest moments, a row a project, are written; the log meets them on their
+    size and is neither shuffled nor sorted.
+    """
+    newest = materialise(rows.groupBy("project_id").agg(F.max("ts").alias("ts")))
+    return rows.join(newest, ["project_id", "ts"], "left_semi")
+
+
 def change_feed(runs: DataFrame, buckets: int = 8, hours: float | None = None) -> DataFrame:
     """W4 ``change_feed``: added / resolved / unchanged rows of every run, against the project's run before.
 
     ``runs`` streams full check results, each row with its run's ``ts``; a run arrives in
-    one micro-batch, and of several runs of a project there only the newest counts. Every
-    run has one row without a rule_id, so a clean run is a run too. Fingerprints are map
+    one micro-batch, and of several runs of a project there only the newest counts; all rows
+    of a micro-batch pass through Python, so a log of runs goes through ``newest_runs`` first.
+    Every run has one row without a rule_id, so a clean run is a run too. Fingerprints are map
     state by (project, bucket); that row goes to all buckets, the others to their own, so
     a project's rows are not one task's. A run older than the last one is ignored. With
     ``hours`` (T9) fingerprints that no run has had for so long are forgotten. Adds

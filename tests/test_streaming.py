@@ -71,6 +71,33 @@ def test_change_feed_over_runs(spark, tmp_path, rows):
     assert found.where("ts is null or file is null").count() == 0
 
 
+def test_newest_runs_of_a_log(spark, rows):
+    log = [
+        ("p", "r", "a", "b", "old", "f", T0), ("p", "r", "a", "b", "new", "f", T0 + timedelta(1)), ("p", "r", "a", "b", "new", "g", T0 + timedelta(1)),
+        ("q", "r", "a", "b", "x", "f", T0), ("c", "r", "a", "b", "x", "f", T0), ("c", None, None, None, None, None, T0 + timedelta(2)),
+    ]
+    kept = watch.newest_runs(spark.createDataFrame(log, VIOL))
+    assert rows(kept.fillna("-"), "project_id", "import_path", "file") == [("c", "-", "-"), ("p", "new", "f"), ("p", "new", "g"), ("q", "x", "f")]
+
+
+def test_the_change_feed_query_is_given_newest_runs_only(spark, monkeypatch):
+    """Every row of a micro-batch passes through Python, so a log's older runs stay out of it."""
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from catalogue import QUERIES, streams
+
+    given = []
+    monkeypatch.setattr(streams, "arriving", lambda spark, parts, drain: given.extend(parts))
+    with pytest.raises(AnalysisException):  # nothing was drained
+        QUERIES["w4_change_feed"](spark, "/root/testdata/sf0.001")
+    assert len(given) == 2
+    for part in given:
+        runs = part.groupBy("project_id").agg(F.countDistinct("ts").alias("n"), F.count("rule_id").alias("rows")).collect()
+        assert runs and all(r.n == 1 and r.rows > 0 for r in runs)
+        assert "SortMergeJoin" not in part._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_replayed_batch_changes_nothing(spark, tmp_path, rows):
     """A micro-batch whose commit is lost runs again from the state before it."""
     import shutil
